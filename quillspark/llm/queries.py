@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, mixing, quality, simhash
+from quillspark.llm import decontaminate, mixing, quality, simhash, substrings
 from quillspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
