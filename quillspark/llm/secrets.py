@@ -4,8 +4,9 @@ Three patterns find assignments, access keys and long hex strings. Beyond them,
 every long token is scored by the mean log-likelihood ratio of its character pairs
 under a model of random strings and one of ordinary identifiers. The models are
 trained from labelled tokens: by default what the patterns found in all documents
-and `RANDOM_SAMPLES` generated random strings are random, and all other words of 8
-characters or more in all documents are ordinary, each distinct token once.
+and `RANDOM_SAMPLES` generated random strings are random, and all other words of 8 to 19
+characters in all documents (too short to be scored) are ordinary, each distinct
+token once. A pair's chance falls back on its second character's.
 
 All of it is DataFrame expressions. Spans count code points, end exclusive.
 
@@ -32,7 +33,7 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])"
 SIZE = len(ALPHABET) + 1
 RANDOM_SAMPLES = 2000
 #: Mean log-likelihood ratio a pair (natural logarithm) from which a token counts as random.
@@ -71,21 +72,22 @@ def place(char: Column) -> Column:
     return F.instr(F.lit(ALPHABET), char)
 
 
-def train(tokens: DataFrame, smooth: float = 0.5) -> list[float]:
-    """The log-likelihood ratios of all character pairs, row by row; SIZE * SIZE numbers whatever the input's size."""
+def train(tokens: DataFrame, back: float = 8.0) -> list[float]:
+    """The log-likelihood ratios of all character pairs, row by row; SIZE * SIZE numbers whatever the input's size.
+
+    back: how many pairs the second character's own chance weighs.
+    """
     coded = tokens.select("label", F.transform(chars(F.col("token")), place).alias("codes"))
     ends = F.array(F.lit(0))
     pairs = coded.select("label", F.explode(F.zip_with(F.concat(ends, "codes"), F.concat("codes", ends), lambda a, b: a * SIZE + b)).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
-    ratios = []
-    for a in range(SIZE):
-        logs = []
-        for label in (1, 0):
-            row = [counts.get((label, a * SIZE + b), 0) + smooth for b in range(SIZE)]
-            total = math.log(sum(row))
-            logs.append([math.log(x) - total for x in row])
-        ratios += [one - zero for one, zero in zip(*logs, strict=True)]
-    return ratios
+    logs = []
+    for label in (1, 0):
+        rows = [[counts.get((label, a * SIZE + b), 0) for b in range(SIZE)] for a in range(SIZE)]
+        single = [sum(row[b] for row in rows) + 0.5 for b in range(SIZE)]
+        single = [x / sum(single) for x in single]
+        logs.append([math.log((row[b] + back * single[b]) / (sum(row) + back)) for row in rows for b in range(SIZE)])
+    return [one - zero for one, zero in zip(*logs, strict=True)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
