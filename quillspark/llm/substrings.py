@@ -44,7 +44,8 @@ EMPTY = sha256(b"").hexdigest()
 
 
 class Windows:
-    """The windows of some texts laid end to end: words, each text's bounds, and by window its start, anchor and names."""
+    """The windows of some texts laid end to end: each text's bounds, and by window its start, its text, its names, and
+    its anchor, which is given as the first place in the text that has the anchor's words."""
 
     def __init__(self, texts: list[bytes], window: int, prefix: int) -> None:
         split = [x.split() for x in texts]
@@ -58,8 +59,19 @@ class Windows:
             less = prefixes[j : j + n] < best
             best[less], shift[less] = prefixes[j : j + n][less], j
         at = np.flatnonzero(own[:n] == own[window - 1 :]) if n else np.zeros(0, np.int64)
-        self.at, self.anchor, self.own = at, at + shift[at], own[at]
+        self.at, self.own = at, own[at]
         self.prefix_name, self.name = best[at].view(np.int64), whole[at].view(np.int64)
+        self.anchor = first_alike(self.own, self.prefix_name, at + shift[at])
+
+
+def first_alike(own: np.ndarray, name: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the least place among the rows of its text and name."""
+    order = np.lexsort((at, name, own))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(own[order]) != 0) | (np.diff(name[order]) != 0)
+    out = np.empty_like(at)
+    out[order] = at[order][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    return out
 
 
 def _places(own: np.ndarray, at: np.ndarray, starts: np.ndarray, dup: np.ndarray) -> np.ndarray:
@@ -68,12 +80,12 @@ def _places(own: np.ndarray, at: np.ndarray, starts: np.ndarray, dup: np.ndarray
 
 
 def anchors(texts: DataFrame, window: int, prefix: int) -> DataFrame:
-    """name, first, place of every anchor of texts (first, dup, data)."""
+    """name, first, place of the anchors of texts (first, dup, data): one row a text and name."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             w = Windows(batch.column(2).to_pylist(), window, prefix)
-            new = np.flatnonzero(np.diff(w.anchor, prepend=-1))
+            _, new = np.unique(w.anchor, return_index=True)
             own, first, dup = w.own[new], batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(w.prefix_name[new]), pa.array(first[own]), pa.array(_places(own, w.anchor[new], w.starts, dup))], ["name", "first", "place"])
 
@@ -125,7 +137,8 @@ def shared_anchors(found: DataFrame) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
-    """p, q (the group's prefix and the rest of the name), first, place of all windows at the shared anchors of texts (first, dup, anchors, data)."""
+    """p, q (the group's prefix and the rest of the name), first, place of the windows at the shared anchors of texts (first, dup,
+    anchors, data): one row a text and window, with its first place."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -136,6 +149,7 @@ def suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
             state = np.zeros(int(w.starts[-1]) + 1, np.int8)
             state[w.starts[owner] + (marks >> 1)] = 1 + (marks & 1)
             keep = np.flatnonzero(state[w.anchor])
+            keep = keep[first_alike(w.own[keep], w.name[keep], w.at[keep]) == w.at[keep]]
             heavy, own = state[w.anchor[keep]] == 2, w.own[keep]
             name, whole = w.prefix_name[keep], w.name[keep]
             first, dup = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -172,8 +186,14 @@ def spans_of(at: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + window) for x in np.split(at, cuts)] if len(at) else []
 
 
+def all_spans(words: list[bytes], starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """The maximal repeats of a text, from the first places of its repeated windows."""
+    names = shingle_hashes(word_hashes(words), window)
+    return spans_of(np.flatnonzero(np.isin(names, names[starts])), window)
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
-    """Two tables. Of distinct texts: key, first (the smallest id), data, starts (of repeated windows; null if none).
+    """Two tables. Of distinct texts: key, first (the smallest id), data, starts (first places of repeated windows; null if none).
     Of documents: doc_id, id (with nulls as LAST_ID), key."""
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
     rows = docs.select(F.col(doc_id).alias("doc_id"), order.alias("id"), text_key(F.col(text)).alias("key"))
@@ -200,7 +220,7 @@ def op8(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for data, starts in zip(batch.column(2), batch.column(3), strict=True):
                 words, cut_words = data.as_py().split(), 0
                 counts.append(len(words))
-                for a, b in reversed(spans_of(np.unique(starts.values.to_numpy()), window) if starts.is_valid else []):
+                for a, b in reversed(all_spans(words, starts.values.to_numpy(), window) if starts.is_valid else []):
                     del words[a:b]
                     cut_words += b - a
                 removed.append(cut_words)
