@@ -69,7 +69,7 @@ def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", wit
     scored = rows.groupBy("query_id", key).agg((-F.sum(part)).alias("bm25"), F.count("*").alias("has")).join(F.broadcast(wanted), "query_id").where("has = n_phrases")
     if within is not None:
         scored = scored.join(within.select(key).distinct(), key, "left_semi")
-    order = Window.partitionBy("query_id").orderBy("bm25", key)
+    order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), key)  # sums of equal parts may differ in their last bits
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "bm25")
 
 

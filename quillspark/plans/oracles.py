@@ -43,7 +43,7 @@ def _bm25(words: int, k: int, where: str = "true") -> str:
         d AS (SELECT *, count(*) OVER (PARTITION BY query_id, no) AS df FROM h),
         b AS (SELECT query_id, doc_id, -sum({_PART}) AS bm25, count(*) AS has FROM d CROSS JOIN stats GROUP BY ALL),
         g AS (SELECT b.* FROM b JOIN (SELECT query_id, count(*) AS want FROM p GROUP BY ALL) USING (query_id) JOIN c USING (doc_id) WHERE has = want AND {where}),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM g)
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS rank FROM g)
         SELECT query_id, rank, doc_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= {k}"""
 
 
@@ -55,7 +55,7 @@ ORACLES["bm25_topk_phrase"] = f"""WITH {_CORPUS},
         h AS (SELECT query_id, doc_id, dl, count(*) AS f FROM pairs JOIN i ON z[1] = w[1] AND z[2] = w[2] GROUP BY ALL),
         d AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM h),
         b AS (SELECT query_id, doc_id, -({_PART}) AS bm25 FROM d CROSS JOIN stats),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM b)
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS rank FROM b)
         SELECT query_id, rank, doc_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10"""
 
 _BEST = f"""{_CORPUS},
@@ -63,7 +63,7 @@ _BEST = f"""{_CORPUS},
         h AS (SELECT query_id, no, word, doc_id, dl, count(*) AS f FROM places JOIN p USING (word) GROUP BY ALL),
         d AS (SELECT *, count(*) OVER (PARTITION BY query_id, no) AS df FROM h),
         b AS (SELECT query_id, no, word, doc_id, -({_PART}) AS bm25 FROM d CROSS JOIN stats),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY bm25, doc_id) AS place FROM b),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY round(bm25, 9), doc_id) AS place FROM b),
         best AS (SELECT query_id, doc_id, bm25, word AS term FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY bm25, no) AS one FROM r WHERE place <= 20) WHERE one = 1)"""
 ORACLES["bm25_multi_term_best"] = f"WITH {_BEST} SELECT query_id, doc_id, round(bm25, 6) AS bm25, term FROM best"
 
