@@ -49,3 +49,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """16 bytes that name a text; null counts as empty."""
     return F.unhex(F.md5(text_bytes(text)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it: one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

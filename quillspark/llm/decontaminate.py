@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm.common import cut, row_key, text_bytes
+from quillspark.llm.common import cut, fresh, row_key, text_bytes
 
 WINDOW = 10
 SHINGLE = 3
@@ -200,9 +200,9 @@ def covered(spans: str) -> Column:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    dirty = contamination(docs, items).where("spans is not null").select(F.col("key").alias("dirty_key")).distinct()
-    keyed = docs.withColumn("own_key", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(dirty, keyed["own_key"] == dirty["dirty_key"], "left_anti").drop("own_key")
+    own = fresh(docs, "own_key")
+    dirty = contamination(docs, items).where("spans is not null").select(F.col("key").alias(own)).distinct()
+    return docs.withColumn(own, row_key(F.col("doc_id"), F.col("text"))).join(dirty, own, "left_anti").drop(own)
 
 
 def op4(docs: DataFrame, items: DataFrame) -> DataFrame:

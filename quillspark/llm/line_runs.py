@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, row_key
+from quillspark.llm.common import cut, fresh, row_key
 
 MIN_LINES = 4
 LONG_LINE = 50
@@ -83,15 +83,15 @@ def without(text: Column, gone: Column) -> Column:
     return F.array_join(F.get(masked, F.lit(0)), "\n")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with repeated runs deleted from text, and line_report: a struct of n_lines (before) and n_removed."""
-    found = repeated_lines(docs, doc_id, text, **options).select(F.col("key").alias("line_key"), F.col("gone").alias("line_gone"))
-    rows = docs.withColumn("line_own", row_key(F.col(doc_id), F.col(text)))
-    rows = rows.join(found, F.col("line_own") == F.col("line_key"), "left")
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "line_report", **options) -> DataFrame:
+    """docs with repeated runs deleted from text, and a column (named by into): a struct of n_lines (before) and n_removed."""
+    own, gone = fresh(docs, "line_own"), fresh(docs, "line_gone")
+    found = repeated_lines(docs, doc_id, text, **options).select(F.col("key").alias(own), F.col("gone").alias(gone))
+    rows = docs.withColumn(own, row_key(F.col(doc_id), F.col(text))).join(found, own, "left")
     n_lines = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-    report = F.struct(F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("line_gone").isNull(), 0).otherwise(F.size("line_gone")).cast("long").alias("n_removed"))
-    rows = rows.withColumn("line_report", report)
-    return rows.withColumn(text, F.when(F.col("line_gone").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("line_gone")))).drop("line_own", "line_key", "line_gone")
+    report = F.struct(F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+    rows = rows.withColumn(into, report)
+    return rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(gone)))).drop(own, gone)
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, row_key
+from quillspark.llm.common import cut, fresh, row_key
 
 #: Sources up to which their table (some 60 bytes a row) is broadcast; above, joins shuffle.
 BROADCAST_SOURCES = 20_000
@@ -152,10 +152,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with their copies and taken words; repeated rows become one with the sum of their copies."""
+    """The documents that the mix takes, with their copies and taken words; repeated rows become one with the sum of their copies.
+
+    The new columns are copies and taken, with underscores after them where docs has such columns.
+    """
     key = row_key(F.col("doc_id"), F.concat(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")), F.lit("\n"), F.coalesce(F.col("text"), F.lit(""))))
-    taken = mix(docs, key=key, **options).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    return docs.withColumn("mix_key", key).dropDuplicates(["mix_key"]).join(taken, F.col("mix_key") == F.col("key")).drop("mix_key", "key")
+    own, copies, words = (fresh(docs, name) for name in ("mix_key", "copies", "taken"))
+    taken = mix(docs, key=key, **options).where("copies > 0").groupBy(F.col("key").alias(own)).agg(F.sum("copies").alias(copies), F.sum("taken").alias(words))
+    return docs.withColumn(own, key).dropDuplicates([own]).join(taken, own).drop(own)
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.columns import chars, let
+from quillspark.llm.common import fresh
 
 ROUNDS = 10
 KEY = "change this key"
@@ -215,15 +216,15 @@ def pseudonym(match: Column, kind: Column, key: str, back: bool = False) -> Colu
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False, into: str = "pii") -> DataFrame:
     """docs with text rewritten, and a column (named by into) of the matches: kind, match, pseudonym. back turns pseudonyms back."""
-    old = F.col(text)
+    old, own = F.col(text), fresh(docs, "pii_found")
     found = F.when(old.rlike(HINT), F.regexp_extract_all(old, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform("pii_found", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
-    named = F.transform("pii_found", lambda x: F.struct(x["kind"].alias("kind"), x["match"].alias("match"), F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym")))
-    rows = docs.withColumn("pii_found", found).withColumn("pii_found", kinds).withColumn("pii_found", named)
+    kinds = F.transform(own, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
+    named = F.transform(own, lambda x: F.struct(x["kind"].alias("kind"), x["match"].alias("match"), F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym")))
+    rows = docs.withColumn(own, found).withColumn(own, kinds).withColumn(own, named)
     gaps = F.split(old, ANY, -1)
-    pieces = F.zip_with(gaps, F.concat(F.transform("pii_found", lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, p))
-    new = F.when(F.size("pii_found") > 0, F.array_join(pieces, "")).otherwise(old)
-    return rows.withColumn(text, new).withColumn(into, F.filter("pii_found", lambda x: x["kind"].isNotNull())).drop("pii_found")
+    pieces = F.zip_with(gaps, F.concat(F.transform(own, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, p))
+    new = F.when(F.size(own) > 0, F.array_join(pieces, "")).otherwise(old)
+    return rows.withColumn(text, new).withColumn(into, F.filter(own, lambda x: x["kind"].isNotNull())).drop(own)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm.common import cut, row_key, text_bytes
+from quillspark.llm.common import cut, fresh, row_key, text_bytes
 from quillspark.llm.graph import components
 
 PAIR_CELL = 32
@@ -112,9 +112,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    stay = found.groupBy(group.alias("g")).agg(F.min(first).alias("stay_row")).select("stay_row")
-    kept = docs.withColumn("stay_row", row_key(F.col("doc_id"), F.col("text")))
-    return kept.join(stay, "stay_row").dropDuplicates(["stay_row"]).drop("stay_row")
+    own = fresh(docs, "stay_row")
+    stay = found.groupBy(group.alias("g")).agg(F.min(first).alias(own)).select(own)
+    kept = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
+    return kept.join(stay, own).dropDuplicates([own]).drop(own)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def odd(spark):
 
     rows, _ = corpus()
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("key", "data", "size", "n", "fp", "row", "quality", "copies", "words", "id", "first", "cell", "stay_row", "own_key", "mix_key"):
+    for name in ("key", "data", "size", "n", "fp", "row", "quality", "copies", "words", "id", "first", "cell", "stay_row", "own_key", "mix_key", "line_own", "line_gone", "line_report", "pii_found", "quality_verdict", "taken", "KEY_"):
         df = df.withColumn(name, F.lit(1))
     return df
 

@@ -48,7 +48,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_edges(odd, none, spark):
     assert line_runs.op5(none).count() == 0
-    kept = line_runs.dedup_lines(odd)
+    kept = line_runs.dedup_lines(odd, into="new_report")
     assert set(odd.columns) <= set(kept.columns) and kept.count() == odd.count()
     same = spark.createDataFrame([(1, "b " * 40), (1, "b " * 40), (2, "b " * 40)], "doc_id long, text string")
     assert Counter(tuple(r) for r in line_runs.op5(same).collect()) == Counter({(1, 1, 0, "b " * 40): 2, (2, 1, 1, ""): 1})
