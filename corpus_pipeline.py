@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, line_runs, mixing, quality, simhash
-from quillspark.llm.common import shared_dir, table
+from quillspark.llm.common import fresh, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.quality_filter(docs, into="quality_verdict").where("quality_verdict.kept").drop("quality_verdict")
+    verdict = fresh(docs, "quality_verdict")
+    return quality.quality_filter(docs, into=verdict).where(F.col(verdict)["kept"]).drop(verdict)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs leave the texts; n_chars follows."""
-    rows = line_runs.dedup_lines(docs).drop("line_report")
+    report = fresh(docs, "line_report")
+    rows = line_runs.dedup_lines(docs, into=report).drop(report)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
