@@ -51,6 +51,24 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text_bytes(text)))
 
 
+#: Keys that each hold more than this share of all rows are fewer than its inverse: their table is safe to broadcast.
+HOT_SHARE = 1e-5
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members: str = "members") -> DataFrame:
+    """rows joined with counted (unique by keys, with the number of rows of each), without members.
+
+    Keys with more than HOT_SHARE of all rows are at most 100,000; they are broadcast, so a hot key's rows stay where they
+    are. What is left for the shuffle has no hot key.
+    """
+    total = counted.agg(F.sum(members)).first()[0] or 0
+    hot = F.col(members) > HOT_SHARE * total
+    extra = [c for c in counted.columns if c not in keys and c != members]
+    known = rows.join(F.broadcast(counted.where(hot).select(*keys, *extra, F.lit(True).alias("is_hot"))), keys, "left")
+    rest = known.where("is_hot is null").drop("is_hot", *extra).join(counted.where(~hot).select(*keys, *extra), keys)
+    return known.where("is_hot is not null").drop("is_hot").unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores after it: one that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, fresh, row_key
+from quillspark.llm.common import HOT_SHARE, cut, fresh, row_key
 
 #: Sources up to which their table (some 60 bytes a row) is broadcast; above, joins shuffle.
 BROADCAST_SOURCES = 20_000
-#: Documents of one source and size that one task ranks; more are dealt to sub-cells.
-CELL_ROWS = 100_000
+#: Documents of one source and size that one task ranks, or HOT_SHARE of all if that is more; larger cells are dealt to sub-cells.
+CELL_ROWS = 1_000
 
 
 def n_words(text: Column) -> Column:
@@ -136,8 +136,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = cut(docs.select(*columns, *([key.alias("key")] if key is not None else [])))
     cells = cut(sized.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("n_cell")))
     duals = balance(cells, source_targets(sized, weights, share, cap), cap)
-    parts = cells.select("skey", "size", F.ceil(F.col("n_cell") / CELL_ROWS).alias("parts"))
-    placed = sized.join(parts, ["skey", "size"], "left").withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.lit("sub")), "parts")).otherwise(0).cast("long"))
+    # cells above HOT_SHARE of all documents are at most 1 / HOT_SHARE, so their table is safe to broadcast
+    most = max(CELL_ROWS, int(HOT_SHARE * sized.count()))
+    parts = cells.where(F.col("n_cell") > most).select("skey", "size", F.ceil(F.col("n_cell") / most).alias("parts"))
+    dealt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("sub")), "parts")).otherwise(0).cast("long")
+    placed = sized.join(F.broadcast(parts), ["skey", "size"], "left").withColumn("sub", dealt)
     order = Window.partitionBy("skey", "size", "sub").orderBy(F.xxhash64("doc_id"), "doc_id")
     subs = placed.where("size > 0").groupBy("skey", "size", "sub").agg(F.count("*").alias("n_sub"))
     copies = whole_copies(subs, duals, cap)
