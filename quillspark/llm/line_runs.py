@@ -12,8 +12,8 @@ maximal repeated run; a line of `long_line` characters or more is a run by itsel
 Of each run the first copy stays and later ones, also overlapping ones, are deleted.
 
 All of it is DataFrame operations. Names are counted with partial aggregation, so a
-line that is everywhere costs one row a task, and the text moves only once, for the
-rewrite.
+line that is everywhere costs one row a task; very common names are broadcast, by a
+share that bounds their number; and the text moves only once, for the rewrite.
 
 Defined results: a null text stays null and has no lines; a null doc_id comes after
 all others; rows that agree in doc_id and text are one document and get the same
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, fresh, row_key
+from quillspark.llm.common import cut, fresh, join_counted, row_key
 
 MIN_LINES = 4
 LONG_LINE = 50
@@ -47,9 +47,9 @@ def numbered_documents(docs: DataFrame, doc_id: str, text: str, long_line: int)
 
 def renamed(suffixes: DataFrame, name: list[str]) -> DataFrame:
     """suffixes (first, i, ...) that share their name with others, with the place of the first of them as name."""
-    shared = suffixes.groupBy(*name).agg(F.count("*").alias("members"), F.min(F.col("first") + F.col("i")).alias("place")).where("members > 1").drop("members")
+    shared = suffixes.groupBy(*name).agg(F.count("*").alias("members"), F.min(F.col("first") + F.col("i")).alias("place")).where("members > 1")
     kept = [c for c in suffixes.columns if c not in name]
-    return cut(suffixes.join(shared, name).select(*kept, F.col("place").alias("name")))
+    return cut(join_counted(suffixes, cut(shared), name).select(*kept, F.col("place").alias("name")))
 
 
 def doubled(suffixes: DataFrame, step: int) -> DataFrame:
