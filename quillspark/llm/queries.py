@@ -1,4 +1,4 @@
-"""The training-data queries and their SQL."""
+"""The training-data queries."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontaminate, html_pages, line_runs, mixing, pii, quality, secrets, simhash, substrings, warc
 from quillspark.llm.common import table
+from quillspark.llm.oracles import ORACLES
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_warc": op2_warc,
@@ -62,26 +65,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
-
-ORACLES: dict[str, str] = {
-    "op2_warc": """
-        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
-        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-            CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
-        FROM f""",
-    "op5_line_dedup": """
-        WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS dn FROM documents),
-        l AS (SELECT doc_id, dn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-        g AS (SELECT *, row_number() OVER (ORDER BY dn, i) AS g FROM l),
-        w AS (SELECT *, min(g) OVER (PARTITION BY line) AS f,
-                CASE WHEN lead(i, 3) OVER o IS NOT NULL
-                THEN md5(line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o || chr(10) || lead(line, 3) OVER o) END AS run
-            FROM g WINDOW o AS (PARTITION BY dn ORDER BY i)),
-        v AS (SELECT *, CASE WHEN run IS NOT NULL AND min(g) OVER (PARTITION BY run) < g THEN 1 ELSE 0 END AS late FROM w),
-        m AS (SELECT *, length(line) >= 50 AND f < g OR max(late) OVER (PARTITION BY dn ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 1 AS gone FROM v)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-            coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-        FROM m GROUP BY doc_id""",
-}
