@@ -38,7 +38,7 @@ from quillspark.llm.decontaminate import chunks, shingle_hashes, word_hashes
 
 WINDOW = 13
 PREFIX = 5
-GROUP_ROWS = 200_000
+GROUP_ROWS = 2_000
 LAST_ID = (1 << 63) - 1
 EMPTY = sha256(b"").hexdigest()
 
