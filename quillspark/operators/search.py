@@ -56,10 +56,15 @@ def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", wit
     """
     stats = corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = phrases.where(F.size("words") > 0).select("query_id", "phrase_no", "words")
-    first = F.get("words", F.lit(0))
-    # only rows with a phrase's first word can hold it: an equality join on words, not a scan per phrase
-    places = corpus.select(key, "dl", F.posexplode("toks").alias("at", "word"), "toks").join(F.broadcast(asked.withColumn("word", first)) if asked.count() <= BROADCAST_QUERIES else asked.withColumn("word", first), "word")
-    held = places.where(F.slice("toks", F.col("at") + 1, F.size("words")) == F.col("words")).groupBy("query_id", "phrase_no", key, "dl").agg(F.count("*").alias("f"))
+    longest, n = asked.agg(F.coalesce(F.max(F.size("words")), F.lit(0)), F.count("*")).first()
+    # only rows with a phrase's first word can hold it: an equality join on words, not a scan per phrase;
+    # a place carries as many words as the longest phrase has
+    asked_ = asked.withColumn("word", F.get("words", F.lit(0)))
+    runs = F.transform("toks", lambda w, i: F.struct(w.alias("word"), F.slice("toks", i + 1, F.lit(longest)).alias("run")))
+    exploded = corpus.select(key, "dl", F.explode("toks").alias("word")) if longest < 2 else corpus.select(key, "dl", F.explode(runs).alias("r")).select(key, "dl", "r.word", "r.run")
+    places = exploded.join(F.broadcast(asked_) if n <= BROADCAST_QUERIES else asked_, "word")
+    places = places if longest < 2 else places.where(F.slice("run", F.lit(1), F.size("words")) == F.col("words"))
+    held = places.groupBy("query_id", "phrase_no", key, "dl").agg(F.count("*").alias("f"))
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_phrases"))
     df = held.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
     rows = held.join(F.broadcast(df), ["query_id", "phrase_no"]).join(F.broadcast(stats))
