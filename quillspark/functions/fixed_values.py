@@ -8,6 +8,7 @@ EDITION = rf"(?i)\b({ORDINALS})\s+(Revision|Edition|Reprint)\b"
 YEAR = r"\b(19[5-9]\d|20\d\d)\b"
 TITLE_MARKER = r"(?i)^Indian Standard$"
 TITLE_END = rf"(?i)^\(?\s*({ORDINALS})\s+(Revision|Edition|Reprint)\s*\)?$|^ICS\b|^©|^\d+(\.\d+)*\s+[A-Z]"
+HEADING_NUMBER = r"\d+(?:\.\d+)*"
 HEADING_LINE = r"\d+(?:\.\d+)*\s+[A-Z][A-Za-z0-9 ,\-/&()]{2,80}"
 HEADING_PARTS = r"(?md)^(\d+(?:\.\d+)*)\s+([A-Z][A-Za-z0-9 ,\-/&()]{2,80})$"
 SCOPE_LINE = r"^\d+(?:\.\d+)*[ \t]+(?i:SCOPE)[ \t]*$|^(?i:SCOPE)[ \t]*$"

@@ -14,23 +14,23 @@ from quillspark.functions import fixed_values as V
 from quillspark.functions import text as T
 
 
-def sections(pages: DataFrame, heading: str = V.HEADING_LINE, drop_preamble: bool = False) -> DataFrame:
+def sections(pages: DataFrame, heading: str = V.HEADING_LINE, number: str = V.HEADING_NUMBER, drop_preamble: bool = False) -> DataFrame:
     """One row a section: section_pos, section (its number, or null), text with its heading, stripped.
 
-    heading: of a whole line, its first group-free number part leading. drop_preamble: what comes before the first heading goes.
+    heading: the pattern of a whole line; number: of the part of it, from its start, that names the section.
+    drop_preamble: what comes before the first heading goes.
     """
     split = rf"(?md)(?=^{heading}$)"
-    number = rf"(?d)\A(\d+(?:\.\d+)*)\s+(?<=\s){heading.split(chr(92) + 's+', 1)[-1]}(?:\n|\z)" if heading == V.HEADING_LINE else rf"(?d)\A({heading})(?:\n|\z)"
     rows = pages.where(F.length(T.strip(F.col("text"))) > 0).select("*", F.posexplode(F.split("text", split, -1)).alias("section_pos", "raw"))
-    rows = rows.withColumn("section", T.first_match(F.col("raw"), number, 1))
+    rows = rows.withColumn("section", T.first_match(F.col("raw"), rf"(?d)\A(?=(?:{heading})(?:\n|\z))({number})", 1))
     if drop_preamble:
         headed = F.col("text").rlike(rf"(?md)^{heading}$")
         rows = rows.where(F.col("section").isNotNull() | ~headed)
     return rows.withColumn("text", T.strip(F.col("raw"))).drop("raw").where("text != ''")
 
 
-def clauses(pages: DataFrame, heading: str = V.HEADING_LINE) -> DataFrame:
-    return sections(pages, heading, drop_preamble=True)
+def clauses(pages: DataFrame, heading: str = V.HEADING_LINE, number: str = V.HEADING_NUMBER) -> DataFrame:
+    return sections(pages, heading, number, drop_preamble=True)
 
 
 def paragraph_list(text: Column, separator: str = "\n\n") -> Column:

@@ -69,7 +69,7 @@ def vector_topk_parents(spark, sf_dir):
 def vector_zero_norm(spark, sf_dir):
     """zero vectors are never found."""
     vectors = table(spark, sf_dir, "embeddings")
-    some = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    some = F.when(F.col("label") == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
     return _vector_result(search.vector_top_k(query_vectors(spark, sf_dir), vectors.withColumn("embedding", some), 5))
 
 
@@ -198,14 +198,14 @@ def eval_topk_hits(spark, sf_dir):
 @query
 def section_split(spark, sf_dir):
     """Sections at heading lines."""
-    rows = chunking.sections(as_pages(spark, sf_dir), WORD_HEADING)
+    rows = chunking.sections(as_pages(spark, sf_dir), WORD_HEADING, WORD_HEADING)
     return rows.groupBy("document_id").agg(F.count("*").alias("sections"), F.count("section").alias("headed"), F.sum(F.length("text")).alias("chars"))
 
 
 @query
 def clause_split(spark, sf_dir):
     """The same without preambles."""
-    rows = chunking.clauses(as_pages(spark, sf_dir), WORD_HEADING)
+    rows = chunking.clauses(as_pages(spark, sf_dir), WORD_HEADING, WORD_HEADING)
     return rows.groupBy("document_id").agg(F.count("*").alias("clauses"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -288,7 +288,7 @@ def normalise_category(spark, sf_dir):
 @query
 def normalise_use(spark, sf_dir):
     """Controlled values by priority."""
-    segment = F.concat_ws(" ", F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 5 == 0, "industrial tank").when(F.col("c_custkey") % 7 == 0, "on demand"))
+    segment = F.concat_ws(" ", F.lower("c_mktsegment"), F.when(F.col("c_acctbal") < 0, "industrial tank").when(F.col("c_acctbal") > 8000, "on demand"))
     return table(spark, sf_dir, "customer").select("c_custkey", T.intended_use(segment).alias("use"), T.heater_type(segment).alias("kind"))
 
 
@@ -387,7 +387,7 @@ def citations_distinct(spark, sf_dir):
 @query
 def profile_fold(spark, sf_dir):
     """Profiles from the turns of conversations."""
-    said = F.create_map(F.lit("product_category"), F.when(F.col("turn") % 3 == 0, "appliance").when(F.col("conv_id") % 2 == 0, "geyser").otherwise("water filter"), F.lit("capacity"), F.concat("turn", F.lit(" L")))
+    said = F.create_map(F.lit("product_category"), F.when(F.col("role") == "assistant", "geyser").otherwise("appliance"), F.lit("capacity"), F.concat("turn", F.lit(" L")))
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", said.alias("updates"))
     rows = rules.fold_profiles(turns)
     return rows.select("conversation_id", "product_category", "capacity", F.size("questions").alias("n_questions"))
@@ -397,7 +397,7 @@ def profile_fold(spark, sf_dir):
 def missing_questions(spark, sf_dir):
     """What a profile still needs."""
     profile = {f: F.lit(None).cast("string") for f in T.V.PROFILE_FIELDS}
-    profile |= {"product_category": F.when(F.col("p_size") < 10, None).when(F.col("p_size") < 20, "water_heater").when(F.col("p_size") < 30, "water_purifier").otherwise(F.col("p_type")), "capacity": F.when(F.col("p_partkey") % 2 == 0, "1 L")}
+    profile |= {"product_category": F.when(F.col("p_size") < 10, None).when(F.col("p_size") < 20, "water_heater").when(F.col("p_size") < 30, "water_purifier").otherwise(F.col("p_type")), "capacity": F.when(F.col("p_type") == "ECONOMY", "1 L")}
     asked = rules.missing_questions(profile)
     return table(spark, sf_dir, "part").select("p_partkey", F.size(asked).alias("n_questions"), F.get(asked, F.lit(0))["field"].alias("next"), rules.is_sufficient(profile).alias("sufficient"))
 
@@ -406,7 +406,7 @@ def missing_questions(spark, sf_dir):
 def reindex_overwrite(spark, sf_dir):
     """One group's rows replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    new = docs.where("source = 'src1'").withColumn("n_chars", F.lit(0).cast("long")).where("doc_id % 4 = 1")
+    new = docs.where("source = 'src1'").withColumn("n_chars", F.lit(0).cast("long")).where("lang = 'en'")
     return ingest.replaced(docs, new, "source")
 
 
@@ -427,10 +427,9 @@ def seed_antijoin(spark, sf_dir):
 @query
 def upsert_preferences(spark, sf_dir):
     """The last change of each key holds."""
-    events = table(spark, sf_dir, "events")
-    base = events.where("event_id < 2000").groupBy("user_id").agg(F.min("event_type").alias("language"))
-    changes = events.where("event_id >= 2000").select("user_id", F.col("event_type").alias("language"), "event_id")
-    return ingest.upserted(base, changes, "user_id", "event_id")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("language"))
+    changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("language"), "o_orderkey")
+    return ingest.upserted(base, changes, "user_id", "o_orderkey")
 
 
 @query
@@ -452,6 +451,7 @@ def hash_embed(spark, sf_dir):
 @query
 def upload_validation(spark, sf_dir):
     """Why uploads are refused, counted."""
-    content = F.when(F.col("page_id") % 4 == 0, F.lit(b"")).when(F.col("page_id") % 4 == 1, F.concat(F.lit(b"%PDF-"), F.col("html").cast("binary"))).otherwise(F.col("html").cast("binary"))
-    reason = ingest.reject_reason(content, F.when(F.col("page_id") % 3 == 0, "text/html").otherwise("application/pdf"), F.col("url"))
+    html = F.col("html").cast("binary")
+    content = F.when(F.contains("url", F.lit("/de/")), F.lit(b"")).when(F.startswith("url", F.lit("https")), F.concat(F.lit(b"%PDF-"), html)).otherwise(html)
+    reason = ingest.reject_reason(content, F.when(F.contains("url", F.lit(".org/")), "text/html").otherwise("application/pdf"), F.col("url"))
     return ingest.outcomes(table(spark, sf_dir, "pages").select(F.coalesce(reason, F.lit("taken")).alias("outcome")), "outcome")
