@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm.common import cut, fresh, row_key, text_bytes
+from quillspark.llm.common import cut, fresh, join_counted, row_key, text_bytes
 from quillspark.llm.graph import components
 
 PAIR_CELL = 32
@@ -82,8 +82,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     """(a, b) over distinct fingerprints (column fp) that spans the same components as all pairs within 2 bits."""
     own = prints.select("fp")
     placed = own.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(placed.join(shared, "cell"))
+    shared = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    met = cut(join_counted(placed, shared.withColumn("members", F.col("n")), ["cell"]))
     within = "transform(filter(fps, y -> y > x and bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))"
     pairs = (
         met.where(F.col("n") <= PAIR_CELL).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
