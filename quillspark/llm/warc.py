@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shared_dir, text_bytes
+from quillspark.llm.common import cut, join_counted, shared_dir, text_bytes
 
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,9 +53,9 @@ def record_header(date: str = DATE) -> Column:
 def record_kinds(pages: DataFrame) -> DataFrame:
     """page_id, url, digest, n_bytes, kind, refers_to of pages (page_id, url, payload)."""
     rows = pages.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = cut(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("members")))
     revisit = (F.col("n_bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "digest").select("page_id", "url", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return join_counted(rows, first, ["digest"]).select("page_id", "url", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
