@@ -21,23 +21,26 @@ def _query_parts(queries: DataFrame, key: str) -> list[DataFrame]:
     return [queries] if parts <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", within: DataFrame | None = None, parents: DataFrame | None = None, parent_key: str = "document_id") -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", within: DataFrame | None = None, parents: DataFrame | None = None, parent_key: str = "document_id", allowed: DataFrame | None = None) -> DataFrame:
     """query_id, rank, key, score: the k vectors of most cosine, by score and then key.
 
     queries: query_id, query_vector. vectors: key, embedding. within: keys that may be found (an empty table finds
-    nothing). parents: existing parents; vectors without one are left out. Zero vectors are never found.
+    nothing). parents: existing parents; vectors without one are left out. allowed: query_id, parent_key: the parents
+    each query may find; queries that it does not name find nothing. Zero vectors are never found.
     """
     if within is not None:
         vectors = vectors.join(within.select(key).distinct(), key, "left_semi")
     if parents is not None:
         vectors = vectors.join(parents.select(parent_key).distinct(), parent_key, "left_semi")
-    base = vectors.select(key, "embedding", X.squared_norm(F.col("embedding")).alias("norm")).where("norm > 0")
+    columns = [key] if allowed is None or parent_key == key else [key, parent_key]
+    base = vectors.select(*columns, "embedding", X.squared_norm(F.col("embedding")).alias("norm")).where("norm > 0")
     asked = queries.select("query_id", "query_vector", X.squared_norm(F.col("query_vector")).alias("query_norm"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     found = None
     for part in _query_parts(asked, "query_id"):
         score = X.cosine(F.col("embedding"), F.col("query_vector"), F.col("norm"), F.col("query_norm"))
-        scored = base.join(F.broadcast(part)).select("query_id", key, score.alias("score")).where("score is not null")
+        pairs = base.join(F.broadcast(part)) if allowed is None else base.join(allowed.select("query_id", parent_key).distinct(), parent_key).join(F.broadcast(part), "query_id")
+        scored = pairs.select("query_id", key, score.alias("score")).where("score is not null")
         top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = top if found is None else found.unionByName(top)
     return found.select("query_id", "rank", key, "score")
