@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import cut
+
 #: Hosts up to which their paths (some hundred bytes each) are broadcast; above, the join shuffles.
 BROADCAST_HOSTS = 20_000
 #: Least share of a host's votes that makes a path one of its own.
@@ -201,9 +203,12 @@ def text_by_paths(html: Column, paths: Column) -> Column:
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, paths: those with LEAST_VOTES of the host's votes or more, best first."""
     votes = pages.select(host(F.col(url)).alias("host"), F.explode(container_votes(F.col(html))).alias("v"))
-    sums = votes.groupBy("host", "v.path").agg(F.sum(F.round("v.share", 6)).alias("votes"))
-    ranked = sums.groupBy("host").agg(F.sum("votes").alias("all"), F.array_sort(F.collect_list(F.struct((-F.round("votes", 3)).alias("less"), "path", "votes"))).alias("ranked"))
-    return ranked.select("host", F.expr(f"transform(filter(ranked, x -> x.votes >= {LEAST_VOTES} * all), x -> x.path)").alias("paths"))
+    sums = cut(votes.groupBy("host", "v.path").agg(F.sum(F.round("v.share", 6)).alias("votes")))
+    totals = sums.groupBy("host").agg(F.sum("votes").alias("all"))
+    # what stays is at most 1 / LEAST_VOTES paths a host, however many its pages have
+    strong = sums.join(totals, "host").where(F.col("votes") >= LEAST_VOTES * F.col("all"))
+    ranked = strong.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.round("votes", 3)).alias("less"), "path"))).alias("ranked"))
+    return ranked.select("host", F.transform("ranked", lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
