@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import HOT_SHARE, cut, fresh, row_key
+from quillspark.llm.common import HOT_SHARE, cut, fresh, join_counted, row_key
 
 #: Sources up to which their table (some 60 bytes a row) is broadcast; above, joins shuffle.
 BROADCAST_SOURCES = 20_000
@@ -147,9 +147,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranked = placed.where("size > 0").withColumn("rank", F.row_number().over(order)).join(copies, ["skey", "size", "sub"])
     own = F.expr("copies div n_sub + if(rank <= copies % n_sub, 1, 0)").cast("long")
     rows = ranked.withColumn("own", own).select(*sized.columns, "own").unionByName(sized.where("size = 0").withColumn("own", F.lit(0).cast("long")))
-    few = duals.select("skey", "source_size", "target")
-    few = F.broadcast(few) if few.count() <= BROADCAST_SOURCES else few
-    return rows.join(few, "skey").select(
+    sources = duals.select("skey", "source_size", "target", F.greatest("n_docs", F.lit(1)).alias("members"))
+    return join_counted(rows, sources, ["skey"]).select(
         "doc_id", "size", "source_size", "target", F.col("own").alias("copies"), (F.col("own") * F.col("size")).alias("taken"), *(["key"] if key is not None else [])
     )
 
