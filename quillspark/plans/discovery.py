@@ -45,29 +45,37 @@ def index(pages: DataFrame, embed: Embedder = T.hash_embedding, **options) -> Da
     return chunks.select(name.alias("chunk_id"), "*", embed(F.concat(F.lit(PASSAGE_PREFIX), "text")).alias("embedding"), T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
 
 
+RESTRICTIONS = "document_id", "standard_id"
+
+
 def linked(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """query_id, document_id that a question may find: one document, or those of one standard, or all.
+    """query_id, document_id that a restricted question may find: its document, or those of its standard.
 
     questions: query_id, document_id, standard_id (both nullable); a question that gives both is an error.
     """
     both = F.col("want_doc").isNotNull() & F.col("want_std").isNotNull()
     asked = questions.select("query_id", F.col("document_id").alias("want_doc"), F.col("standard_id").alias("want_std"))
     asked = asked.where(F.when(both, F.raise_error(F.lit("document_id and standard_id exclude each other")).cast("boolean")).otherwise(True))
-    one = asked.where("want_doc is not null").join(documents, F.col("want_doc") == documents["document_id"]).select("query_id", "document_id")
-    some = asked.where("want_doc is null and want_std is not null").join(documents, F.col("want_std") == documents["standard_id"]).select("query_id", "document_id")
-    every = asked.where("want_doc is null and want_std is null").join(documents.select("document_id")).select("query_id", "document_id")
-    return one.unionByName(some).unionByName(every)
+    one = asked.join(documents, F.col("want_doc") == documents["document_id"]).select("query_id", "document_id")
+    some = asked.join(documents, F.col("want_std") == documents["standard_id"]).select("query_id", "document_id")
+    return one.unionByName(some)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = 5, types: Sequence[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = 5, types: Sequence[str] | None = None) -> DataFrame:
     """query_id, rank, chunk_id, document_id, document_name, document_type, page_number, section, text, score.
 
-    questions: query_id, text. documents: document_id, document_name, document_type. allowed: as from linked(), where questions are restricted.
+    questions: query_id, text, and where they may be restricted document_id and standard_id (nullable).
+    documents: document_id, document_name, document_type, standard_id.
     """
     parents = documents if types is None else documents.where(F.col("document_type").isin(*types))
-    asked = questions.select("query_id", embed(F.concat(F.lit(QUERY_PREFIX), "text")).alias("query_vector"))
-    hits = search.vector_top_k(asked, chunks, top_k, "chunk_id", parents=parents, allowed=allowed)
-    rows = hits.join(chunks.select("chunk_id", "document_id", "page_number", "section", "text"), "chunk_id").join(documents.select("document_id", "document_name", "document_type"), "document_id", "left")
+    for c in RESTRICTIONS:
+        questions = questions if c in questions.columns else questions.withColumn(c, F.lit(None).cast("string"))
+    free = F.col("document_id").isNull() & F.col("standard_id").isNull()
+    vectors = lambda rows: rows.select("query_id", embed(F.concat(F.lit(QUERY_PREFIX), "text")).alias("query_vector"))
+    hits = search.vector_top_k(vectors(questions.where(free)), chunks, top_k, "chunk_id", parents=parents)
+    few = search.vector_top_k(vectors(questions.where(~free)), chunks, top_k, "chunk_id", parents=parents, allowed=linked(questions, documents))
+    found = hits.unionByName(few).join(chunks.select("chunk_id", "document_id", "page_number", "section", "text"), "chunk_id")
+    rows = found.join(documents.select("document_id", "document_name", "document_type"), "document_id", "left")
     return rows.select("query_id", "rank", "chunk_id", "document_id", F.coalesce("document_name", F.lit(UNKNOWN_DOCUMENT)).alias("document_name"), "document_type", "page_number", "section", "text", "score")
 
 
@@ -80,13 +88,13 @@ def asked_of(profiles: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).where((F.size("terms") > 0) | (F.size("identifiers") > 0))
 
 
-def find_candidates(profiles: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = V.TOP_CANDIDATES, allowed: DataFrame | None = None, quote: bool = False) -> DataFrame:
+def find_candidates(profiles: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = V.TOP_CANDIDATES, quote: bool = False) -> DataFrame:
     """Documents for each profile, ranked: twenty chunks by vector and twenty by each term, merged and scored.
 
-    allowed restricts the vector hits only. quote searches terms that the query language can't take as phrases.
+    A profile's standard_id, if there is such a column, restricts the vector hits only. quote searches terms that the query language can't take as phrases.
     """
     asked = asked_of(profiles)
-    semantic = retrieve(asked, chunks, documents, embed, V.POOL_SEMANTIC, allowed=allowed)
+    semantic = retrieve(asked, chunks, documents, embed, V.POOL_SEMANTIC)
     terms = asked.select("query_id", F.posexplode(F.concat("terms", "identifiers")).alias("term_pos", "term"))
     keyword = search.best_term(chunks.select("chunk_id", "toks", "dl"), terms, V.POOL_KEYWORD, "chunk_id", quote)
     favoured = F.when(F.length("user_query") > 0, T.prioritised_types(T.query_classes(F.col("user_query")))).otherwise(F.array().cast("array<string>"))

@@ -28,15 +28,16 @@ def profile(**given):
 def test_retrieve(spark, world):
     chunks, docs = world
     asked = spark.createDataFrame([("a", "heater", None, None), ("b", "heater", "d2", None), ("c", "heater", None, "s1"), ("e", "heater", None, "none")], "query_id string, text string, document_id string, standard_id string")
-    rows = discovery.retrieve(asked.drop("document_id"), chunks, docs, top_k=10).collect()
+    free = asked.drop("document_id", "standard_id")
+    rows = discovery.retrieve(free, chunks, docs, top_k=10).collect()
     assert {r.document_id for r in rows} == {"d1", "d2", "d3"} and {r.document_name for r in rows} == {"heater.pdf", "concrete.pdf", "note.pdf"}
-    few = discovery.retrieve(asked.drop("document_id"), chunks, docs, top_k=10, allowed=discovery.linked(asked, docs)).collect()
+    few = discovery.retrieve(asked, chunks, docs, top_k=10).collect()
     by = {}
     for r in few:
         by.setdefault(r.query_id, set()).add(r.document_id)
     assert by == {"a": {"d1", "d2", "d3"}, "b": {"d2"}, "c": {"d1"}}
-    typed = discovery.retrieve(asked.drop("document_id"), chunks, docs, types=["QCO"]).collect()
-    assert {r.document_id for r in typed} == {"d2"} and discovery.retrieve(asked.drop("document_id"), chunks, docs, types=[]).count() == 0
+    typed = discovery.retrieve(free, chunks, docs, types=["QCO"]).collect()
+    assert {r.document_id for r in typed} == {"d2"} and discovery.retrieve(free, chunks, docs, types=[]).count() == 0
     with pytest.raises(Exception, match="exclude each other"):
         discovery.linked(asked.withColumn("document_id", F.lit("d1")).withColumn("standard_id", F.lit("s1")), docs).collect()
 
