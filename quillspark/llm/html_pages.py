@@ -47,9 +47,10 @@ CLOSED_BY = {
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
 }
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices outbrain popup promo promos related "
-    "search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
+    "ad adbox ads adsense adslot advert adverts advertisement advertising alert announcement banner banners breadcrumb breadcrumbs comment commentform "
+    "commentlist comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter "
+    "notice notices outbrain popup promo promos related replies respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe "
+    "subscription taboola teaser toolbar topbar widget widgets".split()
 )
 
 
