@@ -75,6 +75,12 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return documents.select("key", "first").join(by_doc, "first").select("key", "gone")
 
 
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, start, end (exclusive): the maximal runs of lines that are later copies, one row a run."""
+    rows = repeated_lines(docs, doc_id, text, **options).select("key", F.posexplode("gone").alias("nth", "line"))
+    return rows.groupBy("key", (F.col("line") - F.col("nth")).alias("island")).agg(F.min("line").alias("start"), (F.max("line") + 1).alias("end")).drop("island")
+
+
 def without(text: Column, gone: Column) -> Column:
     """The text without the lines of the sorted numbers given; a mask of one byte a line keeps it linear."""
     before = F.concat(F.array(F.lit(-1)), F.slice(gone, F.lit(1), F.size(gone) - 1))

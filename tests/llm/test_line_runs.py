@@ -46,6 +46,16 @@ def test_against_brute_force(spark, monkeypatch):
         assert Counter(tuple(r) for r in got.collect()) == brute(rows, n, long_line)
 
 
+def test_runs_are_the_deleted_lines(spark):
+    df = spark.createDataFrame(fixture(), DOCS)
+    gone = {bytes(r.key): r.gone for r in line_runs.repeated_lines(df).collect()}
+    spans = {}
+    for r in line_runs.repeated_runs(df).collect():
+        spans.setdefault(bytes(r.key), []).append((r.start, r.end))
+    assert {k: sorted(i for a, b in v for i in range(a, b)) for k, v in spans.items()} == gone
+    assert all(b < c for v in spans.values() for (_, b), (c, _) in zip(sorted(v), sorted(v)[1:]))
+
+
 def test_edges(odd, none, spark):
     assert line_runs.op5(none).count() == 0
     kept = line_runs.dedup_lines(odd, into="new_report")
