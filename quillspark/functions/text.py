@@ -218,17 +218,24 @@ def language_instruction(language: Column, names: Mapping[str, str] = V.LANGUAGE
 
 @cache
 def _folding() -> tuple[str, str]:
-    """Letters with diacritics, U+00C0 to U+024F, and their base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    """Letters with diacritics, U+00C0 to U+024F and the angstrom sign, and their base letters; what lower() gives has none left."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), 0x212B)]
     pairs = [(a, b) for a, b in pairs if a != b]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def folded(text: Column) -> Column:
     """Lower case without diacritics."""
-    a, b = _folding()
-    return F.translate(F.lower(F.translate(text, a, b)), a, b)
+    return F.lower(F.translate(text, *_folding()))
+
+
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def tokens(text: Column) -> Column:
-    return all_matches(folded(text), r"[\p{L}\p{N}\p{Co}]+")
+    return all_matches(folded(text), TOKEN)
+
+
+def n_tokens(text: Column) -> Column:
+    """As many as tokens() has: folding turns letters into letters."""
+    return F.regexp_count(text, F.lit(TOKEN))

@@ -48,7 +48,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, toks, dl: worth keeping as a table where many searches follow."""
-    return docs.select(key, T.tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
+    return docs.select(key, T.tokens(F.col(text)).alias("toks"), T.n_tokens(F.col(text)).alias("dl"))
 
 
 def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:

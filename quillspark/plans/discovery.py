@@ -42,7 +42,7 @@ def index(pages: DataFrame, embed: Embedder = T.hash_embedding, **options) -> Da
     """Chunks with chunk_id, embedding, toks and dl: the one table that all searches read."""
     chunks = chunking.chunks(pages, **options)
     name = F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)
-    return chunks.select(name.alias("chunk_id"), "*", embed(F.concat(F.lit(PASSAGE_PREFIX), "text")).alias("embedding"), T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
+    return chunks.select(name.alias("chunk_id"), "*", embed(F.concat(F.lit(PASSAGE_PREFIX), "text")).alias("embedding"), T.tokens(F.col("text")).alias("toks"), T.n_tokens(F.col("text")).alias("dl"))
 
 
 RESTRICTIONS = "document_id", "standard_id"

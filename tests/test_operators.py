@@ -45,6 +45,16 @@ def test_scalars(spark):
         assert value(spark, column, t=text) == want, (text, want)
 
 
+def test_folding(spark):
+    import unicodedata
+
+    letters = [chr(c) for c in (*range(0x20, 0x250), 0x212A, 0x212B, 0x1E9E, 0xFB01, 0x416, 0x939)]
+    rows = spark.createDataFrame([(c + "x " + c,) for c in letters], "t string").select("t", T.folded(F.col("t")).alias("f"), F.size(T.tokens(F.col("t"))).alias("n"), T.n_tokens(F.col("t")).alias("m")).collect()
+    base = lambda c: unicodedata.normalize("NFD", c)[0] if 0xC0 <= ord(c) < 0x250 else c
+    want = lambda t: "".join(base(x) for x in "".join(base(c) for c in t).lower())
+    assert all(r.f == want(r.t) and r.n == r.m for r in rows)
+
+
 def test_hash_embedding(spark):
     text = "é😀ab"
     seed = sum(map(ord, text))
