@@ -111,8 +111,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: lis
     model = train(labelled_tokens(docs, text)) if model is None else model
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *(v.alias(k) for k, v in base_spans(F.col("text")).items()), matches(F.col("text"), TOKEN).alias("tokens"))
-    rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    # access keys and hex strings lie wholly inside a token, so the token's own text tells; only assignments need their places
+    told = lambda t: t["match"].rlike(f"AKIA[A-Z0-9]{{{ACCESS_CHARS - 4},}}|[0-9a-f]{{{HEX_CHARS},}}")
+    free = F.filter("tokens", lambda t: ~told(t) & ~F.exists("assign", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     odd = F.filter(free, lambda t: t["match"].rlike("[0-9]") & t["match"].rlike("[A-Za-z]") & (ratio(t["match"], model) >= LEAST_RATIO))
     rows = rows.withColumn("model", F.when(F.size("tokens") > 0, odd).otherwise(F.array().cast(NO_SPANS)))
     tagged = [tag(kind, i) for i, kind in enumerate(("assign", "access", "hex", "model"))]

@@ -45,6 +45,10 @@ def test_base_spans(spark):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
     assert got[7].spans == f"model:6:{6 + len(B64)}"
     assert got[8].n_model == 0 and got[10].n_model == 0
+    for i, text in rows:  # a scored token overlaps no base span
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x)]
+        base, model = [x for x in spans if x[0] != "model"], [x for x in spans if x[0] == "model"]
+        assert not any(a < d and c < b for _, a, b in model for _, c, d in base)
 
 
 def test_ratio_and_training(spark):
