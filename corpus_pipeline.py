@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import decontaminate, line_runs, mixing, quality, simhash
 from quillspark.llm.common import fresh, shared_dir, table
 
+#: Jaccard similarity, in percent, from which two texts are near-duplicates.
+SIMILAR = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -26,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash.keep_one(docs)
+    """One document of each group stays: fingerprints within 2 bits, or SIMILAR percent of five-word shingles shared."""
+    return simhash.keep_one(docs, SIMILAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

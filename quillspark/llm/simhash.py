@@ -29,6 +29,7 @@ from xxhash import xxh64_intdigest
 
 from quillspark.llm.common import cut, fresh, join_counted, row_key, text_bytes
 from quillspark.llm.graph import components
+from quillspark.llm.overlap import set_links
 
 PAIR_CELL = 32
 LOW_BITS = 0x5555555555555555
@@ -107,9 +108,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row of its smallest doc_id stays (of ties, the smallest row key)."""
-    found = near_duplicates(docs)
+def similar_groups(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates whose components are also joined by texts that share percent of their five-word shingles (Jaccard)."""
+    found = cut(near_duplicates(docs))
+    sets, links = set_links(docs, percent)
+    node = sets.groupBy("row").agg(F.first("node").alias("node"))
+    rows = cut(found.join(node, "row"))
+    # texts of one 2-bit component are linked to its smallest node; a null component_id names its fingerprint's own
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    same = rows.groupBy(group.alias("g")).agg(F.min("node").alias("first"))
+    near = rows.select(group.alias("g"), F.col("node").alias("b")).distinct()
+    near = near.join(same, near["g"].eqNullSafe(same["g"])).select(F.col("first").alias("a"), "b")
+    roots = components(links.unionByName(near))
+    nodes = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return nodes.drop("component_id").join(named, "root").select("doc_id", "row", F.col("root").alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame, percent: int | None = None) -> DataFrame:
+    """docs without near-duplicates: of each component the row of its smallest doc_id stays (of ties, the smallest row key).
+
+    With percent, texts of that Jaccard similarity over five words are near-duplicates too.
+    """
+    found = near_duplicates(docs) if percent is None else similar_groups(docs, percent)
     first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     own = fresh(docs, "stay_row")

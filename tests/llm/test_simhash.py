@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+import corpus_pipeline
 from quillspark.llm import graph, simhash
 from tests.llm.conftest import corpus
 
@@ -95,3 +96,44 @@ def test_long_text():
         assert simhash.simhash(text.encode()) == a
     finally:
         simhash.CHUNK = old
+
+
+def test_similar_texts_of_many_bits(spark):
+    """Links by five-word Jaccard similarity of 0.8 equal those of all pairs, in crowds and chains too."""
+    import itertools
+    import random
+
+    from quillspark.llm import overlap
+
+    rng = random.Random(3)
+    texts, words = [], [f"v{i}" for i in range(5000)]
+    for size, copies in ((60, 4), (200, 70), (400, 6), (1500, 3)):
+        base = [rng.choice(words) for _ in range(size)]
+        for i in range(copies):
+            now = list(base)
+            for _ in range(i % 7 * size // 150):
+                now[rng.randrange(size)] = rng.choice(words)
+            texts.append(" ".join(now))
+            if size == 400:
+                base = now
+    texts += [f"{texts[0]} {x}" for x in words[:3]] + ["one two", "One  two", "one", "", None]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    every = [set(overlap.shingles((t or "").encode()).tolist()) for t in texts]
+    prints = [brute_print(t) for t in texts]
+    root, far = list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        alike, bits = 10 * len(every[i] & every[j]) >= 8 * len(every[i] | every[j]), (prints[i] ^ prints[j]).bit_count()
+        far += alike and bits > 2
+        if alike or bits <= 2:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {find(i) for i in range(len(rows))}
+    assert far > 100 and {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == want
+    assert simhash.keep_one(docs).count() > len(want)
