@@ -32,16 +32,23 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 #: Alternatives in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,16}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])\+[0-9]{1,3}\x20?\([0-9]{1,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[\x20-][0-9]{2,4}){2,4}(?![0-9])|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])",
+    "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9])|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]))",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
-    "card": r"(?<![\w.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]|\.[0-9])",
+    "card": r"(?<![\w.-])[0-9](?:[\x20-]?[0-9]){12,60}(?![\w-]|\.[0-9])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Card numbers as they are written.
+CARD_SHAPES = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-][0-9]{3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})$"
+#: Lengths of IBANs by country; those of other countries may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS",
+    23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "AL AZ CY DO HU LB PL", 29: "BR QA", 30: "KW MU", 31: "MT",
+}
 #: Every pattern needs one of these; most texts have none.
 HINT = r"@|[0-9]{2}|[0-9][./-]"
 
@@ -188,9 +195,9 @@ def valid(match: Column, kind: str) -> Column:
     if kind == "ip":
         return whole & F.forall(F.split(match, r"\."), lambda x: x.cast("int") < 256)
     if kind == "card":
-        return whole & let(digits(match), lambda d: (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"))
+        return whole & let(digits(match), lambda d: (F.length(d) <= 19) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"))
     if kind == "iban":
-        return whole & (iban_rest(F.replace(match, F.lit(" "), F.lit(""))) == 1)
+        return whole & let(F.replace(match, F.lit(" "), F.lit("")), lambda c: (F.length(c) <= 35) & (iban_rest(c) == 1))
     if kind == "ssn":
         return whole & match.rlike("^(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     if kind == "date":
@@ -206,6 +213,49 @@ def kind_of(match: Column) -> Column:
     return out
 
 
+def usual(match: Column, kind: Column) -> Column:
+    """The match is written as its kind is: a card number in a known shape, an IBAN as long as its country's."""
+    size, country = F.length(F.replace(match, F.lit(" "), F.lit(""))), F.substr(match, F.lit(1), F.lit(2))
+    known = F.create_map(*(F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)))
+    return F.when(kind == "card", match.rlike(CARD_SHAPES)).when(kind == "iban", F.coalesce(F.element_at(known, country) == size, F.lit(True))).otherwise(kind.isNotNull())
+
+
+def split_match(match: Column) -> Column:
+    """kind, match of the parts of a run of numbers, in order: what validates between its separators, longest first, and the rest."""
+    part = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("match"))
+    empty = F.struct(F.lit(0).alias("skip"), F.slice(F.array(part), 1, 0).alias("out"))
+
+    def run(words: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            lead = F.regexp_extract(F.get(words, i), r"^[\x20-]?", 0)
+            longest = F.sequence(F.least(F.lit(10), F.size(words) - i), F.lit(1), F.lit(-1))
+            text = lambda n: F.regexp_replace(F.array_join(F.slice(words, i + 1, n), ""), r"^[\x20-]", "")
+            spans = F.transform(longest, lambda n: F.struct(n.alias("n"), text(n).alias("match")))
+            spans = F.filter(spans, lambda x: (F.length(x["match"]) >= 10) & (F.length(x["match"]) <= 45))
+            spans = F.transform(spans, lambda x: F.struct(x["n"].alias("n"), kind_of(x["match"]).alias("kind"), x["match"].alias("match")))
+            first = F.get(F.filter(spans, lambda x: usual(x["match"], x["kind"])), F.lit(0))
+            gap = lambda m: F.struct(F.lit(None).cast("string").alias("kind"), m.alias("match"))
+            found = lambda x: F.struct((x["n"] - 1).alias("skip"), F.concat(s["out"], F.array(gap(lead), F.struct(x["kind"].alias("kind"), x["match"].alias("match")))).alias("out"))
+            none = F.struct(F.lit(0).alias("skip"), F.concat(s["out"], F.array(gap(F.get(words, i)))).alias("out"))
+            later = F.struct((s["skip"] - 1).alias("skip"), s["out"].alias("out"))
+            return F.when(s["skip"] > 0, later).otherwise(let(first, lambda x: F.when(x["n"].isNotNull(), found(x)).otherwise(none)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), empty, step, lambda s: s["out"])
+
+    return let(F.regexp_extract_all(match, F.lit(r"[\x20-]?[A-Z0-9]+"), F.lit(0)), run)
+
+
+def parts_of(match: Column) -> Column:
+    """kind, match of the parts that make up a match: one where it validates as a whole."""
+
+    def choose(x: Column) -> Column:
+        whole = F.array(F.struct(x["kind"].alias("kind"), x["match"].alias("match")))
+        parts = let(split_match(x["match"]), lambda p: F.when(F.exists(p, lambda y: y["kind"].isNotNull()), p).otherwise(whole))
+        return F.when(usual(x["match"], x["kind"]) | ~x["match"].rlike(r"^[A-Z0-9]+(?:[\x20-][A-Z0-9]+)+$"), whole).otherwise(parts)
+
+    return let(F.struct(kind_of(match).alias("kind"), match.alias("match")), choose)
+
+
 def pseudonym(match: Column, kind: Column, key: str, back: bool = False) -> Column:
     make = {"email": new_email, "iban": new_iban, "phone": new_phone, "ssn": new_ssn, "date": new_date, "ip": new_ip, "card": new_card}
     out = match
@@ -218,13 +268,13 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, back: bool
     """docs with text rewritten, and a column (named by into) of the matches: kind, match, pseudonym. back turns pseudonyms back."""
     old, own = F.col(text), fresh(docs, "pii_found")
     found = F.when(old.rlike(HINT), F.regexp_extract_all(old, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform(own, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
-    named = F.transform(own, lambda x: F.struct(x["kind"].alias("kind"), x["match"].alias("match"), F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym")))
+    kinds = F.transform(own, parts_of)
+    named = F.transform(own, lambda m: F.transform(m, lambda x: F.struct(x["kind"].alias("kind"), x["match"].alias("match"), F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym"))))
     rows = docs.withColumn(own, found).withColumn(own, kinds).withColumn(own, named)
     gaps = F.split(old, ANY, -1)
-    pieces = F.zip_with(gaps, F.concat(F.transform(own, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, p))
+    pieces = F.zip_with(gaps, F.concat(F.transform(own, lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), "")), F.array(F.lit(""))), lambda g, p: F.concat(g, p))
     new = F.when(F.size(own) > 0, F.array_join(pieces, "")).otherwise(old)
-    return rows.withColumn(text, new).withColumn(into, F.filter(own, lambda x: x["kind"].isNotNull())).drop(own)
+    return rows.withColumn(text, new).withColumn(into, F.filter(F.flatten(own), lambda x: x["kind"].isNotNull())).drop(own)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -121,3 +121,26 @@ def test_native_and_empty(none):
     assert df.count() == 0
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+NEIGHBOURS = [
+    ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+    ("4111111111111111 12/26", ["4111111111111111"]),
+    ("order 12 4111 1111 1111 1111.", ["4111 1111 1111 1111"]),
+    ("12 34 4111 1111 1111 1111 123 99", ["4111 1111 1111 1111"]),
+    ("4111111111111111 2024-01-05", ["4111111111111111", "2024-01-05"]),
+    ("BE68 5390 0754 7034 EUR", ["BE68 5390 0754 7034"]),
+    ("BE68 5390 0754 7034 4111 1111 1111 1111", ["BE68 5390 0754 7034", "4111 1111 1111 1111"]),
+    ("at 2024-01-05T10:00:00Z", ["2024-01-05"]),
+    ("4111 1111 1111 1112 123", []),
+]
+
+
+def test_numbers_beside_others(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in NEIGHBOURS)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    for i, (text, want) in enumerate(NEIGHBOURS):
+        assert [x.match for x in rows[i].pii] == want, text
+        for x in rows[i].pii:
+            text = text.replace(x.match, x.pseudonym)
+        assert rows[i].text == text and not any(x in rows[i].text for x in want)
