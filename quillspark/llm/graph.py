@@ -17,6 +17,7 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
 
     Each round is two aggregations and two joins; the edges never leave the executors, and a hub's
     neighbours are never gathered. Self-loops and repeats are dropped; no edges give no rows.
+    Edges that still change after `most` rounds are an error.
     """
     edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = _stamp(edges)
@@ -32,4 +33,6 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         before, stamp = stamp, _stamp(edges)
         if stamp == before:
             break
+    else:
+        raise RuntimeError(f"components: the edges still change after {most} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -137,3 +138,9 @@ def test_similar_texts_of_many_bits(spark):
     want = {find(i) for i in range(len(rows))}
     assert far > 100 and {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == want
     assert simhash.keep_one(docs).count() > len(want)
+
+
+def test_too_few_rounds(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        graph.components(path, most=1)
