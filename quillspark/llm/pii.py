@@ -4,7 +4,9 @@ A match that validates (a check sum, a calendar, a range) is permuted within its
 format by a keyed Feistel network over its symbols: card numbers stay card numbers
 with a right check digit, dates stay dates, separators stay where they are. The
 permutation depends on the key, the kind and the length alone, so equal values get
-equal pseudonyms in all documents, and who holds the key can turn them back.
+equal pseudonyms in all documents, different values get different ones, and who
+holds the key can turn them back. A slash date that reads as day/month is permuted
+among all days, one that only reads as month/day among those that only read so.
 
 The network splits the symbols into two halves; each round adds to one half, symbol
 by symbol and modulo the symbol's own radix, a stream made by SHA-256 from the key,
@@ -12,8 +14,8 @@ the round and the other half. All of it is column expressions.
 
 Defined results: a null text stays null and has no matches; what does not validate
 stays as it is; repeated rows get equal results; an empty table gives an empty
-table; other columns stay as they are. Dates from 1800 to 2199 are permuted among
-themselves.
+table; other columns stay as they are, also one named as the report would be (the
+report then gets an underscore). Dates from 1800 to 2199 are permuted among themselves.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from quillspark.llm.columns import chars, let
 from quillspark.llm.common import fresh
 
 ROUNDS = 10
-KEY = "change this key"
+#: The key of op7, whose results anybody may check. It hides nothing: pass a secret key of your own to pseudonymise.
+DEMO_KEY = "demonstration"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
-#: Alternatives in the order in which they are tried at a place.
+#: Alternatives in the order in which they are tried at a place. Repeats of a group are bounded or possessive: Java's matcher recurses
+#: once a repeat on others, and a long domain would overflow its stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,16}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])\+[0-9]{1,3}\x20?\([0-9]{1,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[\x20-][0-9]{2,4}){2,4}(?![0-9])|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
@@ -153,12 +157,12 @@ def new_ssn(match: Column, key: str, back: bool) -> Column:
     area = F.substr(match, F.lit(1), F.lit(3)).cast("int")
     values = [F.when(area > 666, area - 2).otherwise(area - 1), F.substr(match, F.lit(5), F.lit(2)).cast("int") - 1, F.substr(match, F.lit(8), F.lit(4)).cast("int") - 1]
     pad = lambda n, width: F.lpad(n.cast("string"), width, "0")
-    return numbers(values, [898, 99, 9999], "ssn", key, back, lambda v: F.concat_ws("-", pad(F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
+    return numbers(values, [998, 99, 9999], "ssn", key, back, lambda v: F.concat_ws("-", pad(F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
 
 
 #: Year, month and day of a date, and how to spell it.
 DATES = (("^....-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy"))
-FIRST_DAY, DAY_RADICES = "1800-01-01", [189, 773]  # 400 Gregorian years have 189 * 773 days
+FIRST_DAY, DAY_RADICES, LATE_RADICES = "1800-01-01", [189, 773], [9, 9833]  # days of 400 Gregorian years, and those after a month's twelfth
 
 
 def parsed(match: Column) -> list[tuple[Column, str]]:
@@ -166,10 +170,33 @@ def parsed(match: Column) -> list[tuple[Column, str]]:
     return [(F.when(match.rlike(sign), F.try_to_date(match, form)), form) for sign, form in DATES]
 
 
+def days_before(months: Column) -> Column:
+    """How many of the days after a month's twelfth lie before the month that comes so many after the first."""
+    return F.datediff(F.add_months(F.lit(FIRST_DAY).cast("date"), months), F.lit(FIRST_DAY).cast("date")) - 12 * months
+
+
+def late_day_number(day: Column) -> Column:
+    """The number of a day after its month's twelfth among all such days."""
+    months = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    return days_before(months) + F.dayofmonth(day) - 13
+
+
+def late_day(number: Column) -> Column:
+    """The day of a late_day_number. A month has 88497 / 4800 of them on average, and no month's first strays from that by a whole month."""
+    guess = F.floor(number * 4800 / 88497).cast("int")
+    near = F.filter(F.array(*(F.greatest(F.lit(0), F.least(F.lit(4799), guess + i)) for i in (1, 0, -1))), lambda m: days_before(m) <= number)
+    return let(F.get(near, F.lit(0)), lambda m: F.date_add(F.add_months(F.lit(FIRST_DAY).cast("date"), m), number - days_before(m) + 12))
+
+
 def new_date(match: Column, key: str, back: bool) -> Column:
     def one(day: Column, form: str) -> Column:
-        n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        return numbers([(n / DAY_RADICES[1]).cast("int"), n % DAY_RADICES[1]], DAY_RADICES, "date", key, back, lambda v: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), v[0] * DAY_RADICES[1] + v[1]), form))
+        # of slash dates, those that are read by the second format are those whose day is no month
+        alone = form == "MM/dd/yyyy"
+        (first, second), kind = (LATE_RADICES, "late date") if alone else (DAY_RADICES, "date")
+        n = late_day_number(day) if alone else F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+        place = lambda v: v[0] * second + v[1]
+        turn = lambda v: late_day(place(v)) if alone else F.date_add(F.lit(FIRST_DAY).cast("date"), place(v))
+        return let(n, lambda x: numbers([(x / second).cast("int"), x % second], [first, second], kind, key, back, lambda v: F.date_format(turn(v), form)))
 
     out = F.lit(None).cast("string")
     for day, form in reversed(parsed(match)):
@@ -251,7 +278,7 @@ def parts_of(match: Column) -> Column:
     def choose(x: Column) -> Column:
         whole = F.array(F.struct(x["kind"].alias("kind"), x["match"].alias("match")))
         parts = let(split_match(x["match"]), lambda p: F.when(F.exists(p, lambda y: y["kind"].isNotNull()), p).otherwise(whole))
-        return F.when(usual(x["match"], x["kind"]) | ~x["match"].rlike(r"^[A-Z0-9]+(?:[\x20-][A-Z0-9]+)+$"), whole).otherwise(parts)
+        return F.when(usual(x["match"], x["kind"]) | ~x["match"].rlike(r"^[A-Z0-9]+(?:[\x20-][A-Z0-9]+)++$"), whole).otherwise(parts)
 
     return let(F.struct(kind_of(match).alias("kind"), match.alias("match")), choose)
 
@@ -264,9 +291,10 @@ def pseudonym(match: Column, kind: Column, key: str, back: bool = False) -> Colu
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False, into: str = "pii") -> DataFrame:
-    """docs with text rewritten, and a column (named by into) of the matches: kind, match, pseudonym. back turns pseudonyms back."""
-    old, own = F.col(text), fresh(docs, "pii_found")
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False, into: str = "pii") -> DataFrame:
+    """docs with text rewritten, and a new column (named by into) of the matches: kind, match, pseudonym. back turns pseudonyms back."""
+    into = fresh(docs, into)
+    old, own = F.col(text), fresh(docs.withColumn(into, F.lit(0)), "pii_found")
     found = F.when(old.rlike(HINT), F.regexp_extract_all(old, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(own, parts_of)
     named = F.transform(own, lambda m: F.transform(m, lambda x: F.struct(x["kind"].alias("kind"), x["match"].alias("match"), F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym"))))
@@ -278,6 +306,6 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, back: bool
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    rows = pseudonymise(docs.select("doc_id", "text"))
+    rows = pseudonymise(docs.select("doc_id", "text"), DEMO_KEY)
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_pii"), *map(count, KINDS), F.array_join(F.transform("pii", lambda x: F.concat_ws(":", x["kind"], x["pseudonym"])), "\n").alias("pseudonyms"))
