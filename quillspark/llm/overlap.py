@@ -1,17 +1,20 @@
 """All pairs of texts whose sets of word shingles have a Jaccard similarity of at least a bound.
 
 A prefix-filtered set join: shingles have one order over all texts, and two sets of similarity s or more
-share a shingle among the first n - ceil(s * n) + 1 of each. The order puts shingles that are common in a
-sample last, so few texts meet by them; it is the same for all texts, hence no pair is lost whatever the
-sample holds. Pairs that meet are verified on their whole sets.
-
-Equal sets are one node. Of a group that meets by one shingle, first the pairs with its smallest node are
-verified, then all pairs whose ends those links leave apart: the links span the same components as all pairs.
+share a shingle among the first n - ceil(s * n) + 1 of each; sizes, and the places of the first that they
+share, bound what they can share in all. The order puts shingles that are common in a sample last, so few
+texts meet by them; it is the same for all texts, hence no pair is lost whatever the sample holds. Pairs
+that meet are verified on their whole sets.
+
+Equal texts are one node. Of a group that meets by one shingle, first the pairs with its smallest node are
+verified, then those pairs of like size whose ends the links leave apart: the links span the same components
+as all pairs.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +47,21 @@ def least_shared(percent: int, n: int) -> int:
 
 
 def sets(text: Column, percent: int, shingle: int, last: np.ndarray | None = None) -> Column:
-    """node (a name of the set), size, and the prefix's shingles."""
+    """size, and the prefix's shingles in order."""
     common = np.empty(0, "<u8") if last is None else last
 
-    @F.arrow_udf("struct<node:bigint,size:int,prefix:array<bigint>>")
+    @F.arrow_udf("struct<size:int,prefix:array<bigint>>")
     def find(texts: pa.Array) -> pa.Array:
-        nodes, sizes, firsts = [], [], []
+        sizes, firsts = [], []
         for x in texts:
             own = shingles(x.as_py(), shingle)
-            nodes.append(xxh64_intdigest(own.tobytes(), 11))
             sizes.append(len(own))
             late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
             rest = np.concatenate([own[~late], own[late]])
             firsts.append(rest[: len(own) - least_shared(percent, len(own)) + 1 if len(own) else 0].view("<i8"))
         ends = np.cumsum([0, *map(len, firsts)]).astype("i4")
         prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*firsts, np.empty(0, "<i8")])))
-        return pa.StructArray.from_arrays([pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(sizes, pa.int32()), prefix], ["node", "size", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), prefix], ["size", "prefix"])
 
     return find(text_bytes(text))
 
@@ -96,33 +98,33 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """(row, node) of all rows, and links (a, b) of nodes that span the components of all similar pairs."""
-    named = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    found = named.select("row", sets(F.col("text"), percent, shingle, common_shingles(docs, text, shingle)).alias("s"))
-    rows = cut(found.select("row", "s.node", "s.size", "s.prefix"))
-    nodes = rows.select("node", "size", "prefix").dropDuplicates(["node"])
+    node = F.xxhash64(text_bytes(F.col(text)))
+    rows = cut(docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), node.alias("node")))
+    found = docs.select(node.alias("node"), sets(F.col(text), percent, shingle, common_shingles(docs, text, shingle)).alias("s"))
+    nodes = found.select("node", "s.size", "s.prefix").dropDuplicates(["node"])
     group = Window.partitionBy("token")
-    placed = nodes.select("node", "size", F.explode("prefix").alias("token"))
-    met = cut(placed.select("*", F.count("*").over(group).alias("n"), F.min(F.struct("node", "size")).over(group).alias("first")).where("n > 1"))
-    sized = f"100 * least(x, y) >= {percent} * greatest(x, y)"
+    placed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    met = cut(placed.select("*", F.count("*").over(group).alias("n"), F.min(F.struct("node", "size", "at")).over(group).alias("first")).where("n > 1"))
+    # sizes x and y; the first shingle that two sets share is at i and j of their orders
+    fits = f"100 * least(x, y) >= {percent} * greatest(x, y) and {100 + percent} * least(x - i, y - j) >= {percent} * (x + y)"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # what two sets share lies in both prefixes or behind the one that ends first
-        first = [nodes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}")) for x in "ab"]
-        shared = "size(array_intersect(p_a, p_b)) + greatest(n_a - size(p_a), n_b - size(p_b))"
-        pairs = cut(pairs.join(first[0], "a").join(first[1], "b").where(f"{100 + percent} * ({shared}) >= {percent} * (n_a + n_b)").select("a", "b"))
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(ends, "node"))
         few = chosen.count() <= BROADCAST_NODES
-        whole = cut(named.join(F.broadcast(chosen) if few else chosen, "row").dropDuplicates(["node"]).select("node", whole_set(F.col("text"), shingle).alias("items")))
+        own = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
+        whole = cut(own.join(F.broadcast(chosen) if few else chosen, "row").select("node", whole_set(F.col("text"), shingle).alias("items")).dropDuplicates(["node"]))
         left, right = (whole.select(F.col("node").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
         return cut(pairs.join(left, "a").join(right, "b").where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
-    stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y")
-    stars = cut(stars.where(sized).select("a", "b").distinct())
+    stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y", "first.at as i", "at as j")
+    stars = cut(stars.where(fits).select("a", "b").distinct())
     links = verified(stars)
-    roots = components(links)
-    wide = met.where("n > 2").join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("root"))
-    side = lambda n, s, r: wide.select("token", F.col("node").alias(n), F.col("size").alias(s), F.col("root").alias(r))
-    others = side("a", "x", "p").join(side("b", "y", "q"), "token").where("a < b and p != q").where(sized).select("a", "b").distinct()
-    others = cut(others.join(stars, ["a", "b"], "left_anti"))
-    return rows.select("row", "node"), links if others.isEmpty() else links.unionByName(verified(others))
+    wide = met.where("n > 2").join(components(links), "node", "left").select("token", "node", "size", "at", F.coalesce("root", "node").alias("root"))
+    # a pair's larger size is in the smaller one's class or the next
+    kind = F.floor(F.log("size") / log(100 / percent * (1 + 1e-9))).cast("int")
+    small = wide.select("token", F.explode(F.array(kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"))
+    large = wide.select("token", kind.alias("kind"), F.col("node").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"))
+    others = small.join(large, ["token", "kind"]).where("p != q and (x < y or x = y and a < b)").where(fits).select("a", "b").distinct()
+    others = cut(others.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    return rows, links if others.isEmpty() else links.unionByName(verified(others))
