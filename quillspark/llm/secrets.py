@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 Three patterns find assignments, access keys and long hex strings. Beyond them,
-every long token is scored by the mean log-likelihood ratio of its character pairs
-under a model of random strings and one of ordinary identifiers. The models are
-trained from labelled tokens: by default what the patterns found in all documents
-and `RANDOM_SAMPLES` generated random strings are random, and all other words of 8 to 19
-characters in all documents (too short to be scored) are ordinary, each distinct
-token once. A pair's chance falls back on its second character's.
+every token of `TOKEN_CHARS` characters or more is scored by the mean log-likelihood
+ratio of its character pairs under a model of random strings and one of ordinary
+identifiers; the ratio alone decides. The models are trained from labelled samples,
+of bounded size: `RANDOM_SAMPLES` generated strings over the alphabets that secrets
+are written in, and as ordinary identifiers one character repeated, of each kind, and the distinct words of 8 to 19 characters
+(too short to be scored) of about `TRAINING_DOCS` documents, those by their hash, that
+no pattern takes. A pair's chance falls back on its second character's. A model that
+has been fitted once can be given to any number of scans.
 
 All of it is DataFrame expressions. Spans count code points, end exclusive.
 
@@ -31,40 +33,72 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
+TOKEN_CHARS = 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"  # TOKEN_CHARS; no shorter run can hold an access key or a hex string
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])"
 SIZE = len(ALPHABET) + 1
-RANDOM_SAMPLES = 2000
+RANDOM_SAMPLES, RANDOM_CHARS, FILLER_CHARS = 8_000, 32, 16
+#: Documents whose words train the model of ordinary identifiers; tables with fewer are used whole.
+TRAINING_DOCS = 20_000
+HEX_DIGITS, LETTERS = "0123456789abcdef", ALPHABET[:52]
+RANDOM_ALPHABETS = (HEX_DIGITS, HEX_DIGITS.upper(), ALPHABET[:64], ALPHABET[:62] + "-_", ALPHABET[:62], ALPHABET[:26] + "0123456789", ALPHABET[26:52] + "0123456789", LETTERS)
 #: Mean log-likelihood ratio a pair (natural logarithm) from which a token counts as random.
 LEAST_RATIO = 0.5
 
 NO_SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """kind to spans; match holds the secret."""
+def long_tokens(text: Column) -> Column:
+    return matches(text, TOKEN)
+
+
+def base_spans(text: Column, tokens: Column) -> dict[str, Column]:
+    """kind to spans; match holds the secret. tokens: the text's long_tokens, wherein access keys and hex strings lie."""
+
+    def inside(pattern: str) -> Column:
+        moved = lambda t: F.transform(matches(t["match"], pattern), lambda x: F.struct((t["start"] + x["start"]).alias("start"), (t["start"] + x["end"]).alias("end"), x["match"].alias("match")))
+        return F.when(F.exists(tokens, lambda t: t["match"].rlike(pattern)), F.flatten(F.transform(tokens, moved))).otherwise(F.array().cast(NO_SPANS))
+
     return {
         "assign": F.filter(matches(text, ASSIGN, 2), lambda x: F.length(x["match"]) >= ASSIGN_CHARS),
-        "access": F.when(F.contains(text, F.lit("AKIA")), F.filter(matches(text, ACCESS), lambda x: F.length(x["match"]) >= ACCESS_CHARS)).otherwise(F.array().cast(NO_SPANS)),
+        "access": F.filter(inside(ACCESS), lambda x: F.length(x["match"]) >= ACCESS_CHARS),
         # a run of hex characters is one match, so asking for its length at once finds the same
-        "hex": matches(text, r"(?<![0-9a-f])" + HEX.replace("+", f"{{{HEX_CHARS},}}")),
+        "hex": inside(r"(?<![0-9a-f])" + HEX.replace("+", f"{{{HEX_CHARS},}}")),
     }
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
-    """Generated samples of random strings: hex in either case, and base 64."""
+    """Generated samples of random strings, label 1."""
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    return spark.range(n).select(F.element_at(F.array(digest, F.upper(digest), F.translate(F.base64(F.unhex(digest)), "=", ""), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), (F.col("id") % 4 + 1).cast("int")).alias("token"), F.lit(1).alias("label"))
+    byte = lambda h, i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    alphabet = F.element_at(F.array(*map(F.lit, RANDOM_ALPHABETS)), (F.col("id") % len(RANDOM_ALPHABETS) + 1).cast("int"))
+    spelled = F.transform(F.sequence(F.lit(0), F.lit(RANDOM_CHARS - 1)), lambda i: F.substr(F.col("alphabet"), byte(F.col("digest"), i) % F.length("alphabet") + 1, F.lit(1)))
+    return spark.range(n).select(digest.alias("digest"), alphabet.alias("alphabet")).select(F.array_join(spelled, "").alias("token"), F.lit(1).alias("label"))
+
+
+def fillers(spark: SparkSession) -> DataFrame:
+    """Samples of rules and placeholders, one character again and again, label 0."""
+    return spark.range(len(ALPHABET)).select(F.repeat(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit(FILLER_CHARS)).alias("token"), F.lit(0).alias("label"))
+
+
+def sampled(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
+    """About most rows, chosen by a hash of their id and text; all where there are no more."""
+    n = docs.count()
+    return docs if n <= most else docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 40)) < int((1 << 40) * most / n))
+
+
+def labelled_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAINING_DOCS) -> DataFrame:
+    """token, label (1 random): the words of about most documents, each distinct one once, fillers, and the generated random strings."""
+    rows = sampled(docs, doc_id, text, most).select(F.col(text).alias("text"), long_tokens(F.col(text)).alias("tokens"))
+    known = F.transform(F.flatten(F.array(*base_spans(F.col("text"), F.col("tokens")).values())), lambda x: x["match"])
+    words = rows.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), known)).alias("token")).distinct()
+    return words.withColumn("label", F.lit(0)).unionByName(fillers(docs.sparkSession)).unionByName(random_strings(docs.sparkSession))
 
 
-def labelled_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """token, label (1 random) from all documents, each distinct token once, with the generated random strings."""
-    spans = base_spans(F.col(text))
-    known = docs.select(F.explode(F.flatten(F.array(*spans.values()))).alias("s")).select(F.col("s.match").alias("token")).distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("token")).distinct()
-    ordinary = words.join(known, "token", "left_anti")
-    return known.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0))).unionByName(random_strings(docs.sparkSession))
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAINING_DOCS) -> list[float]:
+    """A model for scan; its size does not depend on the input's."""
+    return train(labelled_tokens(docs, doc_id, text, most))
 
 
 def place(char: Column) -> Column:
@@ -107,14 +141,15 @@ def tag(kind: str, order: int) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: list[float] | None = None) -> DataFrame:
-    """doc_id and spans: start, kind, end, match, in order; kinds assign, access, hex, model."""
-    model = train(labelled_tokens(docs, text)) if model is None else model
+    """doc_id and spans: start, kind, end, match, in order; kinds assign, access, hex, model. model: as from fit, else fitted to docs."""
+    model = fit(docs, doc_id, text) if model is None else model
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", *(v.alias(k) for k, v in base_spans(F.col("text")).items()), matches(F.col("text"), TOKEN).alias("tokens"))
+    rows = rows.select("doc_id", "text", long_tokens(F.col("text")).alias("tokens"))
+    rows = rows.select("doc_id", "tokens", *(v.alias(k) for k, v in base_spans(F.col("text"), F.col("tokens")).items()))
     # access keys and hex strings lie wholly inside a token, so the token's own text tells; only assignments need their places
     told = lambda t: t["match"].rlike(f"AKIA[A-Z0-9]{{{ACCESS_CHARS - 4},}}|[0-9a-f]{{{HEX_CHARS},}}")
     free = F.filter("tokens", lambda t: ~told(t) & ~F.exists("assign", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    odd = F.filter(free, lambda t: t["match"].rlike("[0-9]") & t["match"].rlike("[A-Za-z]") & (ratio(t["match"], model) >= LEAST_RATIO))
+    odd = F.filter(free, lambda t: ratio(t["match"], model) >= LEAST_RATIO)
     rows = rows.withColumn("model", F.when(F.size("tokens") > 0, odd).otherwise(F.array().cast(NO_SPANS)))
     tagged = [tag(kind, i) for i, kind in enumerate(("assign", "access", "hex", "model"))]
     return rows.select("doc_id", F.array_sort(F.concat(*tagged)).alias("spans"))

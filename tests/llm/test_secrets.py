@@ -72,6 +72,81 @@ def test_ratio_and_training(spark):
     assert all(abs(r.r - want(r.t)) < 1e-4 for r in got)
 
 
+def slow_model(tokens):
+    """A function of a token: its mean log-likelihood ratio."""
+    code = lambda t: [0, *(secrets.ALPHABET.find(c) + 1 for c in t), 0]
+    counts = {label: Counter((a, b) for t, x in tokens if x == label for a, b in zip(code(t), code(t)[1:])) for label in (0, 1)}
+    rows = {label: Counter() for label in (0, 1)}
+    columns_ = {label: Counter() for label in (0, 1)}
+    for label in (0, 1):
+        for (a, b), n in counts[label].items():
+            rows[label][a] += n
+            columns_[label][b] += n
+
+    def chance(label, a, b):
+        single = (columns_[label][b] + 0.5) / (counts[label].total() + 0.5 * secrets.SIZE)
+        return (counts[label][a, b] + 8 * single) / (rows[label][a] + 8)
+
+    return lambda t: sum(math.log(chance(1, a, b) / chance(0, a, b)) for a, b in zip(code(t), code(t)[1:])) / (len(t) + 1)
+
+
+def test_all_spans_against_python(spark):
+    """Model spans too: the same labelled samples, counted and scored one by one."""
+    rng = random.Random(4)
+    odd = lambda: "".join(rng.choice(rng.choice(secrets.RANDOM_ALPHABETS)) for _ in range(rng.randint(18, 50)))
+    rows = [*table(spark), *((1000 + i, " ".join([odd(), "plain_identifier_of_the_text", "x=" + odd(), "https://site.example/some/path/of-words", "-" * 30])) for i in range(40))]
+    ordinary, random_ = set(), [r.token for r in secrets.random_strings(spark).collect()]
+    for _, text in rows:
+        text = text or ""
+        known = {m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 6} | {m[0] for m in re.finditer(r"AKIA[A-Z0-9]+|[0-9a-f]+", text)}
+        ordinary |= {w for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])", text)} - {w for w in known if len(w) >= 20 or any(m[2] == w for m in ASSIGN.finditer(text))}
+    score = slow_model([*((t, 0) for t in ordinary), *((r.token, 0) for r in secrets.fillers(spark).collect()), *((t, 1) for t in random_)])
+    got = {r.doc_id: r.spans for r in secrets.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = 0
+    for i, text in rows:
+        base = [x.split(":") for x in brute(text).split(",") if x]
+        spans = [(int(a), k, int(b)) for k, a, b in base]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
+            if len(m[0]) >= 20 and not any(a < m.end() and m.start() < b for a, _, b in spans if _ != "model"):
+                r = score(m[0])
+                assert abs(r - secrets.LEAST_RATIO) > 1e-5
+                if r >= secrets.LEAST_RATIO:
+                    spans.append((m.start(), "model", m.end()))
+                    n += 1
+        order = ["assign", "access", "hex", "model"]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda x: (x[0], order.index(x[1])))), text and text[:100]
+    assert n > 20
+
+
+def test_a_given_model_decides_alone(spark):
+    """A document's spans don't depend on its neighbours once a model is fitted."""
+    rows = spark.createDataFrame(table(spark), "doc_id long, text string")
+    model = secrets.fit(rows)
+    one = rows.where("doc_id = 7")
+    assert secrets.scan(one, model=model).collect() == secrets.scan(rows, model=model).where("doc_id = 7").collect()
+
+
+def test_recall_by_alphabet(spark):
+    """Random strings of each kind, letters alone and digits mixed, against words run together, paths and rules."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    words = "the quick brown fox jumps over lazy dog configuration manager handler request response timeout service index table column value number string default maximum".split()
+    train = [("".join(rng.choice([w, w.title(), w + "_", w + "-"]) for w in rng.sample(words, 2)), 0) for _ in range(3000)]
+    model = secrets.train(spark.createDataFrame(train, "token string, label int").unionByName(secrets.fillers(spark)).unionByName(secrets.random_strings(spark)))
+    made = [("".join(rng.choice(alphabet) for _ in range(n)), alphabet) for alphabet in secrets.RANDOM_ALPHABETS for n in (20, 28, 40) for _ in range(60)]
+    plain = ["".join(rng.choice([w, w.title()]) for w in rng.sample(words, 4)) for _ in range(300)] + ["/".join(rng.sample(words, 4)) for _ in range(100)] + ["-" * 40, "=" * 60, "_" * 25]
+    rows = spark.createDataFrame([*made, *((t, "") for t in plain)], "token string, kind string").select("kind", (secrets.ratio(F.col("token"), model) >= secrets.LEAST_RATIO).alias("hit")).collect()
+    for kind in secrets.RANDOM_ALPHABETS:
+        assert sum(r.hit for r in rows if r.kind == kind) >= 0.95 * sum(r.kind == kind for r in rows), kind
+    assert sum(r.hit for r in rows if not r.kind) <= 0.02 * len(plain)
+
+
+def test_long_texts_end(spark):
+    texts = ["a" * 500_000, "AKIA" * 100_000, "token" * 100_000, "token=" * 50_000, "password" + " " * 300_000, "0f" * 200_000, "-" * 300_000, "é" * 200_000]
+    assert {r.doc_id for r in secrets.op6(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == set(range(8))
+
+
 def test_held_out_accuracy(spark):
     """Random strings against ordinary identifiers that the training has not seen."""
     rng = random.Random(9)
