@@ -4,7 +4,7 @@ A prefix-filtered set join: shingles have one order over all texts, and two sets
 share a shingle among the first n - ceil(s * n) + 1 of each; sizes, and the places of the first that they
 share, bound what they can share in all. The order puts shingles that are common in a sample last, so few
 texts meet by them; it is the same for all texts, hence no pair is lost whatever the sample holds. Pairs
-that meet are verified on their whole sets.
+that meet are tested by what two rows of counts can share at most, and then verified on their whole sets.
 
 Equal texts are one node. Of a group that meets by one shingle, first the pairs with its smallest node are
 verified, then those pairs of like size whose ends the links leave apart: the links span the same components
@@ -27,8 +27,10 @@ from quillspark.llm.graph import components
 
 #: Texts in the sample of shingles, least count there and number of those that come last: they bear on the speed only.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 50_000
+#: Counts in a set's sketch; more tell more of longer texts apart. It bears on the speed only.
+COUNTS = 256
 #: Names of texts to verify (24 bytes each) that are broadcast; above, the texts are shuffled.
-BROADCAST_NODES = 100_000
+BROADCAST_NODES = 1_000_000
 
 
 def shingles(data: bytes, shingle: int = 5) -> np.ndarray:
@@ -74,6 +76,29 @@ def whole_set(text: Column, shingle: int) -> Column:
     return find(text_bytes(text))
 
 
+def sketch(text: Column, shingle: int) -> Column:
+    """How many shingles fall to each of COUNTS classes, a byte each; 255 stands for more, too."""
+
+    @F.arrow_udf("binary")
+    def find(texts: pa.Array) -> pa.Array:
+        counts = (np.bincount(shingles(x.as_py(), shingle) % np.uint64(COUNTS), minlength=COUNTS) for x in texts)
+        return pa.array([np.minimum(c, 255).astype("u1").tobytes() for c in counts], pa.binary())
+
+    return find(text_bytes(text))
+
+
+def most_shared(a: Column, b: Column) -> Column:
+    """How many shingles two sets can share by their sketches; null if they don't tell."""
+
+    @F.arrow_udf("int")
+    def bound(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = ((np.frombuffer(x.as_py(), "u1"), np.frombuffer(y.as_py(), "u1")) for x, y in zip(left, right, strict=True))
+        least = (np.minimum(x, y) for x, y in rows)
+        return pa.array([None if (m == 255).any() else int(m.sum(dtype=np.int64)) for m in least], pa.int32())
+
+    return bound(a, b)
+
+
 def similar(a: Column, b: Column, percent: int) -> Column:
     @F.arrow_udf("boolean")
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -109,22 +134,27 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     fits = f"100 * least(x, y) >= {percent} * greatest(x, y) and {100 + percent} * least(x - i, y - j) >= {percent} * (x + y)"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(ends, "node"))
+        """The pairs (a, b, their sizes x, y) that are similar."""
+        ends = lambda: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        side = lambda df, c, name: df.select(F.col("node").alias(name), F.col(c).alias(f"of_{name}"))
+        rough = docs.select(node.alias("node"), sketch(F.col(text), shingle).alias("counts")).join(ends(), "node").dropDuplicates(["node"])
+        met_ = pairs.join(side(rough, "counts", "a"), "a").join(side(rough, "counts", "b"), "b").withColumn("most", most_shared(F.col("of_a"), F.col("of_b")))
+        pairs = cut(met_.where(f"most is null or {100 + percent} * most >= {percent} * (x + y)").select("a", "b"))
+        chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(ends(), "node"))
         few = chosen.count() <= BROADCAST_NODES
         own = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-        whole = cut(own.join(F.broadcast(chosen) if few else chosen, "row").select("node", whole_set(F.col("text"), shingle).alias("items")).dropDuplicates(["node"]))
-        left, right = (whole.select(F.col("node").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
-        return cut(pairs.join(left, "a").join(right, "b").where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
+        whole = own.join(F.broadcast(chosen) if few else chosen, "row").select("node", whole_set(F.col("text"), shingle).alias("items")).dropDuplicates(["node"])
+        return cut(pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b").where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
     stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y", "first.at as i", "at as j")
-    stars = cut(stars.where(fits).select("a", "b").distinct())
+    stars = cut(stars.where(fits).select("a", "b", "x", "y").distinct())
     links = verified(stars)
     wide = met.where("n > 2").join(components(links), "node", "left").select("token", "node", "size", "at", F.coalesce("root", "node").alias("root"))
     # a pair's larger size is in the smaller one's class or the next
     kind = F.floor(F.log("size") / log(100 / percent * (1 + 1e-9))).cast("int")
     small = wide.select("token", F.explode(F.array(kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"))
     large = wide.select("token", kind.alias("kind"), F.col("node").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"))
-    others = small.join(large, ["token", "kind"]).where("p != q and (x < y or x = y and a < b)").where(fits).select("a", "b").distinct()
-    others = cut(others.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    others = small.join(large, ["token", "kind"]).where("p != q and (x < y or x = y and a < b)").where(fits).select("a", "b", "x", "y").distinct()
+    known = stars.select("a", "b").union(stars.select("b", "a"))
+    others = cut(others.join(known, ["a", "b"], "left_anti"))
     return rows, links if others.isEmpty() else links.unionByName(verified(others))

@@ -32,6 +32,8 @@ from quillspark.llm.graph import components
 from quillspark.llm.overlap import set_links
 
 PAIR_CELL = 32
+#: Names of rows (17 bytes each) that are broadcast; above, the texts are shuffled.
+BROADCAST_ROWS = 500_000
 LOW_BITS = 0x5555555555555555
 CHUNK = 1 << 16
 
@@ -133,10 +135,15 @@ def keep_one(docs: DataFrame, percent: int | None = None) -> DataFrame:
     found = near_duplicates(docs) if percent is None else similar_groups(docs, percent)
     first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    own = fresh(docs, "stay_row")
-    stay = found.groupBy(group.alias("g")).agg(F.min(first).alias(own)).select(own)
-    kept = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
-    return kept.join(stay, own).dropDuplicates([own]).drop(own)
+    stay = found.groupBy(group.alias("g")).agg(F.min(first).alias("row")).select("row")
+    # what happens to a row that neither stays alone nor is plain: False, it goes; True, it is one of several that agree in all
+    counts = found.groupBy("row").agg((F.count("*") > 1).alias("again"))
+    told = counts.join(stay.withColumn("stays", F.lit(True)), "row", "left").where("stays is null or again").select("row", (F.col("stays").isNotNull()).alias("stays"))
+    own, stays = fresh(docs, "stay_row"), fresh(docs, "stay_told")
+    told = cut(told.select(F.col("row").alias(own), F.col("stays").alias(stays)))
+    rows = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))
+    rows = rows.join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, own, "left")
+    return rows.where(F.col(stays).isNull()).unionByName(rows.where(F.col(stays)).dropDuplicates([own])).drop(own, stays)
 
 
 def op9(docs: DataFrame) -> DataFrame:
