@@ -41,17 +41,22 @@ def rerank(hits: DataFrame, queries: DataFrame, top_k: int = V.TOP_CANDIDATES, w
         T.contains_any(F.col("text"), F.col("identifiers")).alias("identified"),
         T.contains_any(F.col("text"), F.filter("attributes", lambda a: F.length(a) > 0)).alias("matched"),
     )
+    # the cut comes first: of each document only top_k texts are carried on
+    place = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(F.desc("strength"), "chunk_id"))
+    kept = lambda c: F.when(F.col("place") <= top_k, F.col(c))
+    rows = rows.withColumn("place", place).withColumn("text", kept("text"))
     gate = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)).cast("int"))
     by_doc = rows.groupBy("query_id", "document_id", "document_name").agg(
         F.coalesce(F.max("ns"), F.lit(0.0)).alias("ns"), F.coalesce(F.max("nk"), F.lit(0.0)).alias("nk"),
         F.max("semantic").alias("semantic_score"), F.min("keyword").alias("keyword_score"),
         gate("typed").alias("document_type_boost"), gate("identified").alias("exact_identifier_boost"), gate("matched").alias("profile_attribute_boost"),
         F.array_sort(F.collect_set("term")).alias("matched_terms"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("order"), "chunk_id", "text"))), 1, top_k), lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["text"].alias("text"))).alias("evidence"),
+        F.array_sort(F.collect_list(F.when(F.col("place") <= top_k, F.struct("place", "chunk_id", "text")))).alias("evidence"),
     )
     score = (
         weights["semantic"] * F.col("ns") + weights["keyword"] * F.col("nk") + weights["document_type"] * F.col("document_type_boost")
         + weights["identifier"] * F.col("exact_identifier_boost") + weights["attribute"] * F.col("profile_attribute_boost")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "document_id")
+    by_doc = by_doc.withColumn("evidence", F.transform("evidence", lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["text"].alias("text"))))
     return by_doc.withColumn("final_score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -13,6 +13,8 @@ from quillspark.functions import vectors as X
 
 #: Rows of a query table up to which it is broadcast to the corpus; a larger one is scored in pieces.
 BROADCAST_QUERIES = 2_000
+#: Words (some 40 bytes each) up to which their table is broadcast.
+BROADCAST_WORDS = 200_000
 
 
 def _query_parts(queries: DataFrame, key: str) -> list[DataFrame]:
@@ -51,6 +53,25 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, T.tokens(F.col(text)).alias("toks"), T.n_tokens(F.col(text)).alias("dl"))
 
 
+def _places(corpus: DataFrame, asked: DataFrame, key: str, longest: int, few: bool) -> DataFrame:
+    """key, dl, word and (from two words on) run: the places of the first words asked for, each with the words from there on.
+
+    Only rows with a phrase's first word can hold it: an equality join on words, not a scan per phrase. Few phrases' words
+    go into the expression, so no other place leaves its row; many are met by a join that drops the rest before any shuffle
+    carries a run.
+    """
+    first = asked.select("word").distinct()
+    known = [r["word"] for r in first.collect()] if few else None
+    wanted = (lambda w: w.isin(known)) if few else lambda w: F.lit(True)
+    run = lambda i: F.slice("toks", i + 1, F.lit(longest))
+    if longest < 2:
+        places = corpus.select(key, "dl", F.explode(F.filter("toks", wanted)).alias("word"))
+    else:
+        at = F.array_compact(F.transform("toks", lambda w, i: F.when(wanted(w), i)))
+        places = corpus.select(key, "dl", F.explode(F.transform(at, lambda i: F.struct(F.get("toks", i).alias("word"), run(i).alias("run")))).alias("r")).select(key, "dl", "r.word", "r.run")
+    return places if few else places.join(F.broadcast(first) if first.count() <= BROADCAST_WORDS else first, "word", "left_semi")
+
+
 def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, rank, key, bm25 (negative, less is better) of the k best rows that have every phrase of the query.
 
@@ -58,23 +79,20 @@ def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", wit
     within: keys that may be found; the statistics stay those of the whole corpus. A query without phrases finds nothing.
     """
     stats = corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = phrases.where(F.size("words") > 0).select("query_id", "phrase_no", "words")
+    asked = phrases.where(F.size("words") > 0).select("query_id", "phrase_no", "words", F.get("words", F.lit(0)).alias("word"))
     longest, n = asked.agg(F.coalesce(F.max(F.size("words")), F.lit(0)), F.count("*")).first()
-    # only rows with a phrase's first word can hold it: an equality join on words, not a scan per phrase;
-    # a place carries as many words as the longest phrase has
-    asked_ = asked.withColumn("word", F.get("words", F.lit(0)))
-    runs = F.transform("toks", lambda w, i: F.struct(w.alias("word"), F.slice("toks", i + 1, F.lit(longest)).alias("run")))
-    exploded = corpus.select(key, "dl", F.explode("toks").alias("word")) if longest < 2 else corpus.select(key, "dl", F.explode(runs).alias("r")).select(key, "dl", "r.word", "r.run")
-    places = exploded.join(F.broadcast(asked_) if n <= BROADCAST_QUERIES else asked_, "word")
+    few = n <= BROADCAST_QUERIES
+    small = F.broadcast if few else lambda df: df
+    places = _places(corpus, asked, key, longest, few).join(small(asked), "word")
     places = places if longest < 2 else places.where(F.slice("run", F.lit(1), F.size("words")) == F.col("words"))
     held = places.groupBy("query_id", "phrase_no", key, "dl").agg(F.count("*").alias("f"))
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_phrases"))
     df = held.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
-    rows = held.join(F.broadcast(df), ["query_id", "phrase_no"]).join(F.broadcast(stats))
+    rows = held.join(small(df), ["query_id", "phrase_no"]).join(F.broadcast(stats))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy("query_id", key).agg((-F.sum(part)).alias("bm25"), F.count("*").alias("has")).join(F.broadcast(wanted), "query_id").where("has = n_phrases")
+    scored = rows.groupBy("query_id", key).agg((-F.sum(part)).alias("bm25"), F.count("*").alias("has")).join(small(wanted), "query_id").where("has = n_phrases")
     if within is not None:
         scored = scored.join(within.select(key).distinct(), key, "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), key)  # sums of equal parts may differ in their last bits
@@ -82,7 +100,7 @@ def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", wit
 
 
 #: Bare words with implicit AND; an underscore makes a phrase; anything else is a syntax error in the query language.
-BARE_TERM = r"(?U)^\s*(?:[\w\u0080-\uffff]+\s*)+$"
+BARE_TERM = r"(?U)^(?=\s*[\w\u0080-\uffff])[\w\u0080-\uffff\s]+$"
 
 
 def term_phrases(terms: DataFrame, quote: bool = False) -> DataFrame:
@@ -109,10 +127,15 @@ def best_term(corpus: DataFrame, terms: DataFrame, k: int, key: str = "doc_id",
 def off_corpus(questions: DataFrame, evidence: DataFrame, least: float | None = None) -> DataFrame:
     """query_id, n_words, grounding, off_corpus. questions: query_id, text. evidence: query_id, text of each chunk found."""
     least = T.V.LEAST_GROUNDING if least is None else least
-    stems = evidence.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(T.all_stems(F.col("text"))))).alias("stems"), F.count("*").alias("n_chunks"))
-    rows = questions.select("query_id", T.content_words(F.col("text")).alias("words")).join(stems, "query_id", "left")
-    stems_, n = F.coalesce("stems", F.array().cast("array<string>")), F.coalesce("n_chunks", F.lit(0))
-    return rows.select("query_id", F.size("words").alias("n_words"), T.grounding(F.col("words"), stems_).alias("grounding"), T.off_corpus(F.col("words"), stems_, n, least).alias("off_corpus"))
+    words = questions.select("query_id", T.content_words(F.col("text")).alias("words"))
+    asked = F.broadcast(words) if words.count() <= BROADCAST_QUERIES else words
+    # of each chunk only the question's own words leave the row, so nothing grows with the evidence's text
+    said = evidence.select("query_id", T.all_stems(F.col("text")).alias("stems")).join(asked, "query_id").select("query_id", F.array_intersect("words", "stems").alias("said"))
+    met = said.select("query_id", F.explode("said").alias("word")).distinct().groupBy("query_id").agg(F.count("*").alias("n_met"))
+    chunks = evidence.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
+    rows = words.join(met, "query_id", "left").join(chunks, "query_id", "left")
+    n, grounding = F.size("words"), F.when(F.size("words") > 0, F.coalesce("n_met", F.lit(0)) / F.size("words"))
+    return rows.select("query_id", n.alias("n_words"), grounding.alias("grounding"), F.coalesce((F.col("n_chunks") > 0) & (grounding < least), F.lit(False)).alias("off_corpus"))
 
 
 def evaluate(ranked: DataFrame, expected: DataFrame, key: str, ks: tuple[int, ...] = (1, 3)) -> DataFrame:

@@ -308,3 +308,30 @@ def test_streaming(spark, tmp_path):
     counts = landing.counted(landing.landing(spark, str(tmp_path / "in"), schema), "ts", "10 minutes", "1 minute")
     counts.writeStream.format("memory").queryName("n").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert [r.n for r in spark.table("n").collect()] == [2]
+
+
+def test_long_texts_end(spark):
+    """Patterns over groups run as loops: long numbers, dotted leaders and terms of many words don't overflow the matcher's stack."""
+    long = "1" + ".1" * 100_000
+    texts = [long + " Scope of it\nbody", long + "\n1 SCOPE\nx", "1 SCOPE" + "." * 200_000 + " 7", "1.1 " * 50_000, "Indian Standard\nX\n" + long + " Title"]
+    pages_ = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "document_id string, page_number int, text string")
+    assert {(r.document_id, len(r.section or "")) for r in chunking.sections(pages_).collect()} >= {("0", len(long)), ("1", 1)}
+    assert chunking.scopes(pages_).count() == 1 and chunking.features(pages_).count() >= 2
+    assert {r.document_id: r.title for r in chunking.metadata(pages_).collect()}["4"] == "X"
+    terms = spark.createDataFrame([("q", 0, "ab " * 60_000), ("q", 1, "ab " * 60_000 + "!")], "query_id string, term_pos int, term string")
+    assert search.term_phrases(terms).count() == 60_000
+
+
+@pytest.mark.parametrize("bound", [0, 2_000])
+def test_many_phrases_as_few(spark, monkeypatch, bound):
+    """Beyond the bound of a broadcast the same rows come by joins."""
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", bound)
+    monkeypatch.setattr(search, "BROADCAST_WORDS", bound)
+    docs = spark.createDataFrame([(1, "red pump, red valve"), (2, "a pump red"), (3, "valve"), (4, None)], "doc_id long, text string")
+    phrases = spark.createDataFrame([("a", 0, ["red"]), ("a", 1, ["pump"]), ("b", 0, ["red", "valve"]), ("c", 0, ["none"]), ("d", 0, [])], "query_id string, phrase_no int, words array<string>")
+    rows = search.bm25(search.tokenised(docs), phrases, 5).collect()
+    assert {(r.query_id, r.doc_id) for r in rows} == {("a", 1), ("a", 2), ("b", 1)}
+    asked = spark.createDataFrame([("q", "pumps of valve"), ("r", "of the"), ("s", "boats")], "query_id string, text string")
+    found = spark.createDataFrame([("q", "Pump"), ("q", "pump pumps"), ("s", "cars")], "query_id string, text string")
+    got = {r.query_id: (r.n_words, r.grounding, r.off_corpus) for r in search.off_corpus(asked, found).collect()}
+    assert got == {"q": (2, 0.5, False), "r": (0, None, False), "s": (1, 0.0, True)}
