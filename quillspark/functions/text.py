@@ -210,10 +210,7 @@ def is_safe_rephrase(new: Column, old: Column) -> Column:
 
 def language_instruction(language: Column, names: Mapping[str, str] = V.LANGUAGE_NAMES) -> Column:
     name = F.coalesce(*(F.when(language == k, F.lit(v)) for k, v in names.items()), language)
-    return F.concat(
-        F.lit("RESPONSE LANGUAGE: Answer in "), name, F.lit(" ("), language,
-        F.lit("). This instruction governs the language of your reply only — it does not change which evidence is authoritative. Keep BIS-specific terms, standard numbers, and clause references accurate; you may keep a technical term in its original form if translating it would reduce clarity."),
-    )
+    return F.concat(F.lit(V.LANGUAGE_LINE[0]), name, F.lit(" ("), language, F.lit(V.LANGUAGE_LINE[1]))
 
 
 @cache
@@ -225,8 +222,8 @@ def _folding() -> tuple[str, str]:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.lower(F.translate(text, *_folding()))
+    """Lower case without diacritics; a text of one byte a character has none."""
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, *_folding())))
 
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"

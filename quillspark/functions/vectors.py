@@ -16,6 +16,12 @@ def squared_norm(a: Column) -> Column:
     return F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def unit(a: Column) -> Column:
+    """Brought to length one; null for a zero vector."""
+    both = F.array(F.struct(a.alias("v"), F.sqrt(squared_norm(a)).alias("norm")))  # the vector and its length once a row, not once an element
+    return F.get(F.transform(both, lambda s: F.when(s["norm"] > 0, F.transform(s["v"], lambda x: x / s["norm"]))), F.lit(0))
+
+
 def cosine(a: Column, b: Column, a_norm: Column | None = None, b_norm: Column | None = None) -> Column:
     """norms: squared, where they are at hand. A zero vector has no cosine."""
     scale = (squared_norm(a) if a_norm is None else a_norm) * (squared_norm(b) if b_norm is None else b_norm)

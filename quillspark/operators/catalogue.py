@@ -35,6 +35,16 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, order: str,
     return parents.join(lists, key, "left").withColumn(name, F.coalesce(F.col(name), F.array()))
 
 
+def bridged(left: DataFrame, links: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """Rows of both sides of a many-to-many link, each pair once; a link to a missing row gives nothing."""
+    return left.join(links.distinct(), F.expr(left_on)).join(right, F.expr(right_on))
+
+
+def users_of(tokens: DataFrame, sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """tokens with their session and its user; a token without a session, or whose user is gone, drops out."""
+    return tokens.join(sessions, "token").join(users, "user_id")
+
+
 def with_count(parents: DataFrame, children: DataFrame, key: str, name: str = "n") -> DataFrame:
     return parents.join(children.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 

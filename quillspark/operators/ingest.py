@@ -47,6 +47,16 @@ def replaced(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def appended(table: DataFrame, new: DataFrame) -> DataFrame:
+    """The table with the new rows; as a stored table, new.write.mode("append")."""
+    return table.unionByName(new)
+
+
+def reindexed(table: DataFrame, new: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """The table with the rows of completed documents (documents: key, status) replaced; those of others stay as they are."""
+    return replaced(table, new.join(documents.where("status = 'completed'").select(key), key, "left_semi"), key)
+
+
 def emptied(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the rows of the keys."""
     return table.join(keys.select(key).distinct(), key, "left_anti")

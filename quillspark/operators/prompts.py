@@ -7,16 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import fixed_values as V
 from quillspark.functions import text as T
 
-# fixed values
-PROFILE_LABELS = {
-    "product_name": "Product name", "product_category": "Category", "product_type": "Type", "intended_use": "Intended use", "target_market": "Target market",
-    "manufacturing_location": "Manufacturing location", "electrical_characteristics": "Electrical characteristics", "capacity": "Capacity",
-    "materials": "Materials", "technology": "Technology", "application": "Application",
-}
-
-
 def lines(items: Column, spell) -> Column:
     return F.array_join(F.transform(items, spell), "\n")
 
@@ -26,23 +19,27 @@ def numbered_lines(items: Column, spell) -> Column:
 
 
 def profile_summary(profile: Mapping[str, Column]) -> Column:
-    known = F.array_compact(F.array(*(F.when(F.length(profile[f]) > 0, F.concat(F.lit(f"- {label}: "), profile[f])) for f, label in PROFILE_LABELS.items())))
-    return F.when(F.size(known) == 0, F.lit("PRODUCT PROFILE: (nothing established yet)")).otherwise(F.concat(F.lit("PRODUCT PROFILE (known so far):\n"), F.array_join(known, "\n")))
+    known = F.array_compact(F.array(*(F.when(F.length(profile[f]) > 0, F.concat(F.lit(f"- {label}: "), profile[f])) for f, label in V.PROMPT_LABELS.items())))
+    return F.when(F.size(known) == 0, F.lit(V.PROFILE_NONE)).otherwise(F.concat(F.lit(V.PROFILE_HEAD + "\n"), F.array_join(known, "\n")))
 
 
 def questions_block(questions: Column) -> Column:
     """questions: an array of structs with question."""
-    none = F.lit("CLARIFICATION QUESTIONS: (none — enough is known to proceed to candidate standards)")
-    return F.when(F.size(questions) == 0, none).otherwise(F.concat(F.lit("CLARIFICATION QUESTIONS TO ASK THE USER:\n"), numbered_lines(questions, lambda q: q["question"])))
+    asked = F.concat(F.lit(V.QUESTIONS_HEAD + "\n"), numbered_lines(questions, lambda q: q["question"]))
+    return F.when(F.size(questions) == 0, F.lit(V.QUESTIONS_NONE)).otherwise(asked)
 
 
 def checklist_block(items: Column) -> Column:
     """items: an array of structs with category, title, status, regulatory_status, description; null: not assembled."""
-    one = lambda x: F.concat(F.lit("- ["), x["category"], F.lit("] "), x["title"], F.lit(" — STATUS: "), x["status"], F.lit(", REGULATORY STATUS: "), x["regulatory_status"], F.lit("\n  "), x["description"])
+
+    def one(x: Column) -> Column:
+        head = F.concat(F.lit("- ["), x["category"], F.lit("] "), x["title"])
+        return F.concat(head, F.lit(" — STATUS: "), x["status"], F.lit(", REGULATORY STATUS: "), x["regulatory_status"], F.lit("\n  "), x["description"])
+
     return (
-        F.when(items.isNull(), F.lit("REQUIREMENTS CHECKLIST: (not yet assembled — more clarification is needed first)"))
-        .when(F.size(items) == 0, F.lit("REQUIREMENTS CHECKLIST: assembled, but no evidence-backed requirements were found in the retrieved documents for this product yet."))
-        .otherwise(F.concat(F.lit("REQUIREMENTS CHECKLIST:\n"), lines(items, one)))
+        F.when(items.isNull(), F.lit(V.CHECKLIST_OPEN))
+        .when(F.size(items) == 0, F.lit(V.CHECKLIST_NONE))
+        .otherwise(F.concat(F.lit(V.CHECKLIST_HEAD + "\n"), lines(items, one)))
     )
 
 
@@ -50,12 +47,13 @@ def structured_answer(questions: Column, candidates: Column, requirements: Colum
     """An answer without any model's prose. candidates: document_name, status, reason. requirements: category, title, status."""
     asked, found, needed = F.size(questions) > 0, F.size(candidates) > 0, F.size(requirements) > 0
     part = lambda on, head, body: F.when(on, F.concat(F.lit(head + "\n"), body))
-    none = F.when(~found & ~asked, F.lit("I don't have enough retrieved evidence yet to identify a candidate standard for this product. Please provide more product details or ensure relevant documents are indexed."))
+    candidate = lambda c: F.concat(F.lit("- "), c["document_name"], F.lit(": "), T.label(c["status"]), F.lit(" — "), c["reason"])
+    requirement = lambda r: F.concat(F.lit("- ["), T.label(r["category"]), F.lit("] "), r["title"], F.lit(" ("), T.label(r["status"]), F.lit(")"))
     return F.concat_ws(
         "\n\n",
-        part(asked, "To help identify relevant requirements, could you clarify:", numbered_lines(questions, lambda q: q["question"])),
-        part(found, "Based on retrieved evidence so far:", lines(candidates, lambda c: F.concat(F.lit("- "), c["document_name"], F.lit(": "), T.label(c["status"]), F.lit(" — "), c["reason"]))),
-        none,
-        part(needed, "Potential requirements identified from retrieved evidence:", lines(requirements, lambda r: F.concat(F.lit("- ["), T.label(r["category"]), F.lit("] "), r["title"], F.lit(" ("), T.label(r["status"]), F.lit(")")))),
-        F.when(needed, F.lit("Mandatory/regulatory status could not be determined from available evidence for any of the above.")),
+        part(asked, V.ANSWER_QUESTIONS, numbered_lines(questions, lambda q: q["question"])),
+        part(found, V.ANSWER_CANDIDATES, lines(candidates, candidate)),
+        F.when(~found & ~asked, F.lit(V.ANSWER_NONE)),
+        part(needed, V.ANSWER_REQUIREMENTS, lines(requirements, requirement)),
+        F.when(needed, F.lit(V.ANSWER_STATUS)),
     )

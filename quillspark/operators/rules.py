@@ -97,11 +97,9 @@ def applicability(evidence_text: Column, document_name: Column, category: Column
     low = F.lower(evidence_text)
     said = lambda c: F.coalesce((F.length(c) > 0) & F.contains(low, F.lower(c)), F.lit(False))
     result = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.alias("reason"))
-    unknown = result("NEEDS_CLARIFICATION", F.lit("Product category is not yet known, so applicability cannot be assessed."))
-    likely = result("POTENTIALLY_APPLICABLE", F.concat(F.lit("Retrieved evidence from "), document_name, F.lit(
-        " references the stated product category/type, but no regulatory (QCO/mandatory-certification) evidence is available in this system yet to confirm mandatory applicability.")))
-    unclear = result("NEEDS_CLARIFICATION", F.concat(document_name, F.lit(
-        " was retrieved as potentially relevant, but its evidence text does not explicitly reference the stated product category/type — more information or a document review is needed.")))
+    unknown = result("NEEDS_CLARIFICATION", F.lit(V.UNKNOWN_CATEGORY))
+    likely = result("POTENTIALLY_APPLICABLE", F.concat(F.lit(V.LIKELY_REASON[0]), document_name, F.lit(V.LIKELY_REASON[1])))
+    unclear = result("NEEDS_CLARIFICATION", F.concat(document_name, F.lit(V.UNCLEAR_REASON)))
     return F.when(F.coalesce(F.length(category), F.lit(0)) == 0, unknown).when(said(category) | said(product_type), likely).otherwise(unclear)
 
 

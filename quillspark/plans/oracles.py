@@ -108,14 +108,11 @@ _STEM = "CASE WHEN {w} LIKE '%ies' AND length({w}) >= 6 THEN {w}[:-4] || 'y' WHE
 _STOP = "[" + ", ".join(f"'{w}'" for w in V.STOPWORDS) + "]"
 _CONTENT = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: NOT list_contains({_STOP}, x) AND length(x) > 2), lambda x: {_STEM.format(w='x')}))"
 ORACLES["content_words"] = f"SELECT item_id, array_to_string(list_sort({_CONTENT}), ',') AS words FROM benchmark"
-ORACLES["off_corpus_flag"] = f"""WITH w AS (SELECT item_id AS query_id, {_CONTENT} AS words FROM benchmark),
-        e AS (SELECT doc_id % 40 AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM documents),
+ORACLES["off_corpus_flag"] = f"""WITH {_BEST}, cw AS (SELECT item_id AS query_id, {_CONTENT} AS words FROM benchmark),
+        e AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM best JOIN documents USING (doc_id)),
         s AS (SELECT query_id, list(DISTINCT {_STEM.format(w='x')}) AS stems FROM e GROUP BY ALL),
-        g AS (SELECT query_id, len(words) AS n_words, CASE WHEN len(words) > 0 THEN len(list_intersect(words, coalesce(stems, []))) / len(words) END AS grounding, stems FROM w LEFT JOIN s USING (query_id))
-        SELECT query_id, n_words, round(grounding, 6) AS grounding, coalesce(grounding < 0.5, false) AND (SELECT count(*) > 0 FROM documents d WHERE d.doc_id % 40 = g.query_id) AS off_corpus FROM g"""
-ORACLES["eval_topk_hits"] = f"""WITH {_top('SELECT vec_id, embedding FROM embeddings', 5)},
-        x AS (SELECT query_id, arg_min(vec_id, label::BIGINT * 1000000000 + vec_id) AS vec_id FROM top JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY ALL)
-        SELECT count(*) AS cases, count(*) FILTER (rank <= 1) AS top_1, count(*) FILTER (rank <= 3) AS top_3 FROM x JOIN top USING (query_id, vec_id)"""
+        g AS (SELECT query_id, len(words) AS n_words, CASE WHEN len(words) > 0 THEN len(list_intersect(words, coalesce(stems, []))) / len(words) END AS grounding FROM cw LEFT JOIN s USING (query_id))
+        SELECT query_id, n_words, round(grounding, 6) AS grounding, coalesce(grounding < 0.5, false) AND query_id IN (SELECT query_id FROM best) AS off_corpus FROM g"""
 
 _HEAD = r"[A-Z][^\n]{0,40}\."
 _SECTIONS = f"""p AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE length(trim(text, chr(9) || chr(10) || chr(13) || ' ')) > 0),

@@ -180,21 +180,13 @@ def minmax_normalise(spark, sf_dir):
 @query
 def off_corpus_flag(spark, sf_dir):
     """Whether the evidence grounds a question."""
-    items = table(spark, sf_dir, "benchmark")
-    evidence = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "text")
-    rows = search.off_corpus(items.select(F.col("item_id").alias("query_id"), "text"), evidence)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, sf_dir, "documents")
+    hits = search.best_term(search.tokenised(docs), _terms(spark, sf_dir), 20)
+    rows = search.off_corpus(items, hits.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "text"))
     return rows.select("query_id", "n_words", F.round("grounding", 6).alias("grounding"), "off_corpus")
 
 
-@query
-def eval_topk_hits(spark, sf_dir):
-    """How often the expected label's nearest vector comes first."""
-    vectors = table(spark, sf_dir, "embeddings")
-    ranked = search.vector_top_k(query_vectors(spark, sf_dir), vectors, 5)
-    expected = ranked.join(vectors.select("vec_id", "label"), "vec_id").groupBy("query_id").agg(F.min_by("vec_id", F.struct("label", "vec_id")).alias("vec_id"))
-    return search.evaluate(ranked, expected, "vec_id")
-
-
 @query
 def section_split(spark, sf_dir):
     """Sections at heading lines."""

@@ -6,8 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans.oracles import ORACLES
-from quillspark.plans.queries import QUERIES
+from __spark_entry__ import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quillspark.plans.queries import QUERIES
+from __spark_entry__ import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
@@ -34,3 +34,9 @@ def test_limits_are_top_k(spark):
 def test_no_python_runs(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert not any(x in text for x in ("EvalPython", "InPandas", "InArrow", "CartesianProduct"))
+
+
+def test_only_words_asked_for_leave_their_rows(spark):
+    """BM25 filters a row's tokens before it spreads them."""
+    text = plan(QUERIES["bm25_topk_and"](spark, SF))
+    assert "explode(filter(toks" in text and "explode(toks" not in text
