@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,14 @@ SPACES = "\t\n\x0b\x0c\r "
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's checkpoint folder.
 
-    A folder of this machine is set only where none is configured, as in tests.
+    Where none is configured, a folder of this machine serves a local session, as in tests; on a cluster that is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not jsc.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get()
 
 
@@ -28,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, as a table in the shared folder. For loops of joins: a checkpoint hands down the size that was
+    estimated for its plan, which a few rounds multiply beyond bounds; a table has the size that it has."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer splits than there are cores; such an input is small, and dealing it out is cheap."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -57,20 +70,21 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text_bytes(text)))
 
 
-#: Keys that each hold more than this share of all rows are fewer than its inverse: their table is safe to broadcast.
-HOT_SHARE = 1e-5
+#: Keys that each hold more than this share of all rows are fewer than its inverse, and those of fewer than HOT_ROWS rows are not hot anywhere.
+HOT_SHARE, HOT_ROWS = 1e-5, 1_000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members: str = "members") -> DataFrame:
-    """rows joined with counted (unique by keys, with the number of rows of each), without members.
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members: str = "members", total: int | None = None) -> DataFrame:
+    """rows joined with counted (unique by keys, with the number of rows of each), without members. total: of all rows, where it is known.
 
-    Keys with more than HOT_SHARE of all rows are at most 100,000; they are broadcast, so a hot key's rows stay where they
-    are. What is left for the shuffle has no hot key.
+    Keys with more than HOT_ROWS rows and HOT_SHARE of all are at most 100,000; they are broadcast, so a hot key's rows
+    stay where they are. What is left for the shuffle has no hot key.
     """
-    total = counted.agg(F.sum(members)).first()[0] or 0
-    hot = F.col(members) > HOT_SHARE * total
+    total = (counted.agg(F.sum(members)).first()[0] or 0) if total is None else total
+    hot = F.col(members) > max(HOT_ROWS, HOT_SHARE * total)
     extra = [c for c in counted.columns if c not in keys and c != members]
-    known = rows.join(F.broadcast(counted.where(hot).select(*keys, *extra, F.lit(True).alias("is_hot"))), keys, "left")
+    many = counted.where(hot).select(*keys, *extra)
+    known = rows.join(F.broadcast(many.withColumn("is_hot", F.lit(True))), keys, "left")
     rest = known.where("is_hot is null").drop("is_hot", *extra).join(counted.where(~hot).select(*keys, *extra), keys)
     return known.where("is_hot is not null").drop("is_hot").unionByName(rest)
 

@@ -1,24 +1,31 @@
-"""Line dedup: repeated runs of lines found by prefix doubling over line ids.
+"""Line dedup: a suffix array over line ids, by distributed prefix doubling.
 
 All documents' lines form one sequence, in the order of doc_id. A suffix starts at
-each line. Prefix doubling gives each suffix the name of its first 1, 2, 4, ...
-lines: the name of 2h lines is that of the pair of names at the suffix and h lines
-on. Names are places (of the first suffix with those lines) rather than sorted
-ranks: the suffixes of one name are one interval of the suffix array whose longest
-common prefix is at least h lines, and only equality within it is ever asked for.
-Suffixes whose name is theirs alone are in no such interval and drop out of the next
-round. Adjacent windows of `min_lines` lines that have been seen before join to a
-maximal repeated run; a line of `long_line` characters or more is a run by itself.
-Of each run the first copy stays and later ones, also overlapping ones, are deleted.
-
-All of it is DataFrame operations. Names are counted with partial aggregation, so a
-line that is everywhere costs one row a task; very common names are broadcast, by a
-share that bounds their number; and the text moves only once, for the rewrite.
+each line and ends with its document. The rank of a suffix by its first h lines is
+the number of repeated suffixes that sort before those lines; doubling ranks the
+pairs of ranks at the suffix and h lines on, so that a class of suffixes with the
+same rank is an interval of the suffix array whose longest common prefix is h lines
+at least, and a round splits it into the intervals of twice the depth within it.
+Suffixes that leave their interval alone, or have no lines left, are settled; the
+rounds go on until all are.
+
+Of an interval the suffix that comes first in the sequence stays. For every other
+one the deepest interval in which it is not the first says how long a copy starts
+there, and of what. Copies that go on from line to line are one maximal repeated run
+of `min_lines` or more; a line of `long_line` characters or more is a run by itself.
+Later copies, also overlapping ones, are deleted.
+
+All of it is DataFrame operations. Classes are counted with partial aggregation, so a
+line that is everywhere costs one row a task; very common ones are broadcast, by a
+share that bounds their number; ranks are running sums over ranges of the sorted
+pairs, with one number a range that everybody knows; the text moves only once, for
+the rewrite.
 
 Defined results: a null text stays null and has no lines; a null doc_id comes after
 all others; rows that agree in doc_id and text are one document and get the same
-result; an empty table gives an empty table; other columns stay as they are; a text
-all of whose lines go becomes empty.
+result; an empty table gives an empty table; other columns stay as they are, also one
+named as the report would be (the report then gets an underscore); a text all of whose
+lines go becomes empty. Lines are told apart by 128 bits of their SHA-256.
 """
 
 from __future__ import annotations
@@ -26,59 +33,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, fresh, join_counted, row_key
+from quillspark.llm.common import fresh, join_counted, row_key, stored
 
 MIN_LINES = 4
 LONG_LINE = 50
 
 
 def numbered_documents(docs: DataFrame, doc_id: str, text: str, long_line: int) -> DataFrame:
-    """key, first (the place of the first line among all lines), n, and by line two hashes, the second's last bit telling a long line."""
+    """key, first (the place of the first line among all lines), n, and by line its id and whether it is long."""
     lines = F.split(F.col(text), "\n", -1)
-    hashes = F.transform("lines", lambda x: F.xxhash64(x)), F.transform("lines", lambda x: F.shiftleft(F.hash(x).cast("long"), 1).bitwiseOR((F.length(x) >= long_line).cast("long")))
-    rows = docs.where(F.col(text).isNotNull()).select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).cast("long").alias("id"), lines.alias("lines"))
-    rows = rows.select("key", "id", F.size("lines").cast("long").alias("n"), hashes[0].alias("a"), hashes[1].alias("b")).dropDuplicates(["key"])
-    order = F.col("id").asc_nulls_last(), F.col("key")
-    parts = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    before = parts.groupBy("part").agg(F.sum("n").alias("all")).select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    told = F.transform("lines", lambda x: F.struct(F.substring(F.unhex(F.sha2(x, 256)), 1, 16).alias("id"), (F.length(x) >= long_line).alias("long")))
+    rows = docs.where(F.col(text).isNotNull()).select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).cast("long").alias("doc"), lines.alias("lines"))
+    rows = rows.select("key", "doc", F.size("lines").cast("long").alias("n"), told.alias("told")).dropDuplicates(["key"])
+    order = F.col("doc").asc_nulls_last(), F.col("key")
+    parts = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     within = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return parts.join(F.broadcast(before), "part").select("key", (F.col("before") + within).alias("first"), "n", "a", "b")
-
-
-def renamed(suffixes: DataFrame, name: list[str]) -> DataFrame:
-    """suffixes (first, i, ...) that share their name with others, with the place of the first of them as name."""
-    shared = suffixes.groupBy(*name).agg(F.count("*").alias("members"), F.min(F.col("first") + F.col("i")).alias("place")).where("members > 1")
-    kept = [c for c in suffixes.columns if c not in name]
-    return cut(join_counted(suffixes, cut(shared), name).select(*kept, F.col("place").alias("name")))
-
-
-def doubled(suffixes: DataFrame, step: int) -> DataFrame:
-    """From names of h lines to names of h + step (step <= h) lines; a suffix too near its document's end has none."""
-    ahead = suffixes.select("first", (F.col("i") - step).alias("i"), F.col("name").alias("second"))
-    return renamed(suffixes.select("first", "i", "name").join(ahead, ["first", "i"]), ["name", "second"])
+    return parts.join(F.broadcast(_before(parts, "n")), "part").select("key", (F.col("before") + within).alias("first"), "n", "told")
+
+
+def _before(parts: DataFrame, value: str) -> DataFrame:
+    """part, before: the sum of the value over all parts before it; a row a part."""
+    sums = parts.groupBy("part").agg(F.sum(value).alias("all"))
+    return sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
+def ranked(pairs: DataFrame, second: str) -> DataFrame:
+    """pairs (name, second, members, ...), one row each, with rank: name and the members of the pairs of that name before this one.
+
+    The pairs are sorted by ranges, so a name that very many pairs share lies in many tasks. Of each range three numbers
+    come to the driver, as many rows as there are ranges: its members, and where its first and last name begin.
+    """
+    parts = stored(pairs.repartitionByRange("name", second).withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy("name", second).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.withColumn("sum", F.sum("members").over(order) - F.col("members")).withColumn("start", F.min("sum").over(Window.partitionBy("part", "name")))
+    ends = sums.groupBy("part").agg(F.sum("members").alias("all"), F.min(F.struct("name", "start")).alias("low"), F.max(F.struct("name", "start")).alias("high")).orderBy("part").collect()
+    begins, told, before = {}, [], 0
+    for r in ends:
+        for name, start in (r["low"], r["high"]):
+            begins.setdefault(name, before + start)
+        # a range's first name may have begun in one before it
+        told.append((r["part"], before, r["low"]["name"], begins[r["low"]["name"]]))
+        before += r["all"]
+    known = parts.sparkSession.createDataFrame(told, "part int, before long, low long, low_start long")
+    rows = sums.join(F.broadcast(known), "part")
+    start = F.when(F.col("name") == F.col("low"), F.col("low_start")).otherwise(F.col("before") + F.col("start"))
+    return rows.withColumn("rank", F.col("name") + F.col("before") + F.col("sum") - start).select(*pairs.columns, "rank")
+
+
+def classes(suffixes: DataFrame, second: str) -> DataFrame:
+    """The pairs (name, second) that several suffixes share: members, place (of the first), rank."""
+    shared = suffixes.groupBy("name", second).agg(F.count("*").alias("members"), F.min("at").alias("place")).where("members > 1")
+    return stored(ranked(shared, second))
+
+
+def deeper(suffixes: DataFrame, second: str, depth: int, total: int | None = None) -> DataFrame:
+    """Suffixes that share (name, second) with others, with their new rank as name, and of the copy that starts there how long it is and where the first one is."""
+    rows = join_counted(suffixes, classes(suffixes, second), ["name", second], total=total)
+    late = F.col("place") < F.col("at")
+    lines = F.least(F.lit(depth).cast("long"), F.col("end") - F.col("at"))
+    copied, source = F.when(late, lines).otherwise(F.col("copied")), F.when(late, F.col("place")).otherwise(F.col("source"))
+    return stored(rows.select("first", "at", "end", F.col("rank").alias("name"), copied.alias("copied"), source.alias("source"), F.lit(depth).alias("depth"), second))
+
+
+def line_copies(documents: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of lines that start a later copy: first, at, copied, source of those of min_lines or more; and first, at of all long lines."""
+    lines = documents.select("first", "n", F.posexplode("told").alias("i", "t"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    lines = lines.select("first", (F.col("first") + F.col("i")).alias("at"), (F.col("first") + F.col("n")).alias("end"), zero.alias("name"), none.alias("copied"), none.alias("source"), "t.id", F.col("t.long").alias("long"))
+    known = lines.withColumn("id", F.struct("id", "long"))  # a line is long wherever it stands
+    suffixes = deeper(known.drop("long"), "id", 1)
+    late_long = suffixes.where(F.col("copied").isNotNull() & F.col("id.long")).select("first", "at")
+    rounds, settled, depth, n = [suffixes], None, 1, suffixes.count()
+    while n:
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        depth += step
+        names = suffixes.select("at", "name") if settled is None else suffixes.select("at", "name").unionByName(settled)
+        ahead = names.select((F.col("at") - step).alias("at"), F.col("name").alias("second"))
+        own = suffixes.select("first", "at", "end", "name", "copied", "source")
+        more = own.where(F.col("at") + step < F.col("end")).join(ahead, "at")
+        # a suffix without further lines sorts before all that go on
+        pairs = stored(more.unionByName(own.where(F.col("at") + step >= F.col("end")).withColumn("second", F.lit(-1).cast("long"))))
+        found = deeper(pairs, "second", depth, n)
+        rounds.append(found)
+        ended = found.where("second < 0").select("at", "name")
+        settled = ended if settled is None else settled.unionByName(ended)
+        suffixes = found.where("second >= 0")
+        n = suffixes.count()
+    columns = "first", "at", "copied", "source", "depth"
+    every = rounds[0].select(*columns)
+    for r in rounds[1:]:
+        every = every.unionByName(r.select(*columns))
+    # a suffix is in all rounds up to where it is settled; what the last of them knows holds
+    best = every.where(F.col("copied") >= min_lines).groupBy("first", "at").agg(F.max(F.struct("depth", "copied", "source")).alias("b"))
+    return best.select("first", "at", "b.copied", "b.source"), late_long
+
+
+def by_document(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (first, at, ...) with the key of their document and i, the line's number in it."""
+    return rows.join(documents.select("key", "first"), "first").withColumn("i", F.col("at") - F.col("first")).drop("first", "at")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """key (the row_key), gone: the numbers of the lines to delete, sorted; documents that lose none are left out."""
-    documents = cut(numbered_documents(docs, doc_id, text, long_line))
-    lines = documents.select("first", F.posexplode(F.arrays_zip("a", "b")).alias("i", "id")).select("first", "i", "id.a", "id.b")
-    suffixes = renamed(lines.withColumn("long", F.col("b") % 2 != 0), ["a", "b"])
-    late = F.col("name") < F.col("first") + F.col("i")
-    gone = suffixes.where(late & F.col("long")).select("first", "i")
-    have = 1
-    while have < min_lines:
-        step = min(have, min_lines - have)
-        suffixes = doubled(suffixes, step)
-        have += step
-    runs = suffixes.where(late).select("first", F.explode(F.sequence("i", F.col("i") + min_lines - 1)).alias("i"))
-    by_doc = gone.unionByName(runs).groupBy("first").agg(F.array_sort(F.collect_set("i")).alias("gone"))
-    return documents.select("key", "first").join(by_doc, "first").select("key", "gone")
-
-
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, start, end (exclusive): the maximal runs of lines that are later copies, one row a run."""
-    rows = repeated_lines(docs, doc_id, text, **options).select("key", F.posexplode("gone").alias("nth", "line"))
-    return rows.groupBy("key", (F.col("line") - F.col("nth")).alias("island")).agg(F.min("line").alias("start"), (F.max("line") + 1).alias("end")).drop("island")
+    documents = stored(numbered_documents(docs, doc_id, text, long_line))
+    copies, late_long = line_copies(documents, min_lines)
+    rows = by_document(documents, copies.drop("source").unionByName(late_long.withColumn("copied", F.lit(1).cast("long"))))
+    rows = rows.groupBy("key", "i").agg((F.col("i") + F.max("copied")).alias("to"))
+    # each line of a run starts a copy: what those before already cover is not spread again
+    reach = F.max("to").over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    new = rows.withColumn("from", F.greatest("i", F.coalesce(reach, F.lit(0)))).where("from < to")
+    lines = new.select("key", F.explode(F.sequence("from", F.col("to") - 1)).alias("line"))
+    return lines.groupBy("key").agg(F.array_sort(F.collect_list(F.col("line").cast("int"))).alias("gone"))
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
+    """key, start, end (exclusive), source: the maximal runs that are later copies of one place, one row a run; source is the place among all lines."""
+    documents = stored(numbered_documents(docs, doc_id, text, long_line))
+    copies, _ = line_copies(documents, min_lines)
+    rows = by_document(documents, copies).withColumn("shift", F.col("source") - F.col("i"))
+    island = F.col("i") - F.row_number().over(Window.partitionBy("key", "shift").orderBy("i"))
+    found = rows.withColumn("island", island).groupBy("key", "shift", "island")
+    return found.agg(F.min("i").alias("start"), F.max(F.col("i") + F.col("copied")).alias("end"), F.min("source").alias("source")).drop("shift", "island")
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -90,7 +165,8 @@ def without(text: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "line_report", **options) -> DataFrame:
-    """docs with repeated runs deleted from text, and a column (named by into): a struct of n_lines (before) and n_removed."""
+    """docs with repeated runs deleted from text, and a new column (named by into): a struct of n_lines (before) and n_removed."""
+    into = fresh(docs, into)
     own, gone = fresh(docs, "line_own"), fresh(docs, "line_gone")
     found = repeated_lines(docs, doc_id, text, **options).select(F.col("key").alias(own), F.col("gone").alias(gone))
     rows = docs.withColumn(own, row_key(F.col(doc_id), F.col(text))).join(found, own, "left")

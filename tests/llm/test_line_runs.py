@@ -31,8 +31,8 @@ def fixture():
     rows = [r for i, r in enumerate(rows) if r[0] is not None]
     block = "\n".join(f"line {i}" for i in range(9))
     more = [
-        (2000, block), (2001, "x\n" + block + "\ny"), (2002, block + "\n" + block), (2003, "a\n" * 300), (2004, "long enough to count as a line by itself, surely"),
-        (2005, "é" * 50), (2006, "é" * 50 + "\n" + "é" * 49), (2007, "é" * 49), (2008, "\n\n\n\n\n"), (2009, "line 3\nline 4\nline 5"), (2010, "\n".join(f"n{i % 7}" for i in range(3000))),
+        (2000, block), (2001, "x\n" + block + "\ny"), (2002, block + "\n" + block), (2003, "a\n" * 70), (2004, "long enough to count as a line by itself, surely"),
+        (2005, "é" * 50), (2006, "é" * 50 + "\n" + "é" * 49), (2007, "é" * 49), (2008, "\n\n\n\n\n"), (2009, "line 3\nline 4\nline 5"), (2010, "\n".join(f"n{i % 7}" for i in range(120))),
     ]
     return rows + [(i, t, "en", "s", len(t)) for i, t in more] + [(None, block, None, None, None)]
 
@@ -41,19 +41,50 @@ def test_against_brute_force(spark, monkeypatch):
     rows = fixture()
     df = spark.createDataFrame(rows, DOCS).repartition(4)
     assert Counter(tuple(r) for r in line_runs.op5(df).collect()) == brute(rows)
-    for n, long_line in ((1, 10_000), (3, 10_000), (7, 20)):
+    for n, long_line in ((1, 10_000), (7, 20)):
         got = line_runs.dedup_lines(df, min_lines=n, long_line=long_line).select("doc_id", "line_report.*", "text")
         assert Counter(tuple(r) for r in got.collect()) == brute(rows, n, long_line)
 
 
-def test_runs_are_the_deleted_lines(spark):
-    df = spark.createDataFrame(fixture(), DOCS)
-    gone = {bytes(r.key): r.gone for r in line_runs.repeated_lines(df).collect()}
+def test_runs_are_maximal_copies(spark):
+    """Together the runs are what is deleted; each equals its source line by line, and could not be longer at its end."""
+    rows = fixture()
+    df = spark.createDataFrame(rows, DOCS)
+    gone = {bytes(r.key): set(r.gone) for r in line_runs.repeated_lines(df, long_line=10_000).collect()}
+    order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None})
+    lines = [x for _, _, t in order for x in t.split("\n")]
+    ends = [n for _, _, t in order for n in [len(t.split("\n"))]]
+    last = {}
+    at = 0
+    for n in ends:
+        last |= dict.fromkeys(range(at, at + n), at + n)
+        at += n
+    first = {bytes(r.key): r.first for r in line_runs.numbered_documents(df, "doc_id", "text", 50).collect()}
     spans = {}
     for r in line_runs.repeated_runs(df).collect():
+        a, n = first[bytes(r.key)] + r.start, r.end - r.start
+        assert n >= 4 and r.source < a and lines[a : a + n] == lines[r.source : r.source + n]
         spans.setdefault(bytes(r.key), []).append((r.start, r.end))
-    assert {k: sorted(i for a, b in v for i in range(a, b)) for k, v in spans.items()} == gone
-    assert all(b < c for v in spans.values() for (_, b), (c, _) in zip(sorted(v), sorted(v)[1:]))
+    assert {k: {i for a, b in v for i in range(a, b)} for k, v in spans.items()} == gone
+    assert max(b - a for v in spans.values() for a, b in v) > 90
+
+
+def test_ranks_sort_as_the_suffixes_do(spark):
+    """The classes of four lines are ranked as their lines are, when lines are ranked by their ids."""
+    import hashlib
+
+    texts = ["a\nb\nc\nd\ne", "b\nc\nd\ne\nf", "a\nb\nc\nd\nx", "b\nc\nd\ne\nf", "a\nb\nc\nd"]
+    docs_ = line_runs.numbered_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 50)
+    lines = docs_.select("first", "n", F.posexplode("told").alias("i", "t")).selectExpr("first", "first + i as at", "first + n as end", "0L as name", "cast(null as long) copied", "cast(null as long) source", "t.id as id")
+    one = {r.at: r.name for r in line_runs.deeper(lines, "id", 1).collect()}
+    every = [x for t in texts for x in t.split("\n")]
+    by_line = {}
+    for at, name in one.items():
+        assert by_line.setdefault(every[at], name) == name
+    ids = sorted(by_line, key=lambda x: hashlib.sha256(x.encode()).digest()[:16])
+    assert [by_line[x] for x in ids] == sorted(by_line.values())
+    counts = Counter(x for x in every if x in by_line)
+    assert [by_line[x] for x in ids] == [sum(counts[y] for y in ids[:i]) for i in range(len(ids))]
 
 
 def test_edges(odd, none, spark):
@@ -64,6 +95,23 @@ def test_edges(odd, none, spark):
     assert Counter(tuple(r) for r in line_runs.op5(same).collect()) == Counter({(1, 1, 0, "b " * 40): 2, (2, 1, 1, ""): 1})
 
 
+def test_hot_lines_go_either_way(spark, monkeypatch):
+    """Common lines and copies by broadcast or by shuffle: the same."""
+    from quillspark.llm import common
+
+    rows = fixture() + [(3000 + i, "hot line\n" * 3 + f"own {i}", "en", "s", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = brute(rows)
+    for least in (20, 10**9):
+        monkeypatch.setattr(common, "HOT_ROWS", least)
+        assert Counter(tuple(r) for r in line_runs.op5(df).collect()) == want
+
+
+def test_a_taken_name(spark):
+    row = line_runs.dedup_lines(spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, line_report int")).first()
+    assert row.line_report == 7 and row.line_report_.n_lines == 1
+
+
 def test_no_python_runs(docs):
     plan = line_runs.op5(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
