@@ -6,9 +6,9 @@ share, bound what they can share in all. The order puts shingles that are common
 texts meet by them; it is the same for all texts, hence no pair is lost whatever the sample holds. Pairs
 that meet are tested by what two rows of counts can share at most, and then verified on their whole sets.
 
-Equal texts are one node. Of a group that meets by one shingle, first the pairs with its smallest node are
-verified, then those pairs of like size whose ends the links leave apart: the links span the same components
-as all pairs.
+Equal texts are one node. First each node is verified with one partner, of the smallest nodes of its groups
+the one that it meets most often; then those pairs of like size in a group whose ends these links leave apart.
+Pairs within what is linked already are not made, and the links span the same components as all pairs.
 """
 
 from __future__ import annotations
@@ -146,15 +146,22 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
         whole = own.join(F.broadcast(chosen) if few else chosen, "row").select("node", whole_set(F.col("text"), shingle).alias("items")).dropDuplicates(["node"])
         return cut(pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b").where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
-    stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y", "first.at as i", "at as j")
-    stars = cut(stars.where(fits).select("a", "b", "x", "y").distinct())
-    links = verified(stars)
-    wide = met.where("n > 2").join(components(links), "node", "left").select("token", "node", "size", "at", F.coalesce("root", "node").alias("root"))
-    # a pair's larger size is in the smaller one's class or the next
+    stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y", "first.at as i", "at as j").where(fits)
+    # of the smallest nodes that a node meets, the one it meets most often is likely to be its group's
+    often = stars.groupBy("a", "b", "x", "y").agg(F.count("*").alias("times"))
+    tested = cut(often.groupBy("b").agg(F.max_by(F.struct("a", "x", "y"), F.struct("times", -F.col("a"))).alias("m")).select("m.a", "b", "m.x", "m.y"))
+    links = verified(tested)
+    roots = components(links)
+    named = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+    rooted = cut(named(named(met.select("token", "node", "size", "at", F.col("first.node").alias("least")), "node", "root"), "least", "least_root"))
+    # what is not linked to its group's smallest node meets the rest of the group; a pair's sizes are of the same class or of two next to each other
     kind = F.floor(F.log("size") / log(100 / percent * (1 + 1e-9))).cast("int")
-    small = wide.select("token", F.explode(F.array(kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"))
-    large = wide.select("token", kind.alias("kind"), F.col("node").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"))
-    others = small.join(large, ["token", "kind"]).where("p != q and (x < y or x = y and a < b)").where(fits).select("a", "b", "x", "y").distinct()
-    known = stars.select("a", "b").union(stars.select("b", "a"))
-    others = cut(others.join(known, ["a", "b"], "left_anti"))
+    apart = rooted.where("root != least_root")
+    one = apart.select("token", F.explode(F.array(kind - 1, kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"))
+    all_ = rooted.select("token", kind.alias("kind"), F.col("node").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"))
+    others = one.join(all_, ["token", "kind"]).where("p != q").where(fits)
+    turned = F.col("a") > F.col("b")
+    pick = lambda u, v: F.when(turned, F.col(v)).otherwise(F.col(u))
+    others = others.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("x", "y").alias("x"), pick("y", "x").alias("y")).distinct()
+    others = cut(others.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     return rows, links if others.isEmpty() else links.unionByName(verified(others))
