@@ -11,8 +11,10 @@ rounds go on until all are.
 
 Of an interval the suffix that comes first in the sequence stays. For every other
 one the deepest interval in which it is not the first says how long a copy starts
-there, and of what. Copies that go on from line to line are one maximal repeated run
-of `min_lines` or more; a line of `long_line` characters or more is a run by itself.
+there, and of what. Copies that go on from line to line, of one first source, are one
+repeated run of `min_lines` or more; where a line has an earlier source, a run of that
+source begins, and together they cover the maximal run. A line of `long_line` characters
+or more is a run by itself.
 Later copies, also overlapping ones, are deleted.
 
 All of it is DataFrame operations. Classes are counted with partial aggregation, so a
@@ -147,7 +149,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
-    """key, start, end (exclusive), source: the maximal runs that are later copies of one place, one row a run; source is the place among all lines."""
+    """key, start, end (exclusive), source: the runs that are later copies of one place, as far as that is their first, one row a run; source is the place among all lines."""
     documents = stored(numbered_documents(docs, doc_id, text, long_line))
     copies, _ = line_copies(documents, min_lines)
     rows = by_document(documents, copies).withColumn("shift", F.col("source") - F.col("i"))
