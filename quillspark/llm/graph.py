@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import join_counted, stored
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -15,21 +15,21 @@ def _stamp(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, root) for each node of edges (a, b) that is not its component's smallest node, the root.
 
-    Each round is two aggregations and two joins; the edges never leave the executors, and a hub's
-    neighbours are never gathered. Self-loops and repeats are dropped; no edges give no rows.
+    Each round is two aggregations and two joins; the edges never leave the executors, a hub's
+    neighbours are never gathered, and its edges stay where they are when they meet it. Self-loops and repeats are dropped; no edges give no rows.
     Edges that still change after `most` rounds are an error.
     """
-    edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = _stamp(edges)
     for _ in range(most):
         if not stamp[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a != b").distinct())
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")).select("a", F.least("a", "m").alias("m"), "members")
+        large = join_counted(both, low, ["a"], total=2 * stamp[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members"))
+        small = join_counted(large, low, ["a"], total=2 * stamp[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        edges = stored(small.where("a != b").distinct())
         before, stamp = stamp, _stamp(edges)
         if stamp == before:
             break

@@ -32,6 +32,8 @@ from quillspark.llm.graph import components
 from quillspark.llm.overlap import set_links
 
 PAIR_CELL = 32
+#: Fingerprints that one task spreads over their cells.
+TASK_PRINTS = 20_000
 #: Names of rows (17 bytes each) that are broadcast; above, the texts are shuffled.
 BROADCAST_ROWS = 500_000
 LOW_BITS = 0x5555555555555555
@@ -83,7 +85,9 @@ def hamming_points(fp: Column) -> Column:
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """(a, b) over distinct fingerprints (column fp) that spans the same components as all pairs within 2 bits."""
-    own = prints.select("fp")
+    n = prints.count()
+    # each fingerprint becomes some 45 rows: few a task, however few tasks the fingerprints came from
+    own = prints.select("fp").repartition(max(prints.sparkSession.sparkContext.defaultParallelism, n // TASK_PRINTS + 1))
     placed = own.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     shared = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut(join_counted(placed, shared.withColumn("members", F.col("n")), ["cell"]))
@@ -103,11 +107,11 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """One row a document: doc_id, row (its row_key), fp, component_id."""
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row"), fingerprint(F.col(text), shingle).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
     roots = components(fingerprint_links(prints))
-    nodes = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp")
+    nodes = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", "members", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "members", "component_id")
+    return join_counted(rows, named, ["fp"])
 
 
 def similar_groups(docs: DataFrame, percent: int) -> DataFrame:
