@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import HOT_SHARE, cut, fresh, join_counted, row_key
+from quillspark.llm.common import HOT_SHARE, cut, fresh, join_counted, row_key, stored
 
 #: Sources up to which their table (some 60 bytes a row) is broadcast; above, joins shuffle.
 BROADCAST_SOURCES = 20_000
@@ -66,9 +66,13 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, cap
 
 
 def balance(cells: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1e-7, most: int = 60) -> DataFrame:
-    """targets with the dual of each source that is neither empty nor at its cap (else null)."""
+    """targets with the dual of each source that is neither empty nor at its cap (else null).
+
+    The bracket halves where a Newton step leaves it, so `most` steps are far more than any target needs; duals that
+    still miss their targets then are an error.
+    """
     open_ = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-9))
-    duals = cut(
+    duals = stored(
         targets.select(
             "*",
             F.when(open_, F.lit(0.0)).alias("dual"),
@@ -98,9 +102,11 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1
         done = F.abs(miss) <= tolerance
         stepped = duals.join(sums, "skey", "left")
         new = F.when(F.col("got").isNull() | done, F.col("dual")).when(safe, newton).otherwise(inside)
-        duals = cut(stepped.select(*targets.columns, new.alias("dual"), low.alias("low"), high.alias("high"), F.when(F.col("got").isNotNull() & ~done, F.abs(miss)).alias("miss")))
+        duals = stored(stepped.select(*targets.columns, new.alias("dual"), low.alias("low"), high.alias("high"), F.when(F.col("got").isNotNull() & ~done, F.abs(miss)).alias("miss")))
         if not duals.agg(F.count("miss")).first()[0]:
             break
+    else:
+        raise RuntimeError(f"balance: targets are still missed after {most} steps")
     return duals.select(*targets.columns, "dual")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import text_bytes
+from quillspark.llm.common import fresh, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(0x41, 0x5B))
@@ -176,7 +176,8 @@ def cascade(text: Column, rules: Sequence[Rule], order: Sequence[str], features:
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None, into: str = "quality", features: Sequence[str] = ()) -> DataFrame:
-    """docs with a struct column (named by into) of the verdict and the features asked for."""
+    """docs with a new struct column (named by into, with underscores where that is taken) of the verdict and the features asked for."""
+    into = fresh(docs, into)
     rules = default_rules() if rules is None else rules
     order = cascade_order(rule_profile(docs, rules, text))
     return docs.withColumn(into, cascade(F.col(text), rules, order, features))

@@ -20,7 +20,8 @@ Equal texts are one leaf set with the smallest id; the other copies go as a whol
 Defined results: a null text has no words; a null id counts as larger than all
 others; rows with equal ids never remove from each other; a text of fewer words
 than the window loses nothing; an empty table gives an empty table; extra columns
-do not matter. Words are compared by two independent 64-bit names of a window.
+do not matter. Windows are told apart by 128 bits: a 64-bit name of the anchor's words and
+one of all words, made from the words' 64-bit hashes; the words themselves are not compared.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Of records with equal payloads of at least `REVISIT_BYTES` the one with the smal
 page_id is a response, the others are revisits that refer to it.
 
 Defined results: null html is an empty payload; a null url leaves out its header; a
-null page_id is larger than all others; repeated rows that are the smallest are all
+null page_id is larger than all others; ids may be of any type that a string can hold, and are compared as what they are; repeated rows that are the smallest are all
 responses; an empty table gives an empty archive; extra columns do not matter.
 """
 
@@ -60,7 +60,7 @@ def record_kinds(pages: DataFrame) -> DataFrame:
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """path/records: header, digest; path/payloads: digest, payload, each digest once."""
-    own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), text_bytes(F.col(html)).alias("payload"))
+    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_bytes(F.col(html)).alias("payload"))
     record_kinds(own).select(record_header().cast("binary").alias("header"), "digest").write.parquet(f"{path}/records")
     # equal payloads meet inside each task first, so a payload that very many pages share moves once a task
     own.select(F.sha2("payload", 256).alias("digest"), "payload").groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
@@ -71,16 +71,16 @@ def field(name: str) -> Column:
     return F.nullif(F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive by their headers: header, digest, page_id, url, kind, refers_to, payload_digest."""
-    page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
+def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The records of an archive by their headers: header, digest, page_id (of the type given), url, kind, refers_to, payload_digest."""
+    page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(.*)>$", 1)
     return spark.read.parquet(f"{path}/records").select(
         "header",
         "digest",
-        F.nullif(page("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"),
+        F.nullif(page("WARC-Record-ID"), F.lit("")).cast(id_type).alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         field("WARC-Type").alias("kind"),
-        F.nullif(page("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"),
+        F.nullif(page("WARC-Refers-To"), F.lit("")).cast(id_type).alias("refers_to"),
         F.regexp_extract(field("WARC-Payload-Digest"), r"^sha256:(.*)$", 1).alias("payload_digest"),
     )
 
@@ -91,10 +91,10 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/payloads").select("digest", F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload damaged: "), "digest")).cast("binary")).alias("payload"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """page_id, kind and record, the original bytes of every record."""
     body = F.when(F.col("kind") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return read_headers(spark, path).join(read_payloads(spark, path), "digest").select("page_id", "kind", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    return read_headers(spark, path, id_type).join(read_payloads(spark, path), "digest").select("page_id", "kind", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def op2(pages: DataFrame) -> DataFrame:
@@ -103,4 +103,4 @@ def op2(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(pages, path)
     stored = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    return read_headers(spark, path).join(stored, "digest").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    return read_headers(spark, path, dict(pages.dtypes)["page_id"]).join(stored, "digest").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

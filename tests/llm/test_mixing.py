@@ -1,6 +1,8 @@
 import math
 from collections import Counter, defaultdict
 
+import pytest
+
 from quillspark.llm import mixing
 from tests.llm.conftest import corpus
 
@@ -86,3 +88,11 @@ def test_edges(spark, none):
     assert sum(r.taken for r in mixing.mix(one).collect()) == 6
     kept = mixing.mixed_documents(spark.createDataFrame([(1, "a b", None, "s", None)] * 3, schema))
     assert kept.agg({"taken": "sum"}).first()[0] in (8, 10) and kept.count() == 1
+
+
+def test_too_few_steps_are_an_error(spark):
+    cells = spark.createDataFrame([("=a", 5, 3), ("=a", 9, 2)], "skey string, size long, n_cell long")
+    targets = spark.createDataFrame([("=a", 33, 5, 20.0)], "skey string, source_size long, n_docs long, target double")
+    with pytest.raises(RuntimeError, match="still missed"):
+        mixing.balance(cells, targets, 2, most=1)
+    assert mixing.balance(cells, targets, 2).first().dual is not None

@@ -57,3 +57,8 @@ def test_clean_prose_stays_and_junk_goes(spark):
     rows = [(1, clean), (2, "A!! " + "SHOUT!! ".join(f"X{chr(65 + i % 26)}{chr(65 + i % 5)} " for i in range(80))), (3, clean.replace(" ", "*** ")), (4, "no " * 200), (5, None), (6, "x " * 5_000_00)]
     got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_a_taken_name(spark):
+    row = quality.quality_filter(spark.createDataFrame([(1, "a b", 7)], "doc_id long, text string, quality int")).first()
+    assert row.quality == 7 and row.quality_.kept is False

@@ -54,3 +54,12 @@ def test_damage_is_found(spark, tmp_path):
     spark.createDataFrame([("0" * 64, bytearray(b"x"))], "digest string, payload binary").write.parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="payload damaged"):
         warc.read_payloads(spark, path).collect()
+
+
+def test_text_ids(spark, tmp_path):
+    rows = [("b/2", "http://x", "y" * 200), ("a 1", None, "y" * 200), ("ü", "http://z", None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op2(df).collect()}
+    assert got == {"a 1": ("response", None), "b/2": ("revisit", "a 1"), "ü": ("response", None)}
+    warc.write_archive(df, f"{tmp_path}/a")
+    assert {r.page_id for r in warc.read_records(spark, f"{tmp_path}/a", "string").collect()} == {"b/2", "a 1", "ü"}
