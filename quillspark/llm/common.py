@@ -71,7 +71,7 @@ def text_key(text: Column) -> Column:
 
 
 #: Keys that each hold more than this share of all rows are fewer than its inverse, and those of fewer than HOT_ROWS rows are not hot anywhere.
-HOT_SHARE, HOT_ROWS = 1e-5, 1_000
+HOT_SHARE, HOT_ROWS = 1e-5, 100
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members: str = "members", total: int | None = None) -> DataFrame:
