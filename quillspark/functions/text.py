@@ -70,7 +70,10 @@ def title(text: Column) -> Column:
     def after(ls: Column) -> Column:
         blocks = F.transform(ls, lambda x, i: F.when(x.rlike(V.TITLE_MARKER), F.slice(ls, i + 2, F.lit(V.TITLE_LINES))).otherwise(F.array().cast(NO_STRINGS)))
         start = F.struct(F.array().cast(NO_STRINGS).alias("out"), F.lit(False).alias("stop"))
-        step = lambda s, x: F.struct(F.when(s["stop"] | x.rlike(V.TITLE_END), s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"), (s["stop"] | x.rlike(V.TITLE_END)).alias("stop"))
+        step = lambda s, x: F.struct(
+            F.when(s["stop"] | x.rlike(V.TITLE_END), s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"),
+            (s["stop"] | x.rlike(V.TITLE_END)).alias("stop")
+        )
         joined = F.transform(blocks, lambda b: F.array_join(F.aggregate(b, start, step, lambda s: s["out"]), " "))
         return F.get(F.filter(joined, lambda t: t != ""), F.lit(0))
 
@@ -194,7 +197,10 @@ def short_title(text: Column, most: int = 60) -> Column:
 
 def hash_embedding(text: Column, dimension: int = 8) -> Column:
     """A deterministic stand-in for a text model: from the sum of code points."""
-    total = F.aggregate(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    total = F.aggregate(
+        F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"),
+        lambda a, x: a + x
+    )
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: ((total + i) % 100) / 100)
 
 

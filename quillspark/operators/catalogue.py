@@ -96,13 +96,21 @@ def ladder(titles_: DataFrame, queries: DataFrame, key: str, title: str) -> Data
     queries: query_id, text.
     """
     words = F.filter(F.split(F.lower(T.strip(F.col("text"))), r"(?U)\s+"), lambda w: w != "")
-    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    grams = lambda n: F.when(
+        F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
+    ).otherwise(F.array().cast("array<string>"))
     rungs = [F.array(F.array_join("w", " ")), grams(3), grams(2), F.filter("w", lambda x: F.length(x) > 2)]
-    asked = queries.select("query_id", words.alias("w")).where(F.size("w") > 0).select("query_id", F.explode(F.array(*(F.struct(F.lit(i).alias("rung"), r.alias("p")) for i, r in enumerate(rungs)))).alias("r"))
+    asked = queries.select("query_id", words.alias("w")).where(F.size("w") > 0).select(
+        "query_id", F.explode(F.array(*(F.struct(F.lit(i).alias("rung"), r.alias("p")) for i, r in enumerate(rungs)))).alias("r")
+    )
     asked = asked.select("query_id", "r.rung", F.explode("r.p").alias("phrase")).distinct()
     # a title meets a phrase on the phrase's first word, then the whole phrase is looked for
     asked = asked.withColumn("word", F.substring_index("phrase", " ", 1))
-    held = titles_.select(key, F.concat(F.lit(" "), F.array_join(F.split(F.lower(F.col(title)), r"(?U)\s+"), " "), F.lit(" ")).alias("t")).withColumn("word", F.explode(F.array_distinct(F.split(F.trim("t"), " "))))
-    found = held.join(asked, "word").where(F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))).groupBy("query_id", key).agg(F.min("rung").alias("rung"))
+    held = titles_.select(
+        key, F.concat(F.lit(" "), F.array_join(F.split(F.lower(F.col(title)), r"(?U)\s+"), " "), F.lit(" ")).alias("t")
+    ).withColumn("word", F.explode(F.array_distinct(F.split(F.trim("t"), " "))))
+    found = held.join(asked, "word").where(
+        F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    ).groupBy("query_id", key).agg(F.min("rung").alias("rung"))
     best = Window.partitionBy("query_id")
     return found.withColumn("best", F.min("rung").over(best)).where("rung = best").drop("best")

@@ -56,7 +56,10 @@ def pack(paragraphs: Column, most: int = V.CHUNK_CHARS, overlap: int = V.OVERLAP
 def chunks(pages: DataFrame, heading: str = V.HEADING_LINE, separator: str = "\n\n", most: int = V.CHUNK_CHARS, overlap: int = V.OVERLAP_CHARS) -> DataFrame:
     """document_id, chunk_index (running over a document's pages), page_number, section, text."""
     parts = sections(pages.select("document_id", "page_number", "text"), heading)
-    packed = parts.select("document_id", "page_number", "section_pos", "section", F.posexplode(pack(paragraph_list(F.col("text"), separator), most, overlap)).alias("chunk_pos", "text"))
+    packed = parts.select(
+        "document_id", "page_number", "section_pos", "section",
+        F.posexplode(pack(paragraph_list(F.col("text"), separator), most, overlap)).alias("chunk_pos", "text")
+    )
     order = Window.partitionBy("document_id").orderBy("page_number", "section_pos", "chunk_pos")
     return packed.select("document_id", (F.row_number().over(order) - 1).alias("chunk_index"), "page_number", "section", "text")
 
@@ -70,7 +73,10 @@ def heading_features(pages: DataFrame, pattern: str = V.HEADING_PARTS, kind: str
     """pattern: group 1 the number, group 2 the words."""
     pairs = F.arrays_zip(T.all_matches(F.col("text"), pattern, 1).alias("id"), T.all_matches(F.col("text"), pattern, 2).alias("words"))
     found = pages.select("document_id", "page_number", F.posexplode(pairs).alias("pos", "h"))
-    return found.select("document_id", "page_number", F.lit(kind).alias("feature_type"), "pos", F.concat_ws(" ", "h.id", T.strip(F.col("h.words"))).alias("value"), F.col("h.id").alias("section"))
+    return found.select(
+        "document_id", "page_number", F.lit(kind).alias("feature_type"), "pos",
+        F.concat_ws(" ", "h.id", T.strip(F.col("h.words"))).alias("value"), F.col("h.id").alias("section")
+    )
 
 
 def features(pages: DataFrame) -> DataFrame:
@@ -81,24 +87,36 @@ def first_pages(pages: DataFrame, most: int = V.METADATA_PAGES) -> DataFrame:
     """document_id, text: the first pages joined by newlines."""
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number"))
     some = pages.withColumn("rank", rank).where(F.col("rank") <= most)
-    return some.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+    return some.groupBy("document_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n"
+        ).alias("text")
+    )
 
 
 def metadata(pages: DataFrame) -> DataFrame:
     text = F.col("text")
-    return first_pages(pages).select("document_id", T.standard_number(text).alias("standard_number"), T.title(text).alias("title"), T.edition(text).alias("edition"), T.publication_year(text).alias("publication_year"))
+    return first_pages(pages).select(
+        "document_id", T.standard_number(text).alias("standard_number"), T.title(text).alias("title"), T.edition(text).alias("edition"),
+        T.publication_year(text).alias("publication_year")
+    )
 
 
 def scopes(pages: DataFrame, most: int = V.METADATA_PAGES) -> DataFrame:
     """document_id, page_number, scope_text of the first page with a scope heading, at most one row a document."""
     pattern = rf"(?dm)({V.SCOPE_LINE})[\s\S]*?(?=^{V.HEADING_LINE}$|\z)"
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number"))
-    found = pages.withColumn("rank", rank).where(F.col("rank") <= most).select("document_id", "page_number", T.blank_to_null(T.strip(F.regexp_extract("text", pattern, 0))).alias("scope_text"))
+    found = pages.withColumn("rank", rank).where(F.col("rank") <= most).select(
+        "document_id", "page_number", T.blank_to_null(T.strip(F.regexp_extract("text", pattern, 0))).alias("scope_text")
+    )
     first = found.where("scope_text is not null").groupBy("document_id").agg(F.min_by(F.struct("page_number", "scope_text"), "page_number").alias("s"))
     return first.select("document_id", "s.page_number", "s.scope_text")
 
 
-def requirements(pages: DataFrame, own_numbers: DataFrame | None = None, heading: str = V.HEADING_LINE, obligation: str = V.OBLIGATION, keywords: Mapping[str, Sequence[str]] = V.REQUIREMENT_KEYWORDS, number: str = V.STANDARD_NUMBER) -> DataFrame:
+def requirements(
+    pages: DataFrame, own_numbers: DataFrame | None = None, heading: str = V.HEADING_LINE, obligation: str = V.OBLIGATION,
+    keywords: Mapping[str, Sequence[str]] = V.REQUIREMENT_KEYWORDS, number: str = V.STANDARD_NUMBER
+) -> DataFrame:
     """One row a category of each clause with an obligation word: its text and the standards it refers to, without the document's own.
 
     own_numbers: document_id, standard_number.

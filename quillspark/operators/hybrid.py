@@ -22,8 +22,12 @@ def merge(semantic: DataFrame, keyword: DataFrame, chunks: DataFrame, documents:
     semantic: query_id, chunk_id, score. keyword: query_id, chunk_id, bm25, term. chunks: chunk_id, document_id, text.
     documents: document_id, document_name, document_type.
     """
-    both = semantic.select("query_id", "chunk_id", F.col("score").alias("semantic")).join(keyword.select("query_id", "chunk_id", F.col("bm25").alias("keyword"), "term"), ["query_id", "chunk_id"], "full_outer")
-    return both.join(chunks.select("chunk_id", "document_id", "text"), "chunk_id").join(documents.select("document_id", "document_name", "document_type"), "document_id")
+    both = semantic.select("query_id", "chunk_id", F.col("score").alias("semantic")).join(
+        keyword.select("query_id", "chunk_id", F.col("bm25").alias("keyword"), "term"), ["query_id", "chunk_id"], "full_outer"
+    )
+    return both.join(chunks.select("chunk_id", "document_id", "text"), "chunk_id").join(
+        documents.select("document_id", "document_name", "document_type"), "document_id"
+    )
 
 
 def rerank(hits: DataFrame, queries: DataFrame, top_k: int = V.TOP_CANDIDATES, weights: dict[str, float] = V.WEIGHTS) -> DataFrame:

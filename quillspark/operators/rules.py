@@ -16,9 +16,15 @@ KEEP, REPLACE, ASK = "KEEP_EXISTING", "REPLACE", "NEEDS_CLARIFICATION"
 def parsed_fields(raw: Column, fields: Sequence[str] = V.PROFILE_FIELDS) -> Column:
     """A map of the lines 'field: value' with a known field and a stated value; of repeats the last holds."""
     line = r"(?i)^\s*([a-z_]+)\s*:\s*(.+?)\s*$"
-    pairs = F.transform(F.split(raw, T.LINE_BREAK, -1), lambda x: F.struct(F.lower(F.regexp_extract(x, line, 1)).alias("key"), F.regexp_extract(x, line, 2).alias("value")))
+    pairs = F.transform(
+        F.split(raw, T.LINE_BREAK, -1),
+        lambda x: F.struct(F.lower(F.regexp_extract(x, line, 1)).alias("key"), F.regexp_extract(x, line, 2).alias("value"))
+    )
     good = F.filter(pairs, lambda p: p["key"].isin(*fields) & ~F.lower(p["value"]).isin(*V.UNKNOWN_VALUES))
-    last = F.filter(F.transform(good, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))), lambda p: ~F.exists(F.slice(good, p["i"] + 2, F.size(good)), lambda q: q["key"] == p["key"]))
+    last = F.filter(
+        F.transform(good, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))),
+        lambda p: ~F.exists(F.slice(good, p["i"] + 2, F.size(good)), lambda q: q["key"] == p["key"])
+    )
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
 
 
@@ -43,7 +49,10 @@ def category_question(old: Column, new: Column) -> Column:
 
 
 def use_question(old: Column, new: Column) -> Column:
-    return F.concat(F.lit("Earlier you said this was for "), T.intended_use(old), F.lit(" use, but this message suggests "), T.intended_use(new), F.lit(" use. Which is correct?"))
+    return F.concat(
+        F.lit("Earlier you said this was for "), T.intended_use(old), F.lit(" use, but this message suggests "), T.intended_use(new),
+        F.lit(" use. Which is correct?")
+    )
 
 
 def fold_profiles(updates: DataFrame, fields: Sequence[str] = V.PROFILE_FIELDS) -> DataFrame:
@@ -80,7 +89,9 @@ def fold_profiles(updates: DataFrame, fields: Sequence[str] = V.PROFILE_FIELDS)
 
 def missing_questions(profile: Mapping[str, Column]) -> Column:
     """field, question of what the profile still needs, in order."""
-    ask = lambda pairs: F.array_compact(F.array(*(F.when(profile[f].isNull(), F.struct(F.lit(f).alias("field"), F.lit(q).alias("question"))) for f, q in pairs)))
+    ask = lambda pairs: F.array_compact(
+        F.array(*(F.when(profile[f].isNull(), F.struct(F.lit(f).alias("field"), F.lit(q).alias("question"))) for f, q in pairs))
+    )
     category = profile["product_category"]
     out = F.when(F.coalesce(F.length(category), F.lit(0)) == 0, ask(V.GENERIC_QUESTIONS))
     for name, pairs in V.CATEGORY_QUESTIONS.items():
@@ -115,7 +126,9 @@ def checklist_items(assessed: DataFrame, obligation: str = V.OBLIGATION, keyword
     """One row a category of each chunk of evidence that states an obligation, for candidates that may apply."""
     open_ = assessed.where(F.col("applicability_status").isin("APPLICABLE", "POTENTIALLY_APPLICABLE"))
     rows = open_.select("query_id", "document_id", "document_name", "applicability_status", F.posexplode("evidence").alias("pos", "e"))
-    rows = rows.where(T.states_obligation(F.col("e.text"), obligation)).select("*", F.explode(T.requirement_categories(F.col("e.text"), keywords)).alias("category"))
+    rows = rows.where(T.states_obligation(F.col("e.text"), obligation)).select(
+        "*", F.explode(T.requirement_categories(F.col("e.text"), keywords)).alias("category")
+    )
     return rows.select(
         "query_id", "document_id", F.col("e.chunk_id").alias("chunk_id"), "category", F.concat(T.label(F.col("category")), F.lit(" requirement referenced in "), "document_name").alias("title"),
         T.strip(F.col("e.text")).alias("description"), F.when(F.col("applicability_status") == "APPLICABLE", "CONFIRMED").otherwise("POTENTIALLY_APPLICABLE").alias("status"), F.lit("NOT_DETERMINED").alias("regulatory_status"),

@@ -30,7 +30,9 @@ def restates_wrongly(text: Column, profile: Mapping[str, Column]) -> Column:
     """A line 'Label: value' disagrees with the profile's value."""
     pattern = rf"(?i)({'|'.join(V.PROFILE_LABELS)})\s*:\**\s*([^\n]+)"
     pairs = F.arrays_zip(F.transform(T.all_matches(text, pattern, 1), lambda x: F.lower(x)).alias("label"), T.all_matches(text, pattern, 2).alias("value"))
-    actual = lambda name: F.coalesce(*(F.when(name == k, profile[a]) for k, a in V.PROFILE_LABELS.items() if a in profile), F.lit(None).cast("string"))
+    actual = lambda name: F.coalesce(
+        *(F.when(name == k, profile[a]) for k, a in V.PROFILE_LABELS.items() if a in profile), F.lit(None).cast("string")
+    )
     return F.exists(pairs, lambda p: values_disagree(p["value"], actual(p["label"])))
 
 
@@ -43,13 +45,21 @@ def verdict(answers: DataFrame, evidence: DataFrame, profile: Mapping[str, str]
 
     evidence: answer_id, document_name, text. profile: attribute to column name.
     """
-    known = evidence.groupBy("answer_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_union(upper_numbers(F.col("document_name"), pattern), upper_numbers(F.col("text"), pattern))))).alias("known"))
+    known = evidence.groupBy("answer_id").agg(
+        F.array_distinct(
+            F.flatten(F.collect_list(F.array_union(upper_numbers(F.col("document_name"), pattern), upper_numbers(F.col("text"), pattern))))
+        ).alias("known")
+    )
     rows = answers.join(known, "answer_id", "left")
     made_up = F.array_sort(F.array_except(upper_numbers(F.col("text"), pattern), F.coalesce("known", F.array().cast("array<string>"))))
     wrong = restates_wrongly(F.col("text"), {k: F.col(c) for k, c in profile.items()}) if profile else F.lit(False)
     rows = rows.withColumn("fabricated_numbers", made_up).withColumn("mandatory_claim", affirms_mandatory(F.col("text")))
-    rows = rows.withColumn("checklist_claim", (F.coalesce("n_requirements", F.lit(0)) == 0) & lists_requirements(F.col("text"))).withColumn("profile_claim", wrong)
-    return rows.withColumn("is_safe", (F.size("fabricated_numbers") == 0) & ~F.col("mandatory_claim") & ~F.col("checklist_claim") & ~F.col("profile_claim")).drop("known")
+    rows = rows.withColumn(
+        "checklist_claim", (F.coalesce("n_requirements", F.lit(0)) == 0) & lists_requirements(F.col("text"))
+    ).withColumn("profile_claim", wrong)
+    return rows.withColumn(
+        "is_safe", (F.size("fabricated_numbers") == 0) & ~F.col("mandatory_claim") & ~F.col("checklist_claim") & ~F.col("profile_claim")
+    ).drop("known")
 
 
 def standard_key(raw: Column) -> Column:
@@ -63,11 +73,19 @@ def standard_keys(text: Column) -> Column:
 
 def unverified_numbers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answer_id, unverified: numbers whose base number no evidence has, each base in its first spelling, sorted."""
-    known = evidence.groupBy("answer_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_union(standard_keys(F.col("document_name")), standard_keys(F.col("text")))))).alias("known"))
+    known = evidence.groupBy("answer_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.array_union(standard_keys(F.col("document_name")), standard_keys(F.col("text")))))).alias("known")
+    )
     raws = F.transform(T.all_matches(F.col("text"), V.STANDARD_NUMBER), T.strip)
-    rows = answers.join(known, "answer_id", "left").select("answer_id", F.coalesce("known", F.array().cast("array<string>")).alias("known"), F.transform(raws, lambda r: F.struct(standard_key(r).alias("key"), F.regexp_replace(r, r"(?U)\s+", " ").alias("raw"))).alias("said"))
+    rows = answers.join(known, "answer_id", "left").select(
+        "answer_id", F.coalesce("known", F.array().cast("array<string>")).alias("known"),
+        F.transform(raws, lambda r: F.struct(standard_key(r).alias("key"), F.regexp_replace(r, r"(?U)\s+", " ").alias("raw"))).alias("said")
+    )
     new = F.filter("said", lambda s: ~F.array_contains("known", s["key"]))
-    first = F.filter(F.transform(new, lambda s, i: F.struct(s["key"].alias("key"), s["raw"].alias("raw"), i.alias("i"))), lambda s: ~F.exists(F.slice(new, F.lit(1), s["i"]), lambda t: t["key"] == s["key"]))
+    first = F.filter(
+        F.transform(new, lambda s, i: F.struct(s["key"].alias("key"), s["raw"].alias("raw"), i.alias("i"))),
+        lambda s: ~F.exists(F.slice(new, F.lit(1), s["i"]), lambda t: t["key"] == s["key"])
+    )
     return rows.select("answer_id", F.array_sort(F.transform(first, lambda s: s["raw"])).alias("unverified"))
 
 
@@ -87,7 +105,10 @@ def trimmed(text: Column) -> Column:
         stop = s["stop"] | ends
         return F.struct(F.when(stop, s["kept"]).otherwise(F.concat(s["kept"], F.array(p))).alias("kept"), stop.alias("stop"))
 
-    kept = F.aggregate(pieces, start, step, lambda s: F.when(s["stop"], F.concat(F.array_join(F.transform(s["kept"], T.strip), " "), F.lit("\n\n" + V.TRIM_NOTICE))))
+    kept = F.aggregate(
+        pieces, start, step,
+        lambda s: F.when(s["stop"], F.concat(F.array_join(F.transform(s["kept"], T.strip), " "), F.lit("\n\n" + V.TRIM_NOTICE)))
+    )
     return F.when(whole == "", text).otherwise(F.coalesce(kept, whole))
 
 

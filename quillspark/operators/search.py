@@ -23,7 +23,10 @@ def _query_parts(queries: DataFrame, key: str) -> list[DataFrame]:
     return [queries] if parts <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", within: DataFrame | None = None, parents: DataFrame | None = None, parent_key: str = "document_id", allowed: DataFrame | None = None) -> DataFrame:
+def vector_top_k(
+    queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", within: DataFrame | None = None, parents: DataFrame | None = None,
+    parent_key: str = "document_id", allowed: DataFrame | None = None
+) -> DataFrame:
     """query_id, rank, key, score: the k vectors of most cosine, by score and then key.
 
     queries: query_id, query_vector. vectors: key, embedding. within: keys that may be found (an empty table finds
@@ -41,7 +44,9 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec
     found = None
     for part in _query_parts(asked, "query_id"):
         score = X.cosine(F.col("embedding"), F.col("query_vector"), F.col("norm"), F.col("query_norm"))
-        pairs = base.join(F.broadcast(part)) if allowed is None else base.join(allowed.select("query_id", parent_key).distinct(), parent_key).join(F.broadcast(part), "query_id")
+        pairs = base.join(F.broadcast(part)) if allowed is None else base.join(
+            allowed.select("query_id", parent_key).distinct(), parent_key
+        ).join(F.broadcast(part), "query_id")
         scored = pairs.select("query_id", key, score.alias("score")).where("score is not null")
         top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = top if found is None else found.unionByName(top)
@@ -68,7 +73,9 @@ def _places(corpus: DataFrame, asked: DataFrame, key: str, longest: int, few: bo
         places = corpus.select(key, "dl", F.explode(F.filter("toks", wanted)).alias("word"))
     else:
         at = F.array_compact(F.transform("toks", lambda w, i: F.when(wanted(w), i)))
-        places = corpus.select(key, "dl", F.explode(F.transform(at, lambda i: F.struct(F.get("toks", i).alias("word"), run(i).alias("run")))).alias("r")).select(key, "dl", "r.word", "r.run")
+        places = corpus.select(
+            key, "dl", F.explode(F.transform(at, lambda i: F.struct(F.get("toks", i).alias("word"), run(i).alias("run")))).alias("r")
+        ).select(key, "dl", "r.word", "r.run")
     return places if few else places.join(F.broadcast(first) if first.count() <= BROADCAST_WORDS else first, "word", "left_semi")
 
 
@@ -113,14 +120,18 @@ def term_phrases(terms: DataFrame, quote: bool = False) -> DataFrame:
     operators = F.col("term").rlike(r"(?:^|\s)(?:AND|OR|NOT)(?:\s|$)|NEAR\(")
     good = terms.where(F.col("term").rlike(BARE_TERM) & ~operators)
     words = F.filter(F.split(T.strip(F.col("term")), r"(?U)\s+"), lambda w: w != "")
-    return good.select("query_id", "term_pos", F.posexplode(words).alias("phrase_no", "word")).select("query_id", "term_pos", "phrase_no", T.tokens(F.col("word")).alias("words"))
+    return good.select("query_id", "term_pos", F.posexplode(words).alias("phrase_no", "word")).select(
+        "query_id", "term_pos", "phrase_no", T.tokens(F.col("word")).alias("words")
+    )
 
 
 def best_term(corpus: DataFrame, terms: DataFrame, k: int, key: str = "doc_id", quote: bool = False) -> DataFrame:
     """query_id, key, bm25, term: for each row found by any of a query's terms (k rows a term), its best term; ties go to the earlier one."""
     one = F.struct("query_id", "term_pos")
     found = bm25(corpus, term_phrases(terms, quote).select(one.alias("query_id"), "phrase_no", "words"), k, key)
-    found = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.term_pos").alias("term_pos"), key, "bm25").join(terms, ["query_id", "term_pos"])
+    found = found.select(
+        F.col("query_id.query_id").alias("query_id"), F.col("query_id.term_pos").alias("term_pos"), key, "bm25"
+    ).join(terms, ["query_id", "term_pos"])
     return found.groupBy("query_id", key).agg(F.min(F.struct("bm25", "term_pos", "term")).alias("m")).select("query_id", key, "m.bm25", "m.term")
 
 
@@ -130,12 +141,17 @@ def off_corpus(questions: DataFrame, evidence: DataFrame, least: float | None =
     words = questions.select("query_id", T.content_words(F.col("text")).alias("words"))
     asked = F.broadcast(words) if words.count() <= BROADCAST_QUERIES else words
     # of each chunk only the question's own words leave the row, so nothing grows with the evidence's text
-    said = evidence.select("query_id", T.all_stems(F.col("text")).alias("stems")).join(asked, "query_id").select("query_id", F.array_intersect("words", "stems").alias("said"))
+    said = evidence.select("query_id", T.all_stems(F.col("text")).alias("stems")).join(asked, "query_id").select(
+        "query_id", F.array_intersect("words", "stems").alias("said")
+    )
     met = said.select("query_id", F.explode("said").alias("word")).distinct().groupBy("query_id").agg(F.count("*").alias("n_met"))
     chunks = evidence.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
     rows = words.join(met, "query_id", "left").join(chunks, "query_id", "left")
     n, grounding = F.size("words"), F.when(F.size("words") > 0, F.coalesce("n_met", F.lit(0)) / F.size("words"))
-    return rows.select("query_id", n.alias("n_words"), grounding.alias("grounding"), F.coalesce((F.col("n_chunks") > 0) & (grounding < least), F.lit(False)).alias("off_corpus"))
+    return rows.select(
+        "query_id", n.alias("n_words"), grounding.alias("grounding"),
+        F.coalesce((F.col("n_chunks") > 0) & (grounding < least), F.lit(False)).alias("off_corpus")
+    )
 
 
 def evaluate(ranked: DataFrame, expected: DataFrame, key: str, ks: tuple[int, ...] = (1, 3)) -> DataFrame:

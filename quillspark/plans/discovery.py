@@ -31,7 +31,9 @@ def query_problem(query: Column, top_k: Column) -> Column:
 
 
 def message_problem(message: Column, language: Column, mode: Column) -> Column:
-    return F.when(F.length(message) > MOST_MESSAGE_CHARS, "too long").when(language.isNotNull() & ~language.isin(*V.LANGUAGE_NAMES), "unsupported language").when(mode.isNotNull() & ~mode.isin(*MODES), "unsupported mode")
+    return F.when(F.length(message) > MOST_MESSAGE_CHARS, "too long").when(
+        language.isNotNull() & ~language.isin(*V.LANGUAGE_NAMES), "unsupported language"
+    ).when(mode.isNotNull() & ~mode.isin(*MODES), "unsupported mode")
 
 
 def user_problem(username: Column, pin: Column) -> Column:
@@ -42,7 +44,10 @@ def index(pages: DataFrame, embed: Embedder = T.hash_embedding, **options) -> Da
     """Chunks with chunk_id, embedding, toks and dl: the one table that all searches read."""
     chunks = chunking.chunks(pages, **options)
     name = F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)
-    return chunks.select(name.alias("chunk_id"), "*", embed(F.concat(F.lit(PASSAGE_PREFIX), "text")).alias("embedding"), T.tokens(F.col("text")).alias("toks"), T.n_tokens(F.col("text")).alias("dl"))
+    return chunks.select(
+        name.alias("chunk_id"), "*", embed(F.concat(F.lit(PASSAGE_PREFIX), "text")).alias("embedding"),
+        T.tokens(F.col("text")).alias("toks"), T.n_tokens(F.col("text")).alias("dl")
+    )
 
 
 RESTRICTIONS = "document_id", "standard_id"
@@ -61,7 +66,10 @@ def linked(questions: DataFrame, documents: DataFrame) -> DataFrame:
     return one.unionByName(some)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = 5, types: Sequence[str] | None = None) -> DataFrame:
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = 5,
+    types: Sequence[str] | None = None
+) -> DataFrame:
     """query_id, rank, chunk_id, document_id, document_name, document_type, page_number, section, text, score.
 
     questions: query_id, text, and where they may be restricted document_id and standard_id (nullable).
@@ -76,7 +84,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embe
     few = search.vector_top_k(vectors(questions.where(~free)), chunks, top_k, "chunk_id", parents=parents, allowed=linked(questions, documents))
     found = hits.unionByName(few).join(chunks.select("chunk_id", "document_id", "page_number", "section", "text"), "chunk_id")
     rows = found.join(documents.select("document_id", "document_name", "document_type"), "document_id", "left")
-    return rows.select("query_id", "rank", "chunk_id", "document_id", F.coalesce("document_name", F.lit(UNKNOWN_DOCUMENT)).alias("document_name"), "document_type", "page_number", "section", "text", "score")
+    return rows.select(
+        "query_id", "rank", "chunk_id", "document_id", F.coalesce("document_name", F.lit(UNKNOWN_DOCUMENT)).alias("document_name"),
+        "document_type", "page_number", "section", "text", "score"
+    )
 
 
 def asked_of(profiles: DataFrame) -> DataFrame:
@@ -88,7 +99,10 @@ def asked_of(profiles: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).where((F.size("terms") > 0) | (F.size("identifiers") > 0))
 
 
-def find_candidates(profiles: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = V.TOP_CANDIDATES, quote: bool = False) -> DataFrame:
+def find_candidates(
+    profiles: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = V.TOP_CANDIDATES,
+    quote: bool = False
+) -> DataFrame:
     """Documents for each profile, ranked: twenty chunks by vector and twenty by each term, merged and scored.
 
     A profile's standard_id, if there is such a column, restricts the vector hits only. quote searches terms that the query language can't take as phrases.
@@ -98,17 +112,25 @@ def find_candidates(profiles: DataFrame, chunks: DataFrame, documents: DataFrame
     terms = asked.select("query_id", F.posexplode(F.concat("terms", "identifiers")).alias("term_pos", "term"))
     keyword = search.best_term(chunks.select("chunk_id", "toks", "dl"), terms, V.POOL_KEYWORD, "chunk_id", quote)
     favoured = F.when(F.length("user_query") > 0, T.prioritised_types(T.query_classes(F.col("user_query")))).otherwise(F.array().cast("array<string>"))
-    queries = asked.select("query_id", "identifiers", F.array("product_category", "product_type", "technology").alias("attributes"), favoured.alias("priority_types"))
+    queries = asked.select(
+        "query_id", "identifiers", F.array("product_category", "product_type", "technology").alias("attributes"),
+        favoured.alias("priority_types")
+    )
     return hybrid.rerank(hybrid.merge(semantic, keyword, chunks, documents), queries, top_k)
 
 
-def discover(profiles: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def discover(
+    profiles: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates with their applicability, the questions still open (query_id, questions), and checklists where nothing is open.
 
     profiles may have conflicts, the number of unresolved ones.
     """
     fields = {f: F.col(f) for f in V.PROFILE_FIELDS}
     assessed = rules.assess(find_candidates(profiles, chunks, documents, embed, **options), profiles)
-    open_ = profiles.select("query_id", F.col("conflicts") if "conflicts" in profiles.columns else F.lit(0).alias("conflicts"), rules.missing_questions(fields).alias("questions"))
+    open_ = profiles.select(
+        "query_id", F.col("conflicts") if "conflicts" in profiles.columns else F.lit(0).alias("conflicts"),
+        rules.missing_questions(fields).alias("questions")
+    )
     lists = rules.checklists(open_, rules.checklist_items(assessed), (F.size("questions") == 0) & (F.col("conflicts") == 0))
     return assessed, open_, lists.select("query_id", F.coalesce("items", F.array()).alias("items"))

@@ -90,7 +90,9 @@ def _corpus(spark, sf_dir):
 
 def _all_words(spark, sf_dir, n):
     """Each of the first n words is a phrase of its own: all must occur."""
-    return first_words(spark, sf_dir, n).select("query_id", F.posexplode("words").alias("phrase_no", "w")).select("query_id", "phrase_no", F.array("w").alias("words"))
+    return first_words(spark, sf_dir, n).select(
+        "query_id", F.posexplode("words").alias("phrase_no", "w")
+    ).select("query_id", "phrase_no", F.array("w").alias("words"))
 
 
 @query
@@ -132,13 +134,20 @@ def _hybrid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    asked = vectors.join(items, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = vectors.join(items, F.col("vec_id") == F.col("query_id"), "left_semi").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+    )
     semantic = search.vector_top_k(asked, vectors, 20).withColumnRenamed("vec_id", "chunk_id")
     keyword = search.best_term(_corpus(spark, sf_dir), _terms(spark, sf_dir), 20).withColumnRenamed("doc_id", "chunk_id")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "text")
-    names = docs.select(F.col("source").alias("document_id")).distinct().select("document_id", F.concat("document_id", F.lit(".pdf")).alias("document_name"), F.upper("document_id").alias("document_type"))
+    names = docs.select(F.col("source").alias("document_id")).distinct().select(
+        "document_id", F.concat("document_id", F.lit(".pdf")).alias("document_name"), F.upper("document_id").alias("document_type")
+    )
     words = first_words(spark, sf_dir, 2)
-    profiles = words.select("query_id", F.slice("words", 1, 1).alias("identifiers"), F.slice("words", 2, 1).alias("attributes"), F.array(F.lit("SRC0"), F.lit("SRC3")).alias("priority_types"))
+    profiles = words.select(
+        "query_id", F.slice("words", 1, 1).alias("identifiers"), F.slice("words", 2, 1).alias("attributes"),
+        F.array(F.lit("SRC0"), F.lit("SRC3")).alias("priority_types")
+    )
     return hybrid.rerank(hybrid.merge(semantic, keyword, chunks, names), profiles), words
 
 
@@ -147,7 +156,10 @@ def hybrid_rerank(spark, sf_dir):
     """The flagship, two arms merged and scored by document."""
     found, _ = _hybrid(spark, sf_dir)
     rounded = [F.round(c, 6).alias(c) for c in ("final_score", "semantic_score", "keyword_score")]
-    return found.select("query_id", "rank", "document_id", *rounded, "document_type_boost", "exact_identifier_boost", "profile_attribute_boost", F.array_join("matched_terms", ",").alias("matched_terms"), F.size("evidence").alias("n_evidence"))
+    return found.select(
+        "query_id", "rank", "document_id", *rounded, "document_type_boost", "exact_identifier_boost", "profile_attribute_boost",
+        F.array_join("matched_terms", ",").alias("matched_terms"), F.size("evidence").alias("n_evidence")
+    )
 
 
 @query
@@ -174,7 +186,10 @@ def minmax_normalise(spark, sf_dir):
 
     hits = search.vector_top_k(query_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"), 20)
     w = Window.partitionBy("query_id")
-    return hits.select("query_id", "vec_id", F.round(hybrid.min_max(F.col("score"), w), 6).alias("up"), F.round(hybrid.min_max(F.col("score"), w, reverse=True), 6).alias("down"))
+    return hits.select(
+        "query_id", "vec_id", F.round(hybrid.min_max(F.col("score"), w), 6).alias("up"),
+        F.round(hybrid.min_max(F.col("score"), w, reverse=True), 6).alias("down")
+    )
 
 
 @query
@@ -261,14 +276,18 @@ def content_hash_dedup(spark, sf_dir):
 @query
 def duplicates_report(spark, sf_dir):
     """Contents uploaded more than once."""
-    return table(spark, sf_dir, "documents").groupBy(ingest.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("uploads"), F.min("doc_id").alias("kept_id")).where("uploads > 1")
+    return table(spark, sf_dir, "documents").groupBy(ingest.content_hash(F.col("text")).alias("content_hash")).agg(
+        F.count("*").alias("uploads"), F.min("doc_id").alias("kept_id")
+    ).where("uploads > 1")
 
 
 @query
 def query_classify(spark, sf_dir):
     """Classes of a question and the document types they favour."""
     classes = T.query_classes(F.col("text"), WORD_CLASSES, "NONE")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(classes, ",").alias("classes"), F.array_join(T.prioritised_types(classes, CLASS_TYPES), ",").alias("types"))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", F.array_join(classes, ",").alias("classes"), F.array_join(T.prioritised_types(classes, CLASS_TYPES), ",").alias("types")
+    )
 
 
 @query
@@ -293,7 +312,10 @@ def content_words(spark, sf_dir):
 @query
 def search_terms(spark, sf_dir):
     """Terms from what a profile states."""
-    profile = {f: F.lit(None).cast("string") for f in T.V.PROFILE_FIELDS} | {"product_name": F.col("p_name"), "product_category": F.lower("p_type"), "product_type": F.col("p_brand"), "capacity": F.when(F.col("p_size") > 25, F.concat("p_size", F.lit(" L")))}
+    profile = {f: F.lit(None).cast("string") for f in T.V.PROFILE_FIELDS} | {
+        "product_name": F.col("p_name"), "product_category": F.lower("p_type"), "product_type": F.col("p_brand"),
+        "capacity": F.when(F.col("p_size") > 25, F.concat("p_size", F.lit(" L")))
+    }
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.search_terms(profile), "|").alias("terms"))
 
 
@@ -379,7 +401,10 @@ def citations_distinct(spark, sf_dir):
 @query
 def profile_fold(spark, sf_dir):
     """Profiles from the turns of conversations."""
-    said = F.create_map(F.lit("product_category"), F.when(F.col("role") == "assistant", "geyser").otherwise("appliance"), F.lit("capacity"), F.concat("turn", F.lit(" L")))
+    said = F.create_map(
+        F.lit("product_category"), F.when(F.col("role") == "assistant", "geyser").otherwise("appliance"), F.lit("capacity"),
+        F.concat("turn", F.lit(" L"))
+    )
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", said.alias("updates"))
     rows = rules.fold_profiles(turns)
     return rows.select("conversation_id", "product_category", "capacity", F.size("questions").alias("n_questions"))
@@ -389,9 +414,15 @@ def profile_fold(spark, sf_dir):
 def missing_questions(spark, sf_dir):
     """What a profile still needs."""
     profile = {f: F.lit(None).cast("string") for f in T.V.PROFILE_FIELDS}
-    profile |= {"product_category": F.when(F.col("p_size") < 10, None).when(F.col("p_size") < 20, "water_heater").when(F.col("p_size") < 30, "water_purifier").otherwise(F.col("p_type")), "capacity": F.when(F.col("p_type") == "ECONOMY", "1 L")}
+    profile |= {
+        "product_category": F.when(F.col("p_size") < 10, None).when(F.col("p_size") < 20, "water_heater").when(F.col("p_size") < 30, "water_purifier").otherwise(F.col("p_type")),
+        "capacity": F.when(F.col("p_type") == "ECONOMY", "1 L")
+    }
     asked = rules.missing_questions(profile)
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(asked).alias("n_questions"), F.get(asked, F.lit(0))["field"].alias("next"), rules.is_sufficient(profile).alias("sufficient"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.size(asked).alias("n_questions"), F.get(asked, F.lit(0))["field"].alias("next"),
+        rules.is_sufficient(profile).alias("sufficient")
+    )
 
 
 @query
@@ -429,7 +460,10 @@ def prompt_block(spark, sf_dir):
     """Numbered sources of a question."""
     docs = table(spark, sf_dir, "documents")
     hits = search.vector_top_k(query_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"), 4)
-    rows = hits.join(docs, hits["vec_id"] == docs["doc_id"]).select("query_id", "rank", F.col("source").alias("document_name"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section"), "text")
+    rows = hits.join(docs, hits["vec_id"] == docs["doc_id"]).select(
+        "query_id", "rank", F.col("source").alias("document_name"), F.lit(1).alias("page_number"),
+        F.lit(None).cast("string").alias("section"), "text"
+    )
     return safety.context_block(rows).select("query_id", F.sha2("block", 256).alias("sha256"), F.length("block").alias("chars"))
 
 

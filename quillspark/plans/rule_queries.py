@@ -36,7 +36,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def standard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.select(F.col("p_partkey").alias("document_id"), F.posexplode(F.array(F.expr(PAGE_1), F.expr(PAGE_2))).alias("pos", "text")).select("document_id", (F.col("pos") + 1).alias("page_number"), "text")
+    return part.select(
+        F.col("p_partkey").alias("document_id"), F.posexplode(F.array(F.expr(PAGE_1), F.expr(PAGE_2))).alias("pos", "text")
+    ).select("document_id", (F.col("pos") + 1).alias("page_number"), "text")
 
 
 @query
@@ -80,10 +82,15 @@ ANSWER = """concat('The ', p_name, ' follows IS ', 100 + p_partkey, ' and IS  ',
 
 def answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_partkey").alias("answer_id"), F.expr(ANSWER).alias("text"), (F.col("p_size") % 3).alias("n_requirements"), F.lower("p_type").alias("product_category"), F.concat("p_size", F.lit(" l")).alias("capacity"))
+    rows = part.select(
+        F.col("p_partkey").alias("answer_id"), F.expr(ANSWER).alias("text"), (F.col("p_size") % 3).alias("n_requirements"),
+        F.lower("p_type").alias("product_category"), F.concat("p_size", F.lit(" l")).alias("capacity")
+    )
     names = F.array(F.concat(F.lit("IS "), F.col("p_partkey") + 100, F.lit(".pdf")), F.concat(F.lit("doc_is_"), F.col("p_size") + 200, F.lit(".pdf")))
     texts = F.array(F.concat(F.lit("says IS "), F.col("p_size") + 2000), F.lit("nothing"))
-    evidence = part.where("p_size % 10 < 8").select(F.col("p_partkey").alias("answer_id"), F.explode(F.arrays_zip(names.alias("n"), texts.alias("t"))).alias("e")).select("answer_id", F.col("e.n").alias("document_name"), F.col("e.t").alias("text"))
+    evidence = part.where("p_size % 10 < 8").select(
+        F.col("p_partkey").alias("answer_id"), F.explode(F.arrays_zip(names.alias("n"), texts.alias("t"))).alias("e")
+    ).select("answer_id", F.col("e.n").alias("document_name"), F.col("e.t").alias("text"))
     return rows, evidence
 
 
@@ -92,7 +99,10 @@ def answer_verdicts(spark, sf_dir):
     """What an answer claims without evidence."""
     rows, evidence = answers(spark, sf_dir)
     found = safety.verdict(rows, evidence, {"product_category": "product_category", "capacity": "capacity"})
-    return found.select("answer_id", F.array_join("fabricated_numbers", "|").alias("fabricated"), "mandatory_claim", "checklist_claim", "profile_claim", "is_safe")
+    return found.select(
+        "answer_id", F.array_join("fabricated_numbers", "|").alias("fabricated"), "mandatory_claim", "checklist_claim", "profile_claim",
+        "is_safe"
+    )
 
 
 @query
@@ -116,28 +126,42 @@ def answer_trims(spark, sf_dir):
 def answer_notes(spark, sf_dir):
     """Warnings and answers made of names alone."""
     number = F.concat(F.lit("IS "), F.col("p_partkey") + 100)
-    numbers = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.array(number)).otherwise(F.array(number, F.lit("IS 7")))
+    numbers = F.when(
+        F.col("p_size") % 3 == 0, F.array().cast("array<string>")
+    ).when(F.col("p_size") % 3 == 1, F.array(number)).otherwise(F.array(number, F.lit("IS 7")))
     names = F.when(F.col("p_size") % 2 == 0, F.array("p_name", "p_brand", "p_name")).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "part").select("p_partkey", safety.with_warning(F.concat("p_name", F.lit(" \n")), numbers).alias("warned"), safety.plain_fallback(names).alias("fallback"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", safety.with_warning(F.concat("p_name", F.lit(" \n")), numbers).alias("warned"),
+        safety.plain_fallback(names).alias("fallback")
+    )
 
 
 @query
 def rephrases(spark, sf_dir):
     """Which new wordings may stand for the old."""
-    new = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, F.concat("p_name", F.lit("\n"), "p_type")).when(F.col("p_size") % 4 == 2, F.repeat("p_name", F.lit(6))).otherwise(F.col("p_type"))
+    new = F.when(F.col("p_size") % 4 == 0, "").when(
+        F.col("p_size") % 4 == 1, F.concat("p_name", F.lit("\n"), "p_type")
+    ).when(F.col("p_size") % 4 == 2, F.repeat("p_name", F.lit(6))).otherwise(F.col("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", T.is_safe_rephrase(new, F.col("p_name")).alias("safe"))
 
 
 @query
 def prompt_texts(spark, sf_dir):
     """The blocks of a prompt."""
-    profile = {f: F.lit(None).cast("string") for f in T.V.PROFILE_FIELDS} | {"product_name": F.when(F.col("p_size") % 2 == 0, F.col("p_name")), "product_category": F.lower("p_type"), "capacity": F.lit("")}
+    profile = {f: F.lit(None).cast("string") for f in T.V.PROFILE_FIELDS} | {
+        "product_name": F.when(F.col("p_size") % 2 == 0, F.col("p_name")), "product_category": F.lower("p_type"), "capacity": F.lit("")
+    }
     asked = rules.missing_questions(profile)
-    one = F.struct(F.lit("MARKING").alias("category"), F.col("p_name").alias("title"), F.lit("CONFIRMED").alias("status"), F.lit("NOT_DETERMINED").alias("regulatory_status"), F.col("p_type").alias("description"))
+    one = F.struct(
+        F.lit("MARKING").alias("category"), F.col("p_name").alias("title"), F.lit("CONFIRMED").alias("status"),
+        F.lit("NOT_DETERMINED").alias("regulatory_status"), F.col("p_type").alias("description")
+    )
     items = F.when(F.col("p_size") % 3 == 0, None).when(F.col("p_size") % 3 == 1, F.filter(F.array(one), lambda x: F.lit(False))).otherwise(F.array(one, one))
     language = F.when(F.col("p_size") % 3 == 0, "en").when(F.col("p_size") % 3 == 1, "hi").otherwise("ta")
     sections = prompts.profile_summary(profile), prompts.questions_block(asked), prompts.checklist_block(items), T.language_instruction(language)
-    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for c, n in zip(sections, ("profile", "questions", "checklist", "language"), strict=True)))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", *(c.alias(n) for c, n in zip(sections, ("profile", "questions", "checklist", "language"), strict=True))
+    )
 
 
 @query
@@ -147,15 +171,26 @@ def request_checks(spark, sf_dir):
     text = F.when(key % 5 == 0, "  ").when(key % 5 == 1, F.repeat("c_name", F.lit(60))).otherwise(F.col("c_name"))
     pin = F.when(key % 3 == 0, "12").when(key % 3 == 1, "1a").otherwise("123")
     language, mode = F.when(key % 4 == 0, "hi").when(key % 4 == 1, "fr"), F.when(key % 7 == 0, "product_discovery").when(key % 7 == 1, "chat")
-    return table(spark, sf_dir, "customer").select("c_custkey", discovery.query_problem(text, key % 25).alias("query"), discovery.message_problem(F.repeat(text, F.lit(5)), language, mode).alias("message"), discovery.user_problem(text, pin).alias("user"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", discovery.query_problem(text, key % 25).alias("query"),
+        discovery.message_problem(F.repeat(text, F.lit(5)), language, mode).alias("message"),
+        discovery.user_problem(text, pin).alias("user")
+    )
 
 
 @query
 def parsed_profile_fields(spark, sf_dir):
     """A profile out of lines, known fields and stated values only, the last of repeats."""
-    raw = F.concat(F.lit("product_name: "), "p_name", F.lit("\nBogus: x\nCAPACITY : "), F.when(F.col("p_size") % 2 == 0, "Unknown").otherwise(F.col("p_size").cast("string")), F.lit("\r\nmaterials:a: b \nmaterials: "), "p_type", F.lit("\nno colon\ntechnology:"))
+    raw = F.concat(
+        F.lit("product_name: "), "p_name", F.lit("\nBogus: x\nCAPACITY : "),
+        F.when(F.col("p_size") % 2 == 0, "Unknown").otherwise(F.col("p_size").cast("string")), F.lit("\r\nmaterials:a: b \nmaterials: "),
+        "p_type", F.lit("\nno colon\ntechnology:")
+    )
     fields = rules.parsed_fields(raw)
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(fields).alias("n"), *(F.element_at(fields, F.lit(f)).alias(f) for f in ("product_name", "capacity", "materials", "technology")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.size(fields).alias("n"),
+        *(F.element_at(fields, F.lit(f)).alias(f) for f in ("product_name", "capacity", "materials", "technology"))
+    )
 
 
 @query
@@ -170,7 +205,10 @@ def page_texts(spark, sf_dir):
 def scanned_pages(spark, sf_dir):
     """Recognised words joined, and the mean of their confidences."""
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("document_id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    words = words.select("document_id", (F.col("pos") % 3).alias("page_number"), "pos", F.when(F.col("pos") % 11 == 4, " ").otherwise(F.col("word")).alias("word"), (F.col("pos") * 7 % 102 - 1).alias("confidence"))
+    words = words.select(
+        "document_id", (F.col("pos") % 3).alias("page_number"), "pos",
+        F.when(F.col("pos") % 11 == 4, " ").otherwise(F.col("word")).alias("word"), (F.col("pos") * 7 % 102 - 1).alias("confidence")
+    )
     rows = pages_of.pages_from_words(words.withColumn("confidence", F.col("confidence").cast("double")))
     return rows.select("document_id", "page_number", "text", F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
@@ -201,7 +239,9 @@ def owned_fetch(spark, sf_dir):
 def document_states(spark, sf_dir):
     """A document's state from the errors of its stages."""
     error = lambda n: F.when(F.col("p_size") % n == 0, "failed there")
-    return table(spark, sf_dir, "part").select("p_partkey", ingest.stage_status({"text": error(5), "metadata": error(2), "features": error(7), "scope": error(3)}).alias("status"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", ingest.stage_status({"text": error(5), "metadata": error(2), "features": error(7), "scope": error(3)}).alias("status")
+    )
 
 
 @query
@@ -216,9 +256,21 @@ def reindex_completed(spark, sf_dir):
 def fallbacks(spark, sf_dir):
     """Who goes on to the archive, and with what."""
     part = table(spark, sf_dir, "part")
-    queries = part.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("terms"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("query_id"), F.when(F.col("l_returnflag") == "A", "POTENTIALLY_APPLICABLE").otherwise("NEEDS_CLARIFICATION").alias("applicability_status"))
-    said = part.select(F.col("p_partkey").alias("query_id"), rules.fallback_query(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type")), F.when(F.col("p_size") % 3 == 0, F.col("p_name")), F.lower("p_brand")).alias("words"))
+    queries = part.select(
+        F.col("p_partkey").alias("query_id"),
+        F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("terms")
+    )
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
+        F.col("l_partkey").alias("query_id"),
+        F.when(F.col("l_returnflag") == "A", "POTENTIALLY_APPLICABLE").otherwise("NEEDS_CLARIFICATION").alias("applicability_status")
+    )
+    said = part.select(
+        F.col("p_partkey").alias("query_id"),
+        rules.fallback_query(
+            F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type")), F.when(F.col("p_size") % 3 == 0, F.col("p_name")),
+            F.lower("p_brand")
+        ).alias("words")
+    )
     return rules.wants_fallback(lines, queries).join(said, "query_id")
 
 
@@ -226,14 +278,20 @@ def fallbacks(spark, sf_dir):
 def evidence_standards(spark, sf_dir):
     """Evidence and standards by the table that links them."""
     links = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    rows = catalogue.bridged(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey"), links, table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "o_orderkey = l_orderkey", "l_partkey = p_partkey")
+    rows = catalogue.bridged(
+        table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey"), links,
+        table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "o_orderkey = l_orderkey", "l_partkey = p_partkey"
+    )
     return rows.select("o_orderkey", "p_partkey", "p_brand")
 
 
 @query
 def session_users(spark, sf_dir):
     """Tokens to users; unknown and expired ones give nobody."""
-    sessions = table(spark, sf_dir, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("token"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("expires"))
+    sessions = table(spark, sf_dir, "orders").select(
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("token"), F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("expires")
+    )
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
     asked = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.sha2((F.col("l_orderkey") * 2).cast("string"), 256).alias("token"))
     return catalogue.users_of(asked, sessions, users).select("token", "user_id", "username")
@@ -258,11 +316,19 @@ def world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     own = F.concat(F.lit("D"), F.col("doc_id") % 60)
     text = F.concat("text", F.lit(" IS "), F.col("doc_id") % 50 + 100)
-    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), own.alias("document_id"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section"), text.alias("text"))
-    chunks = chunks.withColumn("embedding", T.hash_embedding(F.concat(F.lit(discovery.PASSAGE_PREFIX), "text"))).withColumn("toks", T.tokens(F.col("text"))).withColumn("dl", T.n_tokens(F.col("text")))
+    chunks = docs.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), own.alias("document_id"), F.lit(1).alias("page_number"),
+        F.lit(None).cast("string").alias("section"), text.alias("text")
+    )
+    chunks = chunks.withColumn(
+        "embedding", T.hash_embedding(F.concat(F.lit(discovery.PASSAGE_PREFIX), "text"))
+    ).withColumn("toks", T.tokens(F.col("text"))).withColumn("dl", T.n_tokens(F.col("text")))
     no = F.col("id")
     kind = F.when(no % 3 == 0, "TESTING_GUIDANCE").when(no % 3 == 1, "INDIAN_STANDARD").otherwise("OTHER")
-    documents = spark.range(60).where("id % 5 <> 4").select(F.concat(F.lit("D"), no).alias("document_id"), F.concat(F.lit("d"), no, F.lit(".pdf")).alias("document_name"), kind.alias("document_type"), F.concat(F.lit("s"), no % 7).alias("standard_id"))
+    documents = spark.range(60).where("id % 5 <> 4").select(
+        F.concat(F.lit("D"), no).alias("document_id"), F.concat(F.lit("d"), no, F.lit(".pdf")).alias("document_name"),
+        kind.alias("document_type"), F.concat(F.lit("s"), no % 7).alias("standard_id")
+    )
     return chunks, documents
 
 
@@ -271,16 +337,27 @@ def restricted_retrieval(spark, sf_dir):
     """Questions free, within a document, within a standard's documents; of some types only."""
     chunks, documents = world(spark, sf_dir)
     item = F.col("item_id")
-    asked = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), "text", F.when(item % 3 == 1, F.concat(F.lit("D"), item % 60)).alias("document_id"), F.when(item % 3 == 2, F.concat(F.lit("s"), item % 9)).alias("standard_id"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        item.alias("query_id"), "text", F.when(item % 3 == 1, F.concat(F.lit("D"), item % 60)).alias("document_id"),
+        F.when(item % 3 == 2, F.concat(F.lit("s"), item % 9)).alias("standard_id")
+    )
     rows = discovery.retrieve(asked, chunks, documents, top_k=4, types=["INDIAN_STANDARD", "OTHER"])
     return rows.select("query_id", "rank", "chunk_id", "document_id", "document_name", "document_type", F.round("score", 6).alias("score"))
 
 
 def made_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = first_words(spark, sf_dir, 4)
-    said = {"product_name": F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(1))), "product_category": F.get("words", F.lit(2)), "product_type": F.get("words", F.lit(3))}
-    query_ = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("which test method of IS "), F.col("query_id") % 50 + 100)).when(F.col("query_id") % 3 == 1, "the law")
-    return words.select("query_id", query_.alias("user_query"), *(said.get(f, F.lit(None).cast("string")).alias(f) for f in T.V.PROFILE_FIELDS), (F.col("query_id") % 4 == 0).cast("int").alias("conflicts"))
+    said = {
+        "product_name": F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(1))), "product_category": F.get("words", F.lit(2)),
+        "product_type": F.get("words", F.lit(3))
+    }
+    query_ = F.when(
+        F.col("query_id") % 3 == 0, F.concat(F.lit("which test method of IS "), F.col("query_id") % 50 + 100)
+    ).when(F.col("query_id") % 3 == 1, "the law")
+    return words.select(
+        "query_id", query_.alias("user_query"), *(said.get(f, F.lit(None).cast("string")).alias(f) for f in T.V.PROFILE_FIELDS),
+        (F.col("query_id") % 4 == 0).cast("int").alias("conflicts")
+    )
 
 
 @query
@@ -288,7 +365,10 @@ def discovery_candidates(spark, sf_dir):
     """Profiles to ranked documents with their applicability, from end to end."""
     assessed, _, _ = discovery.discover(made_profiles(spark, sf_dir), *world(spark, sf_dir))
     rounded = [F.round(c, 6).alias(c) for c in ("final_score", "semantic_score", "keyword_score")]
-    return assessed.select("query_id", "rank", "document_id", *rounded, "document_type_boost", "exact_identifier_boost", "profile_attribute_boost", F.array_join("matched_terms", "|").alias("matched_terms"), F.size("evidence").alias("n_evidence"), "applicability_status")
+    return assessed.select(
+        "query_id", "rank", "document_id", *rounded, "document_type_boost", "exact_identifier_boost", "profile_attribute_boost",
+        F.array_join("matched_terms", "|").alias("matched_terms"), F.size("evidence").alias("n_evidence"), "applicability_status"
+    )
 
 
 @query
@@ -300,9 +380,15 @@ def discovery_gate(spark, sf_dir):
         profiles = profiles.withColumn(f, F.when(F.col("query_id") % 6 != 0, F.lit("stated")))
     fields = {f: F.col(f) for f in T.V.PROFILE_FIELDS}
     open_ = profiles.select("query_id", "conflicts", rules.missing_questions(fields).alias("questions"))
-    items = profiles.select("query_id", F.lit("d").alias("document_id"), F.lit("c").alias("chunk_id"), F.lit("TESTING").alias("category"), F.lit("t").alias("title"), F.lit("s").alias("status")).where("query_id % 8 <> 2")
+    items = profiles.select(
+        "query_id", F.lit("d").alias("document_id"), F.lit("c").alias("chunk_id"), F.lit("TESTING").alias("category"),
+        F.lit("t").alias("title"), F.lit("s").alias("status")
+    ).where("query_id % 8 <> 2")
     lists = rules.checklists(open_, items, (F.size("questions") == 0) & (F.col("conflicts") == 0))
-    return open_.join(lists.select("query_id", F.lit(True).alias("gated"), "items"), "query_id", "left").select("query_id", F.size("questions").alias("n_questions"), F.coalesce("gated", F.lit(False)).alias("gated"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"))
+    return open_.join(lists.select("query_id", F.lit(True).alias("gated"), "items"), "query_id", "left").select(
+        "query_id", F.size("questions").alias("n_questions"), F.coalesce("gated", F.lit(False)).alias("gated"),
+        F.coalesce(F.size("items"), F.lit(0)).alias("n_items")
+    )
 
 
 @query

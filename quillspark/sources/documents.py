@@ -14,7 +14,10 @@ def pdf_folder(spark: SparkSession, path: str) -> DataFrame:
     """path, file_name, content, file_hash, reject_reason of a folder's PDF files; a bad file is a row, not an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("file_name"), "content", content_hash(F.col("content")).alias("file_hash"), reject_reason(F.col("content"), F.lit("application/pdf"), name).alias("reject_reason"))
+    return files.select(
+        "path", name.alias("file_name"), "content", content_hash(F.col("content")).alias("file_hash"),
+        reject_reason(F.col("content"), F.lit("application/pdf"), name).alias("reject_reason")
+    )
 
 
 def page_method(text: Column) -> Column:

@@ -27,7 +27,10 @@ def profile(**given):
 
 def test_retrieve(spark, world):
     chunks, docs = world
-    asked = spark.createDataFrame([("a", "heater", None, None), ("b", "heater", "d2", None), ("c", "heater", None, "s1"), ("e", "heater", None, "none")], "query_id string, text string, document_id string, standard_id string")
+    asked = spark.createDataFrame(
+        [("a", "heater", None, None), ("b", "heater", "d2", None), ("c", "heater", None, "s1"), ("e", "heater", None, "none")],
+        "query_id string, text string, document_id string, standard_id string"
+    )
     free = asked.drop("document_id", "standard_id")
     rows = discovery.retrieve(free, chunks, docs, top_k=10).collect()
     assert {r.document_id for r in rows} == {"d1", "d2", "d3"} and {r.document_name for r in rows} == {"heater.pdf", "concrete.pdf", "note.pdf"}
@@ -44,8 +47,14 @@ def test_retrieve(spark, world):
 
 def test_discover(spark, world):
     chunks, docs = world
-    full = profile(product_category="water_heater", product_type="storage", intended_use="domestic", electrical_characteristics="230V", capacity="25 L", technology="element", materials="copper")
-    rows = [("p", "which test method", *full), ("q", None, *profile(product_name="cement")), ("none", "hello", *profile()), ("id", "see IS 302 please", *profile())]
+    full = profile(
+        product_category="water_heater", product_type="storage", intended_use="domestic", electrical_characteristics="230V",
+        capacity="25 L", technology="element", materials="copper"
+    )
+    rows = [
+        ("p", "which test method", *full), ("q", None, *profile(product_name="cement")), ("none", "hello", *profile()),
+        ("id", "see IS 302 please", *profile())
+    ]
     profiles = spark.createDataFrame(rows, f"query_id string, user_query string, {FIELDS}")
     assert {r.query_id: r.text for r in discovery.asked_of(profiles).select("query_id", "text").collect()} == {
         "p": "water_heater storage element storage water_heater domestic water_heater element water_heater 25 L 230V copper", "q": "cement", "id": "IS 302"}
@@ -66,17 +75,25 @@ def test_request_checks(spark):
     got = [r.p for r in spark.createDataFrame(rows, "q string, k int").select(discovery.query_problem(F.col("q"), F.col("k")).alias("p")).collect()]
     assert got == [None, "empty", "too long", "top_k out of range", "top_k out of range", "empty"]
     rows = [("m", "en", None), ("m", "fr", None), ("m", None, "chat"), ("m" * 4001, None, None), ("m", "hi", "product_discovery")]
-    got = [r.p for r in spark.createDataFrame(rows, "m string, l string, o string").select(discovery.message_problem(F.col("m"), F.col("l"), F.col("o")).alias("p")).collect()]
+    got = [
+        r.p for r in spark.createDataFrame(rows, "m string, l string, o string").select(
+            discovery.message_problem(F.col("m"), F.col("l"), F.col("o")).alias("p")
+        ).collect()
+    ]
     assert got == [None, "unsupported language", "unsupported mode", "too long", None]
     rows = [("u", "12"), (" ", "12"), ("u", "1a"), ("u", "123")]
-    assert [r.p for r in spark.createDataFrame(rows, "u string, p string").select(discovery.user_problem(F.col("u"), F.col("p")).alias("p")).collect()] == [None, "blank name", "bad pin", "bad pin"]
+    assert [
+        r.p for r in spark.createDataFrame(rows, "u string, p string").select(discovery.user_problem(F.col("u"), F.col("p")).alias("p")).collect()
+    ] == [None, "blank name", "bad pin", "bad pin"]
 
 
 def test_prompts(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     blank = {f: F.lit(None).cast("string") for f in V.PROFILE_FIELDS}
     assert one(prompts.profile_summary(blank)) == "PRODUCT PROFILE: (nothing established yet)"
-    assert one(prompts.profile_summary(blank | {"capacity": F.lit("2 L"), "product_name": F.lit("X")})) == "PRODUCT PROFILE (known so far):\n- Product name: X\n- Capacity: 2 L"
+    assert one(
+        prompts.profile_summary(blank | {"capacity": F.lit("2 L"), "product_name": F.lit("X")})
+    ) == "PRODUCT PROFILE (known so far):\n- Product name: X\n- Capacity: 2 L"
     asked = F.expr("array(named_struct('question', 'A?'), named_struct('question', 'B?'))")
     assert one(prompts.questions_block(asked)) == "CLARIFICATION QUESTIONS TO ASK THE USER:\n1. A?\n2. B?"
     found = F.expr("array(named_struct('document_name', 'd.pdf', 'status', 'NEEDS_CLARIFICATION', 'reason', 'why'))")

@@ -22,7 +22,10 @@ def value(spark, column, **given):
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [("d1", 1, PAGE), ("d1", 2, "  \n "), ("d1", 3, "4 TESTS\n" + "\n\n".join("para %d " % i + "x" * 150 for i in range(9))), ("d2", 1, "no heading here\n\nsecond"), ("d3", 1, None)]
+    rows = [
+        ("d1", 1, PAGE), ("d1", 2, "  \n "), ("d1", 3, "4 TESTS\n" + "\n\n".join("para %d " % i + "x" * 150 for i in range(9))),
+        ("d2", 1, "no heading here\n\nsecond"), ("d3", 1, None)
+    ]
     return spark.createDataFrame(rows, "document_id string, page_number int, text string")
 
 
@@ -49,7 +52,9 @@ def test_folding(spark):
     import unicodedata
 
     letters = [chr(c) for c in (*range(0x20, 0x250), 0x212A, 0x212B, 0x1E9E, 0xFB01, 0x416, 0x939)]
-    rows = spark.createDataFrame([(c + "x " + c,) for c in letters], "t string").select("t", T.folded(F.col("t")).alias("f"), F.size(T.tokens(F.col("t"))).alias("n"), T.n_tokens(F.col("t")).alias("m")).collect()
+    rows = spark.createDataFrame([(c + "x " + c,) for c in letters], "t string").select(
+        "t", T.folded(F.col("t")).alias("f"), F.size(T.tokens(F.col("t"))).alias("n"), T.n_tokens(F.col("t")).alias("m")
+    ).collect()
     base = lambda c: unicodedata.normalize("NFD", c)[0] if 0xC0 <= ord(c) < 0x250 else c
     want = lambda t: "".join(base(x) for x in "".join(base(c) for c in t).lower())
     assert all(r.f == want(r.t) and r.n == r.m for r in rows)
@@ -63,7 +68,9 @@ def test_hash_embedding(spark):
 
 def test_search_terms(spark):
     profile = {f: F.col(f) for f in V.PROFILE_FIELDS}
-    given = dict.fromkeys(V.PROFILE_FIELDS) | {"product_name": " Geyser ", "product_category": "water_heater", "product_type": "storage", "capacity": "25 L", "technology": ""}
+    given = dict.fromkeys(V.PROFILE_FIELDS) | {
+        "product_name": " Geyser ", "product_category": "water_heater", "product_type": "storage", "capacity": "25 L", "technology": ""
+    }
     assert value(spark, T.search_terms(profile), **given) == ["Geyser", "water_heater", "storage", "storage water_heater", "25 L"]
 
 
@@ -107,7 +114,9 @@ def test_clauses_drop_the_preamble(pages):
 
 def test_features_scope_requirements(spark, pages):
     got = {(r.feature_type, r.value, r.section) for r in chunking.features(pages).where("page_number = 1").collect()}
-    assert got == {("standard_number_mention", x, None) for x in ("IS 302-1", "IS 456", "IS/ISO 2859-1", "IS 99999")} | {("section_heading", f"{a} {b}", a) for a, b in (("1", "SCOPE"), ("2", "REFERENCES"), ("3.1", "Marking and test"))}
+    assert got == {("standard_number_mention", x, None) for x in ("IS 302-1", "IS 456", "IS/ISO 2859-1", "IS 99999")} | {
+        ("section_heading", f"{a} {b}", a) for a, b in (("1", "SCOPE"), ("2", "REFERENCES"), ("3.1", "Marking and test"))
+    }
     scope = chunking.scopes(pages).collect()
     assert [(r.document_id, r.page_number, r.scope_text) for r in scope] == [("d1", 1, "1 SCOPE\nThis covers IS 302-1 heaters.\n\nMore.")]
     own = spark.createDataFrame([("d1", "IS 99999")], "document_id string, standard_number string")
@@ -119,7 +128,10 @@ def test_features_scope_requirements(spark, pages):
 
 
 def test_vectors(spark):
-    rows = [(1, [1.0, 0.0, 0.0], "a"), (2, [0.0, 1.0, 0.0], "a"), (3, [0.1, 0.9, 0.0], "b"), (4, [0.0, 0.0, 0.0], "b"), (5, [0.7, 0.3, 0.0], "c"), (6, None, "c")]
+    rows = [
+        (1, [1.0, 0.0, 0.0], "a"), (2, [0.0, 1.0, 0.0], "a"), (3, [0.1, 0.9, 0.0], "b"), (4, [0.0, 0.0, 0.0], "b"),
+        (5, [0.7, 0.3, 0.0], "c"), (6, None, "c")
+    ]
     table = spark.createDataFrame(rows, "vec_id int, embedding array<float>, document_id string")
     asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0]), ("zero", [0.0] * 3)], "query_id string, query_vector array<float>")
     top = lambda **o: [r.vec_id for r in search.vector_top_k(asked, table, 3, **o).orderBy("rank").collect()]
@@ -165,9 +177,18 @@ def test_bm25_against_sqlite(spark):
 def test_hybrid(spark):
     sem = spark.createDataFrame([("q", 1, 0.9), ("q", 2, 0.5), ("q", 3, 0.7)], "query_id string, chunk_id int, score double")
     key = spark.createDataFrame([("q", 2, -3.0, "t1"), ("q", 4, -1.0, "t2"), ("q", 9, -9.0, "t")], "query_id string, chunk_id int, bm25 double, term string")
-    chunks = spark.createDataFrame([(1, "A", "alpha"), (2, "B", "beta IS 456"), (3, "A", "gamma"), (4, "C", "Storage")], "chunk_id int, document_id string, text string")
-    docs = spark.createDataFrame([("A", "a.pdf", "OTHER"), ("B", "b.pdf", "QCO"), ("C", "c.pdf", "OTHER")], "document_id string, document_name string, document_type string")
-    asked = spark.createDataFrame([("q", ["is 456"], ["storage", None, ""], ["QCO"])], "query_id string, identifiers array<string>, attributes array<string>, priority_types array<string>")
+    chunks = spark.createDataFrame(
+        [(1, "A", "alpha"), (2, "B", "beta IS 456"), (3, "A", "gamma"), (4, "C", "Storage")],
+        "chunk_id int, document_id string, text string"
+    )
+    docs = spark.createDataFrame(
+        [("A", "a.pdf", "OTHER"), ("B", "b.pdf", "QCO"), ("C", "c.pdf", "OTHER")],
+        "document_id string, document_name string, document_type string"
+    )
+    asked = spark.createDataFrame(
+        [("q", ["is 456"], ["storage", None, ""], ["QCO"])],
+        "query_id string, identifiers array<string>, attributes array<string>, priority_types array<string>"
+    )
     got = {r.document_id: r for r in hybrid.rerank(hybrid.merge(sem, key, chunks, docs), asked, 2).collect()}
     assert set(got) == {"A", "B"} and abs(got["B"].final_score - (0.35 + 0.10 + 0.20)) < 1e-12 and abs(got["A"].final_score - 0.45) < 1e-12
     assert [e.chunk_id for e in got["A"].evidence] == [1, 3] and got["B"].matched_terms == ["t1"] and got["B"].rank == 1
@@ -178,7 +199,10 @@ def test_hybrid(spark):
 
 
 def test_off_corpus(spark):
-    asked = spark.createDataFrame([(1, "Which standard applies to laptops"), (2, "concrete cover"), (3, "what is the standard"), (4, "batteries and chairs")], "query_id int, text string")
+    asked = spark.createDataFrame(
+        [(1, "Which standard applies to laptops"), (2, "concrete cover"), (3, "what is the standard"), (4, "batteries and chairs")],
+        "query_id int, text string"
+    )
     found = spark.createDataFrame([(1, "Concrete bars"), (2, "concrete mixes"), (3, "x"), (4, "A battery")], "query_id int, text string")
     got = {r.query_id: (r.n_words, r.off_corpus) for r in search.off_corpus(asked, found).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (0, False), 4: (2, False)}
@@ -189,7 +213,11 @@ def test_profile_fold(spark):
         ("c", 2, {"product_category": "geyser", "intended_use": "for the home", "capacity": "9 L"}), ("c", 1, {"product_category": "appliance", "capacity": "25 L"}),
         ("c", 3, {"product_category": "RO system", "intended_use": "industrial"}), ("d", 1, {"product_type": "tankless", "product_category": "water heater"}), ("e", 1, {}),
     ]
-    got = {r.conversation_id: r for r in rules.fold_profiles(spark.createDataFrame(turns, "conversation_id string, turn int, updates map<string,string>")).collect()}
+    got = {
+        r.conversation_id: r for r in rules.fold_profiles(
+            spark.createDataFrame(turns, "conversation_id string, turn int, updates map<string,string>")
+        ).collect()
+    }
     assert (got["c"].product_category, got["c"].intended_use, got["c"].capacity) == ("water_heater", "domestic", "25 L")
     assert got["c"].questions == [
         "Earlier you described this as a water heater, but this message suggests a water purifier. Which is correct?",
@@ -205,15 +233,28 @@ def test_parsed_fields_and_questions(spark):
     profile = {f: F.col(f) for f in V.PROFILE_FIELDS}
     blank = dict.fromkeys(V.PROFILE_FIELDS)
     ask = lambda **k: [q.field for q in value(spark, rules.missing_questions(profile), **(blank | k))]
-    assert ask() == ["product_category"] and ask(product_category="water_purifier", capacity="1") == ["technology", "intended_use", "electrical_characteristics"]
+    assert ask() == ["product_category"] and ask(product_category="water_purifier", capacity="1") == [
+        "technology", "intended_use", "electrical_characteristics"
+    ]
     assert ask(product_category="chair") == [f for f, _ in V.FALLBACK_QUESTIONS]
     assert rules.KEEP == value(spark, rules.update_decision(F.lit("capacity"), F.lit("1"), F.lit("2")))
 
 
 def test_checklist(spark):
-    rows = [("q", "d", "doc.pdf", "POTENTIALLY_APPLICABLE", [(1, " It shall be marked and tested. "), (2, "Background on testing.")]), ("q", "e", "e.pdf", "NEEDS_CLARIFICATION", [(3, "shall be tested")])]
-    got = rules.checklist_items(spark.createDataFrame(rows, "query_id string, document_id string, document_name string, applicability_status string, evidence array<struct<chunk_id:int,text:string>>")).collect()
-    assert [(r.chunk_id, r.category, r.title, r.status) for r in got] == [(1, "TESTING", "Testing requirement referenced in doc.pdf", "POTENTIALLY_APPLICABLE"), (1, "MARKING", "Marking requirement referenced in doc.pdf", "POTENTIALLY_APPLICABLE")]
+    rows = [
+        ("q", "d", "doc.pdf", "POTENTIALLY_APPLICABLE", [(1, " It shall be marked and tested. "), (2, "Background on testing.")]),
+        ("q", "e", "e.pdf", "NEEDS_CLARIFICATION", [(3, "shall be tested")])
+    ]
+    got = rules.checklist_items(
+        spark.createDataFrame(
+            rows,
+            "query_id string, document_id string, document_name string, applicability_status string, evidence array<struct<chunk_id:int,text:string>>"
+        )
+    ).collect()
+    assert [(r.chunk_id, r.category, r.title, r.status) for r in got] == [
+        (1, "TESTING", "Testing requirement referenced in doc.pdf", "POTENTIALLY_APPLICABLE"),
+        (1, "MARKING", "Marking requirement referenced in doc.pdf", "POTENTIALLY_APPLICABLE")
+    ]
 
 
 def test_answer_checks(spark):
@@ -224,13 +265,18 @@ def test_answer_checks(spark):
     profile = {"product_category": F.lit("water_heater"), "capacity": F.lit(None).cast("string")}
     for text, want in (("**Category:** water_purifier", True), ("Category: Water heater", False), ("Capacity: 3 L", False)):
         assert value(spark, safety.restates_wrongly(t, profile), t=text) is want
-    answers = spark.createDataFrame([(1, "Use IS 456:2000 and IS 14587:1998, also IS 14587.", 0), (2, "IS 302 is fine", 1)], "answer_id int, text string, n_requirements int")
+    answers = spark.createDataFrame(
+        [(1, "Use IS 456:2000 and IS 14587:1998, also IS 14587.", 0), (2, "IS 302 is fine", 1)],
+        "answer_id int, text string, n_requirements int"
+    )
     found = spark.createDataFrame([(1, "IS_456_2000.pdf", "x"), (2, "f", "see IS 302")], "answer_id int, document_name string, text string")
     got = {r.answer_id: r.unverified for r in safety.unverified_numbers(answers, found).collect()}
     assert got == {1: ["IS 14587:1998"], 2: []}
     verdicts = {r.answer_id: r for r in safety.verdict(answers, found).collect()}
     assert verdicts[1].fabricated_numbers == ["IS 14587", "IS 14587:1998", "IS 456:2000"] and verdicts[2].is_safe
-    assert value(spark, safety.with_warning(t, F.array(F.lit("IS 1"), F.lit("IS 2"))), t="Ok. ").startswith("Ok.\n\n⚠️ Unverified: this answer mentions IS 1, IS 2, which do not")
+    assert value(
+        spark, safety.with_warning(t, F.array(F.lit("IS 1"), F.lit("IS 2"))), t="Ok. "
+    ).startswith("Ok.\n\n⚠️ Unverified: this answer mentions IS 1, IS 2, which do not")
 
 
 def test_trim(spark):
@@ -243,7 +289,10 @@ def test_trim(spark):
 
 
 def test_intake(spark, tmp_path):
-    rows = [(b"", "application/pdf", "a"), (b"%PDF-1", "text/plain", "a"), (b"PDF", "application/pdf", "a"), (b"%PDF-1", "application/pdf", " "), (b"%PDF-1", "application/pdf", "a"), (b"x" * 20, None, "a")]
+    rows = [
+        (b"", "application/pdf", "a"), (b"%PDF-1", "text/plain", "a"), (b"PDF", "application/pdf", "a"),
+        (b"%PDF-1", "application/pdf", " "), (b"%PDF-1", "application/pdf", "a"), (b"x" * 20, None, "a")
+    ]
     df = spark.createDataFrame(rows, "c binary, m string, n string").select(ingest.reject_reason(F.col("c"), F.col("m"), F.col("n"), 10).alias("r"))
     assert [r.r for r in df.collect()] == ["empty", "wrong type", "not a pdf", "no name", None, "too large"]
     for name, data in (("b.pdf", b"%PDF-x"), ("a.pdf", b"junk"), ("c.txt", b"%PDF-")):
@@ -281,7 +330,10 @@ def test_history(spark):
 
 def test_ladder(spark):
     t = spark.createDataFrame([(1, "Big red water heater"), (2, "water heater small"), (3, "red paint"), (4, "the red water")], "id int, name string")
-    q = spark.createDataFrame([("a", "red water heater"), ("b", "hot water heater"), ("c", "blue paint"), ("d", "zzz"), ("e", " ")], "query_id string, text string")
+    q = spark.createDataFrame(
+        [("a", "red water heater"), ("b", "hot water heater"), ("c", "blue paint"), ("d", "zzz"), ("e", " ")],
+        "query_id string, text string"
+    )
     got = {}
     for r in catalogue.ladder(t, q, "id", "name").collect():
         got.setdefault(r.query_id, set()).add((r.id, r.rung))
@@ -289,7 +341,10 @@ def test_ladder(spark):
 
 
 def test_scanned_pages(spark):
-    words = spark.createDataFrame([("d", 1, 2, "b", 80.0), ("d", 1, 1, "a", -1.0), ("d", 1, 3, " ", 60.0), ("d", 2, 1, None, None)], "document_id string, page_number int, pos int, word string, confidence double")
+    words = spark.createDataFrame(
+        [("d", 1, 2, "b", 80.0), ("d", 1, 1, "a", -1.0), ("d", 1, 3, " ", 60.0), ("d", 2, 1, None, None)],
+        "document_id string, page_number int, pos int, word string, confidence double"
+    )
     got = {r.page_number: (r.text, r.ocr_confidence) for r in documents.pages_from_words(words).collect()}
     assert got == {1: ("a b", 0.7), 2: ("", None)}
     assert value(spark, T.table_block(F.array(F.array(F.lit("a"), F.lit(None)), F.array(F.lit("b"), F.lit("c"))))) == "[TABLE]\na | \nb | c\n[/TABLE]"
@@ -328,7 +383,10 @@ def test_many_phrases_as_few(spark, monkeypatch, bound):
     monkeypatch.setattr(search, "BROADCAST_QUERIES", bound)
     monkeypatch.setattr(search, "BROADCAST_WORDS", bound)
     docs = spark.createDataFrame([(1, "red pump, red valve"), (2, "a pump red"), (3, "valve"), (4, None)], "doc_id long, text string")
-    phrases = spark.createDataFrame([("a", 0, ["red"]), ("a", 1, ["pump"]), ("b", 0, ["red", "valve"]), ("c", 0, ["none"]), ("d", 0, [])], "query_id string, phrase_no int, words array<string>")
+    phrases = spark.createDataFrame(
+        [("a", 0, ["red"]), ("a", 1, ["pump"]), ("b", 0, ["red", "valve"]), ("c", 0, ["none"]), ("d", 0, [])],
+        "query_id string, phrase_no int, words array<string>"
+    )
     rows = search.bm25(search.tokenised(docs), phrases, 5).collect()
     assert {(r.query_id, r.doc_id) for r in rows} == {("a", 1), ("a", 2), ("b", 1)}
     asked = spark.createDataFrame([("q", "pumps of valve"), ("r", "of the"), ("s", "boats")], "query_id string, text string")
