@@ -28,7 +28,10 @@ def running(lengths: Column) -> Column:
         n_blocks = F.ceil(F.size(v) / BLOCK).cast("int")
         sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: total(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
         firsts = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda b: total(F.slice(s, F.lit(1), b)))
-        within = lambda f: F.transform(v, lambda _, i: F.get(f, F.floor(i / BLOCK).cast("int")) + total(F.slice(v, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
+        within = lambda f: F.transform(
+            v,
+            lambda _, i: F.get(f, F.floor(i / BLOCK).cast("int")) + total(F.slice(v, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+        )
         return let(sums, lambda s: let(firsts(s), within))
 
     return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, inner))

@@ -149,7 +149,10 @@ def candidates(docs: DataFrame, doc_id: str, text: str, sizes: list[int], bits:
                     first, last = int(starts[doc]), int(starts[doc + 1])
                     before, after = words[max(first, i - window + 1) : i], words[i : min(last, i + window)]
                     rows[doc].append({"at": i - first, "name": name, "before": b" " + b" ".join(before), "after": b" ".join(after) + b" "})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(starts), pa.int64()), pa.array(rows, pa.list_(place))], ["key", "doc_id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.diff(starts), pa.int64()), pa.array(rows, pa.list_(place))],
+                ["key", "doc_id", "n_words", "found"]
+            )
 
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), text_bytes(F.col(text)).alias("data"))
@@ -182,7 +185,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     fits = (F.col("at") >= F.col("off")) & (F.col("n_words") - F.col("at") >= F.col("n") - F.col("off"))
     exact = F.endswith("before", "head") & F.startswith("after", "tail")
     start = F.col("at") - F.col("off")
-    found = places.join(F.broadcast(windows) if n <= BROADCAST_WINDOWS else windows, "name").where(fits & exact).select("key", "words", start.alias("start"), (start + F.col("n")).alias("end"))
+    found = places.join(F.broadcast(windows) if n <= BROADCAST_WINDOWS else windows, "name").where(fits & exact).select(
+        "key", "words", start.alias("start"), (start + F.col("n")).alias("end")
+    )
     found = cut(found)
     spans = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     owners = cuts.select("words", "item_id").distinct()
@@ -208,4 +213,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 def op4(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = contamination(docs, items)
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"))
+    return rows.select(
+        "doc_id", "n_words", covered("spans").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated")
+    )

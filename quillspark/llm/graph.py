@@ -26,9 +26,13 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")).select("a", F.least("a", "m").alias("m"), "members")
-        large = join_counted(both, low, ["a"], total=2 * stamp[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = join_counted(both, low, ["a"], total=2 * stamp[0]).where("b > a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members"))
-        small = join_counted(large, low, ["a"], total=2 * stamp[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = join_counted(large, low, ["a"], total=2 * stamp[0]).select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ).unionByName(low.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a != b").distinct())
         before, stamp = stamp, _stamp(edges)
         if stamp == before:

@@ -60,8 +60,12 @@ TELLING = frozenset("class id role style aria-hidden hidden".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 CONTAINERS = frozenset("article body div main section td th blockquote center table tbody tr ul ol dl figure details header".split())
-BLOCKS = CONTAINERS | frozenset("address caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html li p pre summary thead tfoot nav footer aside form fieldset".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea dialog menu object canvas audio video math title".split())
+BLOCKS = CONTAINERS | frozenset(
+    "address caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html li p pre summary thead tfoot nav footer aside form fieldset".split()
+)
+DROPPED = frozenset(
+    "head nav footer aside form script style noscript template iframe svg button select textarea dialog menu object canvas audio video math title".split()
+)
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),

@@ -45,7 +45,9 @@ def numbered_documents(docs: DataFrame, doc_id: str, text: str, long_line: int)
     """key, first (the place of the first line among all lines), n, and by line its id and whether it is long."""
     lines = F.split(F.col(text), "\n", -1)
     told = F.transform("lines", lambda x: F.struct(F.substring(F.unhex(F.sha2(x, 256)), 1, 16).alias("id"), (F.length(x) >= long_line).alias("long")))
-    rows = docs.where(F.col(text).isNotNull()).select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).cast("long").alias("doc"), lines.alias("lines"))
+    rows = docs.where(F.col(text).isNotNull()).select(
+        row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).cast("long").alias("doc"), lines.alias("lines")
+    )
     rows = rows.select("key", "doc", F.size("lines").cast("long").alias("n"), told.alias("told")).dropDuplicates(["key"])
     order = F.col("doc").asc_nulls_last(), F.col("key")
     parts = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
@@ -68,7 +70,9 @@ def ranked(pairs: DataFrame, second: str) -> DataFrame:
     parts = stored(pairs.repartitionByRange("name", second).withColumn("part", F.spark_partition_id()))
     order = Window.partitionBy("part").orderBy("name", second).rowsBetween(Window.unboundedPreceding, 0)
     sums = parts.withColumn("sum", F.sum("members").over(order) - F.col("members")).withColumn("start", F.min("sum").over(Window.partitionBy("part", "name")))
-    ends = sums.groupBy("part").agg(F.sum("members").alias("all"), F.min(F.struct("name", "start")).alias("low"), F.max(F.struct("name", "start")).alias("high")).orderBy("part").collect()
+    ends = sums.groupBy("part").agg(
+        F.sum("members").alias("all"), F.min(F.struct("name", "start")).alias("low"), F.max(F.struct("name", "start")).alias("high")
+    ).orderBy("part").collect()
     begins, told, before = {}, [], 0
     for r in ends:
         for name, start in (r["low"], r["high"]):
@@ -94,14 +98,22 @@ def deeper(suffixes: DataFrame, second: str, depth: int, total: int | None = Non
     late = F.col("place") < F.col("at")
     lines = F.least(F.lit(depth).cast("long"), F.col("end") - F.col("at"))
     copied, source = F.when(late, lines).otherwise(F.col("copied")), F.when(late, F.col("place")).otherwise(F.col("source"))
-    return stored(rows.select("first", "at", "end", F.col("rank").alias("name"), copied.alias("copied"), source.alias("source"), F.lit(depth).alias("depth"), second))
+    return stored(
+        rows.select(
+            "first", "at", "end", F.col("rank").alias("name"), copied.alias("copied"), source.alias("source"), F.lit(depth).alias("depth"),
+            second
+        )
+    )
 
 
 def line_copies(documents: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
     """Two tables of lines that start a later copy: first, at, copied, source of those of min_lines or more; and first, at of all long lines."""
     lines = documents.select("first", "n", F.posexplode("told").alias("i", "t"))
     none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
-    lines = lines.select("first", (F.col("first") + F.col("i")).alias("at"), (F.col("first") + F.col("n")).alias("end"), zero.alias("name"), none.alias("copied"), none.alias("source"), "t.id", F.col("t.long").alias("long"))
+    lines = lines.select(
+        "first", (F.col("first") + F.col("i")).alias("at"), (F.col("first") + F.col("n")).alias("end"), zero.alias("name"),
+        none.alias("copied"), none.alias("source"), "t.id", F.col("t.long").alias("long")
+    )
     known = lines.withColumn("id", F.struct("id", "long"))  # a line is long wherever it stands
     suffixes = deeper(known.drop("long"), "id", 1)
     late_long = suffixes.where(F.col("copied").isNotNull() & F.col("id.long")).select("first", "at")
@@ -173,7 +185,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", int
     found = repeated_lines(docs, doc_id, text, **options).select(F.col("key").alias(own), F.col("gone").alias(gone))
     rows = docs.withColumn(own, row_key(F.col(doc_id), F.col(text))).join(found, own, "left")
     n_lines = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-    report = F.struct(F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+    report = F.struct(
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed")
+    )
     rows = rows.withColumn(into, report)
     return rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(gone)))).drop(own, gone)
 

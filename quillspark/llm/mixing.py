@@ -102,7 +102,12 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1
         done = F.abs(miss) <= tolerance
         stepped = duals.join(sums, "skey", "left")
         new = F.when(F.col("got").isNull() | done, F.col("dual")).when(safe, newton).otherwise(inside)
-        duals = stored(stepped.select(*targets.columns, new.alias("dual"), low.alias("low"), high.alias("high"), F.when(F.col("got").isNotNull() & ~done, F.abs(miss)).alias("miss")))
+        duals = stored(
+            stepped.select(
+                *targets.columns, new.alias("dual"), low.alias("low"), high.alias("high"),
+                F.when(F.col("got").isNotNull() & ~done, F.abs(miss)).alias("miss")
+            )
+        )
         if not duals.agg(F.count("miss")).first()[0]:
             break
     else:
@@ -132,7 +137,10 @@ def whole_copies(cells: DataFrame, duals: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, key: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5, cap: int = 2, key: Column | None = None
+) -> DataFrame:
     """One row a document: doc_id, size, source_size, target (its source's), copies, taken; and key, where one is given.
 
     weights: of the sources by code point, repeating. share: the budget, as a multiple of all sizes.

@@ -143,8 +143,14 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
         chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(ends(), "node"))
         few = chosen.count() <= BROADCAST_NODES
         own = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-        whole = own.join(F.broadcast(chosen) if few else chosen, "row").select("node", whole_set(F.col("text"), shingle).alias("items")).dropDuplicates(["node"])
-        return cut(pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b").where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
+        whole = own.join(F.broadcast(chosen) if few else chosen, "row").select(
+            "node", whole_set(F.col("text"), shingle).alias("items")
+        ).dropDuplicates(["node"])
+        return cut(
+            pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b").where(
+                similar(F.col("of_a"), F.col("of_b"), percent)
+            ).select("a", "b")
+        )
 
     stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y", "first.at as i", "at as j").where(fits)
     # of the smallest nodes that a node meets, the one it meets most often is likely to be its group's
@@ -157,7 +163,10 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     # what is not linked to its group's smallest node meets the rest of the group; a pair's sizes are of the same class or of two next to each other
     kind = F.floor(F.log("size") / log(100 / percent * (1 + 1e-9))).cast("int")
     apart = rooted.where("root != least_root")
-    one = apart.select("token", F.explode(F.array(kind - 1, kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"))
+    one = apart.select(
+        "token", F.explode(F.array(kind - 1, kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"),
+        F.col("at").alias("i"), F.col("root").alias("p")
+    )
     all_ = rooted.select("token", kind.alias("kind"), F.col("node").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"))
     others = one.join(all_, ["token", "kind"]).where("p != q").where(fits)
     turned = F.col("a") > F.col("b")

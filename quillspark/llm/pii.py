@@ -109,7 +109,10 @@ def digits(text: Column) -> Column:
 
 def fill(form: Column, new: Column) -> Column:
     """The form with its digits replaced in order by the new ones."""
-    put = lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["done"], F.substr(s["left"], F.lit(1), F.lit(1))).alias("done"), F.substr(s["left"], F.lit(2)).alias("left"))).otherwise(F.struct(F.concat(s["done"], c).alias("done"), s["left"].alias("left")))
+    put = lambda s, c: F.when(
+        c.rlike("[0-9]"),
+        F.struct(F.concat(s["done"], F.substr(s["left"], F.lit(1), F.lit(1))).alias("done"), F.substr(s["left"], F.lit(2)).alias("left"))
+    ).otherwise(F.struct(F.concat(s["done"], c).alias("done"), s["left"].alias("left")))
     return F.aggregate(chars(form), F.struct(F.lit("").alias("done"), new.alias("left")), put, lambda s: s["done"])
 
 
@@ -140,8 +143,14 @@ def new_iban(match: Column, key: str, back: bool) -> Column:
         country, rest = F.substr(c, F.lit(1), F.lit(2)), permute_text(F.substr(c, F.lit(5)), "iban", key, back)
         return let(rest, lambda r: F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), r))).cast("string"), 2, "0"), r))
 
-    put = lambda s, c: F.when(c != " ", F.struct(F.concat(s["done"], F.substr(s["left"], F.lit(1), F.lit(1))).alias("done"), F.substr(s["left"], F.lit(2)).alias("left"))).otherwise(F.struct(F.concat(s["done"], c).alias("done"), s["left"].alias("left")))
-    return let(let(F.replace(match, F.lit(" "), F.lit("")), run), lambda new: F.aggregate(chars(match), F.struct(F.lit("").alias("done"), new.alias("left")), put, lambda s: s["done"]))
+    put = lambda s, c: F.when(
+        c != " ",
+        F.struct(F.concat(s["done"], F.substr(s["left"], F.lit(1), F.lit(1))).alias("done"), F.substr(s["left"], F.lit(2)).alias("left"))
+    ).otherwise(F.struct(F.concat(s["done"], c).alias("done"), s["left"].alias("left")))
+    return let(
+        let(F.replace(match, F.lit(" "), F.lit("")), run),
+        lambda new: F.aggregate(chars(match), F.struct(F.lit("").alias("done"), new.alias("left")), put, lambda s: s["done"])
+    )
 
 
 def numbers(values: list[Column], radices: list[int], kind: str, key: str, back: bool, spell) -> Column:
@@ -150,14 +159,23 @@ def numbers(values: list[Column], radices: list[int], kind: str, key: str, back:
 
 
 def new_ip(match: Column, key: str, back: bool) -> Column:
-    return numbers([F.split_part(match, F.lit("."), F.lit(i)) for i in range(1, 5)], [256] * 4, "ip", key, back, lambda v: F.array_join(v.cast("array<string>"), "."))
+    return numbers(
+        [F.split_part(match, F.lit("."), F.lit(i)) for i in range(1, 5)], [256] * 4, "ip", key, back,
+        lambda v: F.array_join(v.cast("array<string>"), ".")
+    )
 
 
 def new_ssn(match: Column, key: str, back: bool) -> Column:
     area = F.substr(match, F.lit(1), F.lit(3)).cast("int")
-    values = [F.when(area > 666, area - 2).otherwise(area - 1), F.substr(match, F.lit(5), F.lit(2)).cast("int") - 1, F.substr(match, F.lit(8), F.lit(4)).cast("int") - 1]
+    values = [
+        F.when(area > 666, area - 2).otherwise(area - 1), F.substr(match, F.lit(5), F.lit(2)).cast("int") - 1,
+        F.substr(match, F.lit(8), F.lit(4)).cast("int") - 1
+    ]
     pad = lambda n, width: F.lpad(n.cast("string"), width, "0")
-    return numbers(values, [998, 99, 9999], "ssn", key, back, lambda v: F.concat_ws("-", pad(F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
+    return numbers(
+        values, [998, 99, 9999], "ssn", key, back,
+        lambda v: F.concat_ws("-", pad(F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4))
+    )
 
 
 #: Year, month and day of a date, and how to spell it.
@@ -228,7 +246,10 @@ def valid(match: Column, kind: str) -> Column:
     if kind == "ssn":
         return whole & match.rlike("^(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     if kind == "date":
-        return whole & F.coalesce(F.coalesce(*(d for d, _ in parsed(match))).between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), F.lit(False))
+        return whole & F.coalesce(
+            F.coalesce(*(d for d, _ in parsed(match))).between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")),
+            F.lit(False)
+        )
     return whole
 
 
@@ -244,7 +265,9 @@ def usual(match: Column, kind: Column) -> Column:
     """The match is written as its kind is: a card number in a known shape, an IBAN as long as its country's."""
     size, country = F.length(F.replace(match, F.lit(" "), F.lit(""))), F.substr(match, F.lit(1), F.lit(2))
     known = F.create_map(*(F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)))
-    return F.when(kind == "card", match.rlike(CARD_SHAPES)).when(kind == "iban", F.coalesce(F.element_at(known, country) == size, F.lit(True))).otherwise(kind.isNotNull())
+    return F.when(kind == "card", match.rlike(CARD_SHAPES)).when(
+        kind == "iban", F.coalesce(F.element_at(known, country) == size, F.lit(True))
+    ).otherwise(kind.isNotNull())
 
 
 def split_match(match: Column) -> Column:
@@ -262,7 +285,10 @@ def split_match(match: Column) -> Column:
             spans = F.transform(spans, lambda x: F.struct(x["n"].alias("n"), kind_of(x["match"]).alias("kind"), x["match"].alias("match")))
             first = F.get(F.filter(spans, lambda x: usual(x["match"], x["kind"])), F.lit(0))
             gap = lambda m: F.struct(F.lit(None).cast("string").alias("kind"), m.alias("match"))
-            found = lambda x: F.struct((x["n"] - 1).alias("skip"), F.concat(s["out"], F.array(gap(lead), F.struct(x["kind"].alias("kind"), x["match"].alias("match")))).alias("out"))
+            found = lambda x: F.struct(
+                (x["n"] - 1).alias("skip"),
+                F.concat(s["out"], F.array(gap(lead), F.struct(x["kind"].alias("kind"), x["match"].alias("match")))).alias("out")
+            )
             none = F.struct(F.lit(0).alias("skip"), F.concat(s["out"], F.array(gap(F.get(words, i)))).alias("out"))
             later = F.struct((s["skip"] - 1).alias("skip"), s["out"].alias("out"))
             return F.when(s["skip"] > 0, later).otherwise(let(first, lambda x: F.when(x["n"].isNotNull(), found(x)).otherwise(none)))
@@ -297,10 +323,22 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     old, own = F.col(text), fresh(docs.withColumn(into, F.lit(0)), "pii_found")
     found = F.when(old.rlike(HINT), F.regexp_extract_all(old, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(own, parts_of)
-    named = F.transform(own, lambda m: F.transform(m, lambda x: F.struct(x["kind"].alias("kind"), x["match"].alias("match"), F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym"))))
+    named = F.transform(
+        own,
+        lambda m: F.transform(
+            m,
+            lambda x: F.struct(
+                x["kind"].alias("kind"), x["match"].alias("match"),
+                F.coalesce(pseudonym(x["match"], x["kind"], key, back), x["match"]).alias("pseudonym")
+            )
+        )
+    )
     rows = docs.withColumn(own, found).withColumn(own, kinds).withColumn(own, named)
     gaps = F.split(old, ANY, -1)
-    pieces = F.zip_with(gaps, F.concat(F.transform(own, lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), "")), F.array(F.lit(""))), lambda g, p: F.concat(g, p))
+    pieces = F.zip_with(
+        gaps, F.concat(F.transform(own, lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), "")), F.array(F.lit(""))),
+        lambda g, p: F.concat(g, p)
+    )
     new = F.when(F.size(own) > 0, F.array_join(pieces, "")).otherwise(old)
     return rows.withColumn(text, new).withColumn(into, F.filter(F.flatten(own), lambda x: x["kind"].isNotNull())).drop(own)
 
@@ -308,4 +346,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
 def op7(docs: DataFrame) -> DataFrame:
     rows = pseudonymise(docs.select("doc_id", "text"), DEMO_KEY)
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_pii"), *map(count, KINDS), F.array_join(F.transform("pii", lambda x: F.concat_ws(":", x["kind"], x["pseudonym"])), "\n").alias("pseudonyms"))
+    return rows.select(
+        "doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_pii"), *map(count, KINDS),
+        F.array_join(F.transform("pii", lambda x: F.concat_ws(":", x["kind"], x["pseudonym"])), "\n").alias("pseudonyms")
+    )

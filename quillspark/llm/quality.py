@@ -145,7 +145,11 @@ def rule_profile(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sam
         .collect()
     )
     by = {r["rule"]: r for r in rows}
-    return [(x.name, by[x.name]["spent"] / max(1, by[x.name]["seen"]), by[x.name]["hits"] / max(1, by[x.name]["seen"])) if x.name in by else (x.name, 0.0, 0.0) for x in rules]
+    return [
+        (
+            x.name, by[x.name]["spent"] / max(1, by[x.name]["seen"]), by[x.name]["hits"] / max(1, by[x.name]["seen"])
+        ) if x.name in by else (x.name, 0.0, 0.0) for x in rules
+    ]
 
 
 def cascade_order(profile: Sequence[tuple[str, float, float]]) -> list[str]:

@@ -42,7 +42,10 @@ RANDOM_SAMPLES, RANDOM_CHARS, FILLER_CHARS = 8_000, 32, 16
 #: Documents whose words train the model of ordinary identifiers; tables with fewer are used whole.
 TRAINING_DOCS = 20_000
 HEX_DIGITS, LETTERS = "0123456789abcdef", ALPHABET[:52]
-RANDOM_ALPHABETS = (HEX_DIGITS, HEX_DIGITS.upper(), ALPHABET[:64], ALPHABET[:62] + "-_", ALPHABET[:62], ALPHABET[:26] + "0123456789", ALPHABET[26:52] + "0123456789", LETTERS)
+RANDOM_ALPHABETS = (
+    HEX_DIGITS, HEX_DIGITS.upper(), ALPHABET[:64], ALPHABET[:62] + "-_", ALPHABET[:62], ALPHABET[:26] + "0123456789",
+    ALPHABET[26:52] + "0123456789", LETTERS
+)
 #: Mean log-likelihood ratio a pair (natural logarithm) from which a token counts as random.
 LEAST_RATIO = 0.5
 
@@ -57,7 +60,10 @@ def base_spans(text: Column, tokens: Column) -> dict[str, Column]:
     """kind to spans; match holds the secret. tokens: the text's long_tokens, wherein access keys and hex strings lie."""
 
     def inside(pattern: str) -> Column:
-        moved = lambda t: F.transform(matches(t["match"], pattern), lambda x: F.struct((t["start"] + x["start"]).alias("start"), (t["start"] + x["end"]).alias("end"), x["match"].alias("match")))
+        moved = lambda t: F.transform(
+            matches(t["match"], pattern),
+            lambda x: F.struct((t["start"] + x["start"]).alias("start"), (t["start"] + x["end"]).alias("end"), x["match"].alias("match"))
+        )
         return F.when(F.exists(tokens, lambda t: t["match"].rlike(pattern)), F.flatten(F.transform(tokens, moved))).otherwise(F.array().cast(NO_SPANS))
 
     return {
@@ -73,13 +79,19 @@ def random_strings(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     byte = lambda h, i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
     alphabet = F.element_at(F.array(*map(F.lit, RANDOM_ALPHABETS)), (F.col("id") % len(RANDOM_ALPHABETS) + 1).cast("int"))
-    spelled = F.transform(F.sequence(F.lit(0), F.lit(RANDOM_CHARS - 1)), lambda i: F.substr(F.col("alphabet"), byte(F.col("digest"), i) % F.length("alphabet") + 1, F.lit(1)))
+    spelled = F.transform(
+        F.sequence(F.lit(0), F.lit(RANDOM_CHARS - 1)),
+        lambda i: F.substr(F.col("alphabet"), byte(F.col("digest"), i) % F.length("alphabet") + 1, F.lit(1))
+    )
     return spark.range(n).select(digest.alias("digest"), alphabet.alias("alphabet")).select(F.array_join(spelled, "").alias("token"), F.lit(1).alias("label"))
 
 
 def fillers(spark: SparkSession) -> DataFrame:
     """Samples of rules and placeholders, one character again and again, label 0."""
-    return spark.range(len(ALPHABET)).select(F.repeat(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit(FILLER_CHARS)).alias("token"), F.lit(0).alias("label"))
+    return spark.range(len(ALPHABET)).select(
+        F.repeat(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit(FILLER_CHARS)).alias("token"),
+        F.lit(0).alias("label")
+    )
 
 
 def sampled(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
@@ -137,7 +149,13 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def tag(kind: str, order: int) -> Column:
-    return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
+    return F.transform(
+        kind,
+        lambda x: F.struct(
+            x["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end"),
+            x["match"].alias("match")
+        )
+    )
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: list[float] | None = None) -> DataFrame:
@@ -163,4 +181,7 @@ def op6(docs: DataFrame) -> DataFrame:
     rows = scan(docs)
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"] != "model")
-    return rows.select("doc_id", *map(count, ("assign", "access", "hex", "model")), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return rows.select(
+        "doc_id", *map(count, ("assign", "access", "hex", "model")), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans")
+    )

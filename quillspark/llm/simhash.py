@@ -142,7 +142,9 @@ def keep_one(docs: DataFrame, percent: int | None = None) -> DataFrame:
     stay = found.groupBy(group.alias("g")).agg(F.min(first).alias("row")).select("row")
     # what happens to a row that neither stays alone nor is plain: False, it goes; True, it is one of several that agree in all
     counts = found.groupBy("row").agg((F.count("*") > 1).alias("again"))
-    told = counts.join(stay.withColumn("stays", F.lit(True)), "row", "left").where("stays is null or again").select("row", (F.col("stays").isNotNull()).alias("stays"))
+    told = counts.join(
+        stay.withColumn("stays", F.lit(True)), "row", "left"
+    ).where("stays is null or again").select("row", (F.col("stays").isNotNull()).alias("stays"))
     own, stays = fresh(docs, "stay_row"), fresh(docs, "stay_told")
     told = cut(told.select(F.col("row").alias(own), F.col("stays").alias(stays)))
     rows = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text")))

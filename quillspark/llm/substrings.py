@@ -88,7 +88,10 @@ def anchors(texts: DataFrame, window: int, prefix: int) -> DataFrame:
             w = Windows(batch.column(2).to_pylist(), window, prefix)
             _, new = np.unique(w.anchor, return_index=True)
             own, first, dup = w.own[new], batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(w.prefix_name[new]), pa.array(first[own]), pa.array(_places(own, w.anchor[new], w.starts, dup))], ["name", "first", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w.prefix_name[new]), pa.array(first[own]), pa.array(_places(own, w.anchor[new], w.starts, dup))],
+                ["name", "first", "place"]
+            )
 
     return texts.select("first", "dup", "data").mapInArrow(find, "name long, first long, place long")
 
@@ -132,7 +135,10 @@ def shared_anchors(found: DataFrame) -> DataFrame:
             differ[bounds[:-1]] = False
             keep = np.repeat(np.add.reduceat(differ, bounds[:-1]) > 0, sizes) | large
             heavy = np.repeat(sizes > GROUP_ROWS, sizes) | large
-            yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(dup[keep]), pa.array((2 * (place & ((1 << 40) - 1)) + heavy)[keep])], ["first", "dup", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first[keep]), pa.array(dup[keep]), pa.array((2 * (place & ((1 << 40) - 1)) + heavy)[keep])],
+                ["first", "dup", "at"]
+            )
 
     return found.repartition("name").sortWithinPartitions("name").mapInArrow(share, "first long, dup long, at long")
 
@@ -176,7 +182,9 @@ def repeats(leaves: DataFrame) -> DataFrame:
                 least[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(p)] = node[2]
             node = p[-1], q[-1], least[-1]
             late = first > least
-            yield pa.RecordBatch.from_arrays([pa.array(first[late]), pa.array(place[late] >> 40), pa.array(place[late] & ((1 << 40) - 1))], ["first", "dup", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first[late]), pa.array(place[late] >> 40), pa.array(place[late] & ((1 << 40) - 1))], ["first", "dup", "at"]
+            )
 
     return leaves.repartition("p").sortWithinPartitions("p", "q", "first").mapInArrow(climb, "first long, dup long, at long")
 
@@ -226,8 +234,14 @@ def op8(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     cut_words += b - a
                 removed.append(cut_words)
                 digests.append(sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["key", "first", "n_words", "removed", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+                ["key", "first", "n_words", "removed", "digest"]
+            )
 
     done = texts.mapInArrow(keep, "key binary, first long, n_words long, removed long, digest string")
     copy: Column = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
-    return rows.join(done, "key").select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("removed")).alias("n_removed"), F.when(copy, F.lit(EMPTY)).otherwise(F.col("digest")).alias("kept_sha256"))
+    return rows.join(done, "key").select(
+        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("removed")).alias("n_removed"),
+        F.when(copy, F.lit(EMPTY)).otherwise(F.col("digest")).alias("kept_sha256")
+    )

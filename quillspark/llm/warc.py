@@ -55,7 +55,10 @@ def record_kinds(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes"))
     first = cut(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("members")))
     revisit = (F.col("n_bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return join_counted(rows, first, ["digest"]).select("page_id", "url", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return join_counted(rows, first, ["digest"]).select(
+        "page_id", "url", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("kind"),
+        F.when(revisit, F.col("first")).alias("refers_to")
+    )
 
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -88,13 +91,18 @@ def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataF
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """digest, payload; a payload whose bytes don't have the digest stops the read."""
     good = F.sha2("payload", 256) == F.col("digest")
-    return spark.read.parquet(f"{path}/payloads").select("digest", F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload damaged: "), "digest")).cast("binary")).alias("payload"))
+    return spark.read.parquet(f"{path}/payloads").select(
+        "digest",
+        F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload damaged: "), "digest")).cast("binary")).alias("payload")
+    )
 
 
 def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """page_id, kind and record, the original bytes of every record."""
     body = F.when(F.col("kind") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return read_headers(spark, path, id_type).join(read_payloads(spark, path), "digest").select("page_id", "kind", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    return read_headers(spark, path, id_type).join(read_payloads(spark, path), "digest").select(
+        "page_id", "kind", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record")
+    )
 
 
 def op2(pages: DataFrame) -> DataFrame:
@@ -103,4 +111,6 @@ def op2(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(pages, path)
     stored = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    return read_headers(spark, path, dict(pages.dtypes)["page_id"]).join(stored, "digest").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    return read_headers(spark, path, dict(pages.dtypes)["page_id"]).join(stored, "digest").select(
+        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"
+    )

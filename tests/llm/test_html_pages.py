@@ -54,7 +54,9 @@ ODD = "<div class='body-9'><p>" + "short body " * 15 + "</p></div><div class='pr
 
 def test_consensus_beats_a_page_of_its_own(spark, monkeypatch):
     """On one page a list outweighs the body; the host's other pages say where the body is."""
-    rows = [(i, "http://one.example/" + str(i), page(BODY.format(i))) for i in range(8)] + [(9, "http://user@one.example:80/9", page(ODD)), (10, None, page(ODD)), (11, "no url", None)]
+    rows = [(i, "http://one.example/" + str(i), page(BODY.format(i))) for i in range(8)] + [
+        (9, "http://user@one.example:80/9", page(ODD)), (10, None, page(ODD)), (11, "no url", None)
+    ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for bound in (html_pages.BROADCAST_HOSTS, 0):
         monkeypatch.setattr(html_pages, "BROADCAST_HOSTS", bound)
@@ -75,7 +77,11 @@ def test_siblings_of_the_body_stay(spark):
     halves = "<div class='intro'><p>" + "first half " * 9 + "</p></div><div class='details'><p>" + "second half " * 30 + "</p></div>"
     inner = "<article><header><h1>Top</h1></header><p class='lead'>lead</p><div class='entry-content'>" + "<p>some longer text here</p>" * 9 + "</div><footer>by x</footer></article>"
     lines = ["some longer text here"] * 9
-    got = texts(rows_of(spark, *(page(post.format(i)) for i in range(3)), host="a.example").unionByName(rows_of(spark, page(halves), host="b.example").selectExpr("page_id + 10 as page_id", "url", "html")).unionByName(rows_of(spark, page(inner), host="c.example").selectExpr("page_id + 20 as page_id", "url", "html")))
+    got = texts(
+        rows_of(spark, *(page(post.format(i)) for i in range(3)), host="a.example").unionByName(
+            rows_of(spark, page(halves), host="b.example").selectExpr("page_id + 10 as page_id", "url", "html")
+        ).unionByName(rows_of(spark, page(inner), host="c.example").selectExpr("page_id + 20 as page_id", "url", "html"))
+    )
     assert all(got[i] == "\n".join([f"Head {i}", f"lead {i}", *lines]) for i in range(3))
     assert got[10] == ("first half " * 9).strip() + "\n" + ("second half " * 30).strip()
     assert got[20] == "\n".join(["Top", "lead", *lines])
@@ -117,7 +123,9 @@ def test_hosts_with_several_layouts(spark):
     rows, want = [], {}
     for i in range(80):
         blocks = [words(5), *(words(rng.randint(8, 60)) for _ in range(rng.randint(3, 8)))]
-        extra = "<div class='sidebar'><p>" + words(80) + "</p></div><div class='related-posts'><a href='x'>" + words(30) + "</a></div><ul class='c-list'>" + "".join(f"<li><a href='y'>{words(3)}</a></li>" for _ in range(6)) + "</ul>"
+        extra = "<div class='sidebar'><p>" + words(80) + "</p></div><div class='related-posts'><a href='x'>" + words(30) + "</a></div><ul class='c-list'>" + "".join(
+            f"<li><a href='y'>{words(3)}</a></li>" for _ in range(6)
+        ) + "</ul>"
         bio = "<div class='profile'><p>" + words(3 * sum(map(len, blocks)) // 10 if i % 10 == 0 else 12) + "</p></div>"
         html = layouts[i % 4](blocks)
         rows.append((i, f"https://h{i % 4}.example/{i}", page(html + extra + (bio if i % 4 in (0, 3) else ""))))

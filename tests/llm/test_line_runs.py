@@ -75,7 +75,9 @@ def test_ranks_sort_as_the_suffixes_do(spark):
 
     texts = ["a\nb\nc\nd\ne", "b\nc\nd\ne\nf", "a\nb\nc\nd\nx", "b\nc\nd\ne\nf", "a\nb\nc\nd"]
     docs_ = line_runs.numbered_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 50)
-    lines = docs_.select("first", "n", F.posexplode("told").alias("i", "t")).selectExpr("first", "first + i as at", "first + n as end", "0L as name", "cast(null as long) copied", "cast(null as long) source", "t.id as id")
+    lines = docs_.select("first", "n", F.posexplode("told").alias("i", "t")).selectExpr(
+        "first", "first + i as at", "first + n as end", "0L as name", "cast(null as long) copied", "cast(null as long) source", "t.id as id"
+    )
     one = {r.at: r.name for r in line_runs.deeper(lines, "id", 1).collect()}
     every = [x for t in texts for x in t.split("\n")]
     by_line = {}

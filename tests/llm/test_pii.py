@@ -37,7 +37,10 @@ TEXT = """Mail anna.B-7@mail3.example.com, or +1 (084) 555-3661; card 4111 1111
 and 4111111111111111 but not 4111111111111112, ip 170.106.47.218 not 300.1.1.1, born 1984-02-29 or 29/02/1984, 12/31/1999, 31.12.1999,
 not 1983-02-29; ssn 123-45-6789 not 000-45-6789, iban GB82 WEST 1234 5698 7654 32 or DE89370400440532013000, not DE88370400440532013000.
 v1.2.3 2024 x 1234567 é +44 20 7946 0958 (212) 555-0100"""
-ROWS = [(1, TEXT), (2, "x 4111 1111 1111 1111 y anna.B-7@mail3.example.com"), (3, None), (4, ""), (5, "nothing 12 here"), (6, "170.106.47.218 " * 5000), (1, TEXT), (7, "a@b.c 0000000000000000 +1 (843) 555-7672 170.106.47.218 Et")]
+ROWS = [
+    (1, TEXT), (2, "x 4111 1111 1111 1111 y anna.B-7@mail3.example.com"), (3, None), (4, ""), (5, "nothing 12 here"),
+    (6, "170.106.47.218 " * 5000), (1, TEXT), (7, "a@b.c 0000000000000000 +1 (843) 555-7672 170.106.47.218 Et")
+]
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +66,9 @@ def test_formats_and_links(found):
     for kind, match, out in new:
         assert out != match and re.fullmatch(pii.PATTERNS[kind], out) and match not in rows[1].text
         if kind not in ("ip",):
-            assert re.sub(r"[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", out))) == re.sub(r"[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", match)))
+            assert re.sub(r"[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", out))) == re.sub(
+                r"[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", match))
+            )
         if kind == "card":
             assert luhn(re.sub(r"\D", "", out)) == 0
         if kind == "iban":
@@ -112,7 +117,9 @@ def test_all_days_come_back(spark, form):
 
 
 def test_all_areas_come_back(spark):
-    ssns = spark.range(1, 1000).where("id <> 666").select(F.col("id").alias("doc_id"), F.format_string("%03d-%02d-%04d", "id", F.col("id") % 99 + 1, F.col("id") * 9 + 1).alias("text"))
+    ssns = spark.range(1, 1000).where("id <> 666").select(
+        F.col("id").alias("doc_id"), F.format_string("%03d-%02d-%04d", "id", F.col("id") % 99 + 1, F.col("id") * 9 + 1).alias("text")
+    )
     new = pii.pseudonymise(ssns, KEY).cache()
     assert new.select("text").distinct().count() == 998 == new.where(F.size("pii") == 1).count()
     assert pii.pseudonymise(new.drop("pii"), KEY, back=True).join(ssns.withColumnRenamed("text", "old"), "doc_id").where("text <> old").isEmpty()
@@ -194,7 +201,13 @@ def test_whole_texts_against_python(spark):
         good = f"DE{98 - rest_97('DE00' + rest):02d}{rest}"
         return rng.choice([good, " ".join(good[i : i + 4] for i in range(0, 22, 4)), "DE00" + rest])
 
-    date = lambda: rng.choice([f"{rng.randint(1790, 2205)}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}", f"{rng.randint(1, 31):02d}/{rng.randint(1, 31):02d}/{rng.randint(1800, 2199)}", f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.{rng.randint(1800, 2199)}"])
+    date = lambda: rng.choice(
+        [
+            f"{rng.randint(1790, 2205)}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}",
+            f"{rng.randint(1, 31):02d}/{rng.randint(1, 31):02d}/{rng.randint(1800, 2199)}",
+            f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.{rng.randint(1800, 2199)}"
+        ]
+    )
     make = [
         card, iban, date, lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: ".".join(str(rng.randint(0, 290)) for _ in range(4)), lambda: f"+44 20 {number(4)} {number(4)}", lambda: f"({number(3)}) {number(3)}-{number(4)}",
         lambda: "".join(rng.choice("abZ9._") for _ in range(rng.randint(1, 9))) + "@mail." + rng.choice(["com", "co.uk", "x-y.org"]), lambda: "plain wörd, not 1.2.3 or a_b", lambda: "\n",
@@ -208,8 +221,13 @@ def test_whole_texts_against_python(spark):
 
 def test_long_texts_end(spark):
     """Long domains, digit runs and near-matches stop neither the matcher nor the JVM."""
-    texts = ["a@b" + ".c" * 200_000, "1" * 500_000, "1 " * 300_000, "AB12 " * 100_000, "+1 " * 200_000, "1." * 300_000, "a" * 400_000 + "@", "@" * 300_000, "x" * 300_000 + " 170.106.47.218"]
-    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).select("doc_id", F.length("text").alias("n"), F.size("pii").alias("found")).collect()
+    texts = [
+        "a@b" + ".c" * 200_000, "1" * 500_000, "1 " * 300_000, "AB12 " * 100_000, "+1 " * 200_000, "1." * 300_000, "a" * 400_000 + "@",
+        "@" * 300_000, "x" * 300_000 + " 170.106.47.218"
+    ]
+    rows = pii.pseudonymise(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY
+    ).select("doc_id", F.length("text").alias("n"), F.size("pii").alias("found")).collect()
     assert {r.doc_id: r.n for r in rows if r.doc_id != 8} == {i: len(t) for i, t in enumerate(texts) if i != 8} and {r.doc_id: r.found for r in rows}[8] == 1
 
 

@@ -34,7 +34,10 @@ def test_counts_and_base(docs):
 def test_order_changes_no_verdict(docs):
     rules = quality.default_rules()
     names = [r.name for r in rules]
-    both = docs.select("doc_id", quality.cascade(F.col("text"), rules, names)["kept"].alias("a"), quality.cascade(F.col("text"), rules, names[::-1])["kept"].alias("b"))
+    both = docs.select(
+        "doc_id", quality.cascade(F.col("text"), rules, names)["kept"].alias("a"),
+        quality.cascade(F.col("text"), rules, names[::-1])["kept"].alias("b")
+    )
     assert both.where("a != b").count() == 0
     profile = quality.rule_profile(docs, rules)
     assert sorted(quality.cascade_order(profile)) == sorted(names)
@@ -54,7 +57,10 @@ def test_edges(none, odd):
 
 def test_clean_prose_stays_and_junk_goes(spark):
     clean = " ".join(f"Wort{chr(97 + i % 26)}{chr(97 + i % 7)} über{chr(97 + i % 19)}" for i in range(60))
-    rows = [(1, clean), (2, "A!! " + "SHOUT!! ".join(f"X{chr(65 + i % 26)}{chr(65 + i % 5)} " for i in range(80))), (3, clean.replace(" ", "*** ")), (4, "no " * 200), (5, None), (6, "x " * 5_000_00)]
+    rows = [
+        (1, clean), (2, "A!! " + "SHOUT!! ".join(f"X{chr(65 + i % 26)}{chr(65 + i % 5)} " for i in range(80))),
+        (3, clean.replace(" ", "*** ")), (4, "no " * 200), (5, None), (6, "x " * 5_000_00)
+    ]
     got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
 

@@ -94,12 +94,22 @@ def test_all_spans_against_python(spark):
     """Model spans too: the same labelled samples, counted and scored one by one."""
     rng = random.Random(4)
     odd = lambda: "".join(rng.choice(rng.choice(secrets.RANDOM_ALPHABETS)) for _ in range(rng.randint(18, 50)))
-    rows = [*table(spark), *((1000 + i, " ".join([odd(), "plain_identifier_of_the_text", "x=" + odd(), "https://site.example/some/path/of-words", "-" * 30])) for i in range(40))]
+    rows = [
+        *table(spark),
+        *(
+            (
+                1000 + i,
+                " ".join([odd(), "plain_identifier_of_the_text", "x=" + odd(), "https://site.example/some/path/of-words", "-" * 30])
+            ) for i in range(40)
+        )
+    ]
     ordinary, random_ = set(), [r.token for r in secrets.random_strings(spark).collect()]
     for _, text in rows:
         text = text or ""
         known = {m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 6} | {m[0] for m in re.finditer(r"AKIA[A-Z0-9]+|[0-9a-f]+", text)}
-        ordinary |= {w for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])", text)} - {w for w in known if len(w) >= 20 or any(m[2] == w for m in ASSIGN.finditer(text))}
+        ordinary |= {
+            w for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])", text)
+        } - {w for w in known if len(w) >= 20 or any(m[2] == w for m in ASSIGN.finditer(text))}
     score = slow_model([*((t, 0) for t in ordinary), *((r.token, 0) for r in secrets.fillers(spark).collect()), *((t, 1) for t in random_)])
     got = {r.doc_id: r.spans for r in secrets.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     n = 0
@@ -133,10 +143,16 @@ def test_recall_by_alphabet(spark):
     rng = random.Random(11)
     words = "the quick brown fox jumps over lazy dog configuration manager handler request response timeout service index table column value number string default maximum".split()
     train = [("".join(rng.choice([w, w.title(), w + "_", w + "-"]) for w in rng.sample(words, 2)), 0) for _ in range(3000)]
-    model = secrets.train(spark.createDataFrame(train, "token string, label int").unionByName(secrets.fillers(spark)).unionByName(secrets.random_strings(spark)))
+    model = secrets.train(
+        spark.createDataFrame(train, "token string, label int").unionByName(secrets.fillers(spark)).unionByName(secrets.random_strings(spark))
+    )
     made = [("".join(rng.choice(alphabet) for _ in range(n)), alphabet) for alphabet in secrets.RANDOM_ALPHABETS for n in (20, 28, 40) for _ in range(60)]
-    plain = ["".join(rng.choice([w, w.title()]) for w in rng.sample(words, 4)) for _ in range(300)] + ["/".join(rng.sample(words, 4)) for _ in range(100)] + ["-" * 40, "=" * 60, "_" * 25]
-    rows = spark.createDataFrame([*made, *((t, "") for t in plain)], "token string, kind string").select("kind", (secrets.ratio(F.col("token"), model) >= secrets.LEAST_RATIO).alias("hit")).collect()
+    plain = [
+        "".join(rng.choice([w, w.title()]) for w in rng.sample(words, 4)) for _ in range(300)
+    ] + ["/".join(rng.sample(words, 4)) for _ in range(100)] + ["-" * 40, "=" * 60, "_" * 25]
+    rows = spark.createDataFrame([*made, *((t, "") for t in plain)], "token string, kind string").select(
+        "kind", (secrets.ratio(F.col("token"), model) >= secrets.LEAST_RATIO).alias("hit")
+    ).collect()
     for kind in secrets.RANDOM_ALPHABETS:
         assert sum(r.hit for r in rows if r.kind == kind) >= 0.95 * sum(r.kind == kind for r in rows), kind
     assert sum(r.hit for r in rows if not r.kind) <= 0.02 * len(plain)
@@ -150,14 +166,21 @@ def test_long_texts_end(spark):
 def test_held_out_accuracy(spark):
     """Random strings against ordinary identifiers that the training has not seen."""
     rng = random.Random(9)
-    syllables = ["con", "fig", "read", "er", "get", "set", "Value", "Name", "_id", "List", "open", "ing", "user", "data", "Base", "to", "String", "max", "Count"]
+    syllables = [
+        "con", "fig", "read", "er", "get", "set", "Value", "Name", "_id", "List", "open", "ing", "user", "data", "Base", "to", "String",
+        "max", "Count"
+    ]
     word = lambda: "".join(rng.choice(syllables) for _ in range(6))
     train = [(word(), 0) for _ in range(400)]
     model = secrets.train(spark.createDataFrame(train, "token string, label int").unionByName(secrets.random_strings(spark)))
-    fresh = [(word() + str(rng.randrange(10)), 0) for _ in range(200)] + [("".join(rng.choice("abcdefABCDEFGHXYZxyz0123456789") for _ in range(30)), 1) for _ in range(200)]
+    fresh = [(word() + str(rng.randrange(10)), 0) for _ in range(200)] + [
+        ("".join(rng.choice("abcdefABCDEFGHXYZxyz0123456789") for _ in range(30)), 1) for _ in range(200)
+    ]
     from pyspark.sql import functions as F
 
-    got = spark.createDataFrame(fresh, "token string, label int").select("label", (secrets.ratio(F.col("token"), model) >= secrets.LEAST_RATIO).alias("hit")).collect()
+    got = spark.createDataFrame(fresh, "token string, label int").select(
+        "label", (secrets.ratio(F.col("token"), model) >= secrets.LEAST_RATIO).alias("hit")
+    ).collect()
     assert sum(r.label == r.hit for r in got) >= 0.97 * len(fresh)
 
 

@@ -46,6 +46,9 @@ def test_edges(odd, none, spark):
     rows, _ = corpus()
     assert Counter(tuple(r) for r in substrings.op8(odd).collect()) == brute(rows)
     assert substrings.op8(none).count() == 0
-    same_id = [(1, "a b c d e f g h i j k l m n"), (1, "a b c d e f g h i j k l m n o"), (2, "x a b c d e f g h i j k l m"), (3, "a b c d e f g h i j k l m n"), (4, " ".join(["q"] * 40)), (5, " ".join(["q"] * 14))]
+    same_id = [
+        (1, "a b c d e f g h i j k l m n"), (1, "a b c d e f g h i j k l m n o"), (2, "x a b c d e f g h i j k l m"),
+        (3, "a b c d e f g h i j k l m n"), (4, " ".join(["q"] * 40)), (5, " ".join(["q"] * 14))
+    ]
     got = substrings.op8(spark.createDataFrame(same_id, "doc_id long, text string"))
     assert Counter(tuple(r) for r in got.collect()) == brute(same_id)
