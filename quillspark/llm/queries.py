@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_pairs, decontaminate, html_pages, infill, line_runs, mixing, pii, quality, secrets, simhash, substrings, warc
+from quillspark.llm import byte_pairs, decontaminate, html_pages, infill, line_runs, mixing, pii, quality, repair, secrets, simhash, substrings, warc
 from quillspark.llm.common import table
 from quillspark.llm.oracles import ORACLES
 
@@ -51,6 +51,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op11(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
