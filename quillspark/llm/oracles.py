@@ -86,3 +86,55 @@ ORACLES["op13_fill_in_middle"] = r"""
         sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
         sha256(t) AS restored_sha256
     FROM c"""
+
+ORACLES["op11_conversation_repair"] = """
+    WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+        FROM conversations),
+    -- the checksum of the key, byte by byte and bit by bit
+    c AS (SELECT *, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::BIGINT)),
+                lambda a, b: list_reduce(
+                    list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS d
+        FROM k),
+    r AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM c),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+            CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'o' END AS t, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS kept
+        FROM r),
+    f AS (SELECT *, CASE WHEN kept = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+            lag(t) OVER (PARTITION BY conv_id ORDER BY i) || t NOT IN ('su', 'ua', 'au') AS illegal
+        FROM o),
+    n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+            count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+        FROM f GROUP BY conv_id),
+    -- states: 0 nothing, 1 after system, 2 after user, 3 after assistant; up to two rows inserted lead from one to another
+    ahead(s, s2, ins) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (2, 2, 'II'), (3, 3, ''), (3, 2, 'I'), (3, 3, 'II')),
+    edit(s2, t, e, price, s3) AS (
+        SELECT s, t, 'D', 2, s FROM range(4) AS a(s), (VALUES ('s'), ('u'), ('a'), ('o')) AS b(t)
+        UNION ALL SELECT s, t, 'R', 1, CASE WHEN s = 2 THEN 3 ELSE 2 END FROM range(4) AS a(s), (VALUES ('s'), ('u'), ('a'), ('o')) AS b(t)
+        UNION ALL VALUES (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (3, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3)),
+    p AS (
+        SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS s, {'c': 0::BIGINT, 'e': ''} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL
+        SELECT p.conv_id, f.i, edit.s3::BIGINT,
+            min({'c': p.best.c + 5 * length(ins) + price + CASE WHEN fault = 't' AND e <> 'D' THEN 5 ELSE 0 END, 'e': p.best.e || ins || e})
+        FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1 JOIN ahead USING (s) JOIN edit ON edit.s2 = ahead.s2 AND edit.t = f.t
+        WHERE e = 'D' OR fault NOT IN ('b', 'd')
+        GROUP BY ALL),
+    z AS (SELECT p.conv_id, min({'c': best.c + 5 * length(ins), 'e': best.e || ins}) AS best
+        FROM p LEFT JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id JOIN ahead USING (s) WHERE p.i = coalesce(n.n, 0) AND s2 IN (0, 3) GROUP BY ALL),
+    -- the edits one by one, with the row that each is about
+    l AS (SELECT conv_id, best.e AS e, unnest(range(1, length(best.e) + 1)) AS pos FROM z),
+    m AS (SELECT *, e[pos:pos] AS x, length(replace(e[1:pos], 'I', '')) AS i FROM l),
+    w AS (SELECT m.conv_id, pos, x, CASE WHEN x = 'I' THEN '' ELSE f.text END AS text, f.role, x = 'K' AND f.t = 's' AS sys
+        FROM m LEFT JOIN f ON m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.i = f.i WHERE x <> 'D'),
+    y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 - max(sys::INT) OVER (PARTITION BY conv_id) AS place FROM w),
+    h AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS lines
+        FROM y GROUP BY conv_id)
+    SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, best.c AS cost, best.e AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+    FROM z LEFT JOIN n ON z.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON z.conv_id IS NOT DISTINCT FROM h.conv_id"""
