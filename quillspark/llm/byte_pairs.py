@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import uuid
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, MutableSequence
 
 import pyarrow as pa
 import regex
@@ -32,8 +32,10 @@ from quillspark.llm.common import fresh, text_bytes
 
 #: Tokens that a vocabulary may have; it is broadcast.
 MOST_TOKENS = 1_000_000
-#: Pieces that a worker remembers, and the longest of them in characters: at most some 20 MB.
-MEMO, MEMO_CHARS = 100_000, 40
+#: Pieces in each of a worker's two generations of a memo, and the longest of them in characters: at most some 60 MB.
+MEMO, MEMO_CHARS = 150_000, 40
+#: Characters of a text up to which its pieces are listed at once.
+LISTED_CHARS = 1 << 20
 NONE = (1 << 31) - 1
 
 
@@ -46,91 +48,95 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
     return found
 
 
-class PairTree:
-    """The ranks of a piece's adjacent pairs, as a tree of least ranks."""
-
-    def __init__(self, piece: bytes, ranks: dict[bytes, int], longest: int) -> None:
-        self.piece, self.ranks, self.longest = piece, ranks, longest
-        n = len(piece)
-        self.after, self.before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        self.width = 1 << (max(1, n - 1) - 1).bit_length()
-        tree = array("i", [NONE]) * (2 * self.width)
-        for i in range(n - 1):
-            tree[self.width + i] = ranks.get(piece[i : i + 2], NONE)
-        for i in range(self.width - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-        self.tree = tree
-
-    def put(self, at: int, rank: int) -> None:
-        tree, i = self.tree, self.width + at
-        tree[i] = rank
-        while i > 1:
-            i >>= 1
-            least = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == least:
-                break
-            tree[i] = least
-
-    def leftmost(self) -> int:
-        """Where the first pair of the least rank starts; -1 if no pair has a rank."""
-        tree, least, i = self.tree, self.tree[1], 1
-        if least == NONE:
-            return -1
-        while i < self.width:
-            i = 2 * i if tree[2 * i] == least else 2 * i + 1
-        return i - self.width
-
-    def rank(self, start: int, end: int) -> int:
-        return self.ranks.get(self.piece[start:end], NONE) if end - start <= self.longest else NONE
-
-    def merge(self, at: int) -> None:
-        n, gone = len(self.piece), self.after[at]
-        end = self.after[gone]
-        self.after[at] = end
+def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
+    """The parts that are left when no pair can be merged. longest: of the vocabulary's tokens, in bytes."""
+    n = len(piece)
+    if n < 2:
+        return [piece] if piece else []
+    rank = ranks.get
+    width = 1 << (n - 2).bit_length()
+    after, before = numbers(range(1, n + 1), n, "q"), numbers(range(-1, n - 1), n, "q")
+    tree = numbers([NONE], n, "i") * (2 * width)
+    for i in range(n - 1):
+        tree[width + i] = rank(piece[i : i + 2], NONE)
+    for i in range(width - 1, 0, -1):
+        left, right = tree[2 * i], tree[2 * i + 1]
+        tree[i] = left if left < right else right
+    while (least := tree[1]) != NONE:
+        i = 1
+        while i < width:  # down to the leftmost leaf of the least rank
+            i <<= 1
+            if tree[i] != least:
+                i += 1
+        at = i - width
+        gone = after[at]
+        end = after[at] = after[gone]
         if end < n:
-            self.before[end] = at
-        if gone < n - 1:
-            self.put(gone, NONE)
-        self.put(at, self.rank(at, self.after[end]) if end < n else NONE)
+            before[end] = at
+            last = after[end]
+            points = [(gone, NONE), (at, rank(piece[at:last], NONE) if last - at <= longest else NONE)]
+        else:
+            points = [(at, NONE)]  # the part swallowed was the last and starts no pair
         if at:
-            self.put(self.before[at], self.rank(self.before[at], end))
-
-    def parts(self) -> list[bytes]:
-        """The parts that are left when no pair can be merged."""
-        while (at := self.leftmost()) >= 0:
-            self.merge(at)
-        out, at = [], 0
-        while at < len(self.piece):
-            out.append(self.piece[at : self.after[at]])
-            at = self.after[at]
-        return out
+            first = before[at]
+            points.append((first, rank(piece[first:end], NONE) if end - first <= longest else NONE))
+        for at, value in points:
+            i = width + at
+            tree[i] = value
+            while i > 1:
+                other = tree[i ^ 1]
+                i >>= 1
+                if other < value:
+                    value = other
+                if tree[i] == value:
+                    break
+                tree[i] = value
+    out, at = [], 0
+    while at < n:
+        out.append(piece[at : after[at]])
+        at = after[at]
+    return out
+
+
+def numbers(values: Iterable[int], n: int, kind: str) -> MutableSequence[int]:
+    """A list for a piece of few bytes, which is fast; an array for one of many, which is small."""
+    return list(values) if n <= 4096 else array(kind, values)
+
+
+class Memo(dict):
+    """The packed ids of pieces met lately: the newest, and the generation before them."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            data, ranks = piece.encode(), self.ranks
+            # a piece that is a token as it is isn't merged
+            found = packed([ranks[data]] if data in ranks else [ranks[x] for x in merged(data, ranks, self.longest)])
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Encoder:
     """A vocabulary at work in one process."""
 
     def __init__(self, tokens: list[tuple[bytes, int]], pattern: str) -> None:
-        self.ranks = dict(tokens)
+        self.memo = Memo(dict(tokens))
         self.tokens = {rank: token for token, rank in tokens}
-        self.longest = max(map(len, self.ranks), default=0)
         self.split = regex.compile(pattern)
-        self.memo: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        """The packed ids of a piece; one that is a token as it is isn't merged."""
-        found = self.memo.get(piece)
-        if found is None:
-            data = piece.encode()
-            ids = [self.ranks[data]] if data in self.ranks else [self.ranks[x] for x in PairTree(data, self.ranks, self.longest).parts()]
-            found = packed(ids)
-            if len(piece) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = found
-        return found
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.piece(m[0]) for m in self.split.finditer(text))
+        # the pieces of a very long text are not listed all at once
+        pieces = self.split.findall(text) if len(text) <= LISTED_CHARS else (m[0] for m in self.split.finditer(text))
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         numbers = array("I", ids)
