@@ -32,8 +32,8 @@ from quillspark.llm.common import fresh, text_bytes
 
 #: Tokens that a vocabulary may have; it is broadcast.
 MOST_TOKENS = 1_000_000
-#: Pieces in each of a worker's two generations of a memo, and the longest of them in characters: at most some 60 MB.
-MEMO, MEMO_CHARS = 150_000, 40
+#: Pieces in each of a worker's two generations of a memo, and the longest of them in characters: at most some 120 MB.
+MEMO, MEMO_CHARS = 300_000, 40
 #: Characters of a text up to which its pieces are listed at once.
 LISTED_CHARS = 1 << 20
 NONE = (1 << 31) - 1
@@ -48,8 +48,8 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
     return found
 
 
-def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
-    """The parts that are left when no pair can be merged. longest: of the vocabulary's tokens, in bytes."""
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The parts that are left when no pair can be merged."""
     n = len(piece)
     if n < 2:
         return [piece] if piece else []
@@ -60,37 +60,31 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
     for i in range(n - 1):
         tree[width + i] = rank(piece[i : i + 2], NONE)
     for i in range(width - 1, 0, -1):
-        left, right = tree[2 * i], tree[2 * i + 1]
+        left, right = tree[i + i], tree[i + i + 1]
         tree[i] = left if left < right else right
     while (least := tree[1]) != NONE:
         i = 1
         while i < width:  # down to the leftmost leaf of the least rank
-            i <<= 1
+            i += i
             if tree[i] != least:
                 i += 1
-        at = i - width
+        at, low, high = i - width, i, i
         gone = after[at]
         end = after[at] = after[gone]
         if end < n:
-            before[end] = at
-            last = after[end]
-            points = [(gone, NONE), (at, rank(piece[at:last], NONE) if last - at <= longest else NONE)]
+            before[end], high = at, width + gone
+            tree[i], tree[high] = rank(piece[at : after[end]], NONE), NONE
         else:
-            points = [(at, NONE)]  # the part swallowed was the last and starts no pair
+            tree[i] = NONE  # the part swallowed was the last and started no pair
         if at:
-            first = before[at]
-            points.append((first, rank(piece[first:end], NONE) if end - first <= longest else NONE))
-        for at, value in points:
-            i = width + at
-            tree[i] = value
-            while i > 1:
-                other = tree[i ^ 1]
-                i >>= 1
-                if other < value:
-                    value = other
-                if tree[i] == value:
-                    break
-                tree[i] = value
+            low = width + before[at]
+            tree[low] = rank(piece[before[at] : end], NONE)
+        while low > 1:  # up from the three leaves, which are at most three tokens apart
+            low >>= 1
+            high >>= 1
+            for i in range(low, high + 1):
+                left, right = tree[i + i], tree[i + i + 1]
+                tree[i] = left if left < right else right
     out, at = [], 0
     while at < n:
         out.append(piece[at : after[at]])
@@ -108,15 +102,16 @@ class Memo(dict):
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+        self.ranks, self.codes = ranks, {token: packed([rank]) for token, rank in ranks.items()}
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            data, ranks = piece.encode(), self.ranks
-            # a piece that is a token as it is isn't merged
-            found = packed([ranks[data]] if data in ranks else [ranks[x] for x in merged(data, ranks, self.longest)])
+            data, codes = piece.encode(), self.codes
+            found = codes.get(data)  # a piece that is a token as it is isn't merged
+            if found is None:
+                found = b"".join([codes[x] for x in merged(data, self.ranks)])
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.older = dict(self)
