@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as X
+from quillspark.operators import matching, postings
 
 #: Rows of a query table up to which it is broadcast to the corpus; a larger one is scored in pieces.
 BROADCAST_QUERIES = 2_000
@@ -54,8 +55,8 @@ def vector_top_k(
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, toks, dl: worth keeping as a table where many searches follow."""
-    return docs.select(key, T.tokens(F.col(text)).alias("toks"), T.n_tokens(F.col(text)).alias("dl"))
+    """key, toks, dl; a null text has no tokens. Where many searches follow, an index (`postings.build`) saves them the reading."""
+    return postings.tokenised(docs, key, text).withColumnRenamed("key", key)
 
 
 def _places(corpus: DataFrame, asked: DataFrame, key: str, longest: int, few: bool) -> DataFrame:
@@ -79,26 +80,35 @@ def _places(corpus: DataFrame, asked: DataFrame, key: str, longest: int, few: bo
     return places if few else places.join(F.broadcast(first) if first.count() <= BROADCAST_WORDS else first, "word", "left_semi")
 
 
-def bm25(corpus: DataFrame, phrases: DataFrame, k: int, key: str = "doc_id", within: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _held(corpus: DataFrame, asked: DataFrame, key: str, longest: int, few: bool) -> DataFrame:
+    """query_id, phrase_no, key, dl, f of a tokenised corpus."""
+    places = _places(corpus, asked, key, longest, few).join(F.broadcast(asked) if few else asked, "word")
+    places = places if longest < 2 else places.where(F.slice("run", F.lit(1), F.size("words")) == F.col("words"))
+    return places.groupBy("query_id", "phrase_no", key, "dl").agg(F.count("*").alias("f"))
+
+
+def bm25(
+    corpus: DataFrame | postings.Index, phrases: DataFrame, k: int, key: str = "doc_id", within: DataFrame | None = None,
+    k1: float = postings.K1, b: float = postings.B
+) -> DataFrame:
     """query_id, rank, key, bm25 (negative, less is better) of the k best rows that have every phrase of the query.
 
-    corpus: as from tokenised. phrases: query_id, phrase_no, words (an array; several words must follow each other).
-    within: keys that may be found; the statistics stay those of the whole corpus. A query without phrases finds nothing.
+    corpus: as from tokenised, or an index, of which only the words asked for are read. phrases: query_id, phrase_no, words (an
+    array; several words must follow each other). within: keys that may be found; the statistics stay those of the
+    whole corpus. A query without phrases finds nothing.
     """
-    stats = corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = phrases.where(F.size("words") > 0).select("query_id", "phrase_no", "words", F.get("words", F.lit(0)).alias("word"))
     longest, n = asked.agg(F.coalesce(F.max(F.size("words")), F.lit(0)), F.count("*")).first()
     few = n <= BROADCAST_QUERIES
     small = F.broadcast if few else lambda df: df
-    places = _places(corpus, asked, key, longest, few).join(small(asked), "word")
-    places = places if longest < 2 else places.where(F.slice("run", F.lit(1), F.size("words")) == F.col("words"))
-    held = places.groupBy("query_id", "phrase_no", key, "dl").agg(F.count("*").alias("f"))
+    if isinstance(corpus, postings.Index):
+        stats, held = corpus.stats(), postings.held(corpus, asked.drop("word")).withColumnRenamed("key", key)
+    else:
+        stats, held = corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), _held(corpus, asked, key, longest, few)
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_phrases"))
     df = held.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
     rows = held.join(small(df), ["query_id", "phrase_no"]).join(F.broadcast(stats))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = postings.idf(F.col("n"), F.col("df")) * postings.weight(F.col("f"), F.col("dl"), F.col("avgdl"), k1, b)
     scored = rows.groupBy("query_id", key).agg((-F.sum(part)).alias("bm25"), F.count("*").alias("has")).join(small(wanted), "query_id").where("has = n_phrases")
     if within is not None:
         scored = scored.join(within.select(key).distinct(), key, "left_semi")
@@ -125,10 +135,16 @@ def term_phrases(terms: DataFrame, quote: bool = False) -> DataFrame:
     )
 
 
-def best_term(corpus: DataFrame, terms: DataFrame, k: int, key: str = "doc_id", quote: bool = False) -> DataFrame:
-    """query_id, key, bm25, term: for each row found by any of a query's terms (k rows a term), its best term; ties go to the earlier one."""
-    one = F.struct("query_id", "term_pos")
-    found = bm25(corpus, term_phrases(terms, quote).select(one.alias("query_id"), "phrase_no", "words"), k, key)
+def best_term(corpus: DataFrame | postings.Index, terms: DataFrame, k: int, key: str = "doc_id", quote: bool = False) -> DataFrame:
+    """query_id, key, bm25, term: for each row found by any of a query's terms (k rows a term), its best term; ties go to the earlier one.
+
+    corpus: an index, or as from tokenised. A term is a text of the search language; a malformed one finds nothing
+    (`matching.malformed` says why), or with quote each is searched as one phrase.
+    """
+    index = corpus if isinstance(corpus, postings.Index) else postings.Unstored(corpus, key)
+    one = F.struct("query_id", "term_pos").alias("query_id")
+    text = F.concat(F.lit('"'), F.replace(F.col("term"), F.lit('"'), F.lit('""')), F.lit('"')) if quote else F.col("term")
+    found = matching.search(index, terms.select(one, text.alias("query")), k, key)
     found = found.select(
         F.col("query_id.query_id").alias("query_id"), F.col("query_id.term_pos").alias("term_pos"), key, "bm25"
     ).join(terms, ["query_id", "term_pos"])

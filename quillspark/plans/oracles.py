@@ -58,6 +58,44 @@ ORACLES["bm25_topk_phrase"] = f"""WITH {_CORPUS},
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS rank FROM b)
         SELECT query_id, rank, doc_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10"""
 
+ORACLES["bm25_after_update"] = (
+    _bm25(2, 10)
+    .replace(", lang, ", ", ")
+    .replace(
+        "FROM documents)",
+        """FROM (
+            SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat_ws(' ', source, text) ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 10 <> 7
+            UNION ALL SELECT doc_id + 1000000000, coalesce(text, '') FROM documents WHERE doc_id % 10 IN (1, 7)))""",
+    )
+)
+
+ORACLES["match_language"] = f"""WITH {_CORPUS},
+        k AS (SELECT item_id AS query_id, length(text) % 6 AS form, coalesce(w[1], 'zzz') AS a, coalesce(w[2], 'zzz') AS b, coalesce(w[3], 'zzz') AS c
+            FROM (SELECT item_id, text, {_TOKENS} AS w FROM benchmark)),
+        p AS (
+            SELECT query_id, form, 1 AS no, CASE form WHEN 2 THEN 'pair' WHEN 4 THEN 'start' WHEN 5 THEN 'first' ELSE 'word' END AS kind, a AS x, b AS y FROM k
+            UNION ALL SELECT query_id, form, 2, CASE form WHEN 5 THEN 'pair' ELSE 'word' END, CASE form WHEN 2 THEN c ELSE b END, c FROM k
+            UNION ALL SELECT query_id, form, 3, 'word', c, c FROM k WHERE form IN (0, 3)),
+        pairs AS (SELECT doc_id, len(toks) AS dl, unnest(list_zip(toks[:-2], toks[2:])) AS z FROM c WHERE len(toks) > 1),
+        h AS (
+            SELECT query_id, form, no, doc_id, dl, count(*) AS f FROM p JOIN places ON kind = 'word' AND word = x GROUP BY ALL
+            UNION ALL SELECT query_id, form, no, doc_id, dl, count(*) FROM p JOIN places ON kind = 'start' AND starts_with(word, left(x, 3)) GROUP BY ALL
+            UNION ALL SELECT query_id, form, no, doc_id, dl, count(*) FROM p JOIN pairs ON kind = 'pair' AND z[1] = x AND z[2] = y GROUP BY ALL
+            UNION ALL SELECT query_id, form, no, doc_id, len(toks), 1 FROM p JOIN c ON kind = 'first' AND toks[1] = x),
+        d AS (SELECT *, count(*) OVER (PARTITION BY query_id, no) AS df FROM h),
+        s AS (SELECT query_id, form, doc_id, no, {_PART} AS part FROM d CROSS JOIN stats),
+        v AS (SELECT query_id, form, doc_id, max(part) FILTER (no = 1) AS one, max(part) FILTER (no = 2) AS two, max(part) FILTER (no = 3) AS three FROM s GROUP BY ALL),
+        g AS (SELECT query_id, doc_id, -(CASE WHEN form = 0 THEN one + two ELSE coalesce(one, 0) + coalesce(two, 0) + coalesce(three, 0) END) AS bm25 FROM v
+            WHERE CASE form WHEN 0 THEN one IS NOT NULL AND two IS NOT NULL AND three IS NULL WHEN 3 THEN (one IS NOT NULL OR two IS NOT NULL) AND three IS NOT NULL
+                WHEN 4 THEN one IS NOT NULL AND two IS NOT NULL ELSE true END),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS rank FROM g)
+        SELECT query_id, rank, doc_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10"""
+
+ORACLES["match_near"] = f"""WITH {_CORPUS},
+        spots AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS i FROM c)
+        SELECT DISTINCT query_id, one.doc_id FROM i JOIN spots AS one ON one.word = w[1] JOIN spots AS two ON two.word = w[2] AND two.doc_id = one.doc_id
+        WHERE len(w) > 1 AND abs(one.i - two.i) <= 5"""
+
 _BEST = f"""{_CORPUS},
         p AS (SELECT query_id, unnest(w[1:3]) AS word, generate_subscripts(w[1:3], 1) AS no FROM i),
         h AS (SELECT query_id, no, word, doc_id, dl, count(*) AS f FROM places JOIN p USING (word) GROUP BY ALL),

@@ -6,6 +6,7 @@ lists where the operators' defaults would find nothing. Doubles are rounded, and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as X
-from quillspark.operators import catalogue, chunking, hybrid, ingest, rules, safety, search
-from quillspark.plans.tables import as_pages, first_words, query_vectors, table
+from quillspark.operators import catalogue, chunking, hybrid, ingest, matching, postings, rules, safety, search
+from quillspark.plans.tables import as_pages, first_words, query_vectors, table, text_index
+from quillspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,10 +86,6 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", "rank", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
-def _corpus(spark, sf_dir):
-    return search.tokenised(table(spark, sf_dir, "documents"))
-
-
 def _all_words(spark, sf_dir, n):
     """Each of the first n words is a phrase of its own: all must occur."""
     return first_words(spark, sf_dir, n).select(
@@ -98,26 +96,61 @@ def _all_words(spark, sf_dir, n):
 @query
 def bm25_topk_term(spark, sf_dir):
     """One word."""
-    return _ranked(search.bm25(_corpus(spark, sf_dir), _all_words(spark, sf_dir, 1), 10))
+    return _ranked(search.bm25(text_index(spark, sf_dir), _all_words(spark, sf_dir, 1), 10))
 
 
 @query
 def bm25_topk_and(spark, sf_dir):
     """rows with all of three words."""
-    return _ranked(search.bm25(_corpus(spark, sf_dir), _all_words(spark, sf_dir, 3), 10))
+    return _ranked(search.bm25(text_index(spark, sf_dir), _all_words(spark, sf_dir, 3), 10))
 
 
 @query
 def bm25_topk_phrase(spark, sf_dir):
     """two words running."""
-    return _ranked(search.bm25(_corpus(spark, sf_dir), first_words(spark, sf_dir, 2).withColumn("phrase_no", F.lit(0)), 10))
+    return _ranked(search.bm25(text_index(spark, sf_dir), first_words(spark, sf_dir, 2).withColumn("phrase_no", F.lit(0)), 10))
 
 
 @query
 def bm25_filtered_docs(spark, sf_dir):
     """results within some documents, statistics over all."""
     within = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return _ranked(search.bm25(_corpus(spark, sf_dir), _all_words(spark, sf_dir, 2), 10, within=within))
+    return _ranked(search.bm25(text_index(spark, sf_dir), _all_words(spark, sf_dir, 2), 10, within=within))
+
+
+@query
+def bm25_after_update(spark, sf_dir):
+    """An index whose documents were replaced, removed and added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = postings.build(docs, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.replace(docs.where("doc_id % 10 = 3").withColumn("text", F.concat_ws(" ", "source", "text")))
+    index.remove(docs.where("doc_id % 10 = 7").select("doc_id"))
+    index.replace(docs.where("doc_id % 10 in (1, 7)").withColumn("doc_id", F.col("doc_id") + 1_000_000_000))
+    return _ranked(search.bm25(index, _all_words(spark, sf_dir, 2), 10))
+
+
+def _forms(spark, sf_dir):
+    """A query in one of six forms from each benchmark text's first three words."""
+    words = [F.coalesce(F.get("words", F.lit(i)), F.lit("zzz")) for i in range(3)]
+    asked = first_words(spark, sf_dir, 3).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    form = lambda text: F.format_string(text, *words)
+    kinds = [
+        "%1$s AND %2$s NOT %3$s", "%1$s OR %2$s", '"%1$s %2$s" OR %3$s', "(%1$s OR %2$s) AND text : %3$s", "%1$.3s* %2$s", '^%1$s OR %2$s + %3$s',
+    ]
+    return asked.select("query_id", F.get(F.array(*map(form, kinds)), (F.length("text") % 6).cast("int")).alias("query"))
+
+
+@query
+def match_language(spark, sf_dir):
+    """queries with operators, phrases, prefixes, columns and parentheses."""
+    return _ranked(matching.search(text_index(spark, sf_dir), _forms(spark, sf_dir), 10))
+
+
+@query
+def match_near(spark, sf_dir):
+    """all rows that hold two words of each question near each other."""
+    asked = first_words(spark, sf_dir, 2).where(F.size("words") > 1).select("query_id", F.format_string("NEAR(%s %s, 4)", F.get("words", F.lit(0)), F.get("words", F.lit(1))).alias("query"))
+    return matching.search(text_index(spark, sf_dir), asked, 1 << 30).select("query_id", "doc_id")
 
 
 def _terms(spark, sf_dir):
@@ -127,7 +160,7 @@ def _terms(spark, sf_dir):
 @query
 def bm25_multi_term_best(spark, sf_dir):
     """The best of three terms for each row that any finds."""
-    return search.best_term(_corpus(spark, sf_dir), _terms(spark, sf_dir), 20).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "term")
+    return search.best_term(text_index(spark, sf_dir), _terms(spark, sf_dir), 20).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "term")
 
 
 def _hybrid(spark, sf_dir):
@@ -138,7 +171,7 @@ def _hybrid(spark, sf_dir):
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
     )
     semantic = search.vector_top_k(asked, vectors, 20).withColumnRenamed("vec_id", "chunk_id")
-    keyword = search.best_term(_corpus(spark, sf_dir), _terms(spark, sf_dir), 20).withColumnRenamed("doc_id", "chunk_id")
+    keyword = search.best_term(text_index(spark, sf_dir), _terms(spark, sf_dir), 20).withColumnRenamed("doc_id", "chunk_id")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "text")
     names = docs.select(F.col("source").alias("document_id")).distinct().select(
         "document_id", F.concat("document_id", F.lit(".pdf")).alias("document_name"), F.upper("document_id").alias("document_type")
@@ -197,7 +230,7 @@ def off_corpus_flag(spark, sf_dir):
     """Whether the evidence grounds a question."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents")
-    hits = search.best_term(search.tokenised(docs), _terms(spark, sf_dir), 20)
+    hits = search.best_term(text_index(spark, sf_dir), _terms(spark, sf_dir), 20)
     rows = search.off_corpus(items, hits.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "text"))
     return rows.select("query_id", "n_words", F.round("grounding", 6).alias("grounding"), "off_corpus")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import postings
+from quillspark.session import shared_dir
+
 
 #: Tables of texts: a row takes far longer to work on than to move.
 TEXTS = "documents", "pages"
@@ -32,3 +37,14 @@ def first_words(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     from quillspark.functions.text import tokens
 
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, n).alias("words"))
+
+
+_INDEXES: dict[str, postings.Stored] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> postings.Stored:
+    """The stored index of the documents; the first query of a session that asks for it builds it in the shared folder."""
+    folder = f"{shared_dir(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if folder not in _INDEXES:
+        _INDEXES[folder] = postings.build(table(spark, sf_dir, "documents"), folder)
+    return _INDEXES[folder]

@@ -37,6 +37,17 @@ def test_no_python_runs(spark, name):
 
 
 def test_only_words_asked_for_leave_their_rows(spark):
-    """BM25 filters a row's tokens before it spreads them."""
-    text = plan(QUERIES["bm25_topk_and"](spark, SF))
+    """BM25 over tokenised rows filters a row's tokens before it spreads them."""
+    from quillspark.operators import search
+    from quillspark.plans.queries import _all_words
+    from quillspark.plans.tables import table
+
+    text = plan(search.bm25(search.tokenised(table(spark, SF, "documents")), _all_words(spark, SF, 3), 10))
     assert "explode(filter(toks" in text and "explode(toks" not in text
+
+
+def test_searches_read_the_index(spark):
+    """BM25 over the stored index reads the partitions of its words, and no text."""
+    text = plan(QUERIES["bm25_topk_and"](spark, SF))
+    assert "documents.parquet" not in text and "index-" in text
+    assert "bucket#" in text.split("PartitionFilters: [")[1].split("]")[0] and "In(word, [" in text
