@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ZERO_QUERY, OTHER_DIMENSION = "the query is a zero vector", "the query has another dimension than a candidate"
+
 
 def dot(a: Column, b: Column) -> Column:
     """Null where the sizes differ."""
@@ -28,6 +32,22 @@ def cosine(a: Column, b: Column, a_norm: Column | None = None, b_norm: Column |
     return F.when(scale > 0, dot(a, b) / F.sqrt(scale))
 
 
+def checked_cosine(a: Column, query: Column, a_norm: Column, query_norm: Column) -> Column:
+    """cosine, where a zero query and a query of another dimension are errors."""
+    error = lambda why: F.raise_error(F.lit(why)).cast("double")
+    wrong = F.when(query_norm == 0, error(ZERO_QUERY)).when(F.size(a) != F.size(query), error(OTHER_DIMENSION))
+    return F.coalesce(wrong, cosine(a, query, a_norm, query_norm))
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as rows of doubles; others are an error."""
+    rows = vectors.combine_chunks()
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+    if len(rows) and (sizes != sizes[0]).any():
+        raise ValueError(OTHER_DIMENSION)
+    return rows.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(rows), -1) if len(rows) else np.empty((0, 0))
+
+
 def to_text(a: Column) -> Column:
     return F.to_json(a)
 

@@ -5,6 +5,8 @@ A batch is a table of queries; every rank and every normalisation is within its
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +14,25 @@ from quillspark.functions import text as T
 from quillspark.functions import vectors as X
 from quillspark.operators import matching, postings
 
-#: Rows of a query table up to which it is broadcast to the corpus; a larger one is scored in pieces.
-BROADCAST_QUERIES = 2_000
+#: Rows of a query table up to which it is broadcast to the corpus; a larger one meets it in tiles of TILE queries and TILE vectors.
+BROADCAST_QUERIES, TILE = 2_000, 20_000
 #: Words (some 40 bytes each) up to which their table is broadcast.
 BROADCAST_WORDS = 200_000
 
 
-def _query_parts(queries: DataFrame, key: str) -> list[DataFrame]:
-    """The queries in parts small enough to broadcast."""
-    parts = -(-queries.count() // BROADCAST_QUERIES)
-    return [queries] if parts <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
-
-
 def vector_top_k(
     queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", within: DataFrame | None = None, parents: DataFrame | None = None,
-    parent_key: str = "document_id", allowed: DataFrame | None = None
+    parent_key: str = "document_id", allowed: DataFrame | None = None, model: str | None = None, model_column: str = "embedding_model"
 ) -> DataFrame:
     """query_id, rank, key, score: the k vectors of most cosine, by score and then key.
 
     queries: query_id, query_vector. vectors: key, embedding. within: keys that may be found (an empty table finds
     nothing). parents: existing parents; vectors without one are left out. allowed: query_id, parent_key: the parents
-    each query may find; queries that it does not name find nothing. Zero vectors are never found.
+    each query may find; queries that it does not name find nothing. model: only vectors of this embedding model are
+    candidates. Null and zero vectors are never found. A zero query vector, and a candidate of another dimension than the query's, is an error.
     """
+    if model is not None:
+        vectors = vectors.where(F.col(model_column) == model)
     if within is not None:
         vectors = vectors.join(within.select(key).distinct(), key, "left_semi")
     if parents is not None:
@@ -41,17 +40,56 @@ def vector_top_k(
     columns = [key] if allowed is None or parent_key == key else [key, parent_key]
     base = vectors.select(*columns, "embedding", X.squared_norm(F.col("embedding")).alias("norm")).where("norm > 0")
     asked = queries.select("query_id", "query_vector", X.squared_norm(F.col("query_vector")).alias("query_norm"))
+    few = asked.count() <= BROADCAST_QUERIES
+    if allowed is None and not few:
+        scored = _tile_scores(base, asked, k, key)
+    else:
+        small = F.broadcast(asked) if few else asked
+        pairs = base.join(small) if allowed is None else base.join(allowed.select("query_id", parent_key).distinct(), parent_key).join(small, "query_id")
+        score = X.checked_cosine(F.col("embedding"), F.col("query_vector"), F.col("norm"), F.col("query_norm"))
+        scored = pairs.select("query_id", key, score.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    found = None
-    for part in _query_parts(asked, "query_id"):
-        score = X.cosine(F.col("embedding"), F.col("query_vector"), F.col("norm"), F.col("query_norm"))
-        pairs = base.join(F.broadcast(part)) if allowed is None else base.join(
-            allowed.select("query_id", parent_key).distinct(), parent_key
-        ).join(F.broadcast(part), "query_id")
-        scored = pairs.select("query_id", key, score.alias("score")).where("score is not null")
-        top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = top if found is None else found.unionByName(top)
-    return found.select("query_id", "rank", key, "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def _tile_scores(base: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
+    """query_id, key, score: of each tile (a block of queries and a block of vectors) the k best of each of its queries.
+
+    Vectors are read once and sent to as many tiles as there are blocks of queries. Sums run over the dimensions in their
+    order, as they do elsewhere, so that equal vectors have equal scores in every tile.
+    """
+    across, down = -(-base.count() // TILE) or 1, -(-asked.count() // TILE)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    vectors = base.select(F.col(key).alias("key"), "embedding", "norm", block(key, across).alias("across"), every(down).alias("down"))
+    queries = asked.select("query_id", "query_vector", "query_norm", block("query_id", down).alias("down"), every(across).alias("across"))
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *queries.schema)}
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("key")  # of equal scores the smaller key stays first
+        v, q = X.matrix(left["embedding"]), X.matrix(right["query_vector"])
+        norm, query_norm = left["norm"].to_numpy(), right["query_norm"].to_numpy()
+        if not (len(q) and len(v)):
+            return pa.table({"query_id": right["query_id"].slice(0, 0), "key": left["key"].slice(0, 0), "score": pa.array([], pa.float64())})
+        if (query_norm == 0).any():
+            raise ValueError(X.ZERO_QUERY)
+        if v.shape[1] != q.shape[1]:
+            raise ValueError(X.OTHER_DIMENSION)
+        top, place = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+        for at in range(0, len(v), 512):
+            part = v[at : at + 512]
+            dots = np.zeros((len(q), len(part)))
+            for d in range(v.shape[1]):
+                dots += q[:, d : d + 1] * part[:, d]
+            scores = np.hstack([top, dots / np.sqrt(norm[at : at + 512] * query_norm[:, None])])
+            places = np.hstack([place, np.broadcast_to(np.arange(at, at + len(part)), dots.shape)])
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            top, place = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
+        rows = np.repeat(np.arange(len(q)), top.shape[1])
+        return pa.table({"query_id": right["query_id"].take(pa.array(rows)), "key": left["key"].take(pa.array(place.ravel())), "score": top.ravel()})
+
+    tiles = vectors.groupBy("across", "down").cogroup(queries.groupBy("across", "down"))
+    return tiles.applyInArrow(best, f"query_id {kinds['query_id']}, key {kinds['key']}, score double").withColumnRenamed("key", key)
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
