@@ -116,11 +116,55 @@ ORACLES["appended_rows"] = "SELECT doc_id, quality, toxic FROM labels UNION ALL
 ORACLES["document_types"] = "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'QCO' WHEN 2 THEN NULL ELSE 'OTHER' END AS document_type FROM part"
 ORACLES["owned_fetch"] = "SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN user_id % 5 END AS owner FROM events WHERE user_id % 7 = 0 OR user_id % 5 = 3"
 ORACLES["document_states"] = "SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'failed' ELSE 'completed' END AS status FROM part"
+_STAGES = """RECURSIVE e AS (
+        SELECT user_id AS document_id, ts, event_id,
+            ['processing', 'text_extracted', 'features_extracted', 'completed', 'failed', 'processing', 'paused'][event_id * 5 % 7 + 1] AS status,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS i
+        FROM events),
+    legal(a, b) AS (VALUES
+        ('uploaded', 'processing'), ('uploaded', 'failed'), ('processing', 'text_extracted'), ('processing', 'failed'), ('text_extracted', 'features_extracted'),
+        ('text_extracted', 'failed'), ('features_extracted', 'completed'), ('features_extracted', 'failed')),
+    f AS (
+        SELECT document_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS status, NULL::VARCHAR AS before, 'uploaded' AS after FROM (SELECT DISTINCT document_id FROM e)
+        UNION ALL
+        SELECT e.document_id, e.i, e.event_id, e.status, f.after, CASE WHEN (f.after, e.status) IN (SELECT (a, b) FROM legal) THEN e.status ELSE f.after END
+        FROM f JOIN e ON e.document_id = f.document_id AND e.i = f.i + 1)"""
+ORACLES["stage_transitions"] = f"WITH {_STAGES} SELECT document_id, event_id, status, before, after, before <> after AS accepted FROM f WHERE i > 0"
+ORACLES["stage_states"] = f"""WITH {_STAGES}
+    SELECT document_id, max_by(after, i) AS state, count(*) FILTER (i > 0 AND before <> after) AS n_accepted, count(*) FILTER (i > 0 AND before = after) AS n_illegal
+    FROM f GROUP BY document_id"""
+
+ORACLES["external_attempts"] = """
+    WITH RECURSIVE r AS (
+        SELECT l_suppkey AS query_id, l_orderkey AS position, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS identifier,
+            CASE WHEN l_quantity >= 8 THEN l_partkey % 97 END AS content, l_tax = 0 AS refused, l_returnflag <> 'N' AS completed
+        FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, identifier) AS i FROM r),
+    a AS (SELECT *, row_number() OVER (ORDER BY query_id, i) AS g FROM n WHERE i <= 3),
+    -- one attempt after another: the contents known so far, and whether this search is over
+    t AS (
+        SELECT 0::BIGINT AS g, NULL::BIGINT AS query_id, NULL::BIGINT AS position, NULL::VARCHAR AS identifier, false AS over_, NULL::VARCHAR AS outcome,
+            (SELECT list(DISTINCT p_partkey % 97) FROM part WHERE p_partkey < 5) AS known
+        UNION ALL
+        SELECT g, query_id, position, identifier, over_ OR outcome IN ('duplicate', 'ingested'), outcome,
+            CASE WHEN outcome IN ('incomplete', 'ingested') THEN list_append(known, content) ELSE known END
+        FROM (
+            SELECT *, CASE WHEN over_ THEN 'not tried' WHEN content IS NULL THEN 'unreachable' WHEN refused THEN 'refused'
+                WHEN list_contains(known, content) THEN 'duplicate' WHEN completed THEN 'ingested' ELSE 'incomplete' END AS outcome
+            FROM (SELECT a.*, t.known, t.over_ AND t.query_id = a.query_id AS over_ FROM t JOIN a ON a.g = t.g + 1)))
+    SELECT query_id, position, identifier, outcome FROM t WHERE g > 0"""
+
+_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS word FROM benchmark"
+ORACLES["dictionary_parts"] = f"""WITH w AS ({_WORDS})
+    SELECT DISTINCT word, p_partkey FROM part JOIN w ON contains(lower(p_name), word) OR contains(lower(p_type), word)"""
+ORACLES["dictionary_categories"] = f"""WITH w AS (SELECT * FROM ({_WORDS}) WHERE length(word) >= 9)
+    SELECT DISTINCT doc_id, left(word, 1) AS category FROM documents JOIN w ON contains(lower(text), word)"""
+
 ORACLES["reindex_completed"] = "SELECT doc_id, source, CASE WHEN lang = 'en' AND source <> 'src0' THEN -n_chars ELSE n_chars END AS n_chars FROM documents"
-ORACLES["fallbacks"] = """WITH a AS (SELECT l_partkey AS query_id, bool_or(l_returnflag = 'A') AS any_ FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
+ORACLES["fallbacks"] = """WITH a AS (SELECT l_partkey AS query_id, bool_or(l_returnflag = 'A') AS any_ FROM lineitem GROUP BY ALL)
     SELECT p_partkey AS query_id, p_size % 4 <> 0 AND NOT coalesce(any_, false) AS fallback, CASE WHEN p_size % 2 = 1 AND p_type <> '' THEN p_type WHEN p_size % 3 = 0 THEN p_name ELSE lower(p_brand) END AS words FROM part LEFT JOIN a ON query_id = p_partkey"""
 ORACLES["evidence_standards"] = "SELECT DISTINCT o_orderkey, p_partkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'"
-ORACLES["session_users"] = """SELECT sha256((l_orderkey * 2)::VARCHAR) AS token, c_custkey AS user_id, c_name AS username FROM lineitem JOIN orders ON o_orderkey = l_orderkey * 2 JOIN customer ON c_custkey = o_custkey WHERE l_linenumber = 2"""
+ORACLES["session_users"] = """SELECT sha256((l_orderkey * 2)::VARCHAR) AS token, c_custkey AS user_id, c_name AS username FROM lineitem JOIN orders ON o_orderkey = l_orderkey * 2 JOIN customer ON c_custkey = o_custkey"""
 ORACLES["touched"] = "SELECT event_id, now() > ts AS later FROM events"
 _HASHED = "list_sum(list_transform(string_split({x}, ''), lambda c: unicode(c)))::BIGINT"
 ORACLES["unit_vectors"] = f"""WITH s AS (SELECT doc_id, {_HASHED.format(x="'passage: ' || text")} AS t FROM documents), v AS (SELECT doc_id, list_transform(range(8), lambda i: ((t + i) % 100) / 100) AS v FROM s)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as X
-from quillspark.operators import catalogue, chunking, ingest, prompts, rules, safety, search
+from quillspark.operators import attempts, catalogue, chunking, dictionary, ingest, lifecycle, prompts, rules, safety, search
 from quillspark.plans import discovery
 from quillspark.plans.tables import first_words, table
 from quillspark.sources import documents as pages_of
@@ -244,6 +244,59 @@ def document_states(spark, sf_dir):
     )
 
 
+STATUSES = ["processing", "text_extracted", "features_extracted", "completed", "failed", "processing", "paused"]
+
+
+def _stage_events(spark, sf_dir):
+    status = F.get(F.array(*map(F.lit, STATUSES)), (F.col("event_id") * 5 % 7).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "ts", "event_id", status.alias("status"))
+
+
+@query
+def stage_transitions(spark, sf_dir):
+    """Each event's state before and after, and whether it was a legal step."""
+    return lifecycle.transitions(_stage_events(spark, sf_dir), "document_id", ["ts", "event_id"]).drop("ts")
+
+
+@query
+def stage_states(spark, sf_dir):
+    """The state that a document's events lead to."""
+    return lifecycle.final_states(lifecycle.transitions(_stage_events(spark, sf_dir), "document_id", ["ts", "event_id"]), "document_id", ["ts", "event_id"])
+
+
+@query
+def external_attempts(spark, sf_dir):
+    """Results of a search tried in order, up to the first success or duplicate; one search for each supplier."""
+    lines = table(spark, sf_dir, "lineitem")
+    content = F.sha2((F.col("l_partkey") % 97).cast("string").cast("binary"), 256)
+    results = lines.select(
+        F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("position"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("identifier"),
+        F.when(F.col("l_quantity") >= 8, content).alias("content_hash"), (F.col("l_tax") == 0).alias("refused"), (F.col("l_returnflag") != "N").alias("completed"),
+    )
+    known = table(spark, sf_dir, "part").where("p_partkey < 5").select(F.sha2((F.col("p_partkey") % 97).cast("string").cast("binary"), 256).alias("content_hash"))
+    return attempts.attempts(results, known).drop("content_hash")
+
+
+def _words(spark, sf_dir, least):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    return words.where(F.length("word") >= least).distinct()
+
+
+@query
+def dictionary_parts(spark, sf_dir):
+    """Every word of the questions searched in two columns of the catalogue."""
+    asked = _words(spark, sf_dir, 1).select(F.col("word").alias("query_id"), F.col("word").alias("words"))
+    found = dictionary.found_in_any(table(spark, sf_dir, "part"), asked, "p_partkey", ["p_name", "p_type"])
+    return found.withColumnRenamed("query_id", "word")
+
+
+@query
+def dictionary_categories(spark, sf_dir):
+    """Documents with any keyword of a category; the keywords are a table, a category its first letter."""
+    words = _words(spark, sf_dir, 9).select(F.left("word", F.lit(1)).alias("category"), F.col("word").alias("keyword"))
+    return dictionary.categories(table(spark, sf_dir, "documents"), words, "doc_id")
+
+
 @query
 def reindex_completed(spark, sf_dir):
     """Only completed documents are indexed anew."""
@@ -260,7 +313,7 @@ def fallbacks(spark, sf_dir):
         F.col("p_partkey").alias("query_id"),
         F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("terms")
     )
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("query_id"),
         F.when(F.col("l_returnflag") == "A", "POTENTIALLY_APPLICABLE").otherwise("NEEDS_CLARIFICATION").alias("applicability_status")
     )
@@ -293,7 +346,7 @@ def session_users(spark, sf_dir):
         F.col("o_orderdate").alias("expires")
     )
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
-    asked = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.sha2((F.col("l_orderkey") * 2).cast("string"), 256).alias("token"))
+    asked = table(spark, sf_dir, "lineitem").select(F.sha2((F.col("l_orderkey") * 2).cast("string"), 256).alias("token"))
     return catalogue.users_of(asked, sessions, users).select("token", "user_id", "username")
 
 
