@@ -1,19 +1,24 @@
 """Word lists, patterns and constants that results depend on."""
 
+# What \s, \d and \b mean for text of any script: Java's own differ among the controls and at letters, digits and marks beyond ASCII.
+SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, DIGIT = f"[{SPACE_CHARS}]", r"\p{Nd}"
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
 # fixed values
-STANDARD_NUMBER = r"(?U)\bIS(?:/[A-Z]+)?\s*\d{2,6}(?:[\s\-:]\d+)?\b"
-FILE_STANDARD_NUMBER = r"(?i)(?:^|[^a-z0-9])is[._\-\s]*(\d{2,6})"
+STANDARD_NUMBER = rf"{WORD_START}IS(?:/[A-Z]+)?{SPACE}*{DIGIT}{{2,6}}(?:[{SPACE_CHARS}\-:]{DIGIT}+)?{WORD_END}"
+FILE_STANDARD_NUMBER = rf"(?iu)(?:^|[^a-z0-9])is[._\-{SPACE_CHARS}]*({DIGIT}{{2,6}})"
 ORDINALS = "First|Second|Third|Fourth|Fifth|Sixth|Seventh|Eighth|Ninth|Tenth"
-EDITION = rf"(?i)\b({ORDINALS})\s+(Revision|Edition|Reprint)\b"
-YEAR = r"\b(19[5-9]\d|20\d\d)\b"
-TITLE_MARKER = r"(?i)^Indian Standard$"
+EDITION = rf"(?iu){WORD_START}({ORDINALS}){SPACE}+(Revision|Edition|Reprint){WORD_END}"
+YEAR = rf"{WORD_START}(19[5-9]{DIGIT}|20{DIGIT}{DIGIT}){WORD_END}"
+TITLE_MARKER = r"(?iu)^Indian Standard$"
 # "*+" keeps what it has taken: Java's matcher runs it as a loop, where a plain "*" over a group recurses once a repeat and overflows the stack
-HEADING_NUMBER = r"\d+(?:\.\d+)*+"
-TITLE_END = rf"(?i)^\(?\s*({ORDINALS})\s+(Revision|Edition|Reprint)\s*\)?$|^ICS\b|^©|^{HEADING_NUMBER}\s+[A-Z]"
+HEADING_NUMBER = rf"{DIGIT}+(?:\.{DIGIT}+)*+"
+TITLE_END = rf"(?iu)^\(?{SPACE}*({ORDINALS}){SPACE}+(Revision|Edition|Reprint){SPACE}*\)?$|^ICS{WORD_END}|^©|^{HEADING_NUMBER}{SPACE}+[A-Z]"
 HEADING_WORDS = r"[A-Z][A-Za-z0-9 ,\-/&()]{2,80}"
-HEADING_LINE = rf"{HEADING_NUMBER}\s+{HEADING_WORDS}"
-HEADING_PARTS = rf"(?md)^({HEADING_NUMBER})\s+({HEADING_WORDS})$"
-SCOPE_LINE = rf"^{HEADING_NUMBER}[ \t]+(?i:SCOPE)[ \t]*$|^(?i:SCOPE)[ \t]*$"
+HEADING_LINE = rf"{HEADING_NUMBER}{SPACE}+{HEADING_WORDS}"
+HEADING_PARTS = rf"(?md)^({HEADING_NUMBER}){SPACE}+({HEADING_WORDS})$"
+SCOPE_LINE = rf"^{HEADING_NUMBER}[ \t]+(?iu:SCOPE)[ \t]*$|^(?iu:SCOPE)[ \t]*$"
 METADATA_PAGES = 6
 TITLE_LINES = 5
 CHUNK_CHARS = 800

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -22,7 +22,12 @@ def strings(values: Sequence[str]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{V.SPACE}+|{V.SPACE}+$", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, also where body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -206,10 +211,27 @@ def hash_embedding(text: Column, dimension: int = 8) -> Column:
 
 def table_block(rows: Column) -> Column:
     """A detected table (array of arrays of cells) as delimited text."""
-    lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "))
+    lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))), " | "))
     return F.concat(F.lit("[TABLE]\n"), F.array_join(lines, "\n"), F.lit("\n[/TABLE]"))
 
 
+def with_table_blocks(text: Column, tables: Column) -> Column:
+    """A page's text with each table's flattened text, where it occurs, replaced by its block: the first occurrence, table after table.
+
+    tables: array of structs of flat (the text of the table's region) and rows (arrays of cells). A table without rows, or whose
+    text is blank or not there as it is, changes nothing; null tables are none.
+    """
+
+    def put(page: Column, t: Column) -> Column:
+        flat = strip(t["flat"])
+        at = F.position(flat, page)
+        there = (F.size(t["rows"]) > 0) & (flat != "") & (at > 0)
+        changed = F.concat(F.substr(page, F.lit(1), at - 1), table_block(t["rows"]), F.substr(page, at + F.length(flat)))
+        return F.when(F.coalesce(there, F.lit(False)), changed).otherwise(page)
+
+    return F.when(F.size(tables) > 0, F.aggregate(tables, text, put)).otherwise(text)
+
+
 def is_safe_rephrase(new: Column, old: Column) -> Column:
     return (F.length(new) > 0) & (F.length(new) <= F.length(old) * 1.5 + 40) & ~F.contains(new, F.lit("\n"))
 

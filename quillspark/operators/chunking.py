@@ -37,20 +37,43 @@ def paragraph_list(text: Column, separator: str = "\n\n") -> Column:
     return F.filter(F.transform(F.split(text, separator, -1), T.strip), lambda x: x != "")
 
 
+#: Paragraphs whose lengths are folded at once.
+PACK_BLOCK = 256
+
+
 def pack(paragraphs: Column, most: int = V.CHUNK_CHARS, overlap: int = V.OVERLAP_CHARS, separator: str = "\n\n") -> Column:
-    """Paragraphs packed in order into chunks of about most characters; a new chunk starts with the end of the one before."""
-    sep = F.lit(separator)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(s: Column, p: Column) -> Column:
-        joined = F.when(s["now"] == "", p).otherwise(F.concat(s["now"], sep, p))
-        fits = (s["now"] == "") | (F.length(joined) <= most)
-        more = F.struct(s["done"].alias("done"), joined.alias("now"))
-        tail = F.substr(s["now"], F.greatest(F.lit(1), F.length(s["now"]) - overlap + 1))
-        close = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.concat(tail, sep, p).alias("now"))
-        return F.when(fits, more).otherwise(close)
-
-    return F.aggregate(paragraphs, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    """Paragraphs packed in order into chunks of about most characters; a new chunk starts with the end of the one before.
+
+    Where chunks are cut follows from lengths alone: they are folded block by block, first to the length each block starts with,
+    then within each block to its cuts; texts are sliced and joined once. What a chunk starts with is the end of all that was
+    said before it, since each chunk holds the end of the one before.
+    """
+    sep, gap = F.lit(separator), len(separator)
+    longer = lambda now, n: F.when(now == 0, n).when(now + gap + n <= most, now + gap + n).otherwise(F.least(now, F.lit(overlap)) + gap + n)
+    cuts = lambda now, n: (now > 0) & (now + gap + n > most)
+    zero, none = F.lit(0), lambda kind: F.array().cast(f"array<{kind}>")
+    pair = lambda now, out: F.struct(now.alias("now"), out.alias("out"))
+
+    def joined(ps: Column) -> Column:
+        lengths = F.transform(ps, F.length)
+        blocks = lambda ls: F.transform(F.sequence(zero, F.floor((F.size(ps) - 1) / PACK_BLOCK).cast("int")), lambda b: F.slice(ls, b * PACK_BLOCK + 1, F.lit(PACK_BLOCK)))
+        starts = lambda bs: F.aggregate(
+            bs, pair(zero, none("int")), lambda s, b: pair(F.aggregate(b, s["now"], longer), F.concat(s["out"], F.array(s["now"])))
+        )["out"]
+        within = lambda b, now: F.aggregate(
+            b, pair(now, none("boolean")), lambda s, n: pair(longer(s["now"], n), F.concat(s["out"], F.array(cuts(s["now"], n))))
+        )["out"]
+        flags = T.let(T.let(lengths, blocks), lambda bs: F.flatten(F.zip_with(bs, starts(bs), within)))
+        firsts = T.let(flags, lambda fs: F.filter(F.sequence(zero, F.size(ps) - 1), lambda i: (i == 0) | F.get(fs, i)))
+
+        def chunk(at: Column, end: Column) -> Column:
+            body = F.array_join(F.slice(ps, at + 1, end - at), separator)
+            before = F.array_join(F.slice(ps, F.greatest(at - overlap, zero) + 1, F.least(at, F.lit(overlap))), separator)
+            return F.when(at == 0, body).otherwise(F.concat(F.right(before, F.lit(overlap)), sep, body))
+
+        return T.let(firsts, lambda fs: F.transform(fs, lambda at, j: chunk(at, F.coalesce(F.get(fs, j + 1), F.size(ps)))))
+
+    return T.let(paragraphs, lambda ps: F.when(F.size(ps) > 0, joined(ps)).otherwise(none("string")))
 
 
 def chunks(pages: DataFrame, heading: str = V.HEADING_LINE, separator: str = "\n\n", most: int = V.CHUNK_CHARS, overlap: int = V.OVERLAP_CHARS) -> DataFrame:

@@ -31,10 +31,22 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+#: Contents that more rows than this and this share of all rows have are fewer than 100,000; they are broadcast.
+HOT_ROWS, HOT_SHARE = 1_000, 1e-5
+
+
 def first_by_content(docs: DataFrame, content: str, order: str) -> DataFrame:
-    """docs with content_hash and first: the order value of the first row with that content. A hash that very many rows share costs one row a task."""
+    """docs with content_hash and first: the order value of the first row with that content.
+
+    Rows of a content that very many share, such as a blank page's, stay where they are.
+    """
     rows = docs.withColumn("content_hash", content_hash(F.col(content)))
-    return rows.join(rows.groupBy("content_hash").agg(F.min(order).alias("first")), "content_hash")
+    firsts = rows.groupBy("content_hash").agg(F.min(order).alias("first"), F.count("*").alias("n_alike"))
+    many = F.col("n_alike") > max(HOT_ROWS, HOT_SHARE * docs.count())
+    hot = F.broadcast(firsts.where(many).select("content_hash", F.col("first").alias("hot_first"), F.lit(True).alias("is_hot")))
+    told = rows.join(hot, "content_hash", "left")
+    rest = told.where("is_hot is null").drop("is_hot", "hot_first").join(firsts.where(~many).drop("n_alike"), "content_hash", "left")
+    return rest.unionByName(told.where("is_hot").drop("is_hot").withColumnRenamed("hot_first", "first"))
 
 
 def new_only(incoming: DataFrame, existing: DataFrame, key: str | list[str]) -> DataFrame:

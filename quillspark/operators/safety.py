@@ -92,23 +92,21 @@ def unverified_numbers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 def trimmed(text: Column) -> Column:
     """An answer on a question off the corpus, cut where it stops reporting the documents."""
     whole = T.strip(text)
-    pieces = F.filter(F.split(whole, r"(?U)(?<=[.!?])\s+|\n+", -1), lambda p: F.length(T.strip(p)) > 0)
+    pieces = F.filter(F.split(whole, rf"(?<=[.!?]){V.SPACE}+|\n+", -1), lambda p: F.length(T.strip(p)) > 0)
     opens = "^(?:" + "|".join(x.replace(".", r"\.") for x in V.SPECULATION_OPENERS) + ")"
-    leads = lambda p: T.contains_any(p, T.strings(V.SUMMARY_LEAD_INS))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("stop"))
 
-    def step(s: Column, p: Column) -> Column:
+    def ends(p: Column, before: Column) -> Column:
         probe = F.regexp_replace(F.lower(T.strip(p)), r"^[*\-•#0123456789. )]+", "")
         item = p.rlike(r"^\s*(?:\d+[.)]|[-*•])\s+")
-        last = F.get(s["kept"], F.size(s["kept"]) - 1)
-        ends = (F.size(s["kept"]) > 0) & (probe.rlike(opens) | p.rlike(V.OUTSIDE_BODIES) | (item & ~F.coalesce(leads(last), F.lit(False))))
-        stop = s["stop"] | ends
-        return F.struct(F.when(stop, s["kept"]).otherwise(F.concat(s["kept"], F.array(p))).alias("kept"), stop.alias("stop"))
-
-    kept = F.aggregate(
-        pieces, start, step,
-        lambda s: F.when(s["stop"], F.concat(F.array_join(F.transform(s["kept"], T.strip), " "), F.lit("\n\n" + V.TRIM_NOTICE)))
-    )
+        return probe.rlike(opens) | p.rlike(V.OUTSIDE_BODIES) | (item & ~F.coalesce(T.contains_any(before, T.strings(V.SUMMARY_LEAD_INS)), F.lit(False)))
+
+    def cut(ps: Column) -> Column:
+        # all pieces before the first that ends it are kept, so each is judged by the one before it, and the array is cut once
+        stop = F.array_position(F.transform(ps, lambda p, i: (i > 0) & ends(p, F.get(ps, i - 1))), F.lit(True)).cast("int")
+        kept = F.array_join(F.transform(F.slice(ps, F.lit(1), F.greatest(stop - 1, F.lit(0))), T.strip), " ")
+        return F.when(stop > 0, F.concat(kept, F.lit("\n\n" + V.TRIM_NOTICE)))
+
+    kept = T.let(pieces, cut)
     return F.when(whole == "", text).otherwise(F.coalesce(kept, whole))
 
 

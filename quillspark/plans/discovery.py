@@ -1,7 +1,8 @@
 """The two question flows end to end: plain retrieval, and product discovery.
 
-An embedder is any function from a text column to a vector column, so a model comes in as a pandas UDF and tests
-use the hash embedder. Questions and passages carry their prefixes only on the way to it.
+An embedder is any function from a text column to a vector column: a batch embedder (`operators.embedding`) for a model,
+or the hash embedder of tests. Questions and passages carry their prefixes only on the way to it, and only vectors of
+the questions' own model are compared with them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fixed_values as V
 from quillspark.functions import text as T
 from quillspark.operators import chunking, hybrid, rules, search
+from quillspark.operators.embedding import model_name
 
 Embedder = Callable[[Column], Column]
 
@@ -41,12 +43,12 @@ def user_problem(username: Column, pin: Column) -> Column:
 
 
 def index(pages: DataFrame, embed: Embedder = T.hash_embedding, **options) -> DataFrame:
-    """Chunks with chunk_id, embedding, toks and dl: the one table that all searches read."""
+    """Chunks with chunk_id, embedding and its model, toks and dl: the one table that all searches read."""
     chunks = chunking.chunks(pages, **options)
     name = F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)
     return chunks.select(
         name.alias("chunk_id"), "*", embed(F.concat(F.lit(PASSAGE_PREFIX), "text")).alias("embedding"),
-        T.tokens(F.col("text")).alias("toks"), T.n_tokens(F.col("text")).alias("dl")
+        F.lit(model_name(embed)).alias("embedding_model"), T.tokens(F.col("text")).alias("toks"), T.n_tokens(F.col("text")).alias("dl")
     )
 
 
@@ -56,12 +58,15 @@ RESTRICTIONS = "document_id", "standard_id"
 def linked(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """query_id, document_id that a restricted question may find: its document, or those of its standard.
 
-    questions: query_id, document_id, standard_id (both nullable); a question that gives both is an error.
+    questions: query_id, document_id, standard_id (both nullable); a question that gives both, or a document that doesn't exist,
+    is an error. A standard without documents finds nothing.
     """
     both = F.col("want_doc").isNotNull() & F.col("want_std").isNotNull()
     asked = questions.select("query_id", F.col("document_id").alias("want_doc"), F.col("standard_id").alias("want_std"))
     asked = asked.where(F.when(both, F.raise_error(F.lit("document_id and standard_id exclude each other")).cast("boolean")).otherwise(True))
-    one = asked.join(documents, F.col("want_doc") == documents["document_id"]).select("query_id", "document_id")
+    named = asked.where("want_doc is not null").join(documents.select("document_id").distinct(), F.col("want_doc") == F.col("document_id"), "left")
+    unknown = F.raise_error(F.concat(F.lit("there is no document "), F.col("want_doc"))).cast("string")
+    one = named.select("query_id", F.coalesce("document_id", unknown).alias("document_id"))
     some = asked.join(documents, F.col("want_std") == documents["standard_id"]).select("query_id", "document_id")
     return one.unionByName(some)
 
@@ -80,8 +85,9 @@ def retrieve(
         questions = questions if c in questions.columns else questions.withColumn(c, F.lit(None).cast("string"))
     free = F.col("document_id").isNull() & F.col("standard_id").isNull()
     vectors = lambda rows: rows.select("query_id", embed(F.concat(F.lit(QUERY_PREFIX), "text")).alias("query_vector"))
-    hits = search.vector_top_k(vectors(questions.where(free)), chunks, top_k, "chunk_id", parents=parents)
-    few = search.vector_top_k(vectors(questions.where(~free)), chunks, top_k, "chunk_id", parents=parents, allowed=linked(questions, documents))
+    of = {"key": "chunk_id", "parents": parents, "model": model_name(embed) if "embedding_model" in chunks.columns else None}
+    hits = search.vector_top_k(vectors(questions.where(free)), chunks, top_k, **of)
+    few = search.vector_top_k(vectors(questions.where(~free)), chunks, top_k, allowed=linked(questions, documents), **of)
     found = hits.unionByName(few).join(chunks.select("chunk_id", "document_id", "page_number", "section", "text"), "chunk_id")
     rows = found.join(documents.select("document_id", "document_name", "document_type"), "document_id", "left")
     return rows.select(

@@ -133,7 +133,7 @@ def test_vectors(spark):
         (5, [0.7, 0.3, 0.0], "c"), (6, None, "c")
     ]
     table = spark.createDataFrame(rows, "vec_id int, embedding array<float>, document_id string")
-    asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0]), ("zero", [0.0] * 3)], "query_id string, query_vector array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, query_vector array<float>")
     top = lambda **o: [r.vec_id for r in search.vector_top_k(asked, table, 3, **o).orderBy("rank").collect()]
     assert top() == [1, 5, 3]
     assert top(parents=spark.createDataFrame([("b",)], "document_id string")) == [3]
