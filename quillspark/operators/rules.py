@@ -43,16 +43,22 @@ def update_decision(field: Column, old: Column, new: Column) -> Column:
     return F.when(field == "product_category", category_decision(old, new)).when(field == "intended_use", use_decision(old, new)).otherwise(KEEP)
 
 
-def category_question(old: Column, new: Column) -> Column:
-    words = lambda c: F.replace(T.category(c), F.lit("_"), F.lit(" "))
+def category_text(old: Column, new: Column) -> Column:
+    """The question about two categories of the controlled list."""
+    words = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     return F.concat(F.lit("Earlier you described this as a "), words(old), F.lit(", but this message suggests a "), words(new), F.lit(". Which is correct?"))
 
 
+def use_text(old: Column, new: Column) -> Column:
+    return F.concat(F.lit("Earlier you said this was for "), old, F.lit(" use, but this message suggests "), new, F.lit(" use. Which is correct?"))
+
+
+def category_question(old: Column, new: Column) -> Column:
+    return category_text(T.category(old), T.category(new))
+
+
 def use_question(old: Column, new: Column) -> Column:
-    return F.concat(
-        F.lit("Earlier you said this was for "), T.intended_use(old), F.lit(" use, but this message suggests "), T.intended_use(new),
-        F.lit(" use. Which is correct?")
-    )
+    return use_text(T.intended_use(old), T.intended_use(new))
 
 
 def fold_profiles(updates: DataFrame, fields: Sequence[str] = V.PROFILE_FIELDS) -> DataFrame:
