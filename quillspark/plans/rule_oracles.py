@@ -207,7 +207,7 @@ ORACLES["embedded_documents"] = """
     n AS (SELECT doc_id, place, count(*) AS n FROM g GROUP BY ALL),
     s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm, sum(n * place) AS places, count(*) AS k FROM n GROUP BY doc_id)
     SELECT doc_id, 'hashed-grams-3-384' AS model, 384 AS dimension, (CASE WHEN k IS NULL THEN 0 ELSE 1 END)::DOUBLE AS norm,
-        round(coalesce(places / norm / 384, 0.0), 4) AS mean_place, coalesce(k, 0)::DOUBLE AS n_places
+        round(coalesce(places / norm / 384, 0.0), 2) AS mean_place, coalesce(k, 0)::DOUBLE AS n_places
     FROM documents LEFT JOIN s USING (doc_id)"""
 ORACLES["restricted_retrieval"] = f"""WITH {_WORLD}, {_nearest("SELECT item_id AS query_id, text, CASE WHEN item_id % 3 = 1 THEN 'D' || (item_id % 60 - (item_id % 5 = 4)::INT) END AS want_doc, CASE WHEN item_id % 3 = 2 THEN 's' || item_id % 9 END AS want_std FROM benchmark", 4,
     "(want_doc IS NULL OR want_doc = c.document_id) AND (want_std IS NULL OR want_std = d.standard_id) AND d.document_type IN ('INDIAN_STANDARD', 'OTHER')")}

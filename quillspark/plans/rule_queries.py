@@ -403,7 +403,7 @@ def embedded_documents(spark, sf_dir):
     """Documents embedded in batches by a model of 384 dimensions: three moments of each vector."""
     embed = embedding.hashed_gram_embedder()
     rows = table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("v"))
-    moment = lambda f: F.round(F.aggregate(F.transform("v", lambda x, i: f(x.cast("double"), i)), F.lit(0.0), lambda s, x: s + x), 4)
+    moment = lambda f: F.round(F.aggregate(F.transform("v", lambda x, i: f(x.cast("double"), i)), F.lit(0.0), lambda s, x: s + x), 2)
     return rows.select(
         "doc_id", F.lit(embed.name).alias("model"), F.size("v").alias("dimension"), moment(lambda x, i: x * x).alias("norm"),
         moment(lambda x, i: x * i / 384).alias("mean_place"), moment(lambda x, i: F.when(x > 0, 1.0).otherwise(0.0)).alias("n_places"),

@@ -24,7 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def _landed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     """rows added to a landing folder, and the folder as a stream."""
     rows.write.mode("append").parquet(f"{folder}/in")
-    return landing.landing(spark, f"{folder}/in", rows.schema.simpleString().removeprefix("struct<").removesuffix(">"), 100_000)
+    return landing.landing(spark, f"{folder}/in", rows.schema, 100_000)
 
 
 @query

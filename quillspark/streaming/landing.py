@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quillspark.operators.ingest import content_hash, write_partitions
 
 
-def landing(spark: SparkSession, path: str, schema: str, files_a_batch: int = 100) -> DataFrame:
+def landing(spark: SparkSession, path: str, schema: str | StructType, files_a_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
