@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fixed_values as V
 from quillspark.functions import text as T
-from quillspark.operators import chunking, hybrid, rules, search
+from quillspark.operators import chunking, hybrid, rules, safety, search
 from quillspark.operators.embedding import model_name
+from quillspark.session import shared_dir
 
 Embedder = Callable[[Column], Column]
 
@@ -96,6 +97,28 @@ def retrieve(
     )
 
 
+def plain_turns(
+    questions: DataFrame, answers: DataFrame, chunks: DataFrame, documents: DataFrame, embed: Embedder = T.hash_embedding, top_k: int = 5
+) -> DataFrame:
+    """query_id, off_corpus, unverified, content, citations: plain chat turns from retrieval to what is shown.
+
+    questions: as for retrieve. answers: query_id, answer, the model's text. Where the evidence is not about the question, the answer is
+    cut where it stops reporting it; numbers of standards that no evidence has are named in a note. citations: the
+    chunks found, best first. A question without an answer drops out; one without evidence keeps its answer and cites nothing.
+    """
+    found = retrieve(questions, chunks, documents, embed, top_k)
+    shared_dir(questions.sparkSession)
+    found = found.select("query_id", "rank", "chunk_id", "document_name", "text").checkpoint(eager=True)  # read three times: a few rows a question
+    judged = search.off_corpus(questions, found).select("query_id", "off_corpus")
+    said = answers.join(judged, "query_id").withColumn("text", F.when(F.col("off_corpus"), safety.trimmed(F.col("answer"))).otherwise(F.col("answer")))
+    one = F.col("query_id").alias("answer_id")
+    checked = safety.unverified_numbers(said.select(one, "text"), found.select(one, "document_name", "text")).withColumnRenamed("answer_id", "query_id")
+    cited = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))["chunk_id"].alias("citations"))
+    rows = said.join(checked, "query_id").join(cited, "query_id", "left")
+    content, citations = safety.with_warning(F.col("text"), F.col("unverified")), F.coalesce("citations", F.array().cast("array<string>"))
+    return rows.select("query_id", "off_corpus", "unverified", content.alias("content"), citations.alias("citations"))
+
+
 def asked_of(profiles: DataFrame) -> DataFrame:
     """profiles (query_id, user_query, the profile fields) with terms, identifiers and text; profiles without any drop out."""
     fields = {f: F.col(f) for f in V.PROFILE_FIELDS}

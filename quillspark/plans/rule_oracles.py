@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions import fixed_values as V
-from quillspark.plans.oracles import _IDF, _PART
+from quillspark.plans.oracles import _CONTENT, _IDF, _PART, _STEM
 from quillspark.plans.rule_queries import ANSWER, PAGE_1, PAGE_2, SPECULATION
 
 ORACLES: dict[str, str] = {}
@@ -213,6 +213,22 @@ ORACLES["restricted_retrieval"] = f"""WITH {_WORLD}, {_nearest("SELECT item_id A
     "(want_doc IS NULL OR want_doc = c.document_id) AND (want_std IS NULL OR want_std = d.standard_id) AND d.document_type IN ('INDIAN_STANDARD', 'OTHER')")}
     SELECT query_id, rank, chunk_id, document_id, document_name, document_type, round(score, 6) AS score FROM top_"""
 
+ORACLES["plain_turns"] = f"""WITH {_WORLD}, {_nearest("SELECT item_id AS query_id, text FROM benchmark", 5, "true")},
+    w AS (SELECT item_id AS query_id, {_CONTENT} AS words FROM benchmark),
+    e AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM top_),
+    s AS (SELECT query_id, list(DISTINCT {_STEM.format(w='x')}) AS stems FROM e GROUP BY ALL),
+    o AS (SELECT query_id, len(words) > 0 AND stems IS NOT NULL AND len(list_intersect(words, coalesce(stems, []))) / len(words) < 0.5 AS off_corpus FROM w LEFT JOIN s USING (query_id)),
+    k AS (SELECT query_id, list(DISTINCT n) AS known FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z0-9])is[._\\-\\s]*([0-9]{{2,6}})', 1)) AS n FROM top_) GROUP BY ALL),
+    c AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS citations FROM top_ GROUP BY ALL),
+    a AS (SELECT query_id, off_corpus, coalesce(citations, '') AS citations,
+            'The documents name IS ' || (query_id % 60 + 100) || '.' || CASE WHEN off_corpus THEN chr(10) || chr(10) || {_TEXT(V.TRIM_NOTICE)} ELSE ' Generally, IS 99999 and IS 77777 are asked for.' END AS text,
+            list_filter(CASE WHEN off_corpus THEN [(query_id % 60 + 100)::VARCHAR] ELSE [(query_id % 60 + 100)::VARCHAR, '77777', '99999'] END, lambda x: NOT list_contains(coalesce(known, []), x)) AS bad
+        FROM o LEFT JOIN k USING (query_id) LEFT JOIN c USING (query_id)),
+    b AS (SELECT *, array_to_string(list_transform(bad, lambda x: 'IS ' || x), ',') AS unverified FROM a)
+    SELECT query_id, off_corpus, unverified, citations,
+        text || CASE WHEN len(bad) = 0 THEN '' ELSE {_TEXT(V.UNVERIFIED_NOTE)} || replace(unverified, ',', ', ') || CASE WHEN len(bad) > 1 THEN {_TEXT(V.UNVERIFIED_MANY)} ELSE {_TEXT(V.UNVERIFIED_ONE)} END END AS content
+    FROM b"""
+
 _TOKENS = r"regexp_extract_all(strip_accents(lower({x})), '[\p{{L}}\p{{N}}]+')"
 _SCALED = "CASE WHEN {v} IS NULL THEN NULL WHEN max({v}) OVER w = min({v}) OVER w THEN 1.0 ELSE ({v} - min({v}) OVER w) / (max({v}) OVER w - min({v}) OVER w) END"
 ORACLES["discovery_candidates"] = f"""WITH {_WORLD},

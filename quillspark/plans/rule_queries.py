@@ -423,6 +423,16 @@ def restricted_retrieval(spark, sf_dir):
     return rows.select("query_id", "rank", "chunk_id", "document_id", "document_name", "document_type", F.round("score", 6).alias("score"))
 
 
+@query
+def plain_turns(spark, sf_dir):
+    """Plain chat turns from retrieval over the off-corpus cut to the note on unverified numbers."""
+    chunks, documents = world(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    answer = F.concat(F.lit("The documents name IS "), F.col("query_id") % 60 + 100, F.lit(". Generally, IS 99999 and IS 77777 are asked for."))
+    rows = discovery.plain_turns(asked, asked.select("query_id", answer.alias("answer")), chunks, documents)
+    return rows.withColumn("unverified", F.array_join("unverified", ",")).withColumn("citations", F.array_join("citations", ","))
+
+
 def made_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = first_words(spark, sf_dir, 4)
     said = {

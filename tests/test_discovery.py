@@ -106,3 +106,21 @@ def test_prompts(spark):
     empty = lambda x: F.filter(x, lambda _: F.lit(False))
     assert one(prompts.structured_answer(none, empty(found), empty(need))).startswith("I don't have enough retrieved evidence yet")
     assert one(prompts.checklist_block(need)) == "REQUIREMENTS CHECKLIST:\n- [MARKING] T — STATUS: CONFIRMED, REGULATORY STATUS: NOT_DETERMINED\n  D"
+
+
+def test_plain_turns(spark):
+    from quillspark.functions import fixed_values as V
+    from quillspark.operators.embedding import hashed_gram_embedder
+
+    pages = spark.createDataFrame([("D1", 1, "1 SCOPE\nIS 302 covers water heaters and geysers.")], "document_id string, page_number int, text string")
+    documents = spark.createDataFrame([("D1", "d.pdf", "OTHER", None)], "document_id string, document_name string, document_type string, standard_id string")
+    embed = hashed_gram_embedder()
+    asked = spark.createDataFrame([(1, "Which water heaters and geysers"), (2, "Laptops, batteries and chairs"), (3, "water heaters")], "query_id int, text string")
+    said = "IS 302 says so, see IS 999. Generally, IS 1 is asked for."
+    answers = spark.createDataFrame([(1, said), (2, said)], "query_id int, answer string")
+    got = {r.query_id: r for r in discovery.plain_turns(asked, answers, discovery.index(pages, embed), documents, embed).collect()}
+    assert set(got) == {1, 2}
+    assert not got[1].off_corpus and got[1].unverified == ["IS 999"] and got[1].content.startswith(said + V.UNVERIFIED_NOTE + "IS 999")
+    assert got[2].off_corpus and got[2].content.startswith("IS 302 says so, see IS 999.\n\n" + V.TRIM_NOTICE) and len(got[2].citations) == 1
+    none = {r.query_id: r for r in discovery.plain_turns(asked, answers, discovery.index(pages.limit(0), embed), documents, embed).collect()}
+    assert none[1].citations == [] and not none[1].off_corpus and none[1].unverified == ["IS 302", "IS 999"]
