@@ -1,36 +1,44 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard similarity of at least a bound.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of at least a bound: they span what all such pairs span.
 
-A prefix-filtered set join: shingles have one order over all texts, and two sets of similarity s or more
-share a shingle among the first n - ceil(s * n) + 1 of each; sizes, and the places of the first that they
-share, bound what they can share in all. The order puts shingles that are common in a sample last, so few
-texts meet by them; it is the same for all texts, hence no pair is lost whatever the sample holds. Pairs
-that meet are tested by what two rows of counts can share at most, and then verified on their whole sets.
+A prefix-filtered set join: shingles have one order over all texts, and two sets of similarity s or more share a shingle among
+the first n - ceil(s * n) + 1 of each. The order puts shingles last that are common: in a sample, and then, counted over all
+texts, those that still bring many texts together. It is one order for all texts, hence no pair is lost whatever is found common.
 
-Equal texts are one node. First each node is verified with one partner, of the smallest nodes of its groups
-the one that it meets most often; then those pairs of like size in a group whose ends these links leave apart.
-Pairs within what is linked already are not made, and the links span the same components as all pairs.
+Equal texts are one node, named by 128 bits. First each node is verified with one partner, of the smallest nodes of its
+groups the one that it meets most often, and linked nodes become components. What is left are nodes that meet in a group
+and lie in different components. They are not paired: nodes are put in bundles of at most BUNDLE, by component or by the
+partner that they met most often, and bundles meet. The sets of two bundles travel once for the two, and all their shared
+counts come out of one product of 0/1 matrices, of which only links between different components are kept. So a group of
+n nodes makes (n / BUNDLE) squared rows, no set travels with a pair, and nothing is capped or dropped.
+
+Defined results: a null or blank text has no shingles and no links; texts that differ only in the case of A to Z or in white
+space have equal sets; repeated rows share their node; an empty table has no nodes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
-from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm.common import cut, row_key, text_bytes
+from quillspark.llm.common import cut, join_counted, row_key, text_bytes, text_key
 from quillspark.llm.graph import components
 
 #: Texts in the sample of shingles, least count there and number of those that come last: they bear on the speed only.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 50_000
 #: Counts in a set's sketch; more tell more of longer texts apart. It bears on the speed only.
 COUNTS = 256
-#: Names of texts to verify (24 bytes each) that are broadcast; above, the texts are shuffled.
+#: Texts that meet by a shingle from which on it counts as common, too.
+CROWD = 64
+#: Names of texts to verify (32 bytes each) that are broadcast; above, the texts are shuffled.
 BROADCAST_NODES = 1_000_000
+#: Nodes of a bundle, and shingles of all of them, about; shingles of two bundles that are multiplied at once.
+BUNDLE, BUNDLE_ITEMS, COLUMNS = 128, 1 << 20, 1 << 15
 
 
 def shingles(data: bytes, shingle: int = 5) -> np.ndarray:
@@ -121,56 +129,130 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in top.select("token").collect()], "<i8").view("<u8"))
 
 
+def crowded(found: DataFrame, last: np.ndarray) -> np.ndarray:
+    """last, and the shingles that bring most texts together (at least CROWD) in the prefixes of found, sorted."""
+    counts = found.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") >= CROWD)
+    top = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").collect()
+    return np.union1d(last, np.array([r.token for r in top], "<i8").view("<u8"))
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each set of the left shares with each of the right."""
+    every = np.unique(np.concatenate([*left, *right]))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(every), COLUMNS):
+        part = every[at : at + COLUMNS]
+
+        def matrix(sets: list[np.ndarray], part: np.ndarray = part) -> np.ndarray:
+            ones = np.zeros((len(sets), len(part)), "f4")
+            for row, items in zip(ones, sets, strict=True):
+                low, high = np.searchsorted(items, part[0]), np.searchsorted(items, part[-1], "right")
+                row[np.searchsorted(part, items[low:high])] = 1
+            return ones
+
+        out += (matrix(left) @ matrix(right).T).astype(np.int64)
+    return out
+
+
+def spanning(nodes: list[bytes], roots: list[bytes], pairs: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Of pairs (two columns of places in nodes) those that link components which the ones before leave apart."""
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = find(roots[i]), find(roots[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def bundle_links(members: pa.Table, percent: int) -> pa.Table:
+    """(a, b) of one pair of bundles. members: side (0 or 1; a bundle that meets itself has 0 only), node, root, items."""
+    side = members["side"].to_numpy()
+    nodes, roots = members["node"].to_pylist(), members["root"].to_pylist()
+    sets = [np.frombuffer(x.as_py(), "<u8") for x in members["items"]]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    two = two if len(two) else one
+    both = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+    sizes = np.array([len(x) for x in sets])
+    near = 100 * both >= percent * (sizes[one][:, None] + sizes[two][None, :] - both)
+    i, j = np.nonzero(near)
+    links = spanning(nodes, roots, np.column_stack([one[i], two[j]]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
 def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """(row, node) of all rows, and links (a, b) of nodes that span the components of all similar pairs."""
-    node = F.xxhash64(text_bytes(F.col(text)))
+    node = text_key(F.col(text))
     rows = cut(docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), node.alias("node")))
-    found = docs.select(node.alias("node"), sets(F.col(text), percent, shingle, common_shingles(docs, text, shingle)).alias("s"))
-    nodes = found.select("node", "s.size", "s.prefix").dropDuplicates(["node"])
-    group = Window.partitionBy("token")
-    placed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "token"))
-    met = cut(placed.select("*", F.count("*").over(group).alias("n"), F.min(F.struct("node", "size", "at")).over(group).alias("first")).where("n > 1"))
+    prefixes = lambda last: docs.select(node.alias("node"), sets(F.col(text), percent, shingle, last).alias("s")).select("node", "s.size", "s.prefix")
+    last = common_shingles(docs, text, shingle)
+    nodes = prefixes(crowded(prefixes(last), last)).dropDuplicates(["node"])
+    placed = cut(nodes.select("node", "size", F.posexplode("prefix").alias("at", "token")))
+    groups = placed.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("node", "size", "at")).alias("first")).where("members > 1")
+    met = cut(join_counted(placed, cut(groups), ["token"]))
     # sizes x and y; the first shingle that two sets share is at i and j of their orders
     fits = f"100 * least(x, y) >= {percent} * greatest(x, y) and {100 + percent} * least(x - i, y - j) >= {percent} * (x + y)"
 
+    def texts_of(names: DataFrame, of: Callable[[Column, int], Column], column: str) -> DataFrame:
+        """node and what of makes of its text, for each of the names."""
+        chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(names.distinct(), "node"))
+        few = chosen.count() <= BROADCAST_NODES
+        own = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
+        return own.join(F.broadcast(chosen) if few else chosen, "row").select("node", of(F.col("text"), shingle).alias(column)).dropDuplicates(["node"])
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, their sizes x, y) that are similar."""
-        ends = lambda: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ends = lambda: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
         side = lambda df, c, name: df.select(F.col("node").alias(name), F.col(c).alias(f"of_{name}"))
-        rough = docs.select(node.alias("node"), sketch(F.col(text), shingle).alias("counts")).join(ends(), "node").dropDuplicates(["node"])
+        rough = texts_of(ends(), sketch, "counts")
         met_ = pairs.join(side(rough, "counts", "a"), "a").join(side(rough, "counts", "b"), "b").withColumn("most", most_shared(F.col("of_a"), F.col("of_b")))
         pairs = cut(met_.where(f"most is null or {100 + percent} * most >= {percent} * (x + y)").select("a", "b"))
-        chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(ends(), "node"))
-        few = chosen.count() <= BROADCAST_NODES
-        own = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-        whole = own.join(F.broadcast(chosen) if few else chosen, "row").select(
-            "node", whole_set(F.col("text"), shingle).alias("items")
-        ).dropDuplicates(["node"])
-        return cut(
-            pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b").where(
-                similar(F.col("of_a"), F.col("of_b"), percent)
-            ).select("a", "b")
-        )
+        whole = texts_of(ends(), whole_set, "items")
+        joined = pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b")
+        return cut(joined.where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
     stars = met.where("first.node != node").selectExpr("first.node as a", "node as b", "first.size as x", "size as y", "first.at as i", "at as j").where(fits)
     # of the smallest nodes that a node meets, the one it meets most often is likely to be its group's
     often = stars.groupBy("a", "b", "x", "y").agg(F.count("*").alias("times"))
-    tested = cut(often.groupBy("b").agg(F.max_by(F.struct("a", "x", "y"), F.struct("times", -F.col("a"))).alias("m")).select("m.a", "b", "m.x", "m.y"))
+    best = often.groupBy("b").agg(F.max(F.struct("times", "a", "x", "y")).alias("m"))
+    tested = cut(best.select("m.a", "b", "m.x", "m.y"))
     links = verified(tested)
-    roots = components(links)
+    roots = cut(components(links))
+    # a group whose nodes are all linked is done
     named = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    rooted = cut(named(named(met.select("token", "node", "size", "at", F.col("first.node").alias("least")), "node", "root"), "least", "least_root"))
-    # what is not linked to its group's smallest node meets the rest of the group; a pair's sizes are of the same class or of two next to each other
-    kind = F.floor(F.log("size") / log(100 / percent * (1 + 1e-9))).cast("int")
-    apart = rooted.where("root != least_root")
-    one = apart.select(
-        "token", F.explode(F.array(kind - 1, kind, kind + 1)).alias("kind"), F.col("node").alias("a"), F.col("size").alias("x"),
-        F.col("at").alias("i"), F.col("root").alias("p")
+    rooted = cut(named(met.select("token", "node", "size", "at"), "node", "root"))
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low != high")
+    left = cut(join_counted(rooted, open_.select("token", "members"), ["token"]))
+    if left.isEmpty():
+        return rows, links
+    # bundles: nodes of one component, or unlinked ones that met one partner most often
+    linked = roots.select("node").union(roots.select("root")).distinct().withColumn("is_linked", F.lit(True))
+    partner = tested.select(F.col("b").alias("node"), F.col("a").alias("partner"))
+    own = left.select("node", "root", "size").distinct().join(linked, "node", "left").join(partner, "node", "left")
+    own = cut(own.select("node", "root", "size", F.when(F.col("is_linked"), F.concat(F.lit(b"c"), "root")).otherwise(F.concat(F.lit(b"p"), F.coalesce("partner", "node"))).alias("key")))
+    counts = own.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / BUNDLE, F.sum("size") / BUNDLE_ITEMS)).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    own = cut(join_counted(own, counts, ["key"]).select("node", "root", F.xxhash64("key", part).alias("bundle")))
+    tokens = left.join(own.select("node", "bundle"), "node").groupBy("token", "bundle").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("at")).alias("room"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    all_ = rooted.select("token", kind.alias("kind"), F.col("node").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"))
-    others = one.join(all_, ["token", "kind"]).where("p != q").where(fits)
-    turned = F.col("a") > F.col("b")
-    pick = lambda u, v: F.when(turned, F.col(v)).otherwise(F.col(u))
-    others = others.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("x", "y").alias("x"), pick("y", "x").alias("y")).distinct()
-    others = cut(others.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    return rows, links if others.isEmpty() else links.unionByName(verified(others))
+    tokens = cut(tokens)
+    a, b = tokens.alias("a"), tokens.alias("b")
+    # sizes and rooms that some two of them may have
+    may = f"100 * b.most >= {percent} * a.least and 100 * a.most >= {percent} * b.least and {100 + percent} * least(a.room, b.room) >= {percent} * (a.least + b.least)"
+    apart = "a.low != b.low or a.high != b.high or a.low != a.high"
+    pairs = a.join(b, F.expr(f"a.token = b.token and a.bundle <= b.bundle and ({apart}) and {may}"))
+    pairs = cut(pairs.select(F.col("a.bundle").alias("one"), F.col("b.bundle").alias("two")).distinct())
+    needed = pairs.select(F.col("one").alias("bundle")).union(pairs.select("two")).distinct()
+    whole = cut(own.join(needed, "bundle").join(texts_of(own.join(needed, "bundle").select("node"), whole_set, "items"), "node"))
+    side = lambda which, c: pairs.join(whole, F.col(c) == F.col("bundle")).select("one", "two", F.lit(which).alias("side"), "node", "root", "items")
+    sides = side(0, "one").unionByName(side(1, "two").where("one != two"))
+    more = cut(sides.groupBy("one", "two").applyInArrow(lambda t: bundle_links(t, percent), "a binary, b binary"))
+    return rows, links.unionByName(more)

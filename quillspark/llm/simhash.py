@@ -128,7 +128,7 @@ def similar_groups(docs: DataFrame, percent: int) -> DataFrame:
     roots = components(links.unionByName(near))
     nodes = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return nodes.drop("component_id").join(named, "root").select("doc_id", "row", F.col("root").alias("fp"), "component_id")
+    return nodes.drop("component_id").join(named, "root").select("doc_id", "row", F.hex("root").alias("fp"), "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int | None = None) -> DataFrame:
