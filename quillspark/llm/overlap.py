@@ -17,16 +17,16 @@ space have equal sets; repeated rows share their node; an empty table has no nod
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm.common import cut, join_counted, row_key, text_bytes, text_key
+from quillspark.llm.common import cut, join_counted, row_key, stored, text_bytes, text_key
 from quillspark.llm.graph import components
 
 #: Texts in the sample of shingles, least count there and number of those that come last: they bear on the speed only.
@@ -35,6 +35,8 @@ SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 50_000
 COUNTS = 256
 #: Texts that meet by a shingle from which on it counts as common, too.
 CROWD = 64
+#: Classes of shingles that are counted together to find those (8 bytes each in a task).
+CLASSES = 1 << 17
 #: Names of texts to verify (32 bytes each) that are broadcast; above, the texts are shuffled.
 BROADCAST_NODES = 1_000_000
 #: Nodes of a bundle, and shingles of all of them, about; shingles of two bundles that are multiplied at once.
@@ -129,10 +131,40 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in top.select("token").collect()], "<i8").view("<u8"))
 
 
-def crowded(found: DataFrame, last: np.ndarray) -> np.ndarray:
-    """last, and the shingles that bring most texts together (at least CROWD) in the prefixes of found, sorted."""
-    counts = found.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") >= CROWD)
-    top = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").collect()
+def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.ndarray) -> np.ndarray:
+    """last, and the shingles that bring most texts together (at least CROWD) in the prefixes by that order, sorted.
+
+    All texts are counted: first by classes of shingles, a fixed number of counters a task, and then, in the classes that stand
+    out, shingle by shingle.
+    """
+    prefixes = texts.select(sets(F.col(text), percent, shingle, last)["prefix"].alias("prefix"))
+
+    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view("<u8")
+
+    def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.int64)
+        for found in tokens(batches):
+            counts += np.bincount((found >> np.uint64(40)) % np.uint64(CLASSES), minlength=CLASSES)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["class", "n"])
+
+    sums = prefixes.mapInArrow(classes, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    full = sums.where(F.col("n") >= CROWD + total / CLASSES).orderBy(F.desc("n"), "class").limit(CLASSES // 8).select("class").collect()
+    if not full:
+        return last
+    wanted = np.zeros(CLASSES, bool)
+    wanted[[r[0] for r in full]] = True
+
+    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in tokens(batches):
+            own, n = np.unique(found[wanted[(found >> np.uint64(40)) % np.uint64(CLASSES)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view("<i8")), pa.array(n)], ["token", "n"])
+
+    counts = prefixes.mapInArrow(chosen, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD)
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").collect()
     return np.union1d(last, np.array([r.token for r in top], "<i8").view("<u8"))
 
 
@@ -154,11 +186,11 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def spanning(nodes: list[bytes], roots: list[bytes], pairs: np.ndarray) -> list[tuple[bytes, bytes]]:
+def spanning(nodes: list[int], roots: list[int], pairs: np.ndarray) -> list[tuple[int, int]]:
     """Of pairs (two columns of places in nodes) those that link components which the ones before leave apart."""
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def find(x: bytes) -> bytes:
+    def find(x: int) -> int:
         while parent.get(x, x) != x:
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
@@ -175,7 +207,7 @@ def spanning(nodes: list[bytes], roots: list[bytes], pairs: np.ndarray) -> list[
 def bundle_links(members: pa.Table, percent: int) -> pa.Table:
     """(a, b) of one pair of bundles. members: side (0 or 1; a bundle that meets itself has 0 only), node, root, items."""
     side = members["side"].to_numpy()
-    nodes, roots = members["node"].to_pylist(), members["root"].to_pylist()
+    nodes, roots = members["node"].to_pylist(), members["root"].to_pylist()  # numbers
     sets = [np.frombuffer(x.as_py(), "<u8") for x in members["items"]]
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     two = two if len(two) else one
@@ -184,19 +216,33 @@ def bundle_links(members: pa.Table, percent: int) -> pa.Table:
     near = 100 * both >= percent * (sizes[one][:, None] + sizes[two][None, :] - both)
     i, j = np.nonzero(near)
     links = spanning(nodes, roots, np.column_stack([one[i], two[j]]))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """token, node, size, at, first (the smallest node of the token, with size and at) where a token of the prefixes has several nodes.
+
+    Tokens that many nodes of a sample have are counted where they are, and their rows are not gathered; the others are few to a token.
+    """
+    placed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    sample = nodes.sample(min(1.0, SAMPLE / max(1, nodes.count())), 1).select(F.explode("prefix").alias("token"))
+    many = cut(sample.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token"))
+    one, group = F.struct("node", "size", "at"), Window.partitionBy("token")
+    few = placed.join(F.broadcast(many), "token", "left_anti").select("*", F.count("*").over(group).alias("n"), F.min(one).over(group).alias("first"))
+    crowds = placed.join(F.broadcast(many), "token", "left_semi")
+    counted = crowds.groupBy("token").agg(F.count("*").alias("n"), F.min(one).alias("first"))  # at most MOST_COMMON
+    return few.unionByName(crowds.join(F.broadcast(counted), "token")).where("n > 1").drop("n")
 
 
 def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(row, node) of all rows, and links (a, b) of nodes that span the components of all similar pairs."""
-    node = text_key(F.col(text))
-    rows = cut(docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), node.alias("node")))
-    prefixes = lambda last: docs.select(node.alias("node"), sets(F.col(text), percent, shingle, last).alias("s")).select("node", "s.size", "s.prefix")
-    last = common_shingles(docs, text, shingle)
-    nodes = prefixes(crowded(prefixes(last), last)).dropDuplicates(["node"])
-    placed = cut(nodes.select("node", "size", F.posexplode("prefix").alias("at", "token")))
-    groups = placed.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("node", "size", "at")).alias("first")).where("members > 1")
-    met = cut(join_counted(placed, cut(groups), ["token"]))
+    """(row, node) of all rows, and links (a, b) of nodes that span the components of all similar pairs. A node is a text's number."""
+    named = cut(docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), text_key(F.col(text)).alias("key")))
+    last = crowded(docs, text, percent, shingle, common_shingles(docs, text, shingle))
+    found = docs.select(text_key(F.col(text)).alias("key"), sets(F.col(text), percent, shingle, last).alias("s")).select("key", "s.size", "s.prefix")
+    nodes = stored(found.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()))
+    counts = named.groupBy("key").agg(F.count("*").alias("members")).join(nodes.select("key", "node"), "key")
+    rows = cut(join_counted(named, counts, ["key"]).select("row", "node"))
+    met = cut(meetings(nodes))
     # sizes x and y; the first shingle that two sets share is at i and j of their orders
     fits = f"100 * least(x, y) >= {percent} * greatest(x, y) and {100 + percent} * least(x - i, y - j) >= {percent} * (x + y)"
 
@@ -236,10 +282,10 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     linked = roots.select("node").union(roots.select("root")).distinct().withColumn("is_linked", F.lit(True))
     partner = tested.select(F.col("b").alias("node"), F.col("a").alias("partner"))
     own = left.select("node", "root", "size").distinct().join(linked, "node", "left").join(partner, "node", "left")
-    own = cut(own.select("node", "root", "size", F.when(F.col("is_linked"), F.concat(F.lit(b"c"), "root")).otherwise(F.concat(F.lit(b"p"), F.coalesce("partner", "node"))).alias("key")))
+    own = cut(own.select("node", "root", "size", F.struct(F.col("is_linked").isNotNull().alias("linked"), F.when(F.col("is_linked"), F.col("root")).otherwise(F.coalesce("partner", "node")).alias("by")).alias("key")))
     counts = own.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / BUNDLE, F.sum("size") / BUNDLE_ITEMS)).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    own = cut(join_counted(own, counts, ["key"]).select("node", "root", F.xxhash64("key", part).alias("bundle")))
+    own = cut(join_counted(own, counts, ["key"]).select("node", "root", F.xxhash64("key.linked", "key.by", part).alias("bundle")))
     tokens = left.join(own.select("node", "bundle"), "node").groupBy("token", "bundle").agg(
         F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("at")).alias("room"), F.min("root").alias("low"), F.max("root").alias("high")
     )
@@ -254,5 +300,5 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     whole = cut(own.join(needed, "bundle").join(texts_of(own.join(needed, "bundle").select("node"), whole_set, "items"), "node"))
     side = lambda which, c: pairs.join(whole, F.col(c) == F.col("bundle")).select("one", "two", F.lit(which).alias("side"), "node", "root", "items")
     sides = side(0, "one").unionByName(side(1, "two").where("one != two"))
-    more = cut(sides.groupBy("one", "two").applyInArrow(lambda t: bundle_links(t, percent), "a binary, b binary"))
+    more = cut(sides.groupBy("one", "two").applyInArrow(lambda t: bundle_links(t, percent), "a long, b long"))
     return rows, links.unionByName(more)

@@ -8,6 +8,9 @@ equal pseudonyms in all documents, different values get different ones, and who
 holds the key can turn them back. A slash date that reads as day/month is permuted
 among all days, one that only reads as month/day among those that only read so.
 
+A run of numbers is split at its spaces and hyphens, however long it is; whatever in it is written as a card number, an
+IBAN, a date or a phone number usually is and validates is found. What runs on in letters or decimals is no number.
+
 The network splits the symbols into two halves; each round adds to one half, symbol
 by symbol and modulo the symbol's own radix, a stream made by SHA-256 from the key,
 the round and the other half. All of it is column expressions.
@@ -32,17 +35,25 @@ DEMO_KEY = "demonstration"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
+#: Letters of other alphabets that are permuted among themselves; letters of further scripts stay.
+ALPHABETS = (
+    "".join(map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100)))), "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xDF)))), "".join(map(chr, range(0x100, 0x180))),
+    "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, (*range(0x391, 0x3A2), *range(0x3A3, 0x3AA)))), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))),
+)
+#: What may stand before the @ of an address: letters of any script, digits and four signs.
+NAME = r"A-Za-z0-9._%+\-\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u167F\u1681-\u1FFF\u2C00-\u2DFF\u3040-\uD7FF\uF900-\uFDFF"
+
 #: Alternatives in the order in which they are tried at a place. Repeats of a group are bounded or possessive: Java's matcher recurses
-#: once a repeat on others, and a long domain would overflow its stack.
+#: once a repeat on others, and a long domain would overflow its stack. A run of numbers is taken whole, with what sticks to its end.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
+    "email": rf"(?<![{NAME}])[{NAME}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,16}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])\+[0-9]{1,3}\x20?\([0-9]{1,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-    r"|(?<![\w+])\+[0-9]{1,3}(?:[\x20-][0-9]{2,4}){2,4}(?![0-9])|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
+    r"|(?<![\w+])\+[0-9]{1,3}(?:[\x20-][0-9]{2,8}){2,4}(?![0-9])|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9])|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]))",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
-    "card": r"(?<![\w.-])[0-9](?:[\x20-]?[0-9]){12,60}(?![\w-]|\.[0-9])",
+    "card": r"(?<![\w.-])[0-9](?:[\x20-]?[0-9]){12,}+(?:[\w-]|\.[0-9])*+",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -88,9 +99,9 @@ def permute(symbols: Column, radices: Column, tweak: Column, key: str, back: boo
     return let(F.struct(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb"), tweak.alias("tweak")), run)
 
 
-def permute_text(text: Column, kind: str, key: str, back: bool = False) -> Column:
-    """Letters and digits permuted within their class; other characters stay."""
-    classes = LOWER, UPPER, DIGITS
+def permute_text(text: Column, kind: str, key: str, back: bool = False, classes: tuple[str, ...] = ()) -> Column:
+    """Characters permuted within their class (by default small and capital letters of ASCII, and digits); others stay."""
+    classes = classes or (LOWER, UPPER, DIGITS)
 
     def run(cs: Column) -> Column:
         number, radix = F.lit(0), F.lit(1)
@@ -232,7 +243,9 @@ def new_phone(match: Column, key: str, back: bool) -> Column:
 def new_email(match: Column, key: str, back: bool) -> Column:
     """The domain stays."""
     name = F.substring_index(match, "@", 1)
-    return F.concat(permute_text(name, "email", key, back), F.substr(match, F.length(name) + 1))
+    every = permute_text(name, "email", key, back, (LOWER, UPPER, DIGITS, *ALPHABETS))
+    new = F.when(F.octet_length(name) == F.length(name), permute_text(name, "email", key, back)).otherwise(every)
+    return F.concat(new, F.substr(match, F.length(name) + 1))
 
 
 def valid(match: Column, kind: str) -> Column:
@@ -240,7 +253,7 @@ def valid(match: Column, kind: str) -> Column:
     if kind == "ip":
         return whole & F.forall(F.split(match, r"\."), lambda x: x.cast("int") < 256)
     if kind == "card":
-        return whole & let(digits(match), lambda d: (F.length(d) <= 19) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"))
+        return whole & match.rlike(r"^[0-9\x20-]*[0-9]$") & let(digits(match), lambda d: (F.length(d) <= 19) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"))
     if kind == "iban":
         return whole & let(F.replace(match, F.lit(" "), F.lit("")), lambda c: (F.length(c) <= 35) & (iban_rest(c) == 1))
     if kind == "ssn":
@@ -270,32 +283,45 @@ def usual(match: Column, kind: Column) -> Column:
     ).otherwise(kind.isNotNull())
 
 
+#: Words and characters that a number in one of the usual shapes has at most: an IBAN in groups of four.
+MOST_WORDS, LEAST_CHARS, MOST_CHARS = 10, 10, 45
+
+
 def split_match(match: Column) -> Column:
-    """kind, match of the parts of a run of numbers, in order: what validates between its separators, longest first, and the rest."""
-    part = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("match"))
-    empty = F.struct(F.lit(0).alias("skip"), F.slice(F.array(part), 1, 0).alias("out"))
+    """kind, match of the parts of a run of numbers, in order: what validates between its separators, from the left and longest first, and the rest.
+
+    Each word is looked at once, for what starts there; then what was found is taken from left to right.
+    """
+    none = F.lit(None).cast("string")
+    gap = lambda words, low, high: F.struct(none.alias("kind"), F.array_join(F.slice(words, low + 1, F.greatest(high - low, F.lit(0))), "").alias("match"))
+
+    def at(words: Column, i: Column) -> Column:
+        """i, n (words), kind, lead (the separator before) and match of what starts with word i, or null."""
+        lead = F.regexp_extract(F.get(words, i), r"^[\x20-]?", 0)
+        text = lambda n: F.regexp_replace(F.array_join(F.slice(words, i + 1, n), ""), r"^[\x20-]", "")
+        spans = F.transform(F.sequence(F.least(F.lit(MOST_WORDS), F.size(words) - i), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), text(n).alias("match")))
+        spans = F.filter(spans, lambda x: F.length(x["match"]).between(LEAST_CHARS, MOST_CHARS))
+        spans = F.transform(spans, lambda x: F.struct(x["n"].alias("n"), kind_of(x["match"]).alias("kind"), x["match"].alias("match")))
+        first = F.get(F.filter(spans, lambda x: usual(x["match"], x["kind"])), F.lit(0))
+        found = let(first, lambda x: F.when(x["n"].isNotNull(), F.struct(i.alias("i"), x["n"].alias("n"), x["kind"].alias("kind"), lead.alias("lead"), x["match"].alias("match"))))
+        return F.when(F.get(words, i).rlike(r"^[\x20-]?[A-Z0-9]{3}"), found)  # no usual shape starts with fewer
 
     def run(words: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            lead = F.regexp_extract(F.get(words, i), r"^[\x20-]?", 0)
-            longest = F.sequence(F.least(F.lit(10), F.size(words) - i), F.lit(1), F.lit(-1))
-            text = lambda n: F.regexp_replace(F.array_join(F.slice(words, i + 1, n), ""), r"^[\x20-]", "")
-            spans = F.transform(longest, lambda n: F.struct(n.alias("n"), text(n).alias("match")))
-            spans = F.filter(spans, lambda x: (F.length(x["match"]) >= 10) & (F.length(x["match"]) <= 45))
-            spans = F.transform(spans, lambda x: F.struct(x["n"].alias("n"), kind_of(x["match"]).alias("kind"), x["match"].alias("match")))
-            first = F.get(F.filter(spans, lambda x: usual(x["match"], x["kind"])), F.lit(0))
-            gap = lambda m: F.struct(F.lit(None).cast("string").alias("kind"), m.alias("match"))
-            found = lambda x: F.struct(
-                (x["n"] - 1).alias("skip"),
-                F.concat(s["out"], F.array(gap(lead), F.struct(x["kind"].alias("kind"), x["match"].alias("match")))).alias("out")
+        candidates = F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: at(words, i)), lambda x: x.isNotNull())
+        last = F.struct(F.lit(0).alias("end"), F.filter(F.slice(candidates, F.lit(1), F.lit(1)), lambda x: F.lit(False)).alias("out"))
+        step = lambda s, x: F.when(x["i"] < s["end"], s).otherwise(F.struct((x["i"] + x["n"]).alias("end"), F.concat(s["out"], F.array(x)).alias("out")))
+        chosen = F.aggregate(candidates, last, step, lambda s: s["out"])
+
+        def spelled(xs: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(xs, j - 1)["i"] + F.get(xs, j - 1)["n"], F.lit(0))
+            part = lambda x, j: F.array(
+                gap(words, end(j), x["i"]), F.struct(none.alias("kind"), x["lead"].alias("match")), F.struct(x["kind"].alias("kind"), x["match"].alias("match"))
             )
-            none = F.struct(F.lit(0).alias("skip"), F.concat(s["out"], F.array(gap(F.get(words, i)))).alias("out"))
-            later = F.struct((s["skip"] - 1).alias("skip"), s["out"].alias("out"))
-            return F.when(s["skip"] > 0, later).otherwise(let(first, lambda x: F.when(x["n"].isNotNull(), found(x)).otherwise(none)))
+            return F.concat(F.flatten(F.transform(xs, part)), F.array(gap(words, end(F.size(xs)), F.size(words))))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), empty, step, lambda s: s["out"])
+        return let(chosen, spelled)
 
-    return let(F.regexp_extract_all(match, F.lit(r"[\x20-]?[A-Z0-9]+"), F.lit(0)), run)
+    return let(F.regexp_extract_all(match, F.lit(r"[\x20-]?[^\x20-]+|[\x20-]"), F.lit(0)), run)
 
 
 def parts_of(match: Column) -> Column:
@@ -304,7 +330,7 @@ def parts_of(match: Column) -> Column:
     def choose(x: Column) -> Column:
         whole = F.array(F.struct(x["kind"].alias("kind"), x["match"].alias("match")))
         parts = let(split_match(x["match"]), lambda p: F.when(F.exists(p, lambda y: y["kind"].isNotNull()), p).otherwise(whole))
-        return F.when(usual(x["match"], x["kind"]) | ~x["match"].rlike(r"^[A-Z0-9]+(?:[\x20-][A-Z0-9]+)++$"), whole).otherwise(parts)
+        return F.when(usual(x["match"], x["kind"]) | ~x["match"].rlike(r"^[A-Z0-9]+[\x20-]"), whole).otherwise(parts)
 
     return let(F.struct(kind_of(match).alias("kind"), match.alias("match")), choose)
 
