@@ -144,3 +144,49 @@ def test_too_few_rounds(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     with pytest.raises(RuntimeError, match="after 1 rounds"):
         graph.components(path, most=1)
+
+
+def test_crowds_that_are_not_similar_enough(spark, monkeypatch):
+    """Texts that share 60 of 90 words meet in bundles, whatever their size, and no pair of texts is made of them."""
+    import random
+
+    from quillspark.llm import overlap
+
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(60)]
+    texts = [" ".join(shared + [f"u{rng.randrange(10**9)}" for _ in range(30)]) for _ in range(150)]
+    texts += [f"{t} more" for t in texts[:5]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for bundle in (128, 7):
+        monkeypatch.setattr(overlap, "BUNDLE", bundle)
+        for common in (overlap.COMMON, 10**9):  # with no shingle counted as common in the sample, too
+            monkeypatch.setattr(overlap, "COMMON", common)
+            rows, links = overlap.set_links(docs, 80)
+            node = {r.row: r.node for r in rows.collect()}
+            found = {frozenset((r.a, r.b)) for r in links.collect()}
+            assert len(found) == 5 and len(node) == len(texts)
+
+
+def test_shared_counts(monkeypatch):
+    import numpy as np
+
+    from quillspark.llm import overlap
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, n).astype("<u8")) for n in (0, 1, 5, 90, 200, 300)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
+    for columns in (1 << 15, 7):
+        monkeypatch.setattr(overlap, "COLUMNS", columns)
+        assert overlap.shared_counts(sets, sets[2:]).tolist() == want
+
+
+def test_links_of_odd_texts(spark):
+    from quillspark.llm import overlap
+
+    none = spark.createDataFrame([], "doc_id long, text string")
+    rows, links = overlap.set_links(none, 80)
+    assert rows.count() == links.count() == 0
+    long = " ".join(f"w{i}" for i in range(120_000))
+    odd = [(1, None), (1, None), (2, ""), (3, " \n"), (4, long), (5, long + " end"), (6, "A b"), (7, "a  B")]
+    rows, links = overlap.set_links(spark.createDataFrame(odd, "doc_id long, text string"), 80)
+    assert links.count() == 2  # the long ones, and those of equal shingles
