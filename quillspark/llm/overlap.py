@@ -30,7 +30,7 @@ from quillspark.llm.common import cut, join_counted, row_key, stored, text_bytes
 from quillspark.llm.graph import components
 
 #: Texts in the sample of shingles, least count there and number of those that come last: they bear on the speed only.
-SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 50_000
+SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 20_000
 #: Counts in a set's sketch; more tell more of longer texts apart. It bears on the speed only.
 COUNTS = 256
 #: Texts that meet by a shingle from which on it counts as common, too.
@@ -128,7 +128,7 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     sample = rows.sample(min(1.0, SAMPLE / max(1, rows.count())), 1)
     every = sample.select(F.explode(sets(F.col("text"), 0, shingle)["prefix"]).alias("token"))
     top = every.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
-    return np.sort(np.array([r.token for r in top.select("token").collect()], "<i8").view("<u8"))
+    return np.sort(top.select("token").toArrow()["token"].to_numpy().view("<u8"))
 
 
 def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.ndarray) -> np.ndarray:
@@ -152,11 +152,11 @@ def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.nd
 
     sums = prefixes.mapInArrow(classes, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
-    full = sums.where(F.col("n") >= CROWD + total / CLASSES).orderBy(F.desc("n"), "class").limit(CLASSES // 8).select("class").collect()
-    if not full:
+    full = sums.where(F.col("n") >= CROWD + total / CLASSES).orderBy(F.desc("n"), "class").limit(CLASSES // 8).select("class").toArrow()
+    if not full.num_rows:
         return last
     wanted = np.zeros(CLASSES, bool)
-    wanted[[r[0] for r in full]] = True
+    wanted[full["class"].to_numpy()] = True
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in tokens(batches):
@@ -164,8 +164,8 @@ def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.nd
             yield pa.RecordBatch.from_arrays([pa.array(own.view("<i8")), pa.array(n)], ["token", "n"])
 
     counts = prefixes.mapInArrow(chosen, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD)
-    top = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").collect()
-    return np.union1d(last, np.array([r.token for r in top], "<i8").view("<u8"))
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
+    return np.union1d(last, top["token"].to_numpy().view("<u8"))
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -271,22 +271,17 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     tested = cut(best.select("m.a", "b", "m.x", "m.y"))
     links = verified(tested)
     roots = cut(components(links))
-    # a group whose nodes are all linked is done
-    named = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    rooted = cut(named(met.select("token", "node", "size", "at"), "node", "root"))
-    open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low != high")
-    left = cut(join_counted(rooted, open_.select("token", "members"), ["token"]))
-    if left.isEmpty():
-        return rows, links
     # bundles: nodes of one component, or unlinked ones that met one partner most often
-    linked = roots.select("node").union(roots.select("root")).distinct().withColumn("is_linked", F.lit(True))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     partner = tested.select(F.col("b").alias("node"), F.col("a").alias("partner"))
-    own = left.select("node", "root", "size").distinct().join(linked, "node", "left").join(partner, "node", "left")
-    own = cut(own.select("node", "root", "size", F.struct(F.col("is_linked").isNotNull().alias("linked"), F.when(F.col("is_linked"), F.col("root")).otherwise(F.coalesce("partner", "node")).alias("by")).alias("key")))
+    own = nodes.select("node", "size").join(small(linked), "node", "left").join(small(partner), "node", "left")
+    key = F.struct(F.col("root").isNotNull().alias("linked"), F.coalesce("root", "partner", "node").alias("by")).alias("key")
+    own = cut(own.select("node", "size", F.coalesce("root", "node").alias("root"), key))
     counts = own.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / BUNDLE, F.sum("size") / BUNDLE_ITEMS)).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     own = cut(join_counted(own, counts, ["key"]).select("node", "root", F.xxhash64("key.linked", "key.by", part).alias("bundle")))
-    tokens = left.join(own.select("node", "bundle"), "node").groupBy("token", "bundle").agg(
+    tokens = met.select("token", "node", "size", "at").join(small(own), "node").groupBy("token", "bundle").agg(
         F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("at")).alias("room"), F.min("root").alias("low"), F.max("root").alias("high")
     )
     tokens = cut(tokens)
@@ -296,6 +291,8 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     apart = "a.low != b.low or a.high != b.high or a.low != a.high"
     pairs = a.join(b, F.expr(f"a.token = b.token and a.bundle <= b.bundle and ({apart}) and {may}"))
     pairs = cut(pairs.select(F.col("a.bundle").alias("one"), F.col("b.bundle").alias("two")).distinct())
+    if pairs.isEmpty():
+        return rows, links
     needed = pairs.select(F.col("one").alias("bundle")).union(pairs.select("two")).distinct()
     whole = cut(own.join(needed, "bundle").join(texts_of(own.join(needed, "bundle").select("node"), whole_set, "items"), "node"))
     side = lambda which, c: pairs.join(whole, F.col(c) == F.col("bundle")).select("one", "two", F.lit(which).alias("side"), "node", "root", "items")
