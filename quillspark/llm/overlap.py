@@ -6,10 +6,11 @@ texts, those that still bring many texts together. It is one order for all texts
 
 Equal texts are one node, named by 128 bits. First each node is verified with one partner, of the smallest nodes of its
 groups the one that it meets most often, and linked nodes become components. What is left are nodes that meet in a group
-and lie in different components. They are not paired: nodes are put in bundles of at most BUNDLE, by component or by the
-partner that they met most often, and bundles meet. The sets of two bundles travel once for the two, and all their shared
-counts come out of one product of 0/1 matrices, of which only links between different components are kept. So a group of
-n nodes makes (n / BUNDLE) squared rows, no set travels with a pair, and nothing is capped or dropped.
+and lie in different components. They are not paired: nodes are put in bundles of about BUNDLE, by component or by the
+partner that they met most often, and by size, and bundles meet. Their members' sketches say which of them may be similar to
+any of the others'; the sets of those travel once for the two bundles, and all their shared counts come out of one
+product of 0/1 matrices, of which only links between different components are kept. So a group of n nodes makes
+(n / BUNDLE) squared rows, no set travels with a pair, and nothing is capped or dropped.
 
 Defined results: a null or blank text has no shingles and no links; texts that differ only in the case of A to Z or in white
 space have equal sets; repeated rows share their node; an empty table has no nodes.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +133,13 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return np.sort(top.select("token").toArrow()["token"].to_numpy().view("<u8"))
 
 
-def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.ndarray) -> np.ndarray:
-    """last, and the shingles that bring most texts together (at least CROWD) in the prefixes by that order, sorted.
+def crowded(nodes: DataFrame) -> np.ndarray:
+    """The shingles that bring most texts together (at least CROWD) in the prefixes of nodes, sorted.
 
-    All texts are counted: first by classes of shingles, a fixed number of counters a task, and then, in the classes that stand
-    out, shingle by shingle.
+    All are counted: first by classes of shingles, a fixed number of counters a task, and then, in the classes that stand out,
+    shingle by shingle.
     """
-    prefixes = texts.select(sets(F.col(text), percent, shingle, last)["prefix"].alias("prefix"))
+    prefixes = nodes.select("prefix")
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -150,11 +152,11 @@ def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.nd
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["class", "n"])
 
-    sums = prefixes.mapInArrow(classes, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    full = sums.where(F.col("n") >= CROWD + total / CLASSES).orderBy(F.desc("n"), "class").limit(CLASSES // 8).select("class").toArrow()
+    sums = cut(prefixes.mapInArrow(classes, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")))
+    mean = (sums.agg(F.sum("n")).first()[0] or 0) / CLASSES
+    full = sums.where(F.col("n") >= CROWD + mean + 4 * mean**0.5).orderBy(F.desc("n"), "class").limit(CLASSES // 8).select("class").toArrow()
     if not full.num_rows:
-        return last
+        return np.empty(0, "<u8")
     wanted = np.zeros(CLASSES, bool)
     wanted[full["class"].to_numpy()] = True
 
@@ -165,7 +167,7 @@ def crowded(texts: DataFrame, text: str, percent: int, shingle: int, last: np.nd
 
     counts = prefixes.mapInArrow(chosen, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD)
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
-    return np.union1d(last, top["token"].to_numpy().view("<u8"))
+    return np.sort(top["token"].to_numpy().view("<u8"))
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -204,6 +206,23 @@ def spanning(nodes: list[int], roots: list[int], pairs: np.ndarray) -> list[tupl
     return out
 
 
+def near_members(members: pa.Table, percent: int) -> pa.Table:
+    """Of a pair of bundles the members that may be similar to one of another component, by their sketches. members: as for bundle_links, with size and counts."""
+    side, sizes, roots = (members[c].to_numpy() for c in ("side", "size", "root"))
+    counts = np.stack([np.frombuffer(x.as_py(), "u1") for x in members["counts"]])
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    two = two if len(two) else one
+    stays = np.zeros(len(side), bool)
+    for i in one:
+        least = np.minimum(counts[i], counts[two])
+        most = least.sum(axis=1, dtype=np.int64)
+        may = ((100 + percent) * most >= percent * (sizes[i] + sizes[two]).astype(np.int64)) | (least == 255).any(axis=1)
+        may &= (roots[two] != roots[i]) & (100 * np.minimum(sizes[i], sizes[two]) >= percent * np.maximum(sizes[i], sizes[two]))
+        stays[two[may]] = True
+        stays[i] |= may.any()
+    return members.filter(pa.array(stays)).select(["one", "two", "side", "node", "root"])
+
+
 def bundle_links(members: pa.Table, percent: int) -> pa.Table:
     """(a, b) of one pair of bundles. members: side (0 or 1; a bundle that meets itself has 0 only), node, root, items."""
     side = members["side"].to_numpy()
@@ -237,30 +256,40 @@ def meetings(nodes: DataFrame) -> DataFrame:
 def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """(row, node) of all rows, and links (a, b) of nodes that span the components of all similar pairs. A node is a text's number."""
     named = cut(docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), text_key(F.col(text)).alias("key")))
-    last = crowded(docs, text, percent, shingle, common_shingles(docs, text, shingle))
+    last = common_shingles(docs, text, shingle)
     found = docs.select(text_key(F.col(text)).alias("key"), sets(F.col(text), percent, shingle, last).alias("s")).select("key", "s.size", "s.prefix")
     nodes = stored(found.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()))
     counts = named.groupBy("key").agg(F.count("*").alias("members")).join(nodes.select("key", "node"), "key")
     rows = cut(join_counted(named, counts, ["key"]).select("row", "node"))
-    met = cut(meetings(nodes))
-    # sizes x and y; the first shingle that two sets share is at i and j of their orders
-    fits = f"100 * least(x, y) >= {percent} * greatest(x, y) and {100 + percent} * least(x - i, y - j) >= {percent} * (x + y)"
 
-    def texts_of(names: DataFrame, of: Callable[[Column, int], Column], column: str) -> DataFrame:
+    def texts_of(names: DataFrame, of: Callable[[Column], Column], column: str) -> DataFrame:
         """node and what of makes of its text, for each of the names."""
         chosen = cut(rows.groupBy("node").agg(F.min("row").alias("row")).join(names.distinct(), "node"))
         few = chosen.count() <= BROADCAST_NODES
         own = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-        return own.join(F.broadcast(chosen) if few else chosen, "row").select("node", of(F.col("text"), shingle).alias(column)).dropDuplicates(["node"])
+        return own.join(F.broadcast(chosen) if few else chosen, "row").select("node", of(F.col("text")).alias(column)).dropDuplicates(["node"])
+
+    crowd = crowded(nodes)
+    if len(crowd):
+        # a text's prefix changes only where it holds a shingle that now comes last
+        late = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"token": crowd.view("<i8")})))
+        every = np.union1d(last, crowd)
+        changed = cut(nodes.select("node", F.explode("prefix").alias("token")).join(late, "token", "left_semi").select("node").distinct())
+        again = texts_of(changed, lambda t: sets(t, percent, shingle, every), "s").select("node", "s.size", "s.prefix")
+        kept = nodes.select("node", "size", "prefix").join(F.broadcast(changed) if changed.count() <= BROADCAST_NODES else changed, "node", "left_anti")
+        nodes = stored(kept.unionByName(again))
+    met = cut(meetings(nodes))
+    # sizes x and y; the first shingle that two sets share is at i and j of their orders
+    fits = f"100 * least(x, y) >= {percent} * greatest(x, y) and {100 + percent} * least(x - i, y - j) >= {percent} * (x + y)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, their sizes x, y) that are similar."""
         ends = lambda: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
         side = lambda df, c, name: df.select(F.col("node").alias(name), F.col(c).alias(f"of_{name}"))
-        rough = texts_of(ends(), sketch, "counts")
+        rough = texts_of(ends(), lambda t: sketch(t, shingle), "counts")
         met_ = pairs.join(side(rough, "counts", "a"), "a").join(side(rough, "counts", "b"), "b").withColumn("most", most_shared(F.col("of_a"), F.col("of_b")))
         pairs = cut(met_.where(f"most is null or {100 + percent} * most >= {percent} * (x + y)").select("a", "b"))
-        whole = texts_of(ends(), whole_set, "items")
+        whole = texts_of(ends(), lambda t: whole_set(t, shingle), "items")
         joined = pairs.join(side(whole, "items", "a"), "a").join(side(whole, "items", "b"), "b")
         return cut(joined.where(similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
@@ -271,17 +300,18 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     tested = cut(best.select("m.a", "b", "m.x", "m.y"))
     links = verified(tested)
     roots = cut(components(links))
-    # bundles: nodes of one component, or unlinked ones that met one partner most often
+    # bundles: nodes of one component, or unlinked ones that met one partner most often, all of about one size
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NODES else df
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     partner = tested.select(F.col("b").alias("node"), F.col("a").alias("partner"))
     own = nodes.select("node", "size").join(small(linked), "node", "left").join(small(partner), "node", "left")
-    key = F.struct(F.col("root").isNotNull().alias("linked"), F.coalesce("root", "partner", "node").alias("by")).alias("key")
+    kind = F.floor(F.log(F.greatest("size", F.lit(1))) / log(100 / percent)).alias("kind")
+    key = F.struct(F.col("root").isNotNull().alias("linked"), F.coalesce("root", "partner", "node").alias("by"), kind).alias("key")
     own = cut(own.select("node", "size", F.coalesce("root", "node").alias("root"), key))
     counts = own.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / BUNDLE, F.sum("size") / BUNDLE_ITEMS)).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    own = cut(join_counted(own, counts, ["key"]).select("node", "root", F.xxhash64("key.linked", "key.by", part).alias("bundle")))
-    tokens = met.select("token", "node", "size", "at").join(small(own), "node").groupBy("token", "bundle").agg(
+    own = cut(join_counted(own, counts, ["key"]).select("node", "size", "root", F.xxhash64("key.linked", "key.by", "key.kind", part).alias("bundle")))
+    tokens = met.select("token", "node", "at").join(small(own), "node").groupBy("token", "bundle").agg(
         F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("at")).alias("room"), F.min("root").alias("low"), F.max("root").alias("high")
     )
     tokens = cut(tokens)
@@ -293,9 +323,11 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     pairs = cut(pairs.select(F.col("a.bundle").alias("one"), F.col("b.bundle").alias("two")).distinct())
     if pairs.isEmpty():
         return rows, links
-    needed = pairs.select(F.col("one").alias("bundle")).union(pairs.select("two")).distinct()
-    whole = cut(own.join(needed, "bundle").join(texts_of(own.join(needed, "bundle").select("node"), whole_set, "items"), "node"))
-    side = lambda which, c: pairs.join(whole, F.col(c) == F.col("bundle")).select("one", "two", F.lit(which).alias("side"), "node", "root", "items")
+    needed = own.join(pairs.select(F.col("one").alias("bundle")).union(pairs.select("two")).distinct(), "bundle")
+    rough = cut(needed.join(texts_of(needed.select("node"), lambda t: sketch(t, shingle), "counts"), "node"))
+    side = lambda which, c: pairs.join(rough, F.col(c) == F.col("bundle")).select("one", "two", F.lit(which).alias("side"), "node", "root", "size", "counts")
     sides = side(0, "one").unionByName(side(1, "two").where("one != two"))
-    more = cut(sides.groupBy("one", "two").applyInArrow(lambda t: bundle_links(t, percent), "a long, b long"))
+    near = cut(sides.groupBy("one", "two").applyInArrow(lambda t: near_members(t, percent), "one long, two long, side int, node long, root long"))
+    whole = near.join(texts_of(near.select("node"), lambda t: whole_set(t, shingle), "items"), "node")
+    more = cut(whole.groupBy("one", "two").applyInArrow(lambda t: bundle_links(t, percent), "a long, b long"))
     return rows, links.unionByName(more)
