@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import join_counted, stored
 
+#: Edges of a task of a round.
+TASK_EDGES = 100_000
+
 
 def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -17,23 +20,26 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
 
     Each round is two aggregations and two joins; the edges never leave the executors, a hub's
     neighbours are never gathered, and its edges stay where they are when they meet it. Self-loops and repeats are dropped; no edges give no rows.
-    Edges that still change after `most` rounds are an error.
+    Edges that still change after `most` rounds are an error. A round's tables have as few partitions as TASK_EDGES allows, since
+    few edges over many tasks would be mostly files.
     """
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = _stamp(edges)
     for _ in range(most):
         if not stamp[0]:
             break
+        few = 2 * stamp[0] // TASK_EDGES + 1
+        edges = edges.coalesce(few)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")).select("a", F.least("a", "m").alias("m"), "members")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")).select("a", F.least("a", "m").alias("m"), "members").coalesce(few)
         large = join_counted(both, low, ["a"], total=2 * stamp[0]).where("b > a").select(
             F.col("b").alias("a"), F.col("m").alias("b")
-        ).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members"))
+        ).where("a != b").coalesce(few).distinct().coalesce(few)
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")).coalesce(few)
         small = join_counted(large, low, ["a"], total=2 * stamp[0]).select(
             F.col("b").alias("a"), F.col("m").alias("b")
         ).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a != b").distinct())
+        edges = stored(small.where("a != b").coalesce(few).distinct().coalesce(few))
         before, stamp = stamp, _stamp(edges)
         if stamp == before:
             break
