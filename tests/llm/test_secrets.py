@@ -243,7 +243,7 @@ def test_identifiers_of_words_that_training_has_not_seen(spark):
         rows += [(t, f"form {form}") for form in range(8) if len(t := spelled(words, form)) >= secrets.TOKEN_CHARS]
     rows += [("".join(rng.choice("0123456789") for _ in range(rng.randint(12, 27))), "number") for _ in range(300)]
     rows += [("".join(rng.choice(a) for _ in range(n)), f"random {i} {n}") for i, a in enumerate(secrets.RANDOM_ALPHABETS) for n in (12, 16, 20, 40) for _ in range(200)]
-    named = ["src/main/java/org/example/project/Service", "com/very/long/path/with/many/parts", "backend/app/product/response_safety", "this-is-a-long-slug-for-an-article-title",
+    named = ["src/main/java/org/example/project/Service", "com/very/long/path/with/many/parts", "frontend/lib/catalog/answer_checks", "this-is-a-long-slug-for-an-article-title",
              "getUserAccountInformationFromDatabase", "CONFIGURATION_MAX_CONNECTIONS_PER_HOST", "2024-01-05-release-notes-version-3"]
     rows += [(t, "named") for t in named] + [("q7Zp-9xLk2Vt8Rw", "random short")]
     got = spark.createDataFrame(rows, "token string, kind string").select("kind", secrets.is_random(F.col("token"), model).alias("hit"))
