@@ -90,27 +90,48 @@ def citations(hits: DataFrame, query: str, key: str, rank: str, columns: Sequenc
     return first.select(query, key, *(F.col(f"m.{c}").alias(c) for c in (rank, *columns)))
 
 
-def ladder(titles_: DataFrame, queries: DataFrame, key: str, title: str) -> DataFrame:
-    """For each query the titles found by its first rung that finds any: the whole phrase, three words running, two words running, any word of three letters or more.
+def _ladder_classes(titles_: DataFrame, queries: DataFrame, key: str, title: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(titles: key, ts), (queries: query_id, qs), (found: qs, rung, ts): titles and queries of equal texts as one class each, and which meet.
 
-    queries: query_id, text.
+    ts and qs: the texts of a key, of which there may be several, sorted. Phrases and titles meet on runs of up to three words that both
+    have; which rung is a query's follows from the runs that occur at all, so that only its own rung is spread over titles.
     """
-    words = F.filter(F.split(F.lower(T.strip(F.col("text"))), r"(?U)\s+"), lambda w: w != "")
-    grams = lambda n: F.when(
+    words = lambda text: F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    runs = lambda n: F.when(
         F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
     ).otherwise(F.array().cast("array<string>"))
-    rungs = [F.array(F.array_join("w", " ")), grams(3), grams(2), F.filter("w", lambda x: F.length(x) > 2)]
-    asked = queries.select("query_id", words.alias("w")).where(F.size("w") > 0).select(
-        "query_id", F.explode(F.array(*(F.struct(F.lit(i).alias("rung"), r.alias("p")) for i, r in enumerate(rungs)))).alias("r")
-    )
-    asked = asked.select("query_id", "r.rung", F.explode("r.p").alias("phrase")).distinct()
-    # a title meets a phrase on the phrase's first word, then the whole phrase is looked for
-    asked = asked.withColumn("word", F.substring_index("phrase", " ", 1))
-    held = titles_.select(
-        key, F.concat(F.lit(" "), F.array_join(F.split(F.lower(F.col(title)), r"(?U)\s+"), " "), F.lit(" ")).alias("t")
-    ).withColumn("word", F.explode(F.array_distinct(F.split(F.trim("t"), " "))))
-    found = held.join(asked, "word").where(
-        F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    ).groupBy("query_id", key).agg(F.min("rung").alias("rung"))
-    best = Window.partitionBy("query_id")
-    return found.withColumn("best", F.min("rung").over(best)).where("rung = best").drop("best")
+    classes = lambda rows, key, text, name: rows.select(
+        key, F.array_join(words(text), " ").alias("t")
+    ).where("t != ''").groupBy(key).agg(F.array_sort(F.collect_set("t")).alias(name))
+    titles_, asked = classes(titles_, key, F.col(title), "ts"), classes(queries, "query_id", T.strip(F.col("text")), "qs")
+    split = lambda rows, name: rows.select(name).distinct().select(name, F.explode(name).alias("t")).select(name, "t", F.split("t", " ").alias("w"))
+    held = split(titles_, "ts").select("ts", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"), F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("run"))
+    rungs = [F.array("t"), runs(3), runs(2), F.filter("w", lambda x: F.length(x) > 2)]
+    phrases = split(asked, "qs").select("qs", F.explode(F.array(*(F.struct(F.lit(i).alias("rung"), r.alias("p")) for i, r in enumerate(rungs)))).alias("r"))
+    phrases = phrases.select("qs", "r.rung", F.explode("r.p").alias("phrase")).distinct().withColumn("run", F.substring_index("phrase", " ", 3))
+    whole = F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))  # of a phrase of more than three words more than its run
+    there = phrases.where("phrase = run").join(held.select("run").distinct(), "run", "left_semi").select("qs", "rung")
+    there = there.unionByName(phrases.where("phrase != run").join(held, "run").where(whole).select("qs", "rung"))
+    best = there.groupBy("qs").agg(F.min("rung").alias("rung"))
+    found = phrases.join(best, ["qs", "rung"]).join(held, "run").where(whole).select("qs", "rung", "ts").distinct()
+    return titles_, asked, found
+
+
+def ladder(titles_: DataFrame, queries: DataFrame, key: str, title: str) -> DataFrame:
+    """For each query the titles found by its first rung that finds any: the whole phrase, three words running, two words running, any word of three letters or more.
+
+    queries: query_id, text. Where only numbers of titles are asked for, `ladder_counts` forms no pairs of rows.
+    """
+    titles_, asked, found = _ladder_classes(titles_, queries, key, title)
+    return found.join(asked, "qs").join(titles_, "ts").select("query_id", key, "rung")
+
+
+def ladder_counts(titles_: DataFrame, queries: DataFrame, key: str, title: str) -> DataFrame:
+    """query_id, rung, found, first: the rung of each query that finds any title, how many titles that finds, and their least key.
+
+    Equal titles are counted before they meet queries, and equal queries are answered once.
+    """
+    titles_, asked, found = _ladder_classes(titles_, queries, key, title)
+    sizes = titles_.groupBy("ts").agg(F.count("*").alias("n"), F.min(key).alias("least"))
+    answers = found.join(sizes, "ts").groupBy("qs", "rung").agg(F.sum("n").alias("found"), F.min("least").alias("first"))
+    return asked.join(answers, "qs").select("query_id", "rung", "found", "first")

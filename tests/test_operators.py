@@ -393,3 +393,35 @@ def test_many_phrases_as_few(spark, monkeypatch, bound):
     found = spark.createDataFrame([("q", "Pump"), ("q", "pump pumps"), ("s", "cars")], "query_id string, text string")
     got = {r.query_id: (r.n_words, r.grounding, r.off_corpus) for r in search.off_corpus(asked, found).collect()}
     assert got == {"q": (2, 0.5, False), "r": (0, None, False), "s": (1, 0.0, True)}
+
+
+def test_ladder_counts_equal_texts_once(spark):
+    """Titles and queries of equal texts meet once; what they find equals the pairs of rows."""
+    names = ["red bolt", "Red  Bolt", "new red bolt of steel wire", "blue nut", "nut blue", None, " ", "of it"]
+    asked = ["new red bolt", "new red bolt of steel wire", "a nut blue", "x of", "of steel wire", None, "zzz"]
+    t = spark.createDataFrame([(i, names[i % 8]) for i in range(800)] + [(0, "blue nut"), (0, "red bolt")], "id int, name string")
+    q = spark.createDataFrame([(i, asked[i % 7]) for i in range(140)] + [(0, "a nut blue")], "query_id int, text string")
+    _, _, met = catalogue._ladder_classes(t, q, "id", "name")
+    assert met.count() <= 7 * 8
+    pairs = {}
+    for r in catalogue.ladder(t, q, "id", "name").collect():
+        pairs.setdefault((r.query_id, r.rung), []).append(r.id)
+    got = {(r.query_id, r.rung): (r.found, r.first) for r in catalogue.ladder_counts(t, q, "id", "name").collect()}
+    assert got == {k: (len(v), min(v)) for k, v in pairs.items()} and all(len(v) == len(set(v)) for v in pairs.values())
+
+    texts, phrases = {}, {}
+    for i, name in [(r.id, r.name) for r in t.collect()]:
+        texts.setdefault(i, set()).add(f" {' '.join((name or '').lower().split())} ")
+    for i, text in [(r.query_id, r.text) for r in q.collect()]:
+        w = (text or "").lower().split()
+        run = lambda n: [" ".join(w[j : j + n]) for j in range(len(w) - n + 1)]  # noqa: B023, E731
+        for rung, own in enumerate([[" ".join(w)] if w else [], run(3), run(2), [x for x in w if len(x) > 2]]):
+            phrases.setdefault(i, [set() for _ in range(4)])[rung].update(own)
+    want = {}
+    for i, rungs in phrases.items():
+        for rung, own in enumerate(rungs):
+            hits = [k for k, v in texts.items() if any(f" {p} " in x for p in own for x in v)]
+            if hits:
+                want[i, rung] = (len(hits), min(hits))
+                break
+    assert got == want
