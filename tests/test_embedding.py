@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
 from quillspark.operators import embedding
 from quillspark.plans import discovery
 
@@ -90,3 +91,13 @@ def test_an_unknown_document_is_an_error(spark, corpus):
     assert {tuple(r) for r in ask((1, "x", "D1", None), (2, "y", None, "S9"), (3, "z", None, "S1"))} == {(1, "D1"), (3, "D1")}
     with pytest.raises(Exception, match="exclude each other"):
         ask((1, "x", "D1", "S1"))
+
+
+def test_the_hash_embedder_adds_up_a_text_once(spark):
+    """The sum of code points is taken outside of what runs once a dimension."""
+    df = spark.createDataFrame([("ab",), ("",), (None,), ("é😀",)], "text string").select(T.hash_embedding(F.col("text")).alias("v"))
+    assert "transform(array(aggregate(" in df._jdf.queryExecution().analyzed().toString().replace("cast(", "")
+    total = lambda text: sum(map(ord, text))
+    assert [r.v for r in df.collect()] == [
+        [None] * 8 if text is None else [(total(text) + i) % 100 / 100 for i in range(8)] for text in ("ab", "", None, "é😀")
+    ]
