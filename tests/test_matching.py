@@ -197,3 +197,19 @@ def test_terms(spark, stored):
     assert {(r.query_id, r.term) for r in found} == {("q", "steel NOT the")}
     quoted = search.best_term(stored, terms.where("term_pos = 1"), 20, quote=True)
     assert quoted.count() == 0 and search.best_term(stored, spark.createDataFrame([("q", 0, 'a b "')], terms.schema), 20, quote=True).count() > 0
+
+
+def test_index_rows_are_blocks_of_documents(spark, tmp_path, monkeypatch):
+    """What is moved and sorted is a row a block and word, not one a document and word; what is found stays the same."""
+    texts = ["a b a", "b c", None, "", "c " * 30 + "a"]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(2_000)], "doc_id long, text string").coalesce(2)
+    index = postings.build(docs, str(tmp_path / "whole"))
+    assert spark.read.parquet(index.path + "/rows").where("bucket >= 0").count() <= 3 * 2
+    monkeypatch.setattr(postings, "BLOCK_WORDS", 20)
+    small = postings.build(docs.where("doc_id < 40"), str(tmp_path / "small"))
+    for built, n in ((index, 2_000), (small, 40)):
+        want = {(i, w): [k for k, x in enumerate(t.split()) if x == w] for i in range(n) for t in [texts[i % 5] or ""] for w in t.split()}
+        rows = built.rows_of(spark.createDataFrame([("a",), ("b",), ("c",)], "word string")).collect()
+        assert len(rows) == len(want) and {(r.key, r.word): r.places for r in rows} == want
+        assert all(r.dl == len(texts[r.key % 5].split()) for r in rows)
+        assert {r.word: r.df for r in built.document_frequencies().collect()} == {w: sum(k[1] == w for k in want) for w in "abc"}
