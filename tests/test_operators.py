@@ -425,3 +425,9 @@ def test_ladder_counts_equal_texts_once(spark):
                 want[i, rung] = (len(hits), min(hits))
                 break
     assert got == want
+
+
+def test_profile_lines_are_read_once(spark):
+    df = spark.createDataFrame([("capacity: 1 L\nCapacity : 2 L\nbogus: x\nmaterials: unknown\nmaterials: a: b",)], "raw string").select(rules.parsed_fields(F.col("raw")).alias("m"))
+    assert df._jdf.queryExecution().analyzed().toString().split("Project")[1].count("regexp_extract(") == 2
+    assert df.first().m == {"capacity": "2 L", "materials": "a: b"}
