@@ -22,11 +22,9 @@ BROADCAST_PATTERNS, BROADCAST_CHARS = 200_000, 8_000_000
 
 def grams(rows: DataFrame, text: str, sizes: Sequence[int], keep: Sequence[str]) -> DataFrame:
     """keep, gram: a row's distinct runs of each of the sizes, in linear time."""
-    # the letters are a column of their own, so that they are split once a row
-    letters = rows.select(*keep, F.filter(F.split(text, ""), lambda c: c != "").alias("letters"))
-    run = lambda size: lambda c, i: F.concat(c, *(F.get("letters", i + k) for k in range(1, size)))
-    runs = F.flatten(F.array(*(F.transform("letters", run(size)) for size in sizes)))
-    return letters.select(*keep, F.explode(F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))).alias("gram"))
+    # one pass of the pattern a size: a match takes no letters, so that runs may overlap
+    runs = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
+    return rows.select(*keep, F.explode(F.array_distinct(runs[0] if len(runs) == 1 else F.concat(*runs))).alias("gram"))
 
 
 def occurrences(texts: DataFrame, patterns: DataFrame, key: str = "key", text: str = "text", pattern_id: str = "pattern_id", pattern: str = "pattern") -> DataFrame:

@@ -62,3 +62,15 @@ def test_categories(spark):
 def test_long_text(spark):
     texts = spark.createDataFrame([(1, "ab " * 300_000 + "needle"), (2, "nee dle")], "key long, text string")
     assert [r.key for r in dictionary.occurrences(texts, spark.createDataFrame([("n", "Needle")], "pattern_id string, pattern string")).collect()] == [1]
+
+
+def test_grams_are_found_by_one_pass_of_a_pattern(spark):
+    """Runs over line ends and letters of two units too, without a function for each letter."""
+    rows = [(1, "a\nb😀cc"), (2, "ab"), (3, ""), (4, "aaaa")]
+    df = dictionary.grams(spark.createDataFrame(rows, "key long, t string"), "t", [1, 3], ["key"])
+    text = df._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" in text and "transform(" not in text
+    got, want = {(r.key, r.gram) for r in df.collect()}, {(k, t[i : i + n]) for k, t in rows for n in (1, 3) for i in range(len(t) - n + 1)}
+    assert want <= got and {g for g in got - want if "😀" not in rows[g[0] - 1][1]} == set()
+    found = dictionary.occurrences(spark.createDataFrame(rows, "key long, text string"), spark.createDataFrame([("x", "B😀C"), ("y", "\nb"), ("z", "😀")], "pattern_id string, pattern string"))
+    assert {tuple(r) for r in found.collect()} == {("x", 1), ("y", 1), ("z", 1)}
