@@ -87,3 +87,17 @@ def test_allowed_with_many_queries(spark, tables, monkeypatch):
     want = rows_of(search.vector_top_k(asked, vectors, 3, allowed=allowed))
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
     assert rows_of(search.vector_top_k(asked, vectors, 3, allowed=allowed)) == want and want
+
+
+def test_tiles_are_compared_in_blocks(spark, monkeypatch):
+    """Blocks of queries and of vectors, of which some are not full, find what one block finds."""
+    rows = [(i, [float((i * 7 + d * 3) % 11 - 5) + 0.5 for d in range(4)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id < 11").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    found = lambda: sorted(tuple(r) for r in search.vector_top_k(asked, vectors, 5).collect())
+    want = found()
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
+    for block in (3, 512):
+        monkeypatch.setattr(search, "BLOCK", block)
+        got = found()
+        assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want, strict=True))
