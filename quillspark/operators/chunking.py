@@ -20,13 +20,14 @@ def sections(pages: DataFrame, heading: str = V.HEADING_LINE, number: str = V.HE
     heading: the pattern of a whole line; number: of the part of it, from its start, that names the section.
     drop_preamble: what comes before the first heading goes.
     """
-    split = rf"(?md)(?=^{heading}$)"
-    rows = pages.where(F.length(T.strip(F.col("text"))) > 0).select("*", F.posexplode(F.split("text", split, -1)).alias("section_pos", "raw"))
+    split, said = rf"(?md)(?=^{heading}$)", rf"(?s)(?!{V.SPACE})."
+    # that something is left is told from the first letter, so texts are stripped once; whether a page has headings is asked once a page
+    rows = pages.where(F.col("text").rlike(said)).withColumn("headed", F.col("text").rlike(rf"(?md)^{heading}$") if drop_preamble else F.lit(False))
+    rows = rows.select("*", F.posexplode(F.split("text", split, -1)).alias("section_pos", "raw")).where(F.col("raw").rlike(said))
     rows = rows.withColumn("section", T.first_match(F.col("raw"), rf"(?d)\A(?=(?:{heading})(?:\n|\z))({number})", 1))
     if drop_preamble:
-        headed = F.col("text").rlike(rf"(?md)^{heading}$")
-        rows = rows.where(F.col("section").isNotNull() | ~headed)
-    return rows.withColumn("text", T.strip(F.col("raw"))).drop("raw").where("text != ''")
+        rows = rows.where(F.col("section").isNotNull() | ~F.col("headed"))
+    return rows.withColumn("text", T.strip(F.col("raw"))).drop("raw", "headed")
 
 
 def clauses(pages: DataFrame, heading: str = V.HEADING_LINE, number: str = V.HEADING_NUMBER) -> DataFrame:

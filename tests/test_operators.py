@@ -431,3 +431,11 @@ def test_profile_lines_are_read_once(spark):
     df = spark.createDataFrame([("capacity: 1 L\nCapacity : 2 L\nbogus: x\nmaterials: unknown\nmaterials: a: b",)], "raw string").select(rules.parsed_fields(F.col("raw")).alias("m"))
     assert df._jdf.queryExecution().analyzed().toString().split("Project")[1].count("regexp_extract(") == 2
     assert df.first().m == {"capacity": "2 L", "materials": "a: b"}
+
+
+def test_sections_strip_their_texts_once(spark):
+    pages = spark.createDataFrame([(1, 1, "before\n1 SCOPE\n all \n"), (1, 2, " \n　"), (1, 3, None), (2, 1, "no heading ")], "document_id int, page_number int, text string")
+    df = chunking.clauses(pages)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert df.columns == ["document_id", "page_number", "text", "section_pos", "section"]
+    assert {(r.document_id, r.page_number, r.section, r.text) for r in df.collect()} == {(1, 1, "1", "1 SCOPE\n all"), (2, 1, None, "no heading")}
