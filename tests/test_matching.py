@@ -213,3 +213,14 @@ def test_index_rows_are_blocks_of_documents(spark, tmp_path, monkeypatch):
         assert len(rows) == len(want) and {(r.key, r.word): r.places for r in rows} == want
         assert all(r.dl == len(texts[r.key % 5].split()) for r in rows)
         assert {r.word: r.df for r in built.document_frequencies().collect()} == {w: sum(k[1] == w for k in want) for w in "abc"}
+
+
+def test_equal_phrases_meet_documents_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red steel pipe"), (2, "steel valve"), (3, "red pipe of steel")], "doc_id long, text string")
+    table = spark.createDataFrame([(i, "NEAR(red steel, 4)" if i % 2 else "steel OR red") for i in range(20)], "query_id long, query string")
+    asked, held = [], matching.held
+    monkeypatch.setattr(matching, "held", lambda index, phrases: asked.append(phrases.count()) or held(index, phrases))
+    index = postings.Unstored(postings.tokenised(docs, "doc_id", "text"), "key")
+    got = {(r.query_id, r.doc_id) for r in matching.search(index, table, 5).collect()}
+    assert asked == [2]
+    assert got == {(i, d) for i in range(20) for d in (1, 2, 3) if i % 2 == 0 or d != 2}
