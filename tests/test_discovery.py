@@ -124,3 +124,14 @@ def test_plain_turns(spark):
     assert got[2].off_corpus and got[2].content.startswith("IS 302 says so, see IS 999.\n\n" + V.TRIM_NOTICE) and len(got[2].citations) == 1
     none = {r.query_id: r for r in discovery.plain_turns(asked, answers, discovery.index(pages.limit(0), embed), documents, embed).collect()}
     assert none[1].citations == [] and not none[1].off_corpus and none[1].unverified == ["IS 302", "IS 999"]
+
+
+def test_chunks_of_the_question_flows_are_made_once_and_stay_in_their_tasks(spark):
+    from quillspark.operators import search
+    from quillspark.plans import rule_queries
+
+    chunks, documents = rule_queries.world(spark, "/root/testdata/sf0.001")
+    assert chunks.inputFiles() and all("/chunks-" in f for f in chunks.inputFiles())
+    asked = spark.createDataFrame([(1, [0.1] * 8)], "query_id long, query_vector array<double>")
+    found = search.vector_top_k(asked, chunks, 3, key="chunk_id", parents=documents)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
