@@ -14,8 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -40,27 +39,28 @@ def prepared(updates: DataFrame, fields: Sequence[str] = V.PROFILE_FIELDS) -> Da
 class Profile(StatefulProcessor):
     """The state: the last turn, the fields, and what the settled ones mean."""
 
-    def __init__(self, fields: Sequence[str], idle: float | None) -> None:
-        self.fields, self.idle = list(fields), idle
+    def __init__(self, columns: Sequence[str], fields: Sequence[str], idle: float | None) -> None:
+        self.columns, self.fields, self.idle = list(columns), list(fields), idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = [*self.fields, *(f"{f}_means" for f in MEANINGS)]
         self.handle, self.names = handle, kept
         self.state = handle.getValueState("profile", "turn bigint, " + ", ".join(f"{name} string" for name in kept))
 
-    def _row(self, key: Any, turn: int | None, now: dict[str, str | None], conflicts: list[dict], kind: str) -> pd.DataFrame:
-        return pd.DataFrame({"conversation_id": [key], "turn": pd.array([turn], "Int64"), **{f: [now[f]] for f in self.fields}, "conflicts": [conflicts], "kind": [kind]})
+    def _row(self, key: Any, turn: int | None, now: dict[str, str | None], conflicts: list[dict], kind: str) -> Row:
+        return Row(conversation_id=key, turn=turn, **{f: now[f] for f in self.fields}, conflicts=conflicts, kind=kind)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        told = [r for df in rows for r in df.astype(object).where(df.notna(), None).to_dict("records")]
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        told = [dict(zip(self.columns, r, strict=True)) for r in rows]
         place = lambda turn: (turn is not None, turn or 0)
         last, now = None, dict.fromkeys(self.names)
-        if self.state.exists():
-            turn, *values = self.state.get()
+        kept = self.state.get()
+        if kept is not None:
+            turn, *values = kept
             last, now = place(turn), dict(zip(self.names, values, strict=True))
         newest = None
         for r in sorted(told, key=lambda r: (place(r["turn"]), r["entries"])):
-            turn = None if r["turn"] is None else int(r["turn"])
+            turn = r["turn"]
             if last is not None and place(turn) <= last:
                 yield self._row(key[0], turn, now, [], "late")
             else:
@@ -93,7 +93,7 @@ class Profile(StatefulProcessor):
         now["product_type"] = heater if old["product_type"] is None else old["product_type"]
         return now, conflicts
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if self.state.exists():
             turn, *values = self.state.get()
             self.state.clear()
@@ -108,7 +108,8 @@ def profile_stream(updates: DataFrame, fields: Sequence[str] = V.PROFILE_FIELDS,
     kind = updates.schema["conversation_id"].dataType.simpleString()
     columns = f"conversation_id {kind}, turn bigint, {', '.join(f'{f} string' for f in fields)}, conflicts {CONFLICT}, kind string"
     mode = "None" if idle is None else "ProcessingTime"
-    rows = prepared(updates, fields).groupBy("conversation_id").transformWithStateInPandas(Profile(fields, idle), columns, "Update", mode)
+    rows = prepared(updates, fields)
+    rows = rows.groupBy("conversation_id").transformWithState(Profile(rows.columns, fields, idle), columns, "Update", mode)
     asked = F.transform("conflicts", lambda c: F.when(c["field"] == "product_category", rules.category_text(c["old"], c["new"])).otherwise(rules.use_text(c["old"], c["new"])))
     return rows.select("conversation_id", "turn", *fields, asked.alias("questions"), "kind")
 

@@ -98,3 +98,23 @@ def test_intake(spark, tmp_path):
         assert done() == first_come(batches)
     again(spark.createDataFrame([], UPLOADS), 3)
     assert done() == first_come(batches)
+
+
+def test_turns_of_a_batch_read_and_write_the_state_once():
+    class State:
+        asked, told, exists = 0, [], None  # that it exists is not asked apart
+
+        def get(self):
+            self.asked += 1
+
+        def update(self, value):
+            self.told.append(value)
+
+    means = [f"{f}_{m}" for f in profiles.MEANINGS for m in ("means", "meant")]
+    columns = ["conversation_id", "turn", "entries", "capacity", "product_category", "intended_use", "product_type", *means, "heater_type"]
+    profile = profiles.Profile(columns, columns[3:7], None)
+    profile.state, profile.names = State(), [*columns[3:7], *(f"{f}_means" for f in profiles.MEANINGS)]
+    rows = iter([(7, turn, "", f"{turn} L", *[None] * 8) for turn in (2, 1, 3, 1)])
+    out = list(profile.handleInputRows((7,), rows, None))
+    assert [(r.turn, r.capacity, r.kind) for r in out] == [(1, "1 L", "turn"), (1, "1 L", "turn"), (2, "1 L", "turn"), (3, "1 L", "turn")]
+    assert profile.state.asked == 1 and [x[:2] for x in profile.state.told] == [(3, "1 L")]
