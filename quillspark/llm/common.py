@@ -74,6 +74,11 @@ def text_key(text: Column) -> Column:
 HOT_SHARE, HOT_ROWS = 1e-5, 100
 
 
+def hot_rows(total: int) -> float:
+    """Keys with more rows than this, of total, are hot."""
+    return max(HOT_ROWS, HOT_SHARE * total)
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members: str = "members", total: int | None = None) -> DataFrame:
     """rows joined with counted (unique by keys, with the number of rows of each), without members. total: of all rows, where it is known.
 
@@ -81,7 +86,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members:
     stay where they are. What is left for the shuffle has no hot key.
     """
     total = (counted.agg(F.sum(members)).first()[0] or 0) if total is None else total
-    hot = F.col(members) > max(HOT_ROWS, HOT_SHARE * total)
+    hot = F.col(members) > hot_rows(total)
     extra = [c for c in counted.columns if c not in keys and c != members]
     many = counted.where(hot).select(*keys, *extra)
     known = rows.join(F.broadcast(many.withColumn("is_hot", F.lit(True))), keys, "left")

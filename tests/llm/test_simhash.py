@@ -89,6 +89,26 @@ def test_no_edges(spark):
     assert {(r.node, r.root) for r in graph.components(path).collect()} == {(i, 0) for i in range(1, 51)}
 
 
+@pytest.mark.parametrize("task_edges", [100_000, 150])
+def test_rounds_are_small_plans(spark, monkeypatch, task_edges):
+    """A round's plans hold no half of it twice, and without hubs over several tasks nothing is broadcast; hubs and paths are whole."""
+    plans, make = [], graph.stored
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return make(df)
+
+    monkeypatch.setattr(graph, "stored", kept)
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
+    hub = [(5, 1000 + i) for i in range(300)] + [(2000 + i, 1000 + i) for i in range(0, 300, 7)]
+    path = [(3000 + i, 3001 + i) for i in range(40)] + [(3, 3020), (7, 7), (1000, 5)]
+    edges = spark.createDataFrame(hub + path, "a long, b long").repartition(6)
+    want = {(b, 5) for _, b in hub} | {(a, 5) for a, _ in hub if a > 5} | {(i, 3) for i in range(3000, 3041)}
+    assert {(r.node, r.root) for r in graph.components(edges).collect()} == want
+    assert max(p.count("Join ") for p in plans) <= 3
+    assert max(p.count("strategy=broadcast") for p in plans) <= 2 * (task_edges == 150)
+
+
 def test_long_text():
     text = " ".join(str(i) for i in range(70_000))
     a = simhash.simhash(text.encode())
