@@ -83,11 +83,15 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], members:
     """rows joined with counted (unique by keys, with the number of rows of each), without members. total: of all rows, where it is known.
 
     Keys with more than HOT_ROWS rows and HOT_SHARE of all are at most 100,000; they are broadcast, so a hot key's rows
-    stay where they are. What is left for the shuffle has no hot key.
+    stay where they are. What is left for the shuffle has no hot key. Where no key is hot, nothing is broadcast.
     """
-    total = (counted.agg(F.sum(members)).first()[0] or 0) if total is None else total
-    hot = F.col(members) > hot_rows(total)
     extra = [c for c in counted.columns if c not in keys and c != members]
+    if total is None:
+        total, most = counted.agg(F.sum(members), F.max(members)).first()
+        total = total or 0
+        if (most or 0) <= hot_rows(total):
+            return rows.join(counted.select(*keys, *extra).hint("merge"), keys)
+    hot = F.col(members) > hot_rows(total)
     many = counted.where(hot).select(*keys, *extra)
     known = rows.join(F.broadcast(many.withColumn("is_hot", F.lit(True))), keys, "left")
     rest = known.where("is_hot is null").drop("is_hot", *extra).join(counted.where(~hot).select(*keys, *extra), keys)

@@ -51,7 +51,7 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         low = _least(large, few)
         small = _met(large, low, total, few).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a != b").coalesce(few).distinct().coalesce(few))
-        before, stamp = stamp, _stamp(edges)
+        before, stamp = stamp, _stamp(edges.coalesce(few))
         if stamp == before:
             break
     else:

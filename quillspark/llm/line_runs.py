@@ -39,6 +39,9 @@ from quillspark.llm.common import fresh, join_counted, row_key, stored
 
 MIN_LINES = 4
 LONG_LINE = 50
+#: Suffixes that one task ranks. A round of no more is planned without an exchange and without a broadcast: the driver keeps a
+#: thread and memory for each of them, however small it is, for as long as a minute, and the rounds are many.
+TASK_SUFFIXES = 100_000
 
 
 def numbered_documents(docs: DataFrame, doc_id: str, text: str, long_line: int) -> DataFrame:
@@ -92,9 +95,19 @@ def classes(suffixes: DataFrame, second: str) -> DataFrame:
     return stored(ranked(shared, second))
 
 
+def ranked_in_one(suffixes: DataFrame, second: str) -> DataFrame:
+    """suffixes that share (name, second) with others, with place and rank as of classes, in one task."""
+    group = Window.partitionBy("name", second)
+    shared = suffixes.coalesce(1).withColumn("members", F.count("*").over(group)).withColumn("place", F.min("at").over(group)).where("members > 1")
+    return shared.withColumn("rank", F.col("name") + F.rank().over(Window.partitionBy("name").orderBy(second)) - 1)
+
+
 def deeper(suffixes: DataFrame, second: str, depth: int, total: int | None = None) -> DataFrame:
-    """Suffixes that share (name, second) with others, with their new rank as name, and of the copy that starts there how long it is and where the first one is."""
-    rows = join_counted(suffixes, classes(suffixes, second), ["name", second], total=total)
+    """Suffixes (total in all, where it is known) that share (name, second) with others, with their new rank as name, and of the copy that starts there how long it is and where the first one is."""
+    if total is not None and total <= TASK_SUFFIXES:
+        rows = ranked_in_one(suffixes, second)
+    else:
+        rows = join_counted(suffixes, classes(suffixes, second), ["name", second], total=total)
     late = F.col("place") < F.col("at")
     lines = F.least(F.lit(depth).cast("long"), F.col("end") - F.col("at"))
     copied, source = F.when(late, lines).otherwise(F.col("copied")), F.when(late, F.col("place")).otherwise(F.col("source"))
@@ -115,15 +128,17 @@ def line_copies(documents: DataFrame, min_lines: int) -> tuple[DataFrame, DataFr
         none.alias("copied"), none.alias("source"), "t.id", F.col("t.long").alias("long")
     )
     known = lines.withColumn("id", F.struct("id", "long"))  # a line is long wherever it stands
-    suffixes = deeper(known.drop("long"), "id", 1)
+    suffixes = deeper(known.drop("long"), "id", 1, documents.agg(F.sum("n")).first()[0] or 0)
     late_long = suffixes.where(F.col("copied").isNotNull() & F.col("id.long")).select("first", "at")
-    rounds, settled, depth, n = [suffixes], None, 1, suffixes.count()
+    rounds, settled, depth, n, n_settled = [suffixes], None, 1, suffixes.count(), 0
     while n:
         step = min(depth, min_lines - depth) if depth < min_lines else depth
         depth += step
         names = suffixes.select("at", "name") if settled is None else suffixes.select("at", "name").unionByName(settled)
         ahead = names.select((F.col("at") - step).alias("at"), F.col("name").alias("second"))
         own = suffixes.select("first", "at", "end", "name", "copied", "source")
+        if n + n_settled <= TASK_SUFFIXES:  # they meet in one task, where they lie
+            own, ahead = own.coalesce(1), ahead.coalesce(1).hint("merge")
         more = own.where(F.col("at") + step < F.col("end")).join(ahead, "at")
         # a suffix without further lines sorts before all that go on
         pairs = stored(more.unionByName(own.where(F.col("at") + step >= F.col("end")).withColumn("second", F.lit(-1).cast("long"))))
@@ -132,7 +147,9 @@ def line_copies(documents: DataFrame, min_lines: int) -> tuple[DataFrame, DataFr
         ended = found.where("second < 0").select("at", "name")
         settled = ended if settled is None else settled.unionByName(ended)
         suffixes = found.where("second >= 0")
-        n = suffixes.count()
+        few = (n + n_settled) // TASK_SUFFIXES + 1
+        n, more_settled = found.coalesce(few).agg(F.count_if(F.col("second") >= 0), F.count_if(F.col("second") < 0)).first()
+        n_settled += more_settled
     columns = "first", "at", "copied", "source", "depth"
     every = rounds[0].select(*columns)
     for r in rounds[1:]:

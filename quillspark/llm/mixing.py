@@ -30,6 +30,9 @@ from quillspark.llm.common import HOT_SHARE, cut, fresh, join_counted, row_key,
 
 #: Sources up to which their table (some 60 bytes a row) is broadcast; above, joins shuffle.
 BROADCAST_SOURCES = 20_000
+#: Sources and sizes that one task sums in a Newton step. A step of no more is planned without an exchange and without a broadcast:
+#: the driver keeps a thread and memory for each of them, however small it is, for as long as a minute.
+TASK_CELLS = 200_000
 #: Documents of one source and size that one task ranks, or HOT_SHARE of all if that is more; larger cells are dealt to sub-cells.
 CELL_ROWS = 1_000
 
@@ -83,16 +86,21 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1
     )
     x = F.col("size") * F.col("n_docs") / F.col("source_size")
     rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("dual") * x, F.lit(50.0))))
+    few_sources = duals.count() <= BROADCAST_SOURCES
+    in_one = few_sources and cells.count() <= TASK_CELLS
+    cells = cells.coalesce(1) if in_one else cells
+    duals = duals.coalesce(1) if few_sources else duals
     for _ in range(most):
-        sums = (
-            cells.join(F.broadcast(duals) if duals.count() <= BROADCAST_SOURCES else duals, "skey")
-            .where("miss is not null")
-            .groupBy("skey")
-            .agg(
-                F.sum(F.col("n_cell") * F.col("size") * rate).alias("got"),
-                F.sum(F.when(rate < cap, F.col("n_cell") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
-            )
-        )
+        words = F.col("n_cell") * F.col("size")
+        sums = [
+            F.sum(F.when(F.col("miss").isNotNull(), words * rate)).alias("got"),
+            F.sum(F.when(F.col("miss").isNotNull() & (rate < cap), words * x * rate).otherwise(0.0)).alias("slope"),
+        ]
+        if in_one:
+            stepped = duals.join(cells.hint("merge"), "skey", "left").groupBy(*duals.columns).agg(*sums)
+        else:
+            met = cells.join(F.broadcast(duals) if few_sources else duals, "skey").where("miss is not null")
+            stepped = duals.join(met.groupBy("skey").agg(*sums), "skey", "left")
         miss = F.col("got") / F.col("target") - 1
         low = F.when(miss < 0, F.col("dual")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("dual")).otherwise(F.col("high"))
@@ -100,7 +108,6 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1
         safe = F.col("slope").isNotNull() & (F.col("slope") > 0) & (low.isNull() | (newton > low)) & (high.isNull() | (newton < high))
         inside = F.when(low.isNull(), high - 2 * (1 + F.abs(high))).when(high.isNull(), low + 2 * (1 + F.abs(low))).otherwise((low + high) / 2)
         done = F.abs(miss) <= tolerance
-        stepped = duals.join(sums, "skey", "left")
         new = F.when(F.col("got").isNull() | done, F.col("dual")).when(safe, newton).otherwise(inside)
         duals = stored(
             stepped.select(
@@ -108,6 +115,7 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1
                 F.when(F.col("got").isNotNull() & ~done, F.abs(miss)).alias("miss")
             )
         )
+        duals = duals.coalesce(1) if few_sources else duals
         if not duals.agg(F.count("miss")).first()[0]:
             break
     else:
@@ -148,7 +156,7 @@ def mix(
     skey = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     columns = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), skey.alias("skey"), n_words(F.col(text)).alias("size")]
     sized = cut(docs.select(*columns, *([key.alias("key")] if key is not None else [])))
-    cells = cut(sized.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("n_cell")))
+    cells = stored(sized.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("n_cell")))
     duals = balance(cells, source_targets(sized, weights, share, cap), cap)
     # cells above HOT_SHARE of all documents are at most 1 / HOT_SHARE, so their table is safe to broadcast
     most = max(CELL_ROWS, int(HOT_SHARE * sized.count()))

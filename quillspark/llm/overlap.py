@@ -259,7 +259,7 @@ def set_links(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
     last = common_shingles(docs, text, shingle)
     found = docs.select(text_key(F.col(text)).alias("key"), sets(F.col(text), percent, shingle, last).alias("s")).select("key", "s.size", "s.prefix")
     nodes = stored(found.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()))
-    counts = named.groupBy("key").agg(F.count("*").alias("members")).join(nodes.select("key", "node"), "key")
+    counts = cut(named.groupBy("key").agg(F.count("*").alias("members")).join(nodes.select("key", "node"), "key"))
     rows = cut(join_counted(named, counts, ["key"]).select("row", "node"))
 
     def texts_of(names: DataFrame, of: Callable[[Column], Column], column: str) -> DataFrame:

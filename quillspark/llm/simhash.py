@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
     roots = components(fingerprint_links(prints))
     nodes = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", "members", F.coalesce("root", "fp").alias("root"))
-    named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "members", "component_id")
+    named = cut(nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "members", "component_id"))
     return join_counted(rows, named, ["fp"])
 
 

@@ -22,3 +22,10 @@ def test_stored_rows_come_back(spark):
     again = common.stored(df)
     assert again.schema == df.schema and Counter(map(repr, again.collect())) == Counter(map(repr, df.collect()))
     assert common.stored(df.limit(0)).count() == 0
+
+
+def test_nothing_hot_nothing_broadcast(spark):
+    rows = spark.range(300).selectExpr("id % 50 as k", "id as v")
+    counted = rows.groupBy("k").agg(F.count("*").alias("members"), F.min("v").alias("low"))
+    joined = common.join_counted(rows, counted, ["k"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.where("v % 50 = low").count() == 300

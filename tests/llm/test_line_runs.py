@@ -109,6 +109,34 @@ def test_hot_lines_go_either_way(spark, monkeypatch):
         assert Counter(tuple(r) for r in line_runs.op5(df).collect()) == want
 
 
+def test_hot_lines_in_rounds_of_many_tasks(spark, monkeypatch):
+    from quillspark.llm import common
+
+    rows = fixture() + [(3000 + i, "hot line\n" * 3 + f"own {i}", "en", "s", 1) for i in range(60)]
+    monkeypatch.setattr(line_runs, "TASK_SUFFIXES", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert Counter(tuple(r) for r in line_runs.op5(spark.createDataFrame(rows, DOCS)).collect()) == brute(rows)
+
+
+def test_small_rounds_broadcast_and_exchange_nothing(spark, monkeypatch):
+    """Rounds of few suffixes are one task each, and what they find is what rounds of many tasks find."""
+    df = spark.createDataFrame(fixture(), DOCS).repartition(4)
+    plans, stored = [], line_runs.stored
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stored(rows)
+
+    documents = stored(line_runs.numbered_documents(df, "doc_id", "text", 50))
+    monkeypatch.setattr(line_runs, "stored", seen)
+    got = [Counter(tuple(r) for r in x.collect()) for x in line_runs.line_copies(documents, 4)]
+    assert len(plans) >= 9 and not any("Exchange" in p for p in plans)
+    plans.clear()
+    monkeypatch.setattr(line_runs, "TASK_SUFFIXES", 300)
+    assert [Counter(tuple(r) for r in x.collect()) for x in line_runs.line_copies(documents, 4)] == got
+    assert any("Exchange" in p for p in plans) and any("Exchange" not in p for p in plans)
+
+
 def test_a_taken_name(spark):
     row = line_runs.dedup_lines(spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, line_report int")).first()
     assert row.line_report == 7 and row.line_report_.n_lines == 1

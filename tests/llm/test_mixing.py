@@ -96,3 +96,24 @@ def test_too_few_steps_are_an_error(spark):
     with pytest.raises(RuntimeError, match="still missed"):
         mixing.balance(cells, targets, 2, most=1)
     assert mixing.balance(cells, targets, 2).first().dual is not None
+
+
+def test_small_steps_broadcast_and_exchange_nothing(spark, monkeypatch):
+    """Newton steps of few cells are one task each, and find the duals that steps of many tasks find."""
+    cells = spark.createDataFrame([(f"={s}", n, 3 + n % 5) for s in "abc" for n in range(1, 40)], "skey string, size long, n_cell long")
+    cells = mixing.stored(cells.repartition(4))
+    sums = {r.skey: r for r in cells.selectExpr("skey", "size * n_cell as words", "n_cell").groupBy("skey").sum().collect()}
+    targets = spark.createDataFrame([(k, r[1], r[2], share * r[1]) for (k, r), share in zip(sums.items(), (0.4, 0.9, 1.6), strict=True)], "skey string, source_size long, n_docs long, target double")
+    plans, stored = [], mixing.stored
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stored(rows)
+
+    monkeypatch.setattr(mixing, "stored", seen)
+    one = {r.skey: r.dual for r in mixing.balance(cells, targets, 2).collect()}
+    assert len(plans) > 3 and not any("Exchange" in p for p in plans)
+    monkeypatch.setattr(mixing, "TASK_CELLS", 0)
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        assert {r.skey: pytest.approx(r.dual, abs=1e-6) for r in mixing.balance(cells, targets, 2).collect()} == one
