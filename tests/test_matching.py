@@ -224,3 +224,18 @@ def test_equal_phrases_meet_documents_once(spark, monkeypatch):
     got = {(r.query_id, r.doc_id) for r in matching.search(index, table, 5).collect()}
     assert asked == [2]
     assert got == {(i, d) for i in range(20) for d in (1, 2, 3) if i % 2 == 0 or d != 2}
+
+
+def test_prefixes_move_no_rows_of_the_index(spark, stored, monkeypatch):
+    """The words that a prefix stands for are found where they lie, however many; what documents hold of all terms is found once, and kept."""
+    table = spark.createDataFrame([(1, "ab* OR steel"), (2, '"a b" OR ^the')], "query_id int, query string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, matching.search(stored, table, 50).collect()))
+    plans, held = [], matching.held
+    monkeypatch.setattr(matching, "held", lambda *own: plans.append(plan(found := held(*own))) or found)
+    monkeypatch.setattr(postings, "FEW_WORDS", 4)
+    monkeypatch.setattr(postings, "BROADCAST_WORDS", 4)  # of the queries' own words no more, of those and the words with the prefix six
+    got = matching.search(stored, table, 50)
+    assert "SortMergeJoin" not in plans[0] and plans[0].count("hashpartitioning(") == plans[0].count("hashpartitioning(key#") == 2
+    assert f"{stored.path}/rows" not in plan(got) and "/table-" in plan(got)
+    assert sorted(map(tuple, got.collect())) == want and want
