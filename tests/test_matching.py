@@ -239,3 +239,32 @@ def test_prefixes_move_no_rows_of_the_index(spark, stored, monkeypatch):
     assert "SortMergeJoin" not in plans[0] and plans[0].count("hashpartitioning(") == plans[0].count("hashpartitioning(key#") == 2
     assert f"{stored.path}/rows" not in plan(got) and "/table-" in plan(got)
     assert sorted(map(tuple, got.collect())) == want and want
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+
+def test_the_build_moves_no_rows_of_words(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a w{i} é{i % 7} a") for i in range(500)], "doc_id long, text string").coalesce(2)
+    before = shuffled(spark)
+    index = postings.build(docs, str(tmp_path / "whole"))
+    assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 100
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    monkeypatch.setattr(postings, "OPEN_FILES", 3)  # of 16 partitions and that of all documents
+    few = postings.build(docs, str(tmp_path / "few"))
+    for x in (index, few):
+        assert {r.word: r.df for r in x.document_frequencies().collect()} == {f"w{i}": 1 for i in range(500)} | {f"e{i}": len(range(i, 500, 7)) for i in range(7)} | {"a": 500}
+        assert tuple(x.stats().first()) == (500, 4.0) and x.documents().count() == 500
+        rows = x.rows_starting(spark.createDataFrame([("w49",), ("a",), ("zz",)], "prefix string")).collect()
+        assert sorted((r.key, r.prefix, r.dl, r.f, r.places) for r in rows) == sorted([(i, "a", 4, 2, [0, 3]) for i in range(500)] + [(i, "w49", 4, 1, [1]) for i in (49, *range(490, 500))])
+
+
+def test_documents_without_words(spark, tmp_path):
+    index = postings.build(spark.createDataFrame([(1, None), (2, ""), (3, "- -")], "doc_id long, text string"), str(tmp_path / "none"))
+    assert tuple(index.stats().first()) == (3, 0.0) and sorted(tuple(r) for r in index.documents().collect()) == [(1, 0), (2, 0), (3, 0)]
+    assert matching.search(index, spark.createDataFrame([(1, "a* OR b")], "query_id int, query string"), 5).count() == 0
